@@ -42,11 +42,11 @@ def share_of_total(agg: DataFrame, measure: str, share: str, digits: int | None
     return agg.withColumn(share, percent(measure, whole, digits))
 
 
-def ratio_to_overall(agg: DataFrame, amount: str, count: str, name: str) -> DataFrame:
-    """Average of each row against the average over all rows, for results of a
-    few rows that together cover the whole table."""
+def ratio_to_overall(agg: DataFrame, own: Column, amount: str, count: str, name: str) -> DataFrame:
+    """A value of each row against the average over all rows, for results of a
+    few rows that together cover the whole table: the overall average comes from
+    their amounts and counts, not from a second scan."""
     everything = Window.partitionBy()
-    own = ratio(amount, count)
     overall = ratio(F.sum(amount).over(everything), F.sum(count).over(everything))
     return agg.withColumn(name, F.try_divide(own, overall))
 

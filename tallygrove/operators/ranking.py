@@ -148,6 +148,12 @@ def best_and_worst(agg: DataFrame, measure: str, *keys: str) -> DataFrame:
     )
 
 
+def top_keys(agg: DataFrame, name: str, k: int, measure: str) -> DataFrame:
+    """The k values of a column with the largest total measure."""
+    totals = agg.groupBy(name).agg(F.sum(measure).alias("_t"))
+    return top_k(totals, k, "_t", name).select(name)
+
+
 def trim_axes(
     agg: DataFrame, rows: tuple[str, int], cols: tuple[str, int], measure: str
 ) -> DataFrame:
@@ -156,7 +162,5 @@ def trim_axes(
     broadcast."""
     out = agg
     for name, k in (rows, cols):
-        totals = agg.groupBy(name).agg(F.sum(measure).alias("_t"))
-        kept = top_k(totals, k, "_t", name).select(name)
-        out = out.join(F.broadcast(kept), name, "left_semi")
+        out = out.join(F.broadcast(top_keys(agg, name, k, measure)), name, "left_semi")
     return out
