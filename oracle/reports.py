@@ -194,7 +194,7 @@ API = {
       FROM e WHERE customer_id = '7' HAVING COUNT(*) > 0""",
     "customer_recent": f"""SELECT product_name, units_sold, amt AS amount, date
       FROM e WHERE customer_id = '7' ORDER BY date DESC, {ROW_ID} LIMIT 10""",
-    "receipt_items": """, r AS (SELECT * FROM e WHERE receipt_number = '33'),
+    "receipt_items": """, r AS (SELECT * FROM e WHERE receipt_number = '20'),
       f AS (SELECT * FROM r ORDER BY product_name, transaction_id, product_id, amt LIMIT 1)
       SELECT r.receipt_number, f.customer_id, f.date, f.receipt_total_sgd, r.product_id,
         r.product_name, r.units_sold, r.unit_price_sgd, r.amt AS total_amount_sgd FROM r CROSS JOIN f""",

@@ -74,7 +74,7 @@ STEP_SQL = {
     "staged_to_typed": ALL,
     "upsert_by_key": """SELECT DISTINCT concat('countries_', country_id) AS key, 'character 2' AS value,
       country_id AS alternative_key,
-      CASE WHEN country >= 'A' AND country <= 'F' THEN country || ' (new)' ELSE country END
+      CASE WHEN country >= 'NATION_1' AND country <= 'NATION_2' THEN country || ' (new)' ELSE country END
         AS alternative_value FROM sales""",
     "cyclic_features": """SELECT dow AS day_of_week, month, COUNT(*) AS n,
       ROUND(sin(2 * pi() * dow / 7), 12) + 0.0 AS day_of_week_sin,
@@ -87,8 +87,8 @@ STEP_SQL = {
       WHERE y >= (SELECT MIN(year) FROM e) AND y <= (SELECT MAX(year) FROM e) + 1""",
     "discount_tagged": f"SELECT date, {ROW_ID}, discount_period, discount_applied FROM e",
     "geo_enriched": f"""SELECT {ROW_ID}, city,
-      CASE WHEN country NOT IN ('FRANCE', 'CHINA') THEN country END AS country,
-      CASE WHEN country NOT IN ('FRANCE', 'CHINA') THEN country_id END AS country_id FROM e""",
+      CASE WHEN country NOT IN ('NATION_6', 'NATION_18') THEN country END AS country,
+      CASE WHEN country NOT IN ('NATION_6', 'NATION_18') THEN country_id END AS country_id FROM e""",
     "daily_gap_filled": f""", x AS (SELECT day, COUNT(*) AS n, SUM(amt) AS r FROM e
         WHERE amt >= 100000 GROUP BY day)
       SELECT CAST(t.d AS DATE) AS sale_date, COALESCE(x.n, 0) AS transactions,
@@ -112,13 +112,13 @@ STEP_SQL = {
     "filter_conjunction": figures(
         "date >= '1996-02-10' AND date <= '2000-03-05' AND age >= 20 AND age <= 60"
     ),
-    "filter_text": figures("gender = 'F' AND country = 'FRANCE'"),
+    "filter_text": figures("gender = 'F' AND country = 'NATION_6'"),
     "filter_date_range": figures("day BETWEEN DATE '1997-05-20' AND DATE '1997-06-10'"),
-    "filter_day": figures("day = DATE '1997-05-20'"),
+    "filter_day": figures("day = DATE '1995-06-19'"),
     "filter_between": figures("income >= 30000 AND income <= 60000"),
     "filter_from_year": figures("year >= 1999"),
     "filter_known": figures("age IS NOT NULL AND income IS NOT NULL"),
-    "filter_in_list": figures("country IN ('CHINA', 'FRANCE', 'PERU')"),
+    "filter_in_list": figures("country IN ('NATION_18', 'NATION_6', 'NATION_3')"),
     "filter_discounted": figures("discount_applied"),
     "filter_thresholds": figures("amt >= 20 AND age > 30 AND income > 50000"),
     "filter_hour": figures("hour = 12"),

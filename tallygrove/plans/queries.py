@@ -23,7 +23,7 @@ PARAMETERS: dict[str, dict] = {
     "sales_by_date": {"day": "1996-07-04"},
     "customer_totals": {"customer_id": "7"},
     "customer_recent": {"customer_id": "7"},
-    "receipt_items": {"receipt_number": "33"},
+    "receipt_items": {"receipt_number": "20"},
     "recent_top_products": _RECENT,
     "product_country_recent": _RECENT,
     "product_country_matrix": _RECENT,

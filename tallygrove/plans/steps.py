@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tallygrove.functions import bands, calendar
 from tallygrove.functions.measures import mean, n_distinct, n_rows, total, total_int
 from tallygrove.operators import clean, dimensions, enrich, filters, groups, order_stats, ranking
-from tallygrove.plans import exports, registry
-from tallygrove.schema import AMOUNT, ROW_ID, SALES_COLUMNS, SALES_SCHEMA
+from tallygrove.plans import registry
+from tallygrove.schema import AMOUNT, MONTH_PARTITION, ROW_ID, SALES_COLUMNS, SALES_SCHEMA
 from tallygrove.session import shared_dir
 from tallygrove.sources import files, sinks
 from tallygrove.sources.star import report_table, sales_from_star, stored_sales
@@ -125,12 +125,12 @@ def csv_pack_unpack(spark, sf_dir):
 
 @_step
 def append_rerun(spark, sf_dir):
-    """Two chunks of whole days, the second one loaded twice."""
+    """Two chunks of whole months, the second one loaded twice."""
     sales, path = _sales(spark, sf_dir), _new_dir(spark, "fact")
     late = F.col("date") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    sinks.append_sales(sales.filter(~late), path)
-    sinks.append_sales(sales.filter(late), path)
-    sinks.append_sales(sales.filter(late), path)
+    sinks.append_sales(sales.filter(~late), path, MONTH_PARTITION)
+    sinks.append_sales(sales.filter(late), path, MONTH_PARTITION)
+    sinks.append_sales(sales.filter(late), path, MONTH_PARTITION)
     return files.read_sales(spark, path, SALES_COLUMNS)
 
 
@@ -251,7 +251,7 @@ def upsert_by_key(spark, sf_dir):
         pairs = df.select(F.col("country_id").alias("code"), F.concat("country", F.lit(suffix)).alias("country"))
         return dimensions.country_code_parameters(pairs.distinct())
 
-    recent = filters.between(sales, "country", "A", "F")
+    recent = filters.between(sales, "country", "NATION_1", "NATION_2")
     return dimensions.upsert_by_key(codes(sales, ""), codes(recent, " (new)"), "key")
 
 
@@ -297,7 +297,7 @@ def discount_tagged(spark, sf_dir):
 def geo_enriched(spark, sf_dir):
     """Country of each sale looked up by its city; two countries are unlisted."""
     sales = _sales(spark, sf_dir)
-    cities = sales.filter(~F.col("country").isin("FRANCE", "CHINA")).select(
+    cities = sales.filter(~F.col("country").isin("NATION_6", "NATION_18")).select(
         F.col("city").alias("name"), "country", "country_id"
     ).distinct()
     return dimensions.enrich_geo(sales, cities).select(*ROW_ID, "city", "country", "country_id")
@@ -370,7 +370,7 @@ def filter_conjunction(spark, sf_dir):
 
 @_step
 def filter_text(spark, sf_dir):
-    return _figures(filters.eq(filters.eq(_sales(spark, sf_dir), "gender", "F"), "country", "FRANCE"))
+    return _figures(filters.eq(filters.eq(_sales(spark, sf_dir), "gender", "F"), "country", "NATION_6"))
 
 
 @_step
@@ -380,7 +380,7 @@ def filter_date_range(spark, sf_dir):
 
 @_step
 def filter_day(spark, sf_dir):
-    return _figures(filters.on_day(stored_sales(spark, sf_dir), "1997-05-20"))
+    return _figures(filters.on_day(stored_sales(spark, sf_dir), "1995-06-19"))
 
 
 @_step
@@ -400,7 +400,7 @@ def filter_known(spark, sf_dir):
 
 @_step
 def filter_in_list(spark, sf_dir):
-    return _figures(filters.one_of(_sales(spark, sf_dir), "country", ["CHINA", "FRANCE", "PERU"]))
+    return _figures(filters.one_of(_sales(spark, sf_dir), "country", ["NATION_18", "NATION_6", "NATION_3"]))
 
 
 @_step
@@ -491,7 +491,7 @@ def country_at_extremes(spark, sf_dir):
 @_step
 def trimmed_cells(spark, sf_dir):
     """Cells of the five best products in the four best countries."""
-    per = exports.filters.sales_only(_sales(spark, sf_dir)).groupBy("product_name", "country").agg(
+    per = filters.sales_only(_sales(spark, sf_dir)).groupBy("product_name", "country").agg(
         total().alias("revenue")
     )
     return ranking.trim_axes(per, ("product_name", 5), ("country", 4), "revenue")

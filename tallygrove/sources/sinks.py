@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.schema import DAY_PARTITION, SALES_COLUMNS
+from tallygrove.functions.calendar import month_start
+from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION, SALES_COLUMNS
 from tallygrove.sources.files import CSV_OPTIONS, read_csv, read_parts
 
 ROWS_PER_PART = 10_000
@@ -117,30 +118,35 @@ def unpack_csv(spark: SparkSession, src: str, schema=None) -> DataFrame:
     return read_csv(spark, src, schema)
 
 
-def write_partitioned(df: DataFrame, path: str, by: str, order: str = "date") -> None:
-    """Write one folder per value of ``by``, rows sorted by date inside a file
-    so that row-group statistics prune well. The rebalance lets Spark size the
-    files: small values share a task, a value with very many rows is split."""
-    (
-        df.hint("rebalance", F.col(by))
-        .sortWithinPartitions(by, order)
-        .write.mode("overwrite")
-        .partitionBy(by)
-        .parquet(path)
+def _arranged(df: DataFrame, by: str) -> DataFrame:
+    """Add the partition column and lay the rows out for writing: each value of
+    it together and sorted by date, so that row-group statistics prune well. The
+    rebalance lets Spark size the files: small values share a task, a value with
+    very many rows is split over several."""
+    value = month_start("date") if by == MONTH_PARTITION else F.to_date("date")
+    return (
+        df.select(SALES_COLUMNS)
+        .withColumn(by, value)
+        .hint("rebalance", F.col(by))
+        .sortWithinPartitions(by, "date")
     )
 
 
-def append_sales(df: DataFrame, path: str) -> str:
+def write_partitioned(df: DataFrame, path: str, by: str = MONTH_PARTITION) -> str:
+    """Replace the fact table, with one folder per month (or day)."""
+    _arranged(df, by).write.mode("overwrite").partitionBy(by).parquet(path)
+    return path
+
+
+def append_sales(df: DataFrame, path: str, by: str = DAY_PARTITION) -> str:
     """Add a chunk of whole days to the fact table. Days the chunk holds replace
-    those of an earlier run, other days stay: running it again changes nothing."""
+    those of an earlier run, other days stay: running it again changes nothing.
+    With ``by`` set to the month partition, chunks are whole months."""
     (
-        df.select(SALES_COLUMNS)
-        .withColumn(DAY_PARTITION, F.to_date("date"))
-        .hint("rebalance", F.col(DAY_PARTITION))
-        .sortWithinPartitions(DAY_PARTITION, "date")
+        _arranged(df, by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY_PARTITION)
+        .partitionBy(by)
         .parquet(path)
     )
     return path

@@ -7,7 +7,6 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.functions.calendar import month_start
 from tallygrove.operators.enrich import enrich_sales
 from tallygrove.schema import MONTH_PARTITION, SALES_SCHEMA
 from tallygrove.session import shared_dir
@@ -85,10 +84,7 @@ def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = f"tallygrove_sales_{digest}"
     if not spark.catalog.tableExists(view):
         path = f"{shared_dir(spark)}/sales-{digest}"
-        month = month_start("date")
-        write_partitioned(
-            sales_from_star(spark, sf_dir).withColumn(MONTH_PARTITION, month), path, MONTH_PARTITION
-        )
+        write_partitioned(sales_from_star(spark, sf_dir), path, MONTH_PARTITION)
         spark.read.schema(_stored_schema()).parquet(path).createOrReplaceTempView(view)
     return spark.table(view)
 
