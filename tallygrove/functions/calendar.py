@@ -19,9 +19,6 @@ MONTH_NAMES = [
 # Discount period names; the first one that covers a day wins.
 DISCOUNT_PERIODS = ["BLACKFRIDAY", "CYBERMONDAY", "NEWYEAR", "CHRISTMAS"]
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
-DATE_FORMAT = "yyyy-MM-dd"
-
 
 def _label(names: list[str], number: Column) -> Column:
     """Name number 1, 2, ... of a list; a constant array, no date formatting."""
@@ -93,12 +90,22 @@ def discount_period(c: Column | str) -> Column:
     )
 
 
+# Accepted date texts, as patterns (four-digit year, one or two
+# digits for the rest).
+TIMESTAMP_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
+DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
+
+
+def parse_timestamp(c: Column | str, pattern: str = TIMESTAMP_PATTERN) -> Column:
+    """Text of exactly this form as timestamp, else null; no time zone takes
+    part."""
+    c = as_col(c)
+    return F.when(c.rlike(pattern), c.try_cast("timestamp_ntz"))
+
+
 def parse_date(c: Column | str) -> Column:
     """Text as timestamp: date and time, or date only; null when neither."""
-    c = as_col(c)
-    return F.coalesce(
-        F.try_to_timestamp(c, F.lit(TIMESTAMP_FORMAT)), F.try_to_timestamp(c, F.lit(DATE_FORMAT))
-    )
+    return F.coalesce(parse_timestamp(c), parse_timestamp(c, DATE_PATTERN))
 
 
 def valid_date(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.functions.calendar import TIMESTAMP_FORMAT
+from tallygrove.functions.calendar import parse_timestamp
 from tallygrove.schema import SALES_COLUMNS, SALES_SCHEMA
 
 _INTEGER_COLUMNS = ["age", "units_sold"]
@@ -56,7 +56,7 @@ def _typed(name: str, declared: str) -> Column:
     c = F.col(name)
     declared = declared.lower()
     if "date" in name.lower() or "time" in name.lower():
-        return F.try_to_timestamp(c.cast("string"), F.lit(TIMESTAMP_FORMAT)).cast("timestamp_ntz")
+        return parse_timestamp(c.cast("string"))
     if "integer" in declared:
         return c.try_cast("bigint")
     if "float" in declared:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions import calendar as cal
 from tallygrove.operators.dimensions import BROADCAST_ROWS, calendar_days
+from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION
 
 
 def enrich_calendar(df: DataFrame) -> DataFrame:
@@ -27,22 +28,27 @@ def enrich_calendar(df: DataFrame) -> DataFrame:
 def enrich_discount(df: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Tag each sale with its discount period (null outside of all).
 
-    Without a calendar table the standard periods are computed from the date.
+    Without a calendar table the standard periods, which lie in November to
+    January, are computed from the date.
     With one, the range join "date between start and end" runs as an equality
     join: the periods are exploded to days first. The day table is broadcast
     when it has been counted to be small, and joined by Spark's choice if not.
     """
     if calendar is None:
         tagged = df.withColumn("discount_period", cal.discount_period("date"))
-    else:
-        days = calendar_days(calendar)
-        if days.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            days = F.broadcast(days)
-        tagged = (
-            df.withColumn("_day", F.to_date("date"))
-            .join(days.withColumnRenamed("day", "_day"), "_day", "left")
-            .drop("_day")
-        )
+        applied = F.col("discount_period").isNotNull()
+        for name in (MONTH_PARTITION, DAY_PARTITION):
+            if name in df.columns:  # lets a filter on discounted sales skip partitions
+                applied = F.month(name).isin(1, 11, 12) & applied
+        return tagged.withColumn("discount_applied", applied)
+    days = calendar_days(calendar)
+    if days.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        days = F.broadcast(days)
+    tagged = (
+        df.withColumn("_day", F.to_date("date"))
+        .join(days.withColumnRenamed("day", "_day"), "_day", "left")
+        .drop("_day")
+    )
     return tagged.withColumn("discount_applied", F.col("discount_period").isNotNull())
 
 

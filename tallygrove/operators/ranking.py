@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,21 @@ def order_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*_order(keys))
 
 
+def listed(*keys: str):
+    """Decorator for reports: list the rows in this order. Reports that build on
+    the rows take them unsorted, as ``report.rows(df)``."""
+
+    def wrap(rows: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(rows)
+        def report(df: DataFrame, **params) -> DataFrame:
+            return order_by(rows(df, **params), *keys)
+
+        report.rows = rows
+        return report
+
+    return wrap
+
+
 def order_by_segment(df: DataFrame, label: str, labels: Sequence[str], *first: str) -> DataFrame:
     """Order by the given keys, then by the label's place in its list."""
     return df.orderBy(*_order(first), segment_order(label, list(labels)))
@@ -76,6 +92,12 @@ def with_rank(agg: DataFrame, measure: str, name: str = "rank") -> DataFrame:
     return agg.withColumn(name, rank.cast("bigint"))
 
 
+def top_ranked(agg: DataFrame, k: int, measure: str, key: str, name: str = "rank") -> DataFrame:
+    """The first k rows by rank. They are picked first and ranked then: who
+    comes behind does not change a rank, so no task sees more than k rows."""
+    return with_rank(top_k(agg, k, measure, key), measure, name)
+
+
 def with_position(agg: DataFrame, measure: str, tiebreak: str, name: str = "position") -> DataFrame:
     w = Window.orderBy(F.desc_nulls_last(measure), F.asc_nulls_last(tiebreak))
     return agg.withColumn(name, F.row_number().over(w).cast("bigint"))
@@ -133,6 +155,15 @@ def highlights(
     return rows.select(*prefix, F.inline("rows")).filter(F.col("highlight").isNotNull())
 
 
+def members_of_top(agg: DataFrame, key: str, k: int, measure: str) -> DataFrame:
+    """All rows of the k keys with the largest total, for keys with a few rows
+    each (such as one per year): a key's rows travel as one list, so the input
+    is read once."""
+    row = F.struct(*[c for c in agg.columns if c != key])
+    per = agg.groupBy(key).agg(F.sum(measure).alias("_t"), F.collect_list(row).alias("_rows"))
+    return top_k(per, k, "_t", key).select(key, F.inline("_rows"))
+
+
 def best_and_worst(agg: DataFrame, measure: str, *keys: str) -> DataFrame:
     """First and last row by a measure, marked ``best`` and ``worst``."""
     row = F.struct(*agg.columns)
@@ -159,8 +190,14 @@ def trim_axes(
 ) -> DataFrame:
     """Cells whose row is among the top rows and whose column among the top
     columns, by total measure. The two lists have a fixed length, so they are
-    broadcast."""
+    broadcast. Rows without a name on either axis are left out.
+
+    The keys are unique, so an inner join filters like a semi join would; but it
+    stays above the aggregation, and Spark runs the aggregation once for the
+    cells and both lists.
+    """
+    agg = agg.filter(F.col(rows[0]).isNotNull() & F.col(cols[0]).isNotNull())
     out = agg
     for name, k in (rows, cols):
-        out = out.join(F.broadcast(top_keys(agg, name, k, measure)), name, "left_semi")
+        out = out.join(F.broadcast(top_keys(agg, name, k, measure)), name)
     return out

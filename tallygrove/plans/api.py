@@ -129,8 +129,7 @@ def geographic_distribution(df: DataFrame, k: int = 15) -> DataFrame:
         n_distinct("customer_id").alias("customers"),
         total().alias("total_revenue"),
     )
-    ranked = ranking.with_rank(per, "total_revenue", "revenue_rank")
-    return ranking.order_by(ranked, "revenue_rank", "country").limit(k)
+    return ranking.top_ranked(per, k, "total_revenue", "country", "revenue_rank")
 
 
 def value_transactions(df: DataFrame) -> DataFrame:

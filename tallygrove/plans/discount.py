@@ -18,23 +18,23 @@ def _discounted(df: DataFrame) -> DataFrame:
 
 def hour_extremes(df: DataFrame) -> DataFrame:
     """Best and worst hour by revenue, and the gap between them."""
-    hours = hourly_sales(df)
+    hours = hourly_sales.rows(df)
     out = ranking.best_and_worst(hours, "total_revenue", "hour")
     everything = ranking.Window.partitionBy()
     gap = F.max("total_revenue").over(everything) - F.min("total_revenue").over(everything)
     return out.withColumn("revenue_gap", gap.cast("decimal(38,2)"))
 
 
+@ranking.listed("hour", "-revenue", "discount_period")
 def hourly_discount(df: DataFrame) -> DataFrame:
     hour = F.col("hour").cast("bigint").alias("hour")
-    per = _discounted(df).groupBy(hour, "discount_period").agg(
+    return _discounted(df).groupBy(hour, "discount_period").agg(
         n_rows().alias("transactions"), total().alias("revenue")
     )
-    return ranking.order_by(per, "hour", "-revenue", "discount_period")
 
 
 def top_discount_hours(df: DataFrame, k: int = 5) -> DataFrame:
-    per = groups.rollup_again(hourly_discount(df), "hour", total("revenue").alias("revenue"))
+    per = groups.rollup_again(hourly_discount.rows(df), "hour", total("revenue").alias("revenue"))
     return ranking.top_k(per, k, "revenue", "hour")
 
 

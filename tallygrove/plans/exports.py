@@ -32,15 +32,15 @@ def sales_by_country(df: DataFrame) -> DataFrame:
     return ranking.order_by(per, "-total_revenue", "country")
 
 
+@ranking.listed("hour")
 def hourly_sales(df: DataFrame) -> DataFrame:
-    per = filters.sales_only(df).groupBy(F.col("hour").cast("bigint").alias("hour")).agg(
+    return filters.sales_only(df).groupBy(F.col("hour").cast("bigint").alias("hour")).agg(
         n_rows().alias("total_transactions"),
         total().alias("total_revenue"),
         mean().alias("avg_transaction_value"),
         n_distinct("customer_number").alias("unique_customers"),
         n_distinct("receipt_number").alias("unique_receipts"),
     )
-    return ranking.order_by(per, "hour")
 
 
 def discount_periods(df: DataFrame) -> DataFrame:

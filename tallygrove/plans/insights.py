@@ -48,16 +48,16 @@ def value_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """Average, smallest, largest and median sale. The median is exact, found by
     counting passes; ``approx`` takes a sketch in the same pass instead."""
     rows = filters.sales_only(df).select(AMOUNT)
-    if approx:
-        middle = F.percentile_approx(F.col(AMOUNT).cast("double"), 0.5)
-    else:
-        middle = F.lit(order_stats.median(rows)).cast("double")
-    return rows.agg(
+    figures = [
         mean().alias("avg_transaction"),
         low(AMOUNT).alias("min_transaction"),
         high(AMOUNT).alias("max_transaction"),
-        F.max(middle).alias("median_transaction") if not approx else middle.alias("median_transaction"),
-    )
+    ]
+    if approx:
+        middle = F.percentile_approx(F.col(AMOUNT).cast("double"), 0.5)
+        return rows.agg(*figures, middle.alias("median_transaction"))
+    middle = F.lit(order_stats.median(rows)).cast("double")
+    return rows.agg(*figures).withColumn("median_transaction", middle)
 
 
 def yearly_growth(df: DataFrame, min_year: int = 2020) -> DataFrame:

@@ -48,17 +48,17 @@ def best_month(df: DataFrame) -> DataFrame:
     return ranking.top_k(per, 1, "total_sales", "month").select("month_text", "total_sales")
 
 
+@ranking.listed("-daily_revenue", "sales_date")
 def daily_sales(df: DataFrame) -> DataFrame:
     """All types, per day."""
     day = F.to_date("date").alias("sales_date")
-    per = df.groupBy(day, "day_of_week_text", "month_text", _year()).agg(
+    return df.groupBy(day, "day_of_week_text", "month_text", _year()).agg(
         n_rows().alias("total_transactions"),
         total().alias("daily_revenue"),
         mean().alias("avg_transaction_value"),
         n_distinct("customer_number").alias("unique_customers"),
         n_distinct("receipt_number").alias("unique_receipts"),
     )
-    return ranking.order_by(per, "-daily_revenue", "sales_date")
 
 
 _DAY_COLUMNS = [
@@ -83,7 +83,7 @@ def bottom_days(df: DataFrame, k: int = 10) -> DataFrame:
 
 def daily_highlights(df: DataFrame) -> DataFrame:
     return ranking.highlights(
-        daily_sales(df),
+        daily_sales.rows(df),
         ["sales_date", "day_of_week_text"],
         {
             "best_revenue": ("daily_revenue", "max"),
@@ -97,7 +97,7 @@ def daily_highlights(df: DataFrame) -> DataFrame:
 
 
 def daily_stats(df: DataFrame) -> DataFrame:
-    return daily_sales(df).agg(
+    return daily_sales.rows(df).agg(
         n_rows().alias("days"),
         mean("daily_revenue").alias("avg_daily_revenue"),
         low("daily_revenue").alias("min_daily_revenue"),
@@ -107,15 +107,15 @@ def daily_stats(df: DataFrame) -> DataFrame:
     )
 
 
+@ranking.listed("-total_revenue", "country")
 def country_sales(df: DataFrame) -> DataFrame:
     """All types, per country."""
-    per = df.groupBy("country").agg(
+    return df.groupBy("country").agg(
         n_rows().alias("total_transactions"),
         total().alias("total_revenue"),
         mean().alias("avg_transaction_value"),
         n_distinct("customer_number").alias("unique_customers"),
     )
-    return ranking.order_by(per, "-total_revenue", "country")
 
 
 _FOUR_MEASURES = {
@@ -133,30 +133,34 @@ def _both_ends(measures: dict[str, str]) -> dict[str, tuple[str, str]]:
 
 
 def country_highlights(df: DataFrame) -> DataFrame:
-    return ranking.highlights(country_sales(df), ["country"], _both_ends(_FOUR_MEASURES))
+    return ranking.highlights(country_sales.rows(df), ["country"], _both_ends(_FOUR_MEASURES))
 
 
-def age_country(df: DataFrame) -> DataFrame:
-    """All types with a known age, per country and age band."""
-    per = filters.known(df, "age").groupBy("country", bands.age_band3().alias("age_group")).agg(
+def _age_country(df: DataFrame) -> DataFrame:
+    return filters.known(df, "age").groupBy("country", bands.age_band3().alias("age_group")).agg(
         n_rows().alias("total_transactions"),
         total().alias("total_revenue"),
         mean().alias("avg_transaction_value"),
         n_distinct("customer_number").alias("unique_customers"),
         mean("age").alias("avg_age_in_group"),
     )
-    return ranking.order_by_segment(per, "age_group", bands.AGE_BANDS_3, "country")
+
+
+def age_country(df: DataFrame) -> DataFrame:
+    """All types with a known age, per country and age band."""
+    return ranking.order_by_segment(_age_country(df), "age_group", bands.AGE_BANDS_3, "country")
 
 
 def age_country_highlights(df: DataFrame) -> DataFrame:
     measures = {k: v for k, v in _FOUR_MEASURES.items() if k != "transactions"}
-    return ranking.highlights(age_country(df), ["country", "age_group"], _both_ends(measures))
+    return ranking.highlights(_age_country(df), ["country", "age_group"], _both_ends(measures))
 
 
+@ranking.listed("-overall_avg_age", "country")
 def age_distribution(df: DataFrame) -> DataFrame:
     """Per country: sales by age band and average ages, one decimal."""
     young, middle, senior = (F.col("age") < 25, F.col("age").between(25, 40), F.col("age") >= 41)
-    per = filters.known(df, "age").groupBy("country").agg(
+    return filters.known(df, "age").groupBy("country").agg(
         n_if(young).alias("under_25_customers"),
         n_if(middle).alias("age_25_40_customers"),
         n_if(senior).alias("age_41_plus_customers"),
@@ -165,7 +169,6 @@ def age_distribution(df: DataFrame) -> DataFrame:
         F.round(mean_if(senior, "age"), 1).alias("avg_age_41_plus"),
         F.round(mean("age"), 1).alias("overall_avg_age"),
     )
-    return ranking.order_by(per, "-overall_avg_age", "country")
 
 
 def age_distribution_highlights(df: DataFrame) -> DataFrame:
@@ -178,18 +181,23 @@ def age_distribution_highlights(df: DataFrame) -> DataFrame:
     for band in ("under_25", "25_40", "41_plus"):
         wanted[f"highest_{band}"] = (f"avg_age_{band}", "max")
         wanted[f"lowest_{band}"] = (f"avg_age_{band}", "min")
-    return ranking.highlights(age_distribution(df), ["country"], wanted)
+    return ranking.highlights(age_distribution.rows(df), ["country"], wanted)
 
 
-def age_revenue_share(df: DataFrame) -> DataFrame:
-    """Each age band's share of its country's revenue."""
+def _age_revenue_share(df: DataFrame) -> DataFrame:
     per = filters.known(df, "age").groupBy("country", bands.age_band3().alias("age_group")).agg(
         total().alias("age_group_revenue")
     )
-    out = groups.share_of_group(
+    return groups.share_of_group(
         per, "country", "age_group_revenue", "revenue_percentage", "country_total_revenue"
     )
-    return ranking.order_by_segment(out, "age_group", bands.AGE_BANDS_3, "country")
+
+
+def age_revenue_share(df: DataFrame) -> DataFrame:
+    """Each age band's share of its country's revenue."""
+    return ranking.order_by_segment(
+        _age_revenue_share(df), "age_group", bands.AGE_BANDS_3, "country"
+    )
 
 
 def age_share_highlights(df: DataFrame) -> DataFrame:
@@ -199,29 +207,29 @@ def age_share_highlights(df: DataFrame) -> DataFrame:
     for name in _KNOWN_BANDS:
         for side in ("max", "min"):
             wanted[f"{side}_{name}"] = (F.when(band == name, share), side)
-    return ranking.highlights(age_revenue_share(df), ["country", "age_group"], wanted)
+    return ranking.highlights(_age_revenue_share(df), ["country", "age_group"], wanted)
 
 
 def hour_highlights(df: DataFrame) -> DataFrame:
-    return ranking.highlights(hourly_sales(df), ["hour"], _both_ends(_FOUR_MEASURES))
+    return ranking.highlights(hourly_sales.rows(df), ["hour"], _both_ends(_FOUR_MEASURES))
 
 
+@ranking.listed("-total_revenue", "time_period")
 def time_periods(df: DataFrame) -> DataFrame:
     """Hours rolled up to four periods. The value is the mean of the hourly
     averages, the customers are the sum of the hourly distinct counts."""
-    per = groups.rollup_again(
-        hourly_sales(df),
+    return groups.rollup_again(
+        hourly_sales.rows(df),
         bands.time_period("hour").alias("time_period"),
         F.sum("total_transactions").alias("total_transactions"),
         total("total_revenue").alias("total_revenue"),
         F.round(F.avg("avg_transaction_value"), 2).alias("mean_hourly_avg_value"),
         F.sum("unique_customers").alias("sum_hourly_customers"),
     )
-    return ranking.order_by(per, "-total_revenue", "time_period")
 
 
 def period_highlights(df: DataFrame) -> DataFrame:
-    return ranking.best_and_worst(time_periods(df), "total_revenue", "time_period")
+    return ranking.best_and_worst(time_periods.rows(df), "total_revenue", "time_period")
 
 
 _HOUR_COLUMNS = ["hour", "total_revenue", "total_transactions"]
@@ -335,11 +343,8 @@ def _top_sold(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def _years_of_top(yearly: DataFrame, key: str, k: int) -> DataFrame:
-    """Yearly rows of the k keys with the largest total. The keys are picked
-    from the yearly rows, so both sides share one aggregation of the sales; the
-    list has k rows and is broadcast."""
-    kept = ranking.top_keys(yearly, key, k, "total_sales")
-    out = yearly.join(F.broadcast(kept), key, "left_semi")
+    """Yearly rows of the k keys with the largest total."""
+    out = ranking.members_of_top(yearly, key, k, "total_sales")
     return ranking.order_by(out, "year", "-total_sales", key)
 
 
@@ -383,7 +388,8 @@ def product_country_matrix(
 ) -> DataFrame:
     """Top products by top countries as rows (product, country, total); cells
     without sales are 0."""
-    cells = _product_country(df, min_year)
+    named = filters.known(filters.known(df, "country"), "product_name")
+    cells = _product_country(named, min_year)
     rows, cols = ("product_name", products), ("country", countries)
     trimmed = ranking.trim_axes(cells, rows, cols, "total_sales")
     # both axes have a fixed length, so the grid is spelled out from a list
