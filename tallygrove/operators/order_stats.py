@@ -3,9 +3,10 @@
 ``ntile`` over all rows would sort the whole table in one task. But a tile is
 decided by at most n-1 boundary rows, so it is enough to find those. They are
 found by counting: a pass counts the rows per slice of the value range, the
-next one looks only into the slices that hold a boundary, until a slice is a
-single value. Every pass is a scan of the ordering columns with map-side
-counts, and no rows are shuffled. Rows are then compared with the boundaries.
+next one looks only into the slices that hold a boundary, until a slice is a single
+value or holds few rows. Every pass is a scan of the ordering columns with
+map-side counts, and no rows are shuffled. Rows are then compared with the
+boundaries.
 """
 
 from __future__ import annotations
@@ -20,78 +21,127 @@ from pyspark.sql import types as T
 
 from tallygrove.schema import AMOUNT
 
-FANOUT = 2048  # slices per open range and pass
-FEW_ROWS = 20_000  # a range with so few rows is counted value by value
+FANOUT = 4096  # slices per open range and pass
+FEW_ROWS = 5_000  # a range with so few rows is listed instead of sliced
 _COPIES_PER_STEP = 100_000
-
-
-@dataclass(frozen=True)
-class Found:
-    """The value at a rank, the rows below it and the rows equal to it."""
-
-    value: int
-    below: int
-    equal: int
+_HASH_BITS = 60
 
 
 @dataclass
 class _Range:
-    """Rows with ``cond`` and lo <= key <= hi; ``below`` rows of the same
-    search are smaller. ``ranks`` are the ranks sought in it."""
+    """Rows whose keys before ``depth`` equal ``prefix`` and whose key at
+    ``depth`` lies in lo..hi. ``below`` rows of the table come before them, and
+    the boundaries behind the given ranks (counted from 1) are among them."""
 
-    search: int
-    cond: Column | None
+    prefix: tuple[int, ...]
     lo: int
     hi: int
     below: int
     rows: int
     ranks: list[int]
 
+    @property
+    def depth(self) -> int:
+        return len(self.prefix)
 
-def _locate(df: DataFrame, key: Column, ranges: list[_Range]) -> dict[tuple[int, int], Found]:
-    """Find the values at the wanted ranks (counted from 1) of all searches."""
-    found: dict[tuple[int, int], Found] = {}
-    open_ranges = [r for r in ranges if r.ranks]
-    while open_ranges:
-        slot, where = None, []
-        widths = []
-        for i, r in enumerate(open_ranges):
-            span = r.hi - r.lo + 1
-            width = 1 if r.rows <= FEW_ROWS else -(-span // FANOUT)
-            widths.append(width)
-            inside = key.between(F.lit(r.lo).cast("bigint"), F.lit(r.hi).cast("bigint"))
-            if r.cond is not None:
-                inside = r.cond & inside
-            place = F.struct(
-                F.lit(i).alias("r"),
-                F.floor((key - F.lit(r.lo).cast("bigint")) / F.lit(width)).cast("bigint").alias("s")
-                if width > 1
-                else (key - F.lit(r.lo).cast("bigint")).alias("s"),
-            )
-            slot = F.when(inside, place) if slot is None else slot.when(inside, place)
-            where.append(inside)
-        counted = (
-            df.filter(reduce(lambda a, b: a | b, where))
-            .select(slot.alias("p"))
-            .groupBy("p.r", "p.s")
-            .count()
-            .collect()
-        )
+
+@dataclass(frozen=True)
+class Boundary:
+    """The last row of the first ``rank`` rows has this key; ``inside`` of the
+    ``equal`` rows with the key belong to them."""
+
+    rank: int
+    key: tuple[int, ...]
+    inside: int
+    equal: int
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _equal(levels: Sequence[Column], key: Sequence[int]) -> Column:
+    return reduce(lambda a, b: a & b, [k == _long(v) for k, v in zip(levels, key)], F.lit(True))
+
+
+def _above(levels: Sequence[Column], key: Sequence[int]) -> Column:
+    """The row's key comes after the given one (by its first parts)."""
+    parts = [
+        _equal(levels, key[:i]) & (k > _long(v)) if i else k > _long(v)
+        for i, (k, v) in enumerate(zip(levels, key))
+    ]
+    return reduce(lambda a, b: a | b, parts)
+
+
+def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -> list[list]:
+    """One scan for all ranges: (cell, rows) pairs of each, in order. A cell is a
+    slice number, or the whole rest of the key for a range with few rows. Both
+    are bounded, so the counts fit the driver whatever the table's size."""
+    slot, inside = None, []
+    for i, r in enumerate(ranges):
+        key = levels[r.depth]
+        held = key.between(_long(r.lo), _long(r.hi))
+        if r.depth:
+            held = _equal(levels, r.prefix) & held
+        if r.rows <= FEW_ROWS:
+            cell = list(levels[r.depth :])
+        elif _width(r) == 1:
+            cell = [key - _long(r.lo)]
+        else:
+            cell = [F.call_function("div", key - _long(r.lo), _long(_width(r)))]
+        place = F.struct(F.lit(i).alias("r"), F.array(*cell).alias("c"))
+        slot = F.when(held, place) if slot is None else slot.when(held, place)
+        inside.append(held)
+    counted = (
+        df.filter(reduce(lambda a, b: a | b, inside))
+        .select(slot.alias("p"))
+        .groupBy("p.r", "p.c")
+        .count()
+        .collect()
+    )
+    out: list[list] = [[] for _ in ranges]
+    for row in counted:
+        out[row["r"]].append((tuple(row["c"]), row["count"]))
+    return [sorted(cells) for cells in out]
+
+
+def _width(r: _Range) -> int:
+    return -(-(r.hi - r.lo + 1) // FANOUT)
+
+
+def _boundaries(
+    df: DataFrame, levels: Sequence[Column], lo: int, hi: int, rows: int, ranks: Sequence[int]
+) -> list[Boundary]:
+    """Find the boundary rows behind the given ranks in the order of the keys.
+    The first key lies in lo..hi, the others are hashes."""
+    found: list[Boundary] = []
+    todo = [_Range((), lo, hi, 0, rows, sorted(set(ranks)))] if ranks else []
+    while todo:
+        counts = _count_pass(df, levels, todo)
         nxt: list[_Range] = []
-        for i, r in enumerate(open_ranges):
-            below = r.below
-            pending = sorted(r.ranks)
-            for s, n in sorted((row["s"], row["count"]) for row in counted if row["r"] == i):
-                here = [k for k in pending if below < k <= below + n]
-                lo = r.lo + s * widths[i]
-                hi = min(lo + widths[i] - 1, r.hi)
-                if here and lo == hi:
-                    found.update({(r.search, k): Found(lo, below, n) for k in here})
-                elif here:
-                    nxt.append(_Range(r.search, r.cond, lo, hi, below, n, here))
+        for r, cells in zip(todo, counts):
+            listed, width, below = r.rows <= FEW_ROWS, _width(r), r.below
+            for cell, n in cells:
+                here = [k for k in r.ranks if below < k <= below + n]
+                lo_, hi_ = (cell[0],) * 2 if listed else (r.lo + cell[0] * width, 0)
+                if not listed:
+                    hi_ = min(lo_ + width - 1, r.hi)
+                key = r.prefix + (cell if listed else (lo_,))
+                complete = listed or (lo_ == hi_)
+                deeper = []
+                for k in here:
+                    inside = k - below
+                    if complete and (inside == n or len(key) == len(levels)):
+                        found.append(Boundary(k, key, inside, n))
+                    else:
+                        deeper.append(k)
+                if deeper and complete:
+                    nxt.append(_Range(key, 0, 2**_HASH_BITS - 1, below, n, deeper))
+                elif deeper:
+                    nxt.append(_Range(r.prefix, lo_, hi_, below, n, deeper))
                 below += n
-        open_ranges = nxt
-    return found
+        todo = nxt
+    return sorted(found, key=lambda f: f.rank)
 
 
 def _integer_key(df: DataFrame, measure: str) -> tuple[Column, int]:
@@ -108,24 +158,19 @@ def _integer_key(df: DataFrame, measure: str) -> tuple[Column, int]:
 def tie_key(cols: Sequence[str]) -> Column:
     """A 60-bit number made of the columns' text, evenly spread."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, _HASH_BITS // 4), 16, 10).cast("bigint")
 
 
-def values_at_ranks(df: DataFrame, measure: str, ranks: Sequence[int]) -> list[float]:
-    """Exact values at the given ranks of the non-null values."""
+def median(df: DataFrame, measure: str = AMOUNT) -> float | None:
+    """Exact median: the middle value, or the mean of the middle two. Its value
+    is found by a few counting jobs."""
     key, scale = _integer_key(df, measure)
     lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    wanted = [k for k in ranks if 1 <= k <= n]
-    found = _locate(df, key, [_Range(0, None, lo, hi, 0, n, sorted(set(wanted)))] if wanted else [])
-    return [found[0, k].value / scale for k in ranks if (0, k) in found]
-
-
-def median(df: DataFrame, measure: str = AMOUNT) -> float | None:
-    """Exact median: the middle value, or the mean of the middle two."""
-    n = df.agg(F.count(measure)).first()[0]
     if n == 0:
         return None
-    lower, upper = values_at_ranks(df, measure, [(n + 1) // 2, n // 2 + 1])
+    ranks = [(n + 1) // 2, n // 2 + 1]
+    found = {b.rank: b.key[0] / scale for b in _boundaries(df, [key], lo, hi, n, ranks)}
+    lower, upper = (found[k] for k in ranks)
     return lower + (upper - lower) * 0.5
 
 
@@ -135,6 +180,7 @@ def with_tile(
     tiebreak: Sequence[str],
     n: int = 10,
     name: str = "tile",
+    cuts: Sequence[int] | None = None,
 ) -> DataFrame:
     """``ntile(n)`` ordered by a measure (nulls last), exact and without a sort.
 
@@ -143,55 +189,37 @@ def with_tile(
     Finding the boundaries runs a few counting jobs; the result itself is a
     projection of ``df``. Only where a boundary falls between full copies of one
     row does it add a second branch that deals the copies out.
+
+    With ``cuts``, only the boundaries behind these tiles are looked for, and
+    rows are numbered by the groups between them: for 10 tiles, cuts 1 and 9
+    give 1 (first tile), 2 (all between) and 3 (last tile).
     """
     key, _ = _integer_key(df, measure)
     lo, hi, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if rows == 0:
-        return df.withColumn(name, F.lit(None).cast("int"))
     lo, hi = (0, -1) if lo is None else (lo, hi)
     levels = [
-        F.coalesce(key, F.lit(hi + 1).cast("bigint")),
+        F.coalesce(key, _long(hi + 1)),
         tie_key(tiebreak),
-        F.shiftrightunsigned(F.xxhash64(*df.columns), 4),
+        F.shiftrightunsigned(F.xxhash64(*df.columns), 64 - _HASH_BITS),
     ]
     q, r = divmod(rows, n)
-    ends = sorted({e for e in (i * q + min(i, r) for i in range(1, n)) if 0 < e < rows})
-
-    above: list[Column] = []  # one condition per boundary: the row lies behind it
-    cuts: list[tuple[Column, int, int]] = []  # copies of one row split by a boundary
-    # (row condition, condition for lying above so far, ranks inside the equal rows)
-    pending = [(None, F.lit(False), lo, hi + 1, rows, ends)]
-    for depth, level in enumerate(levels):
-        searches = [
-            _Range(i, cond, a, b, 0, total, ranks)
-            for i, (cond, _, a, b, total, ranks) in enumerate(pending)
-        ]
-        found = _locate(df, level, searches)
-        nxt: dict[tuple[int, int], tuple] = {}
-        for (i, rank), hit in found.items():
-            cond, over, *_ = pending[i]
-            value = F.lit(hit.value).cast("bigint")
-            greater = level > value if cond is None else over | (cond & (level > value))
-            inside = rank - hit.below
-            if inside == hit.equal:
-                above.append(greater)
-                continue
-            same = level == value if cond is None else cond & (level == value)
-            nxt.setdefault((i, hit.value), (same, greater, 0, 2**60 - 1, hit.equal, []))[5].append(inside)
-        pending = list(nxt.values())
-        if not pending:
-            break
-    for same, greater, _, _, equal, ranks in pending:
-        above.extend([greater] * len(ranks))
-        cuts.append((same, equal, sorted(ranks)))
-
-    tile = reduce(lambda a, b: a + b, [c.cast("int") for c in above], F.lit(1))
-    out = df.withColumn(name, tile)
-    if not cuts:
+    ends = [i * q + min(i, r) for i in (cuts or range(1, n))]
+    found = _boundaries(df, levels, lo, hi + 1, rows, [e for e in ends if 0 < e < rows])
+
+    above = [_above(levels, b.key).cast("int") for b in found]
+    out = df.withColumn(name, reduce(lambda a, b: a + b, above, F.lit(1)))
+    split: dict[tuple[int, ...], list[int]] = {}  # key of copies -> ranks inside
+    for b in found:
+        if b.inside < b.equal:
+            split.setdefault(b.key, []).append(b.inside)
+    if not split:
         return out
-    split = reduce(lambda a, b: a | b, [same for same, _, _ in cuts])
-    parts = [out.filter(~split)]
-    parts += [_deal_copies(out.filter(same), df.columns, ranks, name) for same, _, ranks in cuts]
+    whole = reduce(lambda a, b: a & b, [~_equal(levels, k) for k in split])
+    parts = [out.filter(whole)]
+    parts += [
+        _deal_copies(out.filter(_equal(levels, k)), df.columns, ranks, name)
+        for k, ranks in split.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -199,7 +227,6 @@ def _deal_copies(rows: DataFrame, cols: list[str], ranks: list[int], name: str)
     """Rows that are copies of one another, dealt out to tiles: up to each rank
     they stay in the tile, behind it they move to the next. The copies meet as a
     count per distinct row and are spread again in steps of bounded size."""
-    rows = rows.withColumn(name, F.col(name))
     distinct = rows.groupBy(*cols, name).agg(F.count(F.lit(1)).alias("_n"))
     order = Window.orderBy(*[F.asc_nulls_last(c) for c in cols])
     upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -229,7 +256,19 @@ def _deal_copies(rows: DataFrame, cols: list[str], ranks: list[int], name: str)
     )
 
 
-def with_decile(df: DataFrame, measure: str = AMOUNT, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Tile 1 (smallest tenth) to 10 of each row."""
-    ids = list(tiebreak) or ["transaction_id", "product_id", "customer_id", "receipt_number"]
-    return with_tile(df, measure, ids, 10, "value_decile")
+_SALE_IDS = ["transaction_id", "product_id", "customer_id", "receipt_number"]
+
+
+def with_decile(
+    df: DataFrame, measure: str = AMOUNT, tiebreak: Sequence[str] = _SALE_IDS
+) -> DataFrame:
+    """Decile of each row: 1 (smallest tenth) to 10."""
+    return with_tile(df, measure, tiebreak, 10, "value_decile")
+
+
+def with_outer_deciles(
+    df: DataFrame, measure: str = AMOUNT, tiebreak: Sequence[str] = _SALE_IDS
+) -> DataFrame:
+    """Only the outer deciles told apart: 1 (smallest tenth), 2, 3 (largest
+    tenth). A table of fewer than ten rows has no largest tenth."""
+    return with_tile(df, measure, tiebreak, 10, "value_group", cuts=[1, 9])

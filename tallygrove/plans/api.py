@@ -134,12 +134,12 @@ def geographic_distribution(df: DataFrame, k: int = 15) -> DataFrame:
 
 def value_transactions(df: DataFrame) -> DataFrame:
     """The tenth of sales with the highest amounts against the lowest tenth."""
-    decile = order_stats.with_decile(
+    grouped = order_stats.with_outer_deciles(
         df.select("transaction_id", "product_id", "customer_id", "receipt_number", "age", AMOUNT)
     )
-    tile = F.col("value_decile")
-    outer = tile.isin(1, 10)
-    per = decile.groupBy("value_decile").agg(
+    group = F.col("value_group")
+    outer = group != 2
+    per = grouped.groupBy("value_group").agg(
         n_rows().alias("transaction_count"),
         n_distinct(F.when(outer, F.col("customer_id"))).alias("unique_customers"),
         mean("age").alias("avg_customer_age"),
@@ -149,8 +149,8 @@ def value_transactions(df: DataFrame) -> DataFrame:
     )
     own = ratio("total_revenue", "transaction_count")
     per = groups.ratio_to_overall(per, own, "total_revenue", "_n", "relative_to_average")
-    segment = F.when(tile == 1, "Bottom 10%").when(tile == 10, "Top 10%").alias("value_segment")
-    out = per.filter(outer).select(segment, *[c for c in per.columns if c not in ("value_decile", "_n")])
+    segment = F.when(group == 1, "Bottom 10%").otherwise("Top 10%").alias("value_segment")
+    out = per.filter(outer).select(segment, *[c for c in per.columns if c not in ("value_group", "_n")])
     return ranking.order_by(out, "value_segment")
 
 

@@ -71,13 +71,25 @@ def test_tiles_of_any_rows(spark, items, n):
     check_tiles(spark, items, n)
 
 
-def test_tiles_with_many_passes(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 2, 30])
+def test_tiles_with_many_passes(spark, monkeypatch, few):
     monkeypatch.setattr(order_stats, "FANOUT", 3)
-    monkeypatch.setattr(order_stats, "FEW_ROWS", 2)
+    monkeypatch.setattr(order_stats, "FEW_ROWS", few)
     monkeypatch.setattr(order_stats, "_COPIES_PER_STEP", 7)
     check_tiles(spark, [(i * 7919 % 1000, i) for i in range(60)] + [(10**9, 7)] * 40)
 
 
+def test_outer_deciles(make):
+    rows = make(*[sale(i, amt=i) for i in range(25)])
+    both = order_stats.with_outer_deciles(rows).join(
+        order_stats.with_decile(rows).select("transaction_id", "value_decile"), "transaction_id"
+    )
+    for r in both.collect():
+        assert r.value_group == (1 if r.value_decile == 1 else 3 if r.value_decile == 10 else 2)
+    few = order_stats.with_outer_deciles(make(*[sale(i, amt=i) for i in range(7)]))
+    assert Counter(r.value_group for r in few.collect()) == {1: 1, 2: 6}
+
+
 @pytest.mark.parametrize("amounts, want", [([], None), ([3], 3.0), ([1, 2], 1.5), ([9, 1, 5, None], 5.0)])
 def test_median(make, amounts, want):
     df = make(*[sale(i, total_amount_per_product_sgd=a and Decimal(a)) for i, a in enumerate(amounts)])
