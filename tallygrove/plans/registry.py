@@ -75,13 +75,17 @@ def file_stem(name: str, when: dt.datetime) -> str:
 
 
 def run_view(
-    name: str, df: DataFrame, save_to: str | None = None, when: dt.datetime | None = None
+    name: str,
+    df: DataFrame,
+    save_to: str | None = None,
+    when: dt.datetime | None = None,
+    single_file: bool = False,
 ) -> DataFrame:
     """Run a view over the enriched table. With ``save_to``, the result is also
     written as CSV below that folder."""
     out = VIEWS[name].report(df)
     if save_to:
-        export_csv(out, f"{save_to}/{file_stem(name, when or dt.datetime.now())}", single_file=True)
+        export_csv(out, f"{save_to}/{file_stem(name, when or dt.datetime.now())}", single_file)
     return out
 
 
@@ -106,9 +110,10 @@ EXPORT_BUNDLE: dict[str, Report] = {
 }
 
 
-def export_bundle(df: DataFrame, folder: str) -> dict[str, str]:
+def export_bundle(df: DataFrame, folder: str, single_file: bool = False) -> dict[str, str]:
     """Write the bundle, one CSV folder per analysis."""
-    return export_all({name: report(df) for name, report in EXPORT_BUNDLE.items()}, folder)
+    reports = {name: report(df) for name, report in EXPORT_BUNDLE.items()}
+    return export_all(reports, folder, single_file)
 
 
 _MODULES = [api, exports, summary, daily, discount, retail, insights, misc]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -20,11 +21,11 @@ CSV_OPTIONS = {
 def read_sales(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The stored fact table; partition columns the sinks added come last. A
     path that does not exist yet is an empty table."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    if exists:
+    try:
         df = spark.read.parquet(path)
-    else:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = spark.createDataFrame([], SALES_SCHEMA)
     return df.select(*columns) if columns else df
 

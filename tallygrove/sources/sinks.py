@@ -17,6 +17,9 @@ from tallygrove.sources.files import CSV_OPTIONS, read_csv, read_parts
 
 ROWS_PER_PART = 10_000
 
+# Columns by which single sales are looked up.
+LOOKUP_COLUMNS = ["customer_id", "receipt_number", "product_id"]
+
 
 def _csv_writer(df: DataFrame, sep: str = ",", encoding: str = "UTF-8"):
     return df.write.mode("overwrite").options(**CSV_OPTIONS, sep=sep, encoding=encoding)
@@ -132,9 +135,20 @@ def _arranged(df: DataFrame, by: str) -> DataFrame:
     )
 
 
+def _fact_writer(df: DataFrame, by: str):
+    """Writer of the fact table. Bloom filters on the id columns let a lookup of
+    one customer, receipt or product skip the row groups without it; their size
+    adapts to the number of ids."""
+    writer = _arranged(df, by).write.mode("overwrite").partitionBy(by)
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for name in LOOKUP_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    return writer
+
+
 def write_partitioned(df: DataFrame, path: str, by: str = MONTH_PARTITION) -> str:
     """Replace the fact table, with one folder per month (or day)."""
-    _arranged(df, by).write.mode("overwrite").partitionBy(by).parquet(path)
+    _fact_writer(df, by).parquet(path)
     return path
 
 
@@ -142,13 +156,7 @@ def append_sales(df: DataFrame, path: str, by: str = DAY_PARTITION) -> str:
     """Add a chunk of whole days to the fact table. Days the chunk holds replace
     those of an earlier run, other days stay: running it again changes nothing.
     With ``by`` set to the month partition, chunks are whole months."""
-    (
-        _arranged(df, by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(by)
-        .parquet(path)
-    )
+    _fact_writer(df, by).option("partitionOverwriteMode", "dynamic").parquet(path)
     return path
 
 
@@ -158,6 +166,8 @@ def replace_table(df: DataFrame, path: str) -> str:
     return path
 
 
-def export_all(reports: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
+def export_all(
+    reports: Mapping[str, DataFrame], folder: str, single_file: bool = False
+) -> dict[str, str]:
     """Each report to its own CSV folder below ``folder``."""
-    return {name: export_csv(df, f"{folder}/{name}", single_file=True) for name, df in reports.items()}
+    return {name: export_csv(df, f"{folder}/{name}", single_file) for name, df in reports.items()}

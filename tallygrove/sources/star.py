@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
     view = f"tallygrove_sales_{digest}"
     if not spark.catalog.tableExists(view):
-        path = f"{shared_dir(spark)}/sales-{digest}"
+        path = f"{shared_dir(spark)}/sales-{digest}-{uuid.uuid4().hex[:12]}"
         write_partitioned(sales_from_star(spark, sf_dir), path, MONTH_PARTITION)
         spark.read.schema(_stored_schema()).parquet(path).createOrReplaceTempView(view)
     return spark.table(view)

@@ -149,7 +149,7 @@ def test_views(spark, rows, tmp_path):
 
 
 def test_export_bundle(spark, rows, tmp_path):
-    written = registry.export_bundle(enrich.enrich_sales(rows), str(tmp_path))
+    written = registry.export_bundle(enrich.enrich_sales(rows), str(tmp_path), single_file=True)
     assert len(written) == 6
     for path in written.values():
         assert len(glob.glob(f"{path}/part-*.csv")) == 1
