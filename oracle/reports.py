@@ -175,8 +175,7 @@ API = {
       FROM (SELECT country, COUNT(*) AS transactions, {uniq('customer_id')} AS customers,
         {money()} AS total_revenue FROM e GROUP BY country) ORDER BY revenue_rank, country LIMIT 15""",
     "value_transactions": f""", t AS (SELECT *, NTILE(10) OVER (ORDER BY amt,
-          substr(md5(concat_ws('|', transaction_id, product_id, customer_id, receipt_number)), 1, 15))
-          AS tile FROM e)
+          substr(md5(customer_id), 1, 15)) AS tile FROM e)
       SELECT CASE tile WHEN 1 THEN 'Bottom 10%' ELSE 'Top 10%' END AS value_segment,
         COUNT(*) AS transaction_count, {uniq('customer_id')} AS unique_customers,
         {avg('age')} AS avg_customer_age, {avg()} AS avg_transaction_value, {money()} AS total_revenue,

@@ -7,6 +7,10 @@ partitions are merged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,11 +53,27 @@ def high(c: Column | str) -> Column:
     return F.max(as_col(c))
 
 
-def n_distinct(c: Column | str, approx: bool = False, rsd: float = 0.01) -> Column:
-    """Distinct non-null values. ``approx`` trades exactness for a fixed-size
-    sketch per group instead of a shuffle of (group, value) pairs."""
+_approximate: ContextVar[float | None] = ContextVar("approximate", default=None)
+
+
+@contextmanager
+def approximate(rsd: float = 0.01) -> Iterator[None]:
+    """Reports built inside count distinct values approximately, with this
+    relative standard deviation."""
+    token = _approximate.set(rsd)
+    try:
+        yield
+    finally:
+        _approximate.reset(token)
+
+
+def n_distinct(c: Column | str, approx: bool = False) -> Column:
+    """Distinct non-null values, exact by default. ``approx`` (or building the
+    report inside :func:`approximate`) takes a fixed-size sketch per group
+    instead of a shuffle of (group, value) pairs."""
     c = as_col(c)
-    return F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)
+    rsd = _approximate.get() or (0.01 if approx else None)
+    return F.approx_count_distinct(c, rsd) if rsd else F.count_distinct(c)
 
 
 def active_days(c: Column | str = "date") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.bands import segment_order
 from tallygrove.functions.measures import as_col
-from tallygrove.schema import ROW_ID
+from tallygrove.schema import MONTH_PARTITION, ROW_ID, SALES_COLUMNS
 
 
 def _order(keys: Sequence[str]) -> list[Column]:
@@ -51,32 +51,75 @@ def bottom_k(df: DataFrame, k: int, measure: str, *tiebreak: str) -> DataFrame:
     return df.orderBy(*_order([measure, *tiebreak])).limit(k)
 
 
+def months_of_first(df: DataFrame, n: int, newest: bool) -> DataFrame:
+    """Only the months that can hold the first n rows by date.
+
+    Rows are counted per month first, which reads the columns that ``df``
+    filters by and no others; then only those months are read in full. Without
+    the partition column, or with fewer rows than asked for, all rows stay.
+    """
+    if MONTH_PARTITION not in df.columns:
+        return df
+    month = F.col(MONTH_PARTITION)
+    seen = 0
+    counts = {r[0]: r[1] for r in df.groupBy(month).count().collect() if r[0] is not None}
+    for edge in sorted(counts, reverse=newest):
+        seen += counts[edge]
+        if seen >= n:
+            return df.filter(month >= F.lit(edge) if newest else month <= F.lit(edge))
+    return df
+
+
+def earliest(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows by date, in a fixed order."""
+    rows = months_of_first(df, n, newest=False)
+    return rows.orderBy(*_order(["date", *ROW_ID])).limit(n)
+
+
 def sample(df: DataFrame, n: int) -> DataFrame:
-    """First n rows in a fixed order."""
-    return df.orderBy(*_order(["date", *ROW_ID])).limit(n)
+    """First n sales in a fixed order."""
+    return earliest(df, n).select(SALES_COLUMNS)
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
     """One page of the rows, newest first. Pages count from 1."""
     if number < 1 or not 1 <= size <= 1000:
         raise ValueError("page starts at 1 and page_size lies between 1 and 1000")
+    df = months_of_first(df, number * size, newest=True)
     return df.orderBy(*_order(["-date", *ROW_ID])).offset((number - 1) * size).limit(size)
 
 
+def _behind(key: str, value: Column | None, descending: bool = False) -> Column:
+    """The row sorts behind the value of this key, nulls being last."""
+    c = F.col(key)
+    if value is None:
+        return F.lit(False)
+    return (c < value if descending else c > value) | c.isNull()
+
+
 def page_after(df: DataFrame, last: Mapping[str, object] | None, size: int) -> DataFrame:
     """The page that follows the row ``last`` (its date and row id).
 
     Unlike an offset, the cost does not grow with the page's number: what came
     before is filtered out in the scan, and a task keeps ``size`` rows.
     """
+    keys = ["date", *ROW_ID]
     if last is not None:
-        date = F.lit(str(last["date"])).cast("timestamp_ntz")
-        after, same = F.lit(False), F.col("date") == date
-        for name in ROW_ID:
-            value = F.lit(last[name]).cast(df.schema[name].dataType)
-            after = after | (same & (F.col(name) > value))
-            same = same & (F.col(name) == value)
-        df = df.filter((F.col("date") <= date) & ((F.col("date") < date) | after))
+        value = {
+            k: None if last[k] is None else F.lit(str(last[k])).cast(df.schema[k].dataType) for k in keys
+        }
+        behind, same = F.lit(False), F.lit(True)
+        for k in keys:
+            behind = behind | (same & _behind(k, value[k], k == "date"))
+            same = same & (F.col(k).isNull() if value[k] is None else F.col(k).eqNullSafe(value[k]))
+        if last["date"] is not None:
+            # implied by the rest, in the form that prunes partitions and row groups
+            df = df.filter((F.col("date") <= value["date"]) | F.col("date").isNull())
+            if MONTH_PARTITION in df.columns:
+                month = F.lit(last["date"].date().replace(day=1))
+                df = df.filter((F.col(MONTH_PARTITION) <= month) | F.col(MONTH_PARTITION).isNull())
+        df = df.filter(behind)
+    df = months_of_first(df, size, newest=True)
     return df.orderBy(*_order(["-date", *ROW_ID])).limit(size)
 
 

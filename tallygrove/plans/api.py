@@ -29,7 +29,7 @@ def sales_page(
     rows = filters.filter_sales(
         df, start_date, end_date, product_id, customer_id, min_age, max_age
     )
-    return ranking.page(rows.select(SALES_COLUMNS), page, page_size)
+    return ranking.page(rows, page, page_size).select(SALES_COLUMNS)
 
 
 def sales_page_total(df: DataFrame, **conditions) -> DataFrame:
@@ -134,9 +134,10 @@ def geographic_distribution(df: DataFrame, k: int = 15) -> DataFrame:
 
 def value_transactions(df: DataFrame) -> DataFrame:
     """The tenth of sales with the highest amounts against the lowest tenth."""
-    grouped = order_stats.with_outer_deciles(
-        df.select("transaction_id", "product_id", "customer_id", "receipt_number", "age", AMOUNT)
-    )
+    # sales of one customer at one amount are alike for this report, so the
+    # customer is all it takes to order sales of the same amount
+    rows = df.select("customer_id", "age", AMOUNT)
+    grouped = order_stats.with_outer_deciles(rows, AMOUNT, ["customer_id"])
     group = F.col("value_group")
     outer = group != 2
     per = grouped.groupBy("value_group").agg(

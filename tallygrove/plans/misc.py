@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.measures import mean, n_distinct, n_if, n_rows, total
 from tallygrove.operators import filters, groups, ranking
-from tallygrove.schema import AMOUNT, ROW_ID, SALES_COLUMNS
+from tallygrove.schema import AMOUNT, ROW_ID
 
 
 def _average_total_count() -> list:
@@ -38,7 +38,7 @@ def sales_by_income(df: DataFrame) -> DataFrame:
 
 
 def older_than_30(df: DataFrame, k: int = 5) -> DataFrame:
-    return ranking.sample(filters.above(df, "age", 30).select(SALES_COLUMNS), k)
+    return ranking.sample(filters.above(df, "age", 30), k)
 
 
 def discount_health(df: DataFrame, enough: int = 3_000_000) -> DataFrame:

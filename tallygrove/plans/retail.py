@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallygrove.functions import bands
 from tallygrove.functions.measures import high, low, mean, n_distinct, n_rows, total, total_int
 from tallygrove.operators import filters, groups, ranking
-from tallygrove.schema import AMOUNT, ROW_ID
+from tallygrove.schema import AMOUNT
 
 
 def overall_summary(df: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def overall_summary(df: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, k: int = 10) -> DataFrame:
-    return ranking.bottom_k(df, k, "date", *ROW_ID).select(
+    return ranking.earliest(df, k).select(
         "date", "customer_number", "receipt_number", "product_name", "units_sold",
         "unit_price_sgd", AMOUNT, "receipt_total_sgd", "day_of_week_text", "month_text",
     )

@@ -61,7 +61,7 @@ def scan_stored(spark, sf_dir):
 
 @_step
 def sample_rows(spark, sf_dir):
-    return ranking.sample(_sales(spark, sf_dir), 10)
+    return ranking.sample(stored_sales(spark, sf_dir), 10)
 
 
 @_step
@@ -459,10 +459,10 @@ def deciles(spark, sf_dir):
 
 @_step
 def page_by_key(spark, sf_dir):
-    """The third page by offset's last row: the page after the second."""
-    sales = _sales(spark, sf_dir)
+    """The third page, found from the last row of the second."""
+    sales = stored_sales(spark, sf_dir)
     last = ranking.page(sales, 2, 50).collect()[-1].asDict()
-    return ranking.page_after(sales, last, 50)
+    return ranking.page_after(sales, last, 50).select(SALES_COLUMNS)
 
 
 @_step

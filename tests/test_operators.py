@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallygrove.operators import clean, dimensions, enrich, filters, groups, order_stats, ranking
 from tallygrove.plans import api, exports, retail, summary
 from tallygrove.plans.registry import REPORTS
-from tallygrove.schema import AMOUNT, SALES_COLUMNS
+from tallygrove.schema import AMOUNT, MONTH_PARTITION, SALES_COLUMNS
 
 
 def reference_tiles(rows, n):
@@ -149,6 +149,17 @@ def test_pages_by_key_follow_each_other(make):
     assert len(whole) == 23 and len({r.transaction_id for r in whole}) == 23
 
 
+def test_pages_of_a_partitioned_table(make):
+    df = make(*[sale(i, date=dt.datetime(2024, 1 + i % 6, 1 + i % 9)) for i in range(42)], sale(98, date=None), sale(99, date=None))
+    parted = df.withColumn(MONTH_PARTITION, F.trunc(F.to_date("date"), "MM"))
+    for n in range(1, 6):
+        want = ranking.page(df, n, 9).collect()
+        assert ranking.page(parted, n, 9).select(SALES_COLUMNS).collect() == want
+        after = ranking.page_after(parted, want[-1].asDict(), 9).select(SALES_COLUMNS).collect()
+        assert after == ranking.page(df, n + 1, 9).collect()
+    assert ranking.sample(parted, 11).collect() == ranking.sample(df, 11).collect()
+
+
 @pytest.mark.parametrize("number, size", [(0, 10), (1, 0), (1, 1001)])
 def test_bad_pages(make, number, size):
     with pytest.raises(ValueError):
@@ -211,11 +222,16 @@ def test_unknown_customer_has_no_row(make):
 
 
 def test_approximate_variants(make):
-    from tallygrove.functions.measures import n_distinct
+    from tallygrove.functions.measures import approximate, n_distinct
     from tallygrove.plans import insights
 
     df = enrich.enrich_sales(make(*[sale(i, customer_id=str(i), amt=i + 1) for i in range(99)]))
     assert abs(df.agg(n_distinct("customer_id", approx=True)).first()[0] - 99) <= 5
+    with approximate(0.02):
+        rough = insights.kpis(df)
+    assert "approx_count_distinct" in rough._jdf.queryExecution().analyzed().toString()
+    assert abs(rough.first().total_customers - 99) <= 8
+    assert insights.kpis(df).first().total_customers == 99
     assert insights.value_stats(df, approx=True).first().median_transaction == 50.0
 
 

@@ -44,6 +44,11 @@ def test_one_day_reads_one_month(df):
     assert "GreaterThanOrEqual(date" in text
 
 
+def test_first_pages_read_the_newest_months(df):
+    assert re.search(r"PartitionFilters: \[[^\]]*sale_month#\d+ >= \d{4}-\d\d-01", plan(api.sales_page(df)))
+    assert re.search(r"PartitionFilters: \[[^\]]*sale_month#\d+ <= \d{4}-\d\d-01", plan(retail.first_rows(df)))
+
+
 def test_years_prune_partitions(df):
     text = plan(summary.product_country_recent(df, min_year=1998))
     assert re.search(r"PartitionFilters: \[[^\]]*sale_month#\d+ >= 1998-01-01", text)
