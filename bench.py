@@ -40,6 +40,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "12g",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
             "spark.ui.showConsoleProgress": "false",
         },
     )

@@ -73,6 +73,10 @@ def sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _view(sf_dir: str, kind: str) -> str:
+    return f"tallygrove_{kind}_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sales table, written once per application and scanned by every report.
 
@@ -81,10 +85,9 @@ def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     report reads only its columns and months. A temp view remembers it, which
     also keeps the file listing.
     """
-    digest = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    view = f"tallygrove_sales_{digest}"
+    view = _view(sf_dir, "sales")
     if not spark.catalog.tableExists(view):
-        path = f"{shared_dir(spark)}/sales-{digest}-{uuid.uuid4().hex[:12]}"
+        path = f"{shared_dir(spark)}/sales-{uuid.uuid4().hex[:12]}"
         write_partitioned(sales_from_star(spark, sf_dir), path, MONTH_PARTITION)
         spark.read.schema(_stored_schema()).parquet(path).createOrReplaceTempView(view)
     return spark.table(view)
@@ -96,5 +99,8 @@ def _stored_schema() -> str:
 
 
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched sales table of the given folder."""
-    return enrich_sales(stored_sales(spark, sf_dir))
+    """The enriched sales table of the given folder, as a temp view as well."""
+    view = _view(sf_dir, "enriched")
+    if not spark.catalog.tableExists(view):
+        enrich_sales(stored_sales(spark, sf_dir)).createOrReplaceTempView(view)
+    return spark.table(view)

@@ -26,3 +26,17 @@ def test_query(name, spark, sf_dir, con):
 def test_entry(spark):
     out = driver.entry(spark)
     assert out.columns[0] == "month" and out.count() > 0
+
+
+def test_sales_build_without_broadcast(spark, sf_dir, con):
+    """Sort-merge joins, as with tables too large to broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = QUERIES["scan_sales"](spark, sf_dir)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert difference(df, con, SQL["scan_sales"]) is None
+        assert difference(QUERIES["geo_enriched"](spark, sf_dir), con, SQL["geo_enriched"]) is None
+    finally:
+        spark.conf.set(key, before)
