@@ -73,10 +73,20 @@ def _above(levels: Sequence[Column], key: Sequence[int]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
-def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -> list[list]:
-    """One scan for all ranges: (cell, rows) pairs of each, in order. A cell is a
-    slice number, or the whole rest of the key for a range with few rows. Both
-    are bounded, so the counts fit the driver whatever the table's size."""
+@dataclass(frozen=True)
+class _Cell:
+    """Rows of a range that were counted together: those whose key has exactly
+    these parts (a range with few rows), or one slice with its extreme keys."""
+
+    order: tuple[int, ...]
+    rows: int
+    lo: int | None
+    hi: int | None
+
+
+def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -> list[list[_Cell]]:
+    """One scan for all ranges: the cells of each, in order. Their number is
+    bounded, so they fit the driver whatever the table's size."""
     slot, inside = None, []
     for i, r in enumerate(ranges):
         key = levels[r.depth]
@@ -84,29 +94,24 @@ def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -
         if r.depth:
             held = _equal(levels, r.prefix) & held
         if r.rows <= FEW_ROWS:
-            cell = list(levels[r.depth :])
-        elif _width(r) == 1:
-            cell = [key - _long(r.lo)]
+            cell, value = list(levels[r.depth :]), F.lit(None).cast("bigint")
         else:
-            cell = [F.call_function("div", key - _long(r.lo), _long(_width(r)))]
-        place = F.struct(F.lit(i).alias("r"), F.array(*cell).alias("c"))
+            width = -(-(r.hi - r.lo + 1) // FANOUT)
+            cell, value = [F.call_function("div", key - _long(r.lo), _long(width))], key
+        place = F.struct(F.lit(i).alias("r"), F.array(*cell).alias("c"), value.alias("k"))
         slot = F.when(held, place) if slot is None else slot.when(held, place)
         inside.append(held)
     counted = (
         df.filter(reduce(lambda a, b: a | b, inside))
         .select(slot.alias("p"))
         .groupBy("p.r", "p.c")
-        .count()
+        .agg(F.count(F.lit(1)), F.min("p.k"), F.max("p.k"))
         .collect()
     )
-    out: list[list] = [[] for _ in ranges]
-    for row in counted:
-        out[row["r"]].append((tuple(row["c"]), row["count"]))
-    return [sorted(cells) for cells in out]
-
-
-def _width(r: _Range) -> int:
-    return -(-(r.hi - r.lo + 1) // FANOUT)
+    out: list[list[_Cell]] = [[] for _ in ranges]
+    for i, order, n, lo, hi in counted:
+        out[i].append(_Cell(tuple(order), n, lo, hi))
+    return [sorted(cells, key=lambda c: c.order) for cells in out]
 
 
 def _boundaries(
@@ -120,26 +125,25 @@ def _boundaries(
         counts = _count_pass(df, levels, todo)
         nxt: list[_Range] = []
         for r, cells in zip(todo, counts):
-            listed, width, below = r.rows <= FEW_ROWS, _width(r), r.below
-            for cell, n in cells:
-                here = [k for k in r.ranks if below < k <= below + n]
-                lo_, hi_ = (cell[0],) * 2 if listed else (r.lo + cell[0] * width, 0)
-                if not listed:
-                    hi_ = min(lo_ + width - 1, r.hi)
-                key = r.prefix + (cell if listed else (lo_,))
-                complete = listed or (lo_ == hi_)
-                deeper = []
-                for k in here:
-                    inside = k - below
-                    if complete and (inside == n or len(key) == len(levels)):
-                        found.append(Boundary(k, key, inside, n))
-                    else:
-                        deeper.append(k)
-                if deeper and complete:
-                    nxt.append(_Range(key, 0, 2**_HASH_BITS - 1, below, n, deeper))
-                elif deeper:
-                    nxt.append(_Range(r.prefix, lo_, hi_, below, n, deeper))
-                below += n
+            below = r.below
+            for cell in cells:
+                here = [k for k in r.ranks if below < k <= below + cell.rows]
+                if cell.lo is None:
+                    key = r.prefix + cell.order
+                elif cell.lo == cell.hi:
+                    key = (*r.prefix, cell.lo)
+                else:  # several values: look into the slice
+                    key = None
+                    if here:
+                        nxt.append(_Range(r.prefix, cell.lo, cell.hi, below, cell.rows, here))
+                if key is not None:
+                    last = len(key) == len(levels)
+                    done = [k for k in here if last or k == below + cell.rows]
+                    found += [Boundary(k, key, k - below, cell.rows) for k in done]
+                    tied = [k for k in here if k not in done]
+                    if tied:
+                        nxt.append(_Range(key, 0, 2**_HASH_BITS - 1, below, cell.rows, tied))
+                below += cell.rows
         todo = nxt
     return sorted(found, key=lambda f: f.rank)
 
