@@ -40,6 +40,25 @@ def _new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_written: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], object]) -> str:
+    """A folder that several queries of one application read, written once."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _written:
+        path = _new_dir(spark, kind)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def _source_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The sales table as CSV files."""
+    sales = report_table(spark, sf_dir)
+    return _once(spark, sf_dir, "csv", lambda path: sinks.export_complete(sales, path))
+
+
 def _figures(df: DataFrame) -> DataFrame:
     """What a filter keeps, per country."""
     return df.groupBy("country").agg(n_rows().alias("n"), total().alias("total"))
@@ -66,20 +85,18 @@ def sample_rows(spark, sf_dir):
 
 @_step
 def csv_export_scan(spark, sf_dir):
-    path = sinks.export_complete(report_table(spark, sf_dir), _new_dir(spark, "csv"))
-    return files.read_csv(spark, path, SALES_SCHEMA)
+    return files.read_csv(spark, _source_csv(spark, sf_dir), SALES_SCHEMA)
 
 
 @_step
 def csv_split_rebuild(spark, sf_dir):
-    src = sinks.export_csv(_sales(spark, sf_dir), _new_dir(spark, "csv"))
-    parts = sinks.split_csv(spark, src, _new_dir(spark, "parts"), 10_000)
+    parts = sinks.split_csv(spark, _source_csv(spark, sf_dir), _new_dir(spark, "parts"), 10_000)
     return files.read_csv(spark, sinks.rebuild_csv(spark, parts, _new_dir(spark, "rebuilt")), SALES_SCHEMA)
 
 
 @_step
 def csv_to_parquet_parts(spark, sf_dir):
-    src = sinks.export_csv(_sales(spark, sf_dir), _new_dir(spark, "csv"))
+    src = _source_csv(spark, sf_dir)
     dst = sinks.csv_to_parquet(spark, src, _new_dir(spark, "parts"), 10_000, SALES_SCHEMA)
     return files.read_parts(spark, [dst])
 
@@ -92,15 +109,17 @@ def parquet_rebuild_csv(spark, sf_dir):
 
 def _manifest(spark: SparkSession, sf_dir: str) -> str:
     """Two chunk folders and the manifest that lists them."""
-    folder = _new_dir(spark, "chunks")
     sales = _sales(spark, sf_dir)
     first = F.col("transaction_desc") == "Product Sale"
-    sinks.replace_table(sales.filter(first), f"{folder}/part1")
-    sinks.replace_table(sales.filter(~first), f"{folder}/part2")
-    doc = "chunks array<struct<file string>>, compression string"
-    row = ([("part1",), ("part2",)], "zstd")
-    spark.createDataFrame([row], doc).coalesce(1).write.json(f"{folder}/manifest.json")
-    return f"{folder}/manifest.json"
+
+    def write(folder: str) -> None:
+        sinks.replace_table(sales.filter(first), f"{folder}/part1")
+        sinks.replace_table(sales.filter(~first), f"{folder}/part2")
+        doc = "chunks array<struct<file string>>, compression string"
+        row = ([("part1",), ("part2",)], "zstd")
+        spark.createDataFrame([row], doc).coalesce(1).write.json(f"{folder}/manifest.json")
+
+    return _once(spark, sf_dir, "chunks", write) + "/manifest.json"
 
 
 @_step
@@ -136,14 +155,14 @@ def append_rerun(spark, sf_dir):
 
 @_step
 def chunk_ingest(spark, sf_dir):
-    chunks = sinks.export_csv(_sales(spark, sf_dir), _new_dir(spark, "chunks"))
+    chunks = _source_csv(spark, sf_dir)
     return files.read_parts(spark, [ingest.ingest_chunks(spark, chunks, _new_dir(spark, "fact"))])
 
 
 @_step
 def chunk_ingest_incremental(spark, sf_dir):
     """The stream form, run twice: the second run finds nothing new."""
-    chunks = sinks.export_csv(_sales(spark, sf_dir), _new_dir(spark, "chunks"))
+    chunks = _source_csv(spark, sf_dir)
     dst, state = _new_dir(spark, "fact"), _new_dir(spark, "state")
     for _ in range(2):
         ingest.ingest_new_chunks(spark, chunks, dst, state)

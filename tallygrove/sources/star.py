@@ -27,12 +27,25 @@ def sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     skewed key (one customer or part with many orders) at run time.
     """
     money = "decimal(10,2)"
+    buyer = F.col("c_custkey")
+    # values of an order, customer or part are worked out before their rows are
+    # repeated for every line, as long as that does not widen them
     orders = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"
+        "o_orderkey", "o_custkey", "o_orderdate", F.col("o_totalprice").cast(money).alias("receipt_total_sgd")
+    )
+    customers = _table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        "c_nationkey",
+        F.when(buyer % 97 != 0, (16 + buyer * 37 % 70).cast("int")).alias("age"),
+        F.when(buyer % 89 == 0, None)
+        .when(buyer % 50 == 0, F.lit("60000.50").cast(money))
+        .otherwise((20000 + buyer * 977 % 130000).cast(money))
+        .alias("income"),
     )
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    parts = _table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", F.col("p_retailprice").cast(money).alias("unit_price_sgd")
+    )
     lines = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
     )
@@ -41,35 +54,32 @@ def sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).join(
         parts, F.col("l_partkey") == F.col("p_partkey")
     )
-    cust, key = F.col("o_custkey"), F.col("l_orderkey")
+    key = F.col("l_orderkey")
     hours = F.pmod(key * 7 + F.col("l_linenumber") * 5, F.lit(24)).cast("int")
     flag = F.col("l_returnflag")
     return rows.select(
-        (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), hours)).alias("date"),
+        F.timestamp_add("HOUR", hours, "o_orderdate").alias("date"),
         (key * 10 + F.col("l_linenumber")).cast("string").alias("transaction_id"),
         F.when(flag == "N", "Product Sale")
         .when(flag == "R", "Product Refund")
         .otherwise("Product Exchange")
         .alias("transaction_desc"),
-        cust.cast("string").alias("customer_id"),
-        F.when(cust % 97 != 0, (16 + cust * 37 % 70).cast("int")).alias("age"),
-        F.when(cust % 101 != 0, F.when(cust % 2 == 0, "M").otherwise("F")).alias("gender"),
+        buyer.cast("string").alias("customer_id"),
+        "age",
+        F.when(buyer % 101 != 0, F.when(buyer % 2 == 0, "M").otherwise("F")).alias("gender"),
         key.cast("string").alias("receipt_number"),
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("l_quantity").cast("int").alias("units_sold"),
-        F.col("p_retailprice").cast(money).alias("unit_price_sgd"),
+        "unit_price_sgd",
         F.col("l_extendedprice").cast(money).alias("total_amount_per_product_sgd"),
-        F.col("o_totalprice").cast(money).alias("receipt_total_sgd"),
+        "receipt_total_sgd",
         F.concat(
             F.lit("C"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 3, "0")
         ).alias("country_id"),
         F.col("n_name").alias("country"),
-        F.concat_ws("-", "n_name", (F.col("c_custkey") % 3).cast("string")).alias("city"),
-        F.when(F.col("c_custkey") % 89 == 0, None)
-        .when(F.col("c_custkey") % 50 == 0, F.lit("60000.50").cast(money))
-        .otherwise((20000 + F.col("c_custkey") * 977 % 130000).cast(money))
-        .alias("income"),
+        F.concat_ws("-", "n_name", (buyer % 3).cast("string")).alias("city"),
+        "income",
     )
 
 
