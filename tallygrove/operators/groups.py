@@ -6,7 +6,7 @@ product; none of these steps reads sales rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +19,14 @@ def by(df: DataFrame, *keys: Column | str):
     return df.groupBy(*[as_col(k) for k in keys])
 
 
-def by_labelled(df: DataFrame, label: str, key: str, *measures: Column) -> DataFrame:
-    """Group by a label and its sort key, list in key order, drop the key."""
-    return df.groupBy(label, key).agg(*measures).orderBy(F.asc_nulls_last(key)).drop(key)
+def by_labelled(
+    df: DataFrame, label: str, key: str, name_of: Callable[[Column], Column], *measures: Column
+) -> DataFrame:
+    """Group by a label and its sort key, list in key order, drop the key. The
+    label follows from the key, so it is added to the few grouped rows instead of
+    travelling through the shuffle."""
+    per = df.groupBy(key).agg(*measures).withColumn(label, name_of(F.col(key)))
+    return per.orderBy(F.asc_nulls_last(key)).drop(key)
 
 
 def share_of_group(

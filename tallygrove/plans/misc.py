@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.functions import calendar
 from tallygrove.functions.measures import mean, n_distinct, n_if, n_rows, total
 from tallygrove.operators import filters, groups, ranking
 from tallygrove.schema import AMOUNT, ROW_ID
@@ -19,11 +20,11 @@ def _average_total_count() -> list:
 
 
 def weekday_stats(df: DataFrame) -> DataFrame:
-    return groups.by_labelled(df, "day_of_week_text", "day_of_week", *_average_total_count())
+    return groups.by_labelled(df, "day_of_week_text", "day_of_week", calendar.weekday_text, *_average_total_count())
 
 
 def month_stats(df: DataFrame) -> DataFrame:
-    return groups.by_labelled(df, "month_text", "month", *_average_total_count())
+    return groups.by_labelled(df, "month_text", "month", calendar.month_text, *_average_total_count())
 
 
 def top5_rows(df: DataFrame, k: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.functions import bands
+from tallygrove.functions import bands, calendar
 from tallygrove.functions.measures import high, low, mean, n_distinct, n_rows, total, total_int
 from tallygrove.operators import filters, groups, ranking
 from tallygrove.schema import AMOUNT
@@ -55,6 +55,7 @@ def weekday_receipts(df: DataFrame) -> DataFrame:
         df,
         "day_of_week_text",
         "day_of_week",
+        calendar.weekday_text,
         total().alias("total_revenue"),
         n_distinct("receipt_number").alias("num_receipts"),
         mean("receipt_total_sgd").alias("avg_receipt_value"),
@@ -66,6 +67,7 @@ def month_receipts(df: DataFrame) -> DataFrame:
         df,
         "month_text",
         "month",
+        calendar.month_text,
         total().alias("total_revenue"),
         n_distinct("receipt_number").alias("num_receipts"),
         n_distinct("customer_number").alias("unique_customers"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.functions import bands
+from tallygrove.functions import bands, calendar
 from tallygrove.functions.measures import (
     high, low, mean, mean_if, n_distinct, n_if, n_rows, percent, ratio, total, total_if,
 )
@@ -48,13 +48,25 @@ def best_month(df: DataFrame) -> DataFrame:
     return ranking.top_k(per, 1, "total_sales", "month").select("month_text", "total_sales")
 
 
+def _days(df: DataFrame, *measures: Column) -> DataFrame:
+    """One row per day; the labels are added to the grouped rows."""
+    per = df.groupBy(F.to_date("date").alias("sales_date")).agg(
+        n_rows().alias("total_transactions"), total().alias("daily_revenue"), *measures
+    )
+    return per.withColumns(
+        {
+            "day_of_week_text": calendar.weekday_text(calendar.day_of_week("sales_date")),
+            "month_text": calendar.month_text(F.month("sales_date")),
+            "year": F.year("sales_date").cast("bigint"),
+        }
+    )
+
+
 @ranking.listed("-daily_revenue", "sales_date")
 def daily_sales(df: DataFrame) -> DataFrame:
     """All types, per day."""
-    day = F.to_date("date").alias("sales_date")
-    return df.groupBy(day, "day_of_week_text", "month_text", _year()).agg(
-        n_rows().alias("total_transactions"),
-        total().alias("daily_revenue"),
+    return _days(
+        df,
         mean().alias("avg_transaction_value"),
         n_distinct("customer_number").alias("unique_customers"),
         n_distinct("receipt_number").alias("unique_receipts"),
@@ -66,19 +78,12 @@ _DAY_COLUMNS = [
 ]
 
 
-def _plain_days(df: DataFrame) -> DataFrame:
-    """Days without the distinct counts, for reports that do not show them."""
-    return df.groupBy(F.to_date("date").alias("sales_date"), "day_of_week_text", "month_text", _year()).agg(
-        n_rows().alias("total_transactions"), total().alias("daily_revenue")
-    )
-
-
 def top_days(df: DataFrame, k: int = 10) -> DataFrame:
-    return ranking.top_k(_plain_days(df), k, "daily_revenue", "sales_date").select(_DAY_COLUMNS)
+    return ranking.top_k(_days(df), k, "daily_revenue", "sales_date").select(_DAY_COLUMNS)
 
 
 def bottom_days(df: DataFrame, k: int = 10) -> DataFrame:
-    return ranking.bottom_k(_plain_days(df), k, "daily_revenue", "sales_date").select(_DAY_COLUMNS)
+    return ranking.bottom_k(_days(df), k, "daily_revenue", "sales_date").select(_DAY_COLUMNS)
 
 
 def daily_highlights(df: DataFrame) -> DataFrame:
