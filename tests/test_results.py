@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as driver
 from compare import connect, difference
 
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+QUERIES = {k: v for k, v in driver.queries().items() if k not in driver.LLM_QUERIES}
+SQL = {k: v for k, v in driver.oracle_sql().items() if k not in driver.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")
