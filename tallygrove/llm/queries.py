@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, quality
-from tallygrove.llm.common import load
+from tallygrove.llm import chat, packing, quality, token_files
+from tallygrove.llm.common import load, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,19 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(n) AS BIGINT) AS formatted_chars, TRUE AS identical
 FROM f GROUP BY conv_id
 """
+
+
+@query
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as Huffman-coded ids and read back."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    return token_files.round_trip(load(spark, sf_dir, "documents"), path, end_id=2)
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    packed = packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048, 0)
+    return packed.select(
+        "doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset"
+    )
