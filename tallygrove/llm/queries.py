@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, packing, quality, token_files
+from tallygrove.llm import chat, exact_dedup, packing, quality, secret_scan, token_files
 from tallygrove.llm.common import load, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,77 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, through a new blob ledger."""
+    found = secret_scan.find_secrets(load(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = secret_scan.listed(F.col("spans"), secret_scan.BASE_KINDS)
+    return found.select(
+        "doc_id", *[count(k) for k in secret_scan.BASE_KINDS], sha256(base).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"), F.col("blob").alias("blob_sha256"),
+    )
+
+
+def _either_case(pattern: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+def _secret_sql() -> str:
+    """Places of matches from the pieces between them."""
+    keywords = _either_case("password|passwd|secret|token|api_?key")
+    parts = []
+    for k, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern
+        if rule.kind == "assign":
+            pattern = f"({keywords})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        quoted = pattern.replace("'", "''")
+        parts.append(
+            f"SELECT r, {k} AS k, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(text, '{quoted}') AS gaps, "
+            f"regexp_extract_all(text, '{quoted}', 0) AS hits, regexp_extract_all(text, '{quoted}', {rule.group}) AS held FROM d"
+        )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+u AS (SELECT r, k, kind, least, gaps, hits, held, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (
+  SELECT r, k, kind,
+    list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS b,
+    len(hits[i]) AS n
+  FROM u WHERE len(held[i]) >= least
+), g AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + n AS BIGINT), ',' ORDER BY b, k) FILTER (k < 3) AS base,
+    string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + n AS BIGINT), ',' ORDER BY b, k) AS spans
+  FROM s GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
+
+SQL["op2_secret_scan"] = _secret_sql()
+
+
+@query
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents is the snapshot, the others are the new batch."""
+    is_new = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    rows = exact_dedup.deduplicate(load(spark, sf_dir, "documents"), is_new)
+    return rows.withColumnRenamed("digest", "text_sha256")
+
+
+SQL["op10_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, len(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
+"""
