@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 
 from tallygrove.llm.common import tokenizer
 
-# Chunks remembered per worker, about 250 bytes each. Later ones are encoded
+# Chunks remembered per worker, about 200 bytes each. Later ones are encoded
 # whenever they come.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 ROWS_AT_ONCE = 256
 
 _AFTER_BLANK = re.compile(r" (?:\s|\Z)")
@@ -65,7 +65,7 @@ class ChunkEncoder:
     def _text(self, key: str) -> str:
         return key if self.words else key[1:] if key[:1] == " " else " " + key
 
-    def _encode_new(self, keys: Sequence[str]) -> dict[str, bytes]:
+    def _encode_new(self, keys: Iterable[str]) -> dict[str, bytes]:
         out, together = {}, []
         for k in keys:
             t = self._text(k)
@@ -91,18 +91,17 @@ class ChunkEncoder:
 
     def encode(self, batch: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
-        parts = [self._chunks(t) for t in batch]
-        seen: set[str] = set()
-        for p in parts:
-            seen.update(p)
         known = self.known
-        new = self._encode_new([k for k in seen if k not in known])
+        parts = [self._chunks(t) for t in batch]
+        found = [list(map(known.get, p)) for p in parts]
+        gaps = [(p, f, [i for i, v in enumerate(f) if v is None]) for p, f in zip(parts, found) if None in f]
+        new = self._encode_new({p[i] for p, _, at in gaps for i in at})
+        for p, f, at in gaps:
+            for i in at:
+                f[i] = new[p[i]]
         if len(known) + len(new) <= self.limit:
             known.update(new)
-            get = known.__getitem__
-        else:
-            get = ({k: known[k] for k in seen if k in known} | new).__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [b"".join(f) for f in found]
 
 
 @functools.lru_cache(maxsize=2)

@@ -80,10 +80,9 @@ class Codebook:
         first = np.cumsum(width) - width
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[order] = (first >> (self.max_bits - self.lengths[order])).astype(np.uint64)
-        self.symbol = np.zeros(1 << self.max_bits, np.uint32)
-        self.size = np.ones(1 << self.max_bits, np.uint8)
-        self.symbol[: width.sum()] = np.repeat(order, width)
-        self.size[: width.sum()] = np.repeat(self.lengths[order], width)
+        # Per window of max_bits: the symbol, and above it the bits it takes.
+        self.table = np.full(1 << self.max_bits, 1 << 24, np.uint32)
+        self.table[: width.sum()] = np.repeat(order | self.lengths[order] << 24, width)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits, and the bit offset of every STRIDE-th id."""
@@ -102,19 +101,18 @@ class Codebook:
         return out.astype(">u4").tobytes(), begin[::STRIDE].astype(np.int32)
 
     def decode(self, bits: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
-        data = np.frombuffer(bits + b"\0" * 8, np.uint8)
-        at = offsets.astype(np.int64)
-        out = np.empty((len(at), STRIDE), np.uint32)
-        keep, last = np.uint64((1 << self.max_bits) - 1), len(data) - 5
+        words = np.frombuffer(bits + b"\0" * 8, ">u4").astype(np.uint64)
+        pairs = (words[:-1] << np.uint64(32)) | words[1:]
+        at, last = offsets.astype(np.int64), len(pairs) - 1
+        out = np.empty((STRIDE, len(at)), np.uint32)
+        keep, spare = (1 << self.max_bits) - 1, 64 - self.max_bits
         for k in range(STRIDE):
-            byte = np.minimum(at >> 3, last)  # stretches that are past the end read padding
-            window = np.zeros(len(at), np.uint64)
-            for j in range(5):
-                window = (window << np.uint64(8)) | data[byte + j]
-            code = (window >> (40 - self.max_bits - (at & 7)).astype(np.uint64)) & keep
-            out[:, k] = self.symbol[code]
-            at += self.size[code]
-        return out.reshape(-1)[:n]
+            # Stretches that are past the end read padding.
+            window = pairs[np.minimum(at >> 5, last)] >> (spare - (at & 31)).astype(np.uint64)
+            entry = self.table[window.astype(np.int64) & keep]
+            out[k] = entry
+            at += entry >> 24
+        return (out.T & np.uint32(0xFFFFFF)).reshape(-1)[:n]
 
 
 def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
