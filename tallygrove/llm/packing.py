@@ -27,7 +27,7 @@ from tallygrove.llm.encoding import encoded_rows
 
 SEQUENCE = 2048
 END_ID = 0
-BUCKET_ROWS = 20_000  # rows of one length that are ranked together
+BUCKET_ROWS = 1_000  # rows of one length that are ranked together
 
 RUNS = "length int, runs array<struct<first_rank:bigint,n:bigint,per_bin:bigint,first_bin:bigint,offset:int>>"
 
