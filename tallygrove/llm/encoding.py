@@ -2,7 +2,8 @@
 
 A text is cut at single blanks where no token can cross, each chunk is encoded
 once by the tokenizer and remembered, and the ids of the text are the chunks'
-ids in order. Chunks that are not remembered yet are encoded together, between
+ids in order. Of chunks that are not remembered yet, plain words go to the
+tokenizer's model one by one and others through the whole tokenizer, many at once, between
 separators whose id cannot merge with anything. The result is the tokenizer's own
 for the whole text; the cache changes the time only.
 """
@@ -25,6 +26,19 @@ ROWS_AT_ONCE = 256
 
 _AFTER_BLANK = re.compile(r" (?:\s|\Z)")
 _SEPARATOR = "\x00"
+_PARTS = re.compile(r"([.,;:!?]+|\n)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies show each byte as one letter: printable Latin-1
+    bytes as themselves, the others as letters from U+0100 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_BLANK = _BYTE_LETTERS[ord(" ")]
 
 
 class ChunkEncoder:
@@ -65,11 +79,49 @@ class ChunkEncoder:
     def _text(self, key: str) -> str:
         return key if self.words else key[1:] if key[:1] == " " else " " + key
 
+    def _word(self, letters: str, blank: bool) -> bytes:
+        """Ids of one pre-token of letters or of punctuation."""
+        if self.words:
+            piece = letters.lower()
+        else:
+            piece = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            piece = _BLANK + piece if blank else piece
+        return np.array([t.id for t in self.tok.model.tokenize(piece)], self.dtype).tobytes()
+
+    def _simple(self, key: str, new: dict[str, bytes]) -> bytes | None:
+        """Ids of words with punctuation and line breaks between them, where the
+        pre-tokens are plain to see; else None."""
+        if key.isalpha():
+            return self._word(key, True) if key.isascii() or not self.words else None
+        parts = [p for p in _PARTS.split(key) if p]
+        plain = [p for p in parts if p.isalpha() and (p.isascii() or not self.words)]
+        if not parts or parts[0] is not (plain or [None])[0] or parts[-1] == "\n":
+            return None
+        if len(plain) + sum(_PARTS.fullmatch(p) is not None for p in parts) != len(parts) or "\n\n" in key:
+            return None
+        out = b""
+        for i, p in enumerate(parts):
+            k = p if i == 0 else f" {p}"  # as the first chunk of a text: no blank before it
+            ids = self.known.get(k) or new.get(k)
+            if ids is None:
+                if p == "\n":
+                    ids = b"" if self.words else np.array(self.ids(p), self.dtype).tobytes()
+                else:
+                    ids = self._word(p, i == 0)
+                if not self.words:
+                    new[k] = ids
+            out += ids
+        return out
+
     def _encode_new(self, keys: Iterable[str]) -> dict[str, bytes]:
-        out, together = {}, []
+        out: dict[str, bytes] = {}
+        together = []
         for k in keys:
             t = self._text(k)
-            if not t:
+            ids = self._simple(k, out)
+            if ids is not None:
+                out[k] = ids
+            elif not t:
                 out[k] = b""
             elif self.sep is None or _SEPARATOR in t or "<|" in t or not self.words and (t[-1].isspace() or t[0] == "'"):
                 out[k] = np.array(self.ids(t), self.dtype).tobytes()

@@ -21,7 +21,7 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 def random_texts():
     rng = random.Random(5)
-    bits = [" ", " ", " ", "\n", "\t", "  ", "a", "th", "ing", "'s", ".", "é", "ß", "1", "<|", "\x00", " ", "Σ", "́"]
+    bits = [" ", " ", " ", "Word", "können", "a.", "b,", "\n", "\n", "\t", "  ", "a", "th", "ing", "'s", ".", "é", "ß", "1", "<|", "\x00", " ", "Σ", "́"]
     return ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(1500)]
 
 
