@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted one after the other. Each link is a logistic regression
-over word counts and a few shape features; links after the first also take the
-log-odds of the earlier categories. They are trained on out-of-fold predictions
+over word counts, a few shape features and the greatest and summed log-odds of the words
+present; links after the first also take the log-odds of the earlier categories.
+Word log-odds of a training row leave its own fold out. They are trained on out-of-fold predictions
 of the earlier links (words are chosen without the held-out fold as well), so
 what a link sees in training is as good as what it sees later.
 
@@ -25,16 +26,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import cut, texts
+from tallygrove.llm.common import SPACE, cut, let, texts
 
 CATEGORIES = ("quality", "toxic")
 MAX_ROWS = 10_000
 FOLDS = 4
 TOP_WORDS = 150  # per category and sign of association
-MIN_DOCS = 8
+MIN_DOCS = 4
 RIDGE = 0.3
 THRESHOLD = 0.5
 
@@ -46,7 +47,8 @@ N_SHAPE = 3
 @dataclass
 class Link:
     words: list[str]
-    weights: np.ndarray  # words, shape features, earlier log-odds, intercept
+    odds: np.ndarray  # log-odds of the category given each word
+    weights: np.ndarray  # words, shape features, two of word odds, earlier log-odds, intercept
 
 
 @dataclass
@@ -108,6 +110,18 @@ def _top_words(words: np.ndarray, pos: np.ndarray, n: np.ndarray, all_pos: float
     return sorted({str(words[k]) for k in chosen if score[k]})
 
 
+def _word_odds(pos: np.ndarray, n: np.ndarray, rate: float) -> np.ndarray:
+    """How much each word shifts the log-odds, drawn towards 0 where it is rare."""
+    rate = min(max(rate, 1e-3), 1 - 1e-3)
+    return np.log((pos + rate) / (n - pos + 1 - rate)) - np.log(rate / (1 - rate))
+
+
+def _odds_features(counts: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    present = np.where(counts > 0, odds, 0.0)
+    most = present.max(axis=1, initial=0.0)
+    return np.stack([most / 2, np.maximum(present, 0).sum(axis=1) / 10], axis=1)
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int) -> DataFrame:
     """(doc_id, text, categories, fold) of a bounded sample, one of each set of near copies."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)])
@@ -116,9 +130,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, categories: Sequence[
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = texts(documents).join(F.broadcast(known), "doc_id")  # at most max_rows small rows
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys])
-    w = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    shingles = F.transform(w, lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))))
-    rows = rows.withColumn("w", w).withColumn("sketch", F.array_min(shingles)).drop("w")
+
+
+    def sketch(w: Column) -> Column:
+        return F.array_min(F.transform(w, lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))))
+
+    rows = rows.withColumn("sketch", let(F.split(F.lower("text"), SPACE), sketch))
     rows = rows.orderBy("doc_id").dropDuplicates(["sketch"]).drop("sketch")
     return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
 
@@ -163,19 +180,29 @@ def fit(
     place = {w: j for j, w in enumerate(vocabulary)}
     shape = list(range(len(vocabulary), len(vocabulary) + N_SHAPE))
 
+    row_of = {w: j for j, w in enumerate(words)}
     chain, earlier = Chain(categories), np.zeros((len(x), 0))
     for k in range(n_cat):
-        odds = np.zeros(len(x))
+        own = picks[k, None]
+        at, cols = [row_of[w] for w in own], [place[w] for w in own]
+        total_pos, total_n, rate = pos[k][:, at].sum(0), n[:, at].sum(0), y[k].mean()
+        hints = np.zeros((len(x), 2))
+        for f in range(FOLDS):
+            inside = fold == f
+            odds = _word_odds(total_pos - pos[k][f, at], total_n - n[f, at], rate)
+            hints[inside] = _odds_features(x[inside][:, cols], odds)
+        held_out = np.zeros(len(x))
         for out in range(FOLDS):
-            cols = [place[w] for w in picks[k, out]] + shape
+            some = [place[w] for w in picks[k, out]] + shape
             inside = fold != out
             if not inside.any() or inside.all():
                 continue
-            w = _fit(np.hstack([x[inside][:, cols], earlier[inside]]), y[k][inside])
-            odds[~inside] = np.hstack([x[~inside][:, cols], earlier[~inside]]) @ w[:-1] + w[-1]
-        cols = [place[w] for w in picks[k, None]] + shape
-        chain.links.append(Link(picks[k, None], _fit(np.hstack([x[:, cols], earlier]), y[k])))
-        earlier = np.hstack([earlier, np.clip(odds, -8, 8)[:, None] / 4])
+            data = np.hstack([x[:, some], hints, earlier])
+            w = _fit(data[inside], y[k][inside])
+            held_out[~inside] = data[~inside] @ w[:-1] + w[-1]
+        weights = _fit(np.hstack([x[:, cols + shape], hints, earlier]), y[k])
+        chain.links.append(Link(own, _word_odds(total_pos, total_n, rate), weights))
+        earlier = np.hstack([earlier, np.clip(held_out, -8, 8)[:, None] / 4])
     return chain
 
 
@@ -205,33 +232,41 @@ def probabilities(batch: Sequence[str], chain: Chain) -> np.ndarray:
     shape = list(range(len(vocabulary), len(vocabulary) + N_SHAPE))
     earlier, out = np.zeros((len(batch), 0)), []
     for link in chain.links:
-        cols = [place[w] for w in link.words] + shape
-        odds = np.hstack([x[:, cols], earlier]) @ link.weights[:-1] + link.weights[-1]
+        cols = [place[w] for w in link.words]
+        inputs = [x[:, cols + shape], _odds_features(x[:, cols], link.odds), earlier]
+        odds = np.hstack(inputs) @ link.weights[:-1] + link.weights[-1]
         out.append(_sigmoid(odds))
         earlier = np.hstack([earlier, np.clip(odds, -8, 8)[:, None] / 4])
     return np.stack(out, axis=1)
 
 
-def score(documents: DataFrame, chain: Chain, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id and ``p_<category>`` of every document, with further columns to ``keep``."""
+def score(documents: DataFrame, chain: Chain) -> DataFrame:
+    """doc_id and ``p_<category>`` of every document."""
     names = [f"p_{c}" for c in chain.categories]
-    clean = texts(documents) if not keep else documents.select(
-        *keep, F.col("doc_id").cast("bigint").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
-    )
-    id_col, text_col = ("doc_id", "text") if not keep else ("__id", "__text")
-    kept = list(keep) or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                p = probabilities(part.column(text_col).to_pylist(), chain)
-                columns = {c: part.column(c) for c in kept} | {c: pa.array(p[:, k]) for k, c in enumerate(names)}
-                yield pa.record_batch(columns)
+                p = probabilities(part.column("text").to_pylist(), chain)
+                yield pa.record_batch({"doc_id": part.column("doc_id")} | {c: pa.array(p[:, k]) for k, c in enumerate(names)})
+
+    return texts(documents).mapInArrow(run, "doc_id bigint, " + ", ".join(f"`{c}` double" for c in names))
+
+
+def reject(documents: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that stay below the threshold."""
+    which = list(chain.categories).index(category)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                given = [t if t is not None else "" for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(probabilities(given, chain)[:, which] < threshold))
 
-    fields = [f"`{c}` {clean.schema[c].dataType.simpleString()}" for c in kept] + [f"`{c}` double" for c in names]
-    del id_col
-    return clean.mapInArrow(run, ", ".join(fields))
+    return documents.mapInArrow(run, documents.schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, category: str = "toxic", threshold: float = THRESHOLD, **fitting) -> DataFrame:
