@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, exact_dedup, packing, quality, secret_scan, token_files
+from tallygrove.llm import chat, exact_dedup, packing, quality, secret_scan, simhash, token_files, toxicity
 from tallygrove.llm.common import load, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,16 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
   doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
 """
+
+
+@query
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles, linked at 3 differing bits or fewer."""
+    rows = simhash.near_duplicates(load(spark, sf_dir, "documents"), simhash.exact_scheme(64, 3), 3)
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document and the verdict on toxicity."""
+    return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
