@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, exact_dedup, packing, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity
+from tallygrove.llm import (
+    chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity,
+)
 from tallygrove.llm.common import load, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +229,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of the 32k vocabulary, and back."""
+    docs = load(spark, sf_dir, "documents")
+    rows = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 2).cast("bigint").alias("n_tokens"), pieces.crc32_of_ids().alias("ids_crc32"),
+        "score", "n_chunks", sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
