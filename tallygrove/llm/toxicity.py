@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted one after the other. Each link is a logistic regression
-over word counts, a few shape features and the greatest and summed log-odds of the words
+over counts of words and word beginnings, a few shape features and the greatest and summed log-odds of the words
 present; links after the first also take the log-odds of the earlier categories.
 Word log-odds of a training row leave its own fold out. They are trained on out-of-fold predictions
 of the earlier links (words are chosen without the held-out fold as well), so
@@ -36,8 +36,10 @@ MAX_ROWS = 10_000
 FOLDS = 4
 TOP_WORDS = 150  # per category and sign of association
 MIN_DOCS = 4
-RIDGE = 0.3
+RIDGE = 1.0
+FEW_RIDGE = 0.01
 THRESHOLD = 0.5
+PREFIXES = (4, 5)  # beginnings of longer words are features too, written with a star
 
 _WORD = re.compile(r"[^\W_]+")
 _SYMBOLS = "#*$%&|<>"
@@ -70,22 +72,28 @@ def _shape(text: str, counts: Counter) -> tuple[float, float, float]:
 
 
 def features(batch: Sequence[str], vocabulary: Sequence[str]) -> np.ndarray:
-    """log(1 + count) of each word of the vocabulary, then the shape features."""
+    """log(1 + count) of each word and word beginning of the vocabulary, then the shape features."""
     index = {w: k for k, w in enumerate(vocabulary)}
     out = np.zeros((len(batch), len(vocabulary) + N_SHAPE), np.float32)
     for i, text in enumerate(batch):
         counts = Counter(_WORD.findall(text.lower()))
         out[i, len(vocabulary) :] = _shape(text, counts)
-        for w in counts.keys() & index.keys():
-            out[i, index[w]] = np.log1p(counts[w])
+        for w, n in counts.items():
+            if w in index:
+                out[i, index[w]] += n
+            for k in PREFIXES:
+                if len(w) > k and (stem := w[:k] + "*") in index:
+                    out[i, index[stem]] += n
+    out[:, : len(vocabulary)] = np.log1p(out[:, : len(vocabulary)])
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Logistic regression by Newton steps, the intercept last and nearly free."""
+def _fit(x: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
+    """Logistic regression by Newton steps. The first ``n_words`` weights are shrunk; the
+    few others and the intercept, which comes last, nearly free."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+    penalty = np.full(x.shape[1], FEW_RIDGE)
+    penalty[:n_words] = RIDGE
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = _sigmoid(x @ w)
@@ -142,7 +150,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, categories: Sequence[
 
 def _word_counts(rows: DataFrame, n: int):
     """Per word: documents that hold it, in all and positive per category, by fold."""
-    tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+
+    def with_stems(w: Column) -> Column:
+        stems = [F.transform(F.filter(w, lambda x, k=k: F.length(x) > k), lambda x, k=k: F.concat(F.substring(x, 1, k), F.lit("*"))) for k in PREFIXES]
+        return F.array_distinct(F.concat(w, *stems))
+
+    tokens = let(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), with_stems)
     exploded = rows.select("fold", *[f"y{k}" for k in range(n)], F.explode(tokens).alias("word"))
     sums = []
     for f in range(FOLDS):
@@ -198,9 +211,9 @@ def fit(
             if not inside.any() or inside.all():
                 continue
             data = np.hstack([x[:, some], hints, earlier])
-            w = _fit(data[inside], y[k][inside])
+            w = _fit(data[inside], y[k][inside], len(picks[k, out]))
             held_out[~inside] = data[~inside] @ w[:-1] + w[-1]
-        weights = _fit(np.hstack([x[:, cols + shape], hints, earlier]), y[k])
+        weights = _fit(np.hstack([x[:, cols + shape], hints, earlier]), y[k], len(own))
         chain.links.append(Link(own, _word_odds(total_pos, total_n, rate), weights))
         earlier = np.hstack([earlier, np.clip(held_out, -8, 8)[:, None] / 4])
     return chain
