@@ -57,7 +57,11 @@ STEP_SQL = {
     "manifest_rebuild_csv": ALL,
     "manifest_rebuild_parquet": ALL,
     "csv_pack_unpack": ALL,
-    "append_rerun": ALL,
+    "append_rerun": f"""SELECT CASE WHEN {KEY} % 97 <> 0 THEN date END AS date, {COLUMNS.split(',', 1)[1]}
+      FROM sales""",
+    "csv_line_breaks": """SELECT transaction_id, product_id,
+      '"a,' || chr(10) || product_name || chr(10) || '"' || city AS label FROM sales""",
+    "json_cities": "SELECT DISTINCT city AS name, country, country_id FROM sales",
     "chunk_ingest": ALL,
     "chunk_ingest_incremental": ALL,
     "view_saved": API["hourly_distribution"],
@@ -70,6 +74,11 @@ STEP_SQL = {
           THEN TRY_CAST(date AS TIMESTAMP) END AS sale_date,
         TRY_CAST(units_sold AS BIGINT) AS qty, TRY_CAST(unit_price_sgd AS DOUBLE) AS price,
         product_name AS label, country AS other FROM dirty""",
+    "type_map_json": f"""{DIRTY}
+      SELECT transaction_id, CASE WHEN regexp_full_match(date, '\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d')
+          THEN TRY_CAST(date AS TIMESTAMP) END AS sale_date,
+        TRY_CAST(units_sold AS BIGINT) AS qty, TRY_CAST(unit_price_sgd AS DOUBLE) AS price,
+        product_name AS label, country AS other FROM dirty""",
     "stage_strings": f"SELECT {STAGED} FROM sales",
     "staged_to_typed": ALL,
     "upsert_by_key": """SELECT DISTINCT concat('countries_', country_id) AS key, 'character 2' AS value,
@@ -89,11 +98,10 @@ STEP_SQL = {
     "geo_enriched": f"""SELECT {ROW_ID}, city,
       CASE WHEN country NOT IN ('NATION_6', 'NATION_18') THEN country END AS country,
       CASE WHEN country NOT IN ('NATION_6', 'NATION_18') THEN country_id END AS country_id FROM e""",
-    "daily_gap_filled": f""", x AS (SELECT day, COUNT(*) AS n, SUM(amt) AS r FROM e
-        WHERE amt >= 100000 GROUP BY day)
+    "daily_gap_filled": f""", x AS (SELECT day, COUNT(*) AS n, SUM(amt) AS r FROM e GROUP BY day)
       SELECT CAST(t.d AS DATE) AS sale_date, COALESCE(x.n, 0) AS transactions,
         CAST(COALESCE(x.r, 0) AS DECIMAL(38,2)) AS revenue
-      FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS d) t
+      FROM (SELECT unnest(generate_series(MIN(day), MAX(day), INTERVAL 1 DAY)) AS d FROM x) t
       LEFT JOIN x ON x.day = CAST(t.d AS DATE)""",
     "valid_dates": f"""SELECT *, COALESCE(try_strptime(text, '%Y-%m-%d %H:%M:%S'),
         try_strptime(text, '%Y-%m-%d')) IS NOT NULL AS valid

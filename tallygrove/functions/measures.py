@@ -25,9 +25,14 @@ def n_rows() -> Column:
     return F.count(F.lit(1))
 
 
+def _wide(c: Column | str) -> Column:
+    """A sum adds ten digits to its input's type, so this one has 38."""
+    return as_col(c).cast("decimal(28,2)")
+
+
 def total(c: Column | str = AMOUNT) -> Column:
     """Sum of a money column."""
-    return F.sum(as_col(c)).cast(TOTAL_TYPE)
+    return F.sum(_wide(c)).cast(TOTAL_TYPE)
 
 
 def total_int(c: Column | str) -> Column:
@@ -86,7 +91,7 @@ def n_if(cond: Column | str) -> Column:
 
 
 def total_if(cond: Column | str, c: Column | str = AMOUNT) -> Column:
-    return F.sum(F.when(as_col(cond), as_col(c))).cast(TOTAL_TYPE)
+    return F.sum(F.when(as_col(cond), _wide(c))).cast(TOTAL_TYPE)
 
 
 def mean_if(cond: Column | str, c: Column | str = AMOUNT) -> Column:

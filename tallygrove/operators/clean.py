@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallygrove.functions.calendar import parse_timestamp
@@ -84,7 +84,8 @@ def apply_type_map(df: DataFrame, types: Mapping[str, str | Mapping[str, str]])
 def apply_json_map(df: DataFrame, path: str) -> DataFrame:
     """:func:`apply_type_map` with the map read from a JSON object file."""
     row = df.sparkSession.read.option("multiLine", True).json(path).first()
-    return apply_type_map(df, {k: v for k, v in row.asDict().items() if v is not None})
+    types = {k: v.asDict() if isinstance(v, Row) else v for k, v in row.asDict().items()}
+    return apply_type_map(df, {k: v for k, v in types.items() if v is not None})
 
 
 def stage_as_strings(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.calendar import DISCOUNT_PERIODS, november_friday
@@ -13,12 +13,20 @@ PARAMETER_COLUMNS = ["key", "value", "alternative_key", "alternative_value"]
 
 # A dimension is only forced to be broadcast when it has at most this many rows.
 BROADCAST_ROWS = 100_000
+SALTS = 32  # tasks over which a key of a larger dimension is dealt
 
 
-def upsert_by_key(base: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of ``new``, plus the rows of ``base`` whose key it does not have."""
+def upsert_by_key(
+    base: DataFrame, new: DataFrame, key: str | Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key: of ``new`` where it has the key, else of ``base``. Of
+    several rows with a key the last one by ``order`` counts, then by all columns. A null key is a
+    key like others."""
     keys = [key] if isinstance(key, str) else list(key)
-    return new.unionByName(base.join(new.select(keys), keys, "left_anti"))
+    place = [*order, *[c for c in base.columns if c not in order]]
+    rows = base.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    last = F.max_by(F.struct(*base.columns), F.struct("_new", *place)).alias("_row")
+    return rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(last).select("_row.*")
 
 
 def country_code_parameters(codes: DataFrame) -> DataFrame:
@@ -71,18 +79,33 @@ def calendar_days(calendar: DataFrame) -> DataFrame:
 
 def enrich_geo(df: DataFrame, cities: DataFrame) -> DataFrame:
     """Add country and country_id of each row's city; cities that are not
-    listed get nulls.
+    listed get nulls. A name listed twice keeps its first entry by country id,
+    so no sale is doubled.
 
-    The join is left to Spark, which broadcasts the dimension only when its
-    size is below the session's threshold. A name listed twice keeps its first
-    entry by country id, so no sale is doubled.
+    Cities are reduced to their distinct entries by a hash aggregate first. Up to BROADCAST_ROWS
+    of them are fetched and broadcast, so that no sale is shuffled by its city; a larger list is
+    joined with each city dealt over several tasks, as a few cities hold most sales.
     """
+    entry = [F.col("name").alias("city"), F.col("country_id").cast("string").alias("country_id"), "country"]
+    distinct = cities.select(*entry).groupBy("city", "country_id", "country").agg(F.count("*").alias("_n"))
     lookup = (
-        cities.groupBy(F.col("name").alias("city"))
-        .agg(F.min(F.struct(F.col("country_id").cast("string").alias("country_id"), "country")).alias("c"))
+        distinct.groupBy("city")
+        .agg(F.min(F.struct("country_id", "country")).alias("c"))
         .select("city", "c.country", "c.country_id")
     )
-    return df.drop("country", "country_id").join(lookup, "city", "left")
+    rows = df.drop("country", "country_id")
+    few = lookup.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:
+        small = df.sparkSession.createDataFrame(few, lookup.schema)
+        return rows.join(F.broadcast(small), "city", "left")
+    return _salted_lookup(rows, lookup, "city")
+
+
+def _salted_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join with each key dealt over SALTS tasks."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
 
 
 def date_spine(spark: SparkSession, start: str, end: str, name: str = "sale_date") -> DataFrame:
@@ -93,12 +116,26 @@ def date_spine(spark: SparkSession, start: str, end: str, name: str = "sale_date
 
 
 def fill_missing_days(
-    daily: DataFrame, start: str, end: str, day: str = "sale_date"
+    daily: DataFrame, start: str | None = None, end: str | None = None, day: str = "sale_date"
 ) -> DataFrame:
-    """Daily rows for every day of the range; days without a row get zeros."""
-    spine = date_spine(daily.sparkSession, start, end, day)
+    """Daily rows, and zeros for each day of the range that has none. The range
+    is that of the rows unless given; rows outside of it, and without a day, stay."""
+    if start is None or end is None:
+        first, last = daily.agg(F.min(day), F.max(day)).first()
+        start, end = start or first, end or last
+    if start is None or end is None:
+        return daily
+    spine = date_spine(daily.sparkSession, str(start), str(end), day)
     numbers = [f.name for f in daily.schema if f.dataType.typeName() in _NUMERIC]
-    return spine.join(daily, day, "left").na.fill(0, numbers)
+
+    def shown(c: str) -> Column:
+        if c not in numbers:
+            return F.col(c)
+        zero = F.lit(0).cast(daily.schema[c].dataType)
+        return F.when(F.col("_given").isNull(), zero).otherwise(F.col(c)).alias(c)
+
+    joined = spine.join(daily.withColumn("_given", F.lit(True)), day, "full_outer")
+    return joined.select(day, *[shown(c) for c in daily.columns if c != day])
 
 
 _NUMERIC = {"decimal", "double", "float", "integer", "long", "short", "byte"}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.bands import segment_order
-from tallygrove.functions.measures import as_col
+from tallygrove.functions.measures import as_col, n_rows
 from tallygrove.schema import MONTH_PARTITION, ROW_ID, SALES_COLUMNS
+from tallygrove.session import shared_dir
 
 
 def _order(keys: Sequence[str]) -> list[Column]:
@@ -85,8 +88,40 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
     """One page of the rows, newest first. Pages count from 1."""
     if number < 1 or not 1 <= size <= 1000:
         raise ValueError("page starts at 1 and page_size lies between 1 and 1000")
-    df = months_of_first(df, number * size, newest=True)
-    return df.orderBy(*_order(["-date", *ROW_ID])).offset((number - 1) * size).limit(size)
+    df, skip = _around(df, (number - 1) * size, size)
+    return df.orderBy(*_order(["-date", *_tiebreak(df)])).offset(skip).limit(size)
+
+
+def _tiebreak(df: DataFrame) -> list[str]:
+    """A full order of the rows of a date, up to full copies."""
+    return [*ROW_ID, *[c for c in SALES_COLUMNS if c in df.columns and c not in ("date", *ROW_ID)]]
+
+
+def _around(df: DataFrame, skip: int, n: int) -> tuple[DataFrame, int]:
+    """Of the rows, newest first, those of the months and days that rows skip+1 to
+    skip+n can lie in, and how many of them are still to be skipped.
+
+    Rows are counted per month, then per day of the months that are left, so a deep page
+    sorts a few days and not all rows before it. Without the partition column
+    all rows stay.
+    """
+    if MONTH_PARTITION not in df.columns:
+        return df, skip
+    for part in (F.col(MONTH_PARTITION), F.to_date("date")):
+        counts = df.groupBy(part.alias("d")).agg(F.count("*").alias("n")).collect()
+        order = sorted(counts, key=lambda r: (r["d"] is not None, r["d"] or dt.date.min), reverse=True)
+        before, keep, first = 0, [], None
+        for r in order:
+            if before < skip + n and before + r["n"] > skip:
+                first = before if first is None else first
+                keep.append(r["d"])
+            before += r["n"]
+        if not keep:
+            return df.limit(0), 0
+        dated = [d for d in keep if d is not None]
+        inside = part.between(F.lit(min(dated)), F.lit(max(dated))) if dated else F.lit(False)
+        df, skip = df.filter(inside | part.isNull() if None in keep else inside), skip - first
+    return df, skip
 
 
 def _behind(key: str, value: Column | None, descending: bool = False) -> Column:
@@ -97,14 +132,22 @@ def _behind(key: str, value: Column | None, descending: bool = False) -> Column:
     return (c < value if descending else c > value) | c.isNull()
 
 
-def page_after(df: DataFrame, last: Mapping[str, object] | None, size: int) -> DataFrame:
-    """The page that follows the row ``last`` (its date and row id).
+def copies_shown(rows: Sequence[Mapping[str, object]], last: Mapping[str, object], before: int = 0) -> int:
+    """How many copies of the row ``last`` have been shown after this page. ``before`` is what
+    this function gave for the page before it, if that ended with the same row."""
+    n = sum(r == last for r in rows)
+    return n + (before if n == len(rows) else 0)
+
+
+def page_after(df: DataFrame, last: Mapping[str, object] | None, size: int, shown: int = 1) -> DataFrame:
+    """The page that follows the row ``last``, of which ``shown`` full copies were listed so far.
 
     Unlike an offset, the cost does not grow with the page's number: what came
-    before is filtered out in the scan, and a task keeps ``size`` rows.
+    before is filtered out in the scan, and a task keeps ``size`` rows beside those copies.
     """
-    keys = ["date", *ROW_ID]
+    keys = ["date", *_tiebreak(df)]
     if last is not None:
+        keys = [k for k in keys if k in last]
         value = {
             k: None if last[k] is None else F.lit(str(last[k])).cast(df.schema[k].dataType) for k in keys
         }
@@ -118,9 +161,10 @@ def page_after(df: DataFrame, last: Mapping[str, object] | None, size: int) -> D
             if MONTH_PARTITION in df.columns:
                 month = F.lit(last["date"].date().replace(day=1))
                 df = df.filter((F.col(MONTH_PARTITION) <= month) | F.col(MONTH_PARTITION).isNull())
-        df = df.filter(behind)
-    df = months_of_first(df, size, newest=True)
-    return df.orderBy(*_order(["-date", *ROW_ID])).limit(size)
+        df = df.filter(behind | same)
+    skip = shown if last is not None else 0
+    df = months_of_first(df, size + skip, newest=True)
+    return df.orderBy(*_order(["-date", *keys[1:]])).offset(skip).limit(size)
 
 
 def with_previous(agg: DataFrame, order: str, cols: Mapping[str, str]) -> DataFrame:
@@ -129,19 +173,48 @@ def with_previous(agg: DataFrame, order: str, cols: Mapping[str, str]) -> DataFr
     return agg.withColumns({new: F.lag(old).over(w) for old, new in cols.items()})
 
 
-def with_rank(agg: DataFrame, measure: str, name: str = "rank") -> DataFrame:
-    """Rank by a measure, largest first; ties share a rank and leave a gap."""
+def _rank_few(agg: DataFrame, measure: str, name: str) -> DataFrame:
+    """Rank in one task, for a bounded number of rows."""
     rank = F.rank().over(Window.orderBy(F.desc_nulls_last(measure)))
     return agg.withColumn(name, rank.cast("bigint"))
 
 
+def _placed(values: DataFrame, order: list[Column]) -> DataFrame:
+    """(values, n) with ``_before``: the sum of n over the rows that come before.
+
+    The rows are dealt by ranges and written, so that both steps see the same ranges: sums
+    per range, of which there are few, and a running sum inside each range.
+    """
+    spark = values.sparkSession
+    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex[:12]}"
+    values.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    above = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("_range").agg(F.sum("_n").alias("_s"))
+    sums = sums.select("_range", F.coalesce(F.sum("_s").over(above.orderBy("_range")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(above.partitionBy("_range").orderBy(*order)), F.lit(0))
+    rows = ranges.withColumn("_inside", inside).join(F.broadcast(sums), "_range")
+    return rows.withColumn("_before", F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside", "_n")
+
+
+def with_rank(agg: DataFrame, measure: str, name: str = "rank") -> DataFrame:
+    """Rank by a measure, largest first; ties share a rank and leave a gap, nulls come
+    last. No task sees more than a range of the distinct values."""
+    value = F.col(measure)
+    counts = agg.groupBy(value.alias("_value")).agg(n_rows().alias("_n"))
+    ranks = _placed(counts, [F.desc_nulls_last("_value")])
+    joined = agg.join(ranks, value.eqNullSafe(F.col("_value")))
+    return joined.withColumn(name, (F.col("_before") + 1).cast("bigint")).drop("_value", "_before")
+
+
 def top_ranked(agg: DataFrame, k: int, measure: str, key: str, name: str = "rank") -> DataFrame:
     """The first k rows by rank. They are picked first and ranked then: who
     comes behind does not change a rank, so no task sees more than k rows."""
-    return with_rank(top_k(agg, k, measure, key), measure, name)
+    return _rank_few(top_k(agg, k, measure, key), measure, name)
 
 
 def with_position(agg: DataFrame, measure: str, tiebreak: str, name: str = "position") -> DataFrame:
+    """Places 1, 2, ... in one task: for the rows of a short report, such as one per country."""
     w = Window.orderBy(F.desc_nulls_last(measure), F.asc_nulls_last(tiebreak))
     return agg.withColumn(name, F.row_number().over(w).cast("bigint"))
 

@@ -6,6 +6,7 @@ and read back.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -110,7 +111,7 @@ def parquet_rebuild_csv(spark, sf_dir):
 def _manifest(spark: SparkSession, sf_dir: str) -> str:
     """Two chunk folders and the manifest that lists them."""
     sales = _sales(spark, sf_dir)
-    first = F.col("transaction_desc") == "Product Sale"
+    first = F.col("transaction_desc").eqNullSafe("Product Sale")
 
     def write(folder: str) -> None:
         sinks.replace_table(sales.filter(first), f"{folder}/part1")
@@ -136,6 +137,38 @@ def manifest_rebuild_parquet(spark, sf_dir):
     return files.read_parts(spark, [dst])
 
 
+@_step
+def csv_line_breaks(spark, sf_dir):
+    """Names with line breaks, quotes and commas, split, rebuilt and packed."""
+    sales = _sales(spark, sf_dir)
+    odd = F.concat(F.lit('"a,\n'), F.col("product_name"), F.lit('\n"'))
+    rows = sales.select("transaction_id", "product_id", F.concat(odd, F.col("city")).alias("label"))
+    src = sinks.export_csv(rows, _new_dir(spark, "odd"))
+    whole = sinks.rebuild_csv(spark, sinks.split_csv(spark, src, _new_dir(spark, "parts"), 10_000), _new_dir(spark, "whole"))
+    text = "transaction_id string, product_id string, label string"
+    back = files.read_csv(spark, whole, text, multi_line=True)
+    return sinks.unpack_csv(spark, sinks.pack_csv(back, _new_dir(spark, "packed")), text)
+
+
+@_step
+def json_cities(spark, sf_dir):
+    """Cities as a JSON document, written and read back."""
+    cities = _sales(spark, sf_dir).groupBy(F.col("city").alias("name"), "country", "country_id").count().drop("count")
+    doc = cities.agg(F.to_json(F.sort_array(F.collect_list(F.struct("*")))).alias("value"))
+    path = _new_dir(spark, "cities")
+    doc.coalesce(1).write.text(path)
+    return files.read_json(spark, path, "name string, country string, country_id string")
+
+
+@_step
+def type_map_json(spark, sf_dir):
+    """The type map of ``clean_type_map`` read from a JSON file."""
+    raw, types = _typed_input(spark, sf_dir)
+    path = _new_dir(spark, "types")
+    spark.createDataFrame([(json.dumps(types),)], "value string").coalesce(1).write.text(path)
+    return clean.apply_json_map(raw, path)
+
+
 @_step
 def csv_pack_unpack(spark, sf_dir):
     packed = sinks.pack_csv(_sales(spark, sf_dir), _new_dir(spark, "packed"))
@@ -144,19 +177,20 @@ def csv_pack_unpack(spark, sf_dir):
 
 @_step
 def append_rerun(spark, sf_dir):
-    """Two chunks of whole months, the second one loaded twice."""
-    sales, path = _sales(spark, sf_dir), _new_dir(spark, "fact")
-    late = F.col("date") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    sinks.append_sales(sales.filter(~late), path, MONTH_PARTITION)
-    sinks.append_sales(sales.filter(late), path, MONTH_PARTITION)
-    sinks.append_sales(sales.filter(late), path, MONTH_PARTITION)
+    """Chunks that share days and hold undated sales, one of them loaded twice."""
+    key = F.col("transaction_id").cast("bigint")
+    sales = _sales(spark, sf_dir).withColumn("date", F.when(key % 97 != 0, F.col("date")))
+    path, part = _new_dir(spark, "fact"), key % 3
+    for chunk in (0, 1, 2, 1):
+        rows = sales.filter(part.eqNullSafe(F.lit(chunk)))
+        sinks.append_sales(rows, path, f"part{chunk}", MONTH_PARTITION)
     return files.read_sales(spark, path, SALES_COLUMNS)
 
 
 @_step
 def chunk_ingest(spark, sf_dir):
     chunks = _source_csv(spark, sf_dir)
-    return files.read_parts(spark, [ingest.ingest_chunks(spark, chunks, _new_dir(spark, "fact"))])
+    return ingest.ingested(spark, ingest.ingest_chunks(spark, chunks, _new_dir(spark, "fact")))
 
 
 @_step
@@ -230,8 +264,7 @@ def clean_reset_amounts(spark, sf_dir):
     return clean.sanitize_sales(_dirty(_sales(spark, sf_dir)), reset_amounts=True)
 
 
-@_step
-def clean_type_map(spark, sf_dir):
+def _typed_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
     raw = _dirty(_sales(spark, sf_dir)).select(
         "transaction_id",
         F.col("date").alias("sale_date"),
@@ -248,7 +281,12 @@ def clean_type_map(spark, sf_dir):
         "other": "blob",
         "absent": "integer",
     }
-    return clean.apply_type_map(raw, types)
+    return raw, types
+
+
+@_step
+def clean_type_map(spark, sf_dir):
+    return clean.apply_type_map(*_typed_input(spark, sf_dir))
 
 
 @_step
@@ -263,7 +301,7 @@ def staged_to_typed(spark, sf_dir):
 
 @_step
 def upsert_by_key(spark, sf_dir):
-    """Country codes as parameter rows; those seen in recent sales are replaced."""
+    """Country codes as parameter rows; those of a range of countries are replaced."""
     sales = _sales(spark, sf_dir)
 
     def codes(df: DataFrame, suffix: str) -> DataFrame:
@@ -324,12 +362,12 @@ def geo_enriched(spark, sf_dir):
 
 @_step
 def daily_gap_filled(spark, sf_dir):
-    """Days of large sales; days without one appear with zeros."""
-    rows = filters.at_least(_sales(spark, sf_dir), AMOUNT, 100_000)
+    """Days from the first sale to the last; days without one appear with zeros."""
+    rows = _sales(spark, sf_dir)
     daily = rows.groupBy(F.to_date("date").alias("sale_date")).agg(
         n_rows().alias("transactions"), total().alias("revenue")
     )
-    return dimensions.fill_missing_days(daily, "1995-01-01", "2001-12-31")
+    return dimensions.fill_missing_days(daily)
 
 
 @_step
@@ -480,8 +518,11 @@ def deciles(spark, sf_dir):
 def page_by_key(spark, sf_dir):
     """The third page, found from the last row of the second."""
     sales = stored_sales(spark, sf_dir)
-    last = ranking.page(sales, 2, 50).collect()[-1].asDict()
-    return ranking.page_after(sales, last, 50).select(SALES_COLUMNS)
+    rows = [r.asDict() for r in ranking.page(sales, 2, 50).select(SALES_COLUMNS).collect()]
+    if not rows:
+        return sales.select(SALES_COLUMNS).limit(0)
+    shown = ranking.copies_shown(rows, rows[-1])
+    return ranking.page_after(sales, rows[-1], 50, shown).select(SALES_COLUMNS)
 
 
 @_step

@@ -42,6 +42,6 @@ ROW_ID = ["transaction_id", "product_id", AMOUNT]
 MONTH_PARTITION = "sale_month"
 DAY_PARTITION = "sale_date"
 
-# Totals are wider than the summed column, so that a sum over a very large
-# table cannot overflow.
+# Totals have 38 digits, 36 of them before the point: amounts are widened to 28 digits
+# before they are added.
 TOTAL_TYPE = T.DecimalType(38, 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,8 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        _local_scratch = _local_scratch or tempfile.mkdtemp(prefix="tallygrove-")
+        if _local_scratch is None:
+            _local_scratch = tempfile.mkdtemp(prefix="tallygrove-")
+            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
         base = _local_scratch
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Remove the application's tables from the shared folder, at its end. Tables
+    read from there are gone afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

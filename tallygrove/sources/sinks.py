@@ -6,9 +6,10 @@ single output file is made only when asked for.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.calendar import month_start
@@ -16,6 +17,7 @@ from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION, SALES_COLUMNS
 from tallygrove.sources.files import CSV_OPTIONS, read_csv, read_parts
 
 ROWS_PER_PART = 10_000
+CHUNK_PARTITION = "sale_chunk"
 
 # Columns by which single sales are looked up.
 LOOKUP_COLUMNS = ["customer_id", "receipt_number", "product_id"]
@@ -42,10 +44,13 @@ def split_csv(
     dst: str,
     rows: int = ROWS_PER_PART,
     schema=None,
+    multi_line: bool = True,
 ) -> str:
     """Split CSV files into parts of at most ``rows`` rows, each with the
-    header. Read as text columns, so values come through unchanged."""
-    df = read_csv(spark, src, schema or _text_schema(spark, src))
+    header. Read as text columns, so values come through unchanged. A source
+    without line breaks inside fields is read faster without ``multi_line``, as
+    Spark can then split its files. Very large tables want large parts."""
+    df = read_csv(spark, src, schema or _text_schema(spark, src), multi_line)
     _csv_writer(df).option("maxRecordsPerFile", rows).csv(dst)
     return dst
 
@@ -56,19 +61,29 @@ def _text_schema(spark: SparkSession, src: str | Sequence[str]) -> str:
 
 
 def csv_to_parquet(
-    spark: SparkSession, src: str | Sequence[str], dst: str, rows: int = ROWS_PER_PART, schema=None
+    spark: SparkSession,
+    src: str | Sequence[str],
+    dst: str,
+    rows: int = ROWS_PER_PART,
+    schema=None,
+    multi_line: bool = True,
 ) -> str:
     """CSV to Parquet parts of at most ``rows`` rows."""
-    df = read_csv(spark, src, schema)
+    df = read_csv(spark, src, schema, multi_line)
     df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(dst)
     return dst
 
 
 def rebuild_csv(
-    spark: SparkSession, parts: str | Sequence[str], dst: str, single_file: bool = False
+    spark: SparkSession,
+    parts: str | Sequence[str],
+    dst: str,
+    single_file: bool = False,
+    multi_line: bool = True,
 ) -> str:
-    """Put CSV parts back together; every row of every part is kept."""
-    df = read_csv(spark, parts, _text_schema(spark, parts))
+    """Put CSV parts back together; every row of every part is kept. Parts whose
+    headers differ are refused."""
+    df = read_csv(spark, parts, _text_schema(spark, parts), multi_line)
     return export_csv(df, dst, single_file)
 
 
@@ -117,8 +132,9 @@ def pack_csv(df: DataFrame, dst: str) -> str:
 
 
 def unpack_csv(spark: SparkSession, src: str, schema=None) -> DataFrame:
-    """Packed CSV parts; the codec follows from the file name."""
-    return read_csv(spark, src, schema)
+    """Packed CSV parts; the codec follows from the file name. Packed files are
+    never split, so line breaks inside fields cost nothing."""
+    return read_csv(spark, src, schema, multi_line=True)
 
 
 def _arranged(df: DataFrame, by: str) -> DataFrame:
@@ -126,37 +142,42 @@ def _arranged(df: DataFrame, by: str) -> DataFrame:
     it together and sorted by date, so that row-group statistics prune well. The
     rebalance lets Spark size the files: small values share a task, a value with
     very many rows is split over several."""
-    value = month_start("date") if by == MONTH_PARTITION else F.to_date("date")
-    return (
-        df.select(SALES_COLUMNS)
-        .withColumn(by, value)
-        .hint("rebalance", F.col(by))
-        .sortWithinPartitions(by, "date")
-    )
-
-
-def _fact_writer(df: DataFrame, by: str):
-    """Writer of the fact table. Bloom filters on the id columns let a lookup of
-    one customer, receipt or product skip the row groups without it; their size
-    adapts to the number of ids."""
+    rows = df.select(SALES_COLUMNS).withColumn(by, partition_value(by))
+    # Without adaptive execution the hint does nothing.
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    rows = rows.hint("rebalance", F.col(by)) if adaptive else rows.repartition(by)
+    return rows.sortWithinPartitions(by, "date")
+
+
+def partition_value(by: str) -> Column:
+    return month_start("date") if by == MONTH_PARTITION else F.to_date("date")
+
+
+def _fact_writer(df: DataFrame, by: str, bloom: Sequence[str] = ()):
+    """Writer of the fact table. Bloom filters on id columns (``bloom``, such as
+    LOOKUP_COLUMNS) let a lookup of one customer, receipt or product skip the row groups
+    without it. They cost a third of the writing time and size, so they are
+    for tables that are looked up often."""
     writer = _arranged(df, by).write.mode("overwrite").partitionBy(by)
-    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
-    for name in LOOKUP_COLUMNS:
+    for name in bloom:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
     return writer
 
 
-def write_partitioned(df: DataFrame, path: str, by: str = MONTH_PARTITION) -> str:
+def write_partitioned(df: DataFrame, path: str, by: str = MONTH_PARTITION, bloom: Sequence[str] = ()) -> str:
     """Replace the fact table, with one folder per month (or day)."""
-    _fact_writer(df, by).parquet(path)
+    _fact_writer(df, by, bloom).parquet(path)
     return path
 
 
-def append_sales(df: DataFrame, path: str, by: str = DAY_PARTITION) -> str:
-    """Add a chunk of whole days to the fact table. Days the chunk holds replace
-    those of an earlier run, other days stay: running it again changes nothing.
-    With ``by`` set to the month partition, chunks are whole months."""
-    _fact_writer(df, by).option("partitionOverwriteMode", "dynamic").parquet(path)
+def append_sales(df: DataFrame, path: str, chunk: str, by: str = DAY_PARTITION, bloom: Sequence[str] = ()) -> str:
+    """Add a chunk to a fact table made of chunks. Each has a folder of its own, named by
+    its id, so loading it again replaces its own rows and no others, whatever
+    days it holds, undated rows included."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_.-]*", chunk):
+        raise ValueError("a chunk id starts with a letter and holds letters, digits, _ . and -")
+    _fact_writer(df, by, bloom).parquet(f"{path}/{CHUNK_PARTITION}={chunk}")
     return path
 
 

@@ -83,8 +83,14 @@ def sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _view(sf_dir: str, kind: str) -> str:
-    return f"tallygrove_{kind}_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+def _view(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Named by the folder and by size and time of its files: new files, new copy."""
+    seen = [sf_dir]
+    for name in ("orders", "customer", "nation", "part", "lineitem"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        seen.append(f"{fs.getContentSummary(path).getLength()}@{fs.getFileStatus(path).getModificationTime()}")
+    return f"tallygrove_{kind}_{hashlib.sha256('|'.join(seen).encode()).hexdigest()[:16]}"
 
 
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +101,7 @@ def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     report reads only its columns and months. A temp view remembers it, which
     also keeps the file listing.
     """
-    view = _view(sf_dir, "sales")
+    view = _view(spark, sf_dir, "sales")
     if not spark.catalog.tableExists(view):
         path = f"{shared_dir(spark)}/sales-{uuid.uuid4().hex[:12]}"
         write_partitioned(sales_from_star(spark, sf_dir), path, MONTH_PARTITION)
@@ -110,7 +116,7 @@ def _stored_schema() -> str:
 
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched sales table of the given folder, as a temp view as well."""
-    view = _view(sf_dir, "enriched")
+    view = _view(spark, sf_dir, "enriched")
     if not spark.catalog.tableExists(view):
         enrich_sales(stored_sales(spark, sf_dir)).createOrReplaceTempView(view)
     return spark.table(view)

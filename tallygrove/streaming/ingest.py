@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tallygrove.schema import SALES_SCHEMA
-from tallygrove.sources.files import CSV_OPTIONS, read_csv
+from tallygrove.schema import MONTH_PARTITION, SALES_SCHEMA
+from tallygrove.sources.files import CSV_OPTIONS, read_csv, strict_options
+from tallygrove.sources.sinks import partition_value, write_partitioned
 
 
 def ingest_chunks(
-    spark: SparkSession, folder: str, dst: str, schema: StructType | str = SALES_SCHEMA
+    spark: SparkSession,
+    folder: str,
+    dst: str,
+    schema: StructType | str = SALES_SCHEMA,
+    multi_line: bool = True,
 ) -> str:
-    """All chunks of a folder as one Parquet table, in one job."""
-    read_csv(spark, folder, schema).write.mode("overwrite").parquet(dst)
-    return dst
+    """All chunks of a folder as one table, laid out by month like the stored
+    sales. A row that does not fit the schema fails the job."""
+    return write_partitioned(read_csv(spark, folder, schema, multi_line), dst, MONTH_PARTITION)
 
 
 def ingest_new_chunks(
@@ -24,8 +29,11 @@ def ingest_new_chunks(
     checkpoint: str,
     schema: StructType | str = SALES_SCHEMA,
     max_files: int = 1000,
+    multi_line: bool = True,
 ) -> str:
-    """Add the chunks that arrived since the last run, then stop.
+    """Add the chunks that arrived since the last run, then stop. The table is laid out
+    by month. A row that does not fit the schema fails the run, which then has
+    added nothing of its batch.
 
     The stream's checkpoint remembers which files were read and which output is
     committed, so a rerun adds nothing and a crashed run neither loses nor
@@ -33,12 +41,16 @@ def ingest_new_chunks(
     """
     chunks = (
         spark.readStream.options(**CSV_OPTIONS)
+        .options(**strict_options())
         .option("maxFilesPerTrigger", max_files)
+        .option("multiLine", multi_line)
         .schema(schema)
         .csv(folder)
+        .withColumn(MONTH_PARTITION, partition_value(MONTH_PARTITION))
     )
     query = (
         chunks.writeStream.format("parquet")
+        .partitionBy(MONTH_PARTITION)
         .option("path", dst)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

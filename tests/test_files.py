@@ -7,10 +7,11 @@ import zlib
 
 import pytest
 from conftest import sale
+from pyspark.errors import StreamingQueryException
 
 from tallygrove.operators import enrich
 from tallygrove.plans import registry
-from tallygrove.schema import MONTH_PARTITION, SALES_COLUMNS, SALES_SCHEMA
+from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION, SALES_COLUMNS, SALES_SCHEMA
 from tallygrove.sources import files, sinks
 from tallygrove.streaming import ingest
 
@@ -108,13 +109,88 @@ def test_json(spark, tmp_path):
 def test_append_is_safe_to_rerun(spark, rows, tmp_path):
     path = str(tmp_path / "fact")
     early, late = rows.filter("date < '2024-02-01'"), rows.filter("date >= '2024-02-01'")
-    for chunk in (early, late, late):
-        sinks.append_sales(chunk, path)
+    for name, chunk in (("a", early), ("b", late), ("b", late)):
+        sinks.append_sales(chunk, path, name)
     assert same(rows, files.read_sales(spark, path, SALES_COLUMNS))
+    sinks.append_sales(late.limit(0), path, "b")
+    assert same(early, files.read_sales(spark, path, SALES_COLUMNS))
     sinks.write_partitioned(late, path + "2", MONTH_PARTITION)
     assert same(late, files.read_sales(spark, path + "2", SALES_COLUMNS))
 
 
+@pytest.mark.parametrize("by", [DAY_PARTITION, MONTH_PARTITION])
+def test_chunks_of_half_days_and_undated_rows_stay(spark, make, tmp_path, by):
+    path = str(tmp_path / "fact")
+    day = dt.datetime(1996, 7, 4)
+    chunks = [make(*[sale(100 * k + i, date=day + dt.timedelta(hours=12 * k)) for i in range(10)], sale(990 + k, date=None)) for k in range(2)]
+    for k in (0, 1, 1, 0):
+        sinks.append_sales(chunks[k], path, f"half{k}", by)
+    assert same(chunks[0].union(chunks[1]), files.read_sales(spark, path, SALES_COLUMNS))
+    with pytest.raises(ValueError):
+        sinks.append_sales(chunks[0], path, "../x")
+
+
+def test_layout_without_adaptive_execution(spark, rows, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_partitioned(rows, str(tmp_path / "t"), DAY_PARTITION, bloom=sinks.LOOKUP_COLUMNS)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    days = glob.glob(f"{tmp_path}/t/{DAY_PARTITION}=*")
+    assert len(days) == 15 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in days)
+    assert same(rows, files.read_sales(spark, str(tmp_path / "t"), SALES_COLUMNS))
+
+
+TEXT = "t string, n int"
+
+
+def odd_csv(folder, text):
+    folder.mkdir()
+    (folder / "a.csv").write_text(text)
+    return str(folder)
+
+
+def test_round_trips_keep_line_breaks(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", "1"), ('q"\n\n', "2"), ("x,y", None)], "t string, n string")
+    src = sinks.export_csv(df.coalesce(1), str(tmp_path / "src"))
+    whole = sinks.rebuild_csv(spark, sinks.split_csv(spark, src, str(tmp_path / "p"), 1), str(tmp_path / "w"))
+    assert same(df, files.read_csv(spark, whole, df.schema, multi_line=True))
+    assert same(df, files.read_parts(spark, [sinks.csv_to_parquet(spark, src, str(tmp_path / "pq"), 1, df.schema)]))
+    assert same(df, sinks.unpack_csv(spark, sinks.pack_csv(df, str(tmp_path / "z")), df.schema))
+
+
+def test_reordered_headers_are_refused(spark, tmp_path):
+    src = odd_csv(tmp_path / "src", "t,n\na,1\n")
+    (tmp_path / "src/b.csv").write_text("n,t\n2,b\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_csv(spark, src, TEXT).collect()
+    with pytest.raises(Exception, match="header"):
+        sinks.rebuild_csv(spark, src, str(tmp_path / "w"))
+
+
+@pytest.mark.parametrize("bad", ["a", "a,1,2", "a,one"])
+def test_bad_rows_fail_or_are_kept(spark, tmp_path, bad):
+    src = odd_csv(tmp_path / "src", f"t,n\nok,1\n{bad}\n")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        files.read_csv(spark, src, TEXT).collect()
+    kept = files.read_csv(spark, src, TEXT, bad_rows="keep").collect()
+    assert [r[files.BAD_ROW] for r in kept] == [None, bad]
+    with pytest.raises(ValueError):
+        files.read_csv(spark, src, TEXT, bad_rows="drop")
+
+
+def test_ingest_refuses_bad_rows(spark, rows, tmp_path):
+    src = one_csv(rows, tmp_path)
+    (part,) = glob.glob(f"{src}/part-*.csv")
+    good = open(part, encoding="utf-8").read().splitlines(keepends=True)
+    with open(f"{src}/late.csv", "w", encoding="utf-8") as f:
+        f.write(good[0] + good[1].replace("2024-", "notadate-", 1))
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        ingest.ingest_chunks(spark, src, str(tmp_path / "batch"))
+    with pytest.raises(StreamingQueryException):
+        ingest.ingest_new_chunks(spark, src, str(tmp_path / "fact"), str(tmp_path / "state"))
+
+
 def test_replace_and_missing_table(spark, rows, tmp_path):
     path = str(tmp_path / "t")
     assert files.read_sales(spark, path).count() == 0
@@ -134,7 +210,8 @@ def test_ingest_takes_only_new_chunks(spark, rows, tmp_path):
     ingest.ingest_new_chunks(spark, chunks, dst, state)
     assert ingest.ingested(spark, dst).count() == 14
     ingest.ingest_chunks(spark, chunks, str(tmp_path / "batch"))
-    assert same(ingest.ingested(spark, dst), files.read_parts(spark, [str(tmp_path / "batch")]))
+    assert same(ingest.ingested(spark, dst), ingest.ingested(spark, str(tmp_path / "batch")))
+    assert glob.glob(f"{dst}/{MONTH_PARTITION}=*") and glob.glob(f"{tmp_path}/batch/{MONTH_PARTITION}=*")
 
 
 def test_views(spark, rows, tmp_path):

@@ -102,6 +102,14 @@ def test_rank_leaves_gaps(spark):
     assert got == {"b": 1, "a": 2, "c": 2, "d": 4}
 
 
+def test_rank_of_many_values_nulls_and_nothing(spark):
+    values = [(i * 37 % 50) or None for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v int")
+    got = {r.k: r.place for r in ranking.with_rank(df, "v", "place").collect()}
+    assert got == {k: 1 + sum(w is not None and (v is None or w > v) for w in values) for k, v in enumerate(values)}
+    assert ranking.with_rank(df.limit(0), "v").count() == 0
+
+
 def test_geographic_ranks_ties(make):
     rows = [sale(i, country=c, amt=a) for i, (c, a) in enumerate([("A", 5), ("B", 9), ("C", 5), ("D", 1)])]
     out = api.geographic_distribution(make(*rows), 3).collect()
@@ -160,6 +168,28 @@ def test_pages_of_a_partitioned_table(make):
     assert ranking.sample(parted, 11).collect() == ranking.sample(df, 11).collect()
 
 
+def test_pages_show_every_copy(make):
+    """Full copies across the edge of a page."""
+    rows = [sale(i // 7, date=dt.datetime(2024, 1, 5)) for i in range(21)] + [sale(50, product_name=n) for n in "ab"]
+    df, last, shown, whole = make(*rows), None, 0, []
+    for _ in range(12):
+        step = [r.asDict() for r in ranking.page_after(df, last, 2, shown).collect()]
+        if step:
+            shown = ranking.copies_shown(step, step[-1], shown if step[-1] == last else 0)
+            last = step[-1]
+        whole += step
+    assert Counter(map(str, whole)) == Counter(str(r.asDict()) for r in df.collect())
+
+
+def test_deep_pages_sort_few_rows(make):
+    df = make(*[sale(i, date=dt.datetime(2024, 1 + i % 12, 1 + i % 25)) for i in range(300)])
+    parted = df.withColumn(MONTH_PARTITION, F.trunc(F.to_date("date"), "MM"))
+    rows, skip = ranking._around(parted, 200, 5)
+    assert rows.count() < 30 and skip < 30
+    assert ranking._around(parted, 400, 5)[0].count() == 0
+    assert ranking.page(parted, 41, 5).select(SALES_COLUMNS).collect() == ranking.page(df, 41, 5).collect()
+
+
 @pytest.mark.parametrize("number, size", [(0, 10), (1, 0), (1, 1001)])
 def test_bad_pages(make, number, size):
     with pytest.raises(ValueError):
@@ -288,6 +318,14 @@ def test_upsert(spark):
     assert {tuple(r) for r in out} == {("a", "1"), ("b", "9"), ("c", "3")}
 
 
+def test_upsert_keeps_one_row_per_key(spark):
+    kind = "key string, value string, at int"
+    base = spark.createDataFrame([("a", "1", 1), ("a", "2", 0), (None, "n", 1)], kind)
+    new = spark.createDataFrame([("b", "1", 2), ("b", "9", 1), (None, "m", 0), (None, "k", 3)], kind)
+    out = dimensions.upsert_by_key(base, new, "key", ["at"]).collect()
+    assert {tuple(r) for r in out} == {("a", "1", 1), ("b", "1", 2), (None, "k", 3)}
+
+
 def test_country_codes(spark):
     codes = spark.createDataFrame([("SG", "Singapore")], "code string, country string")
     assert tuple(dimensions.country_code_parameters(codes).first()) == (
@@ -303,6 +341,25 @@ def test_geo_keeps_every_sale_once(spark, make):
     assert [(r.country, r.country_id) for r in out] == [("Aland", "7"), (None, None)]
 
 
+def test_geo_of_a_list_too_large_to_broadcast(spark, make, monkeypatch):
+    cities = spark.createDataFrame([("Arbor", "Aland", "7"), ("Brook", "Bland", "8")], "name string, country string, country_id string")
+    sales = make(*[sale(i, city="Arbor") for i in range(100)], sale(200, city="Brook"), sale(201, city=None))
+    want = sorted(map(str, dimensions.enrich_geo(sales, cities).collect()))
+    monkeypatch.setattr(dimensions, "BROADCAST_ROWS", 1)
+    out = dimensions.enrich_geo(sales, cities)
+    assert sorted(map(str, out.select(dimensions.enrich_geo(sales, cities).columns).collect())) == want
+
+
+def test_days_outside_the_range_stay(spark):
+    daily = spark.createDataFrame([(dt.date(2002, 1, 1), 5, None), (dt.date(2001, 1, 1), 1, 2), (None, 3, 3)], "sale_date date, n bigint, m int")
+    out = dimensions.fill_missing_days(daily, "2001-01-01", "2001-01-03")
+    assert Counter((str(r.sale_date), r.n, r.m) for r in out.collect()) == Counter(
+        [("2001-01-01", 1, 2), ("2001-01-02", 0, 0), ("2001-01-03", 0, 0), ("2002-01-01", 5, None), ("None", 3, 3)]
+    )
+    assert dimensions.fill_missing_days(daily).count() == 367
+    assert dimensions.fill_missing_days(daily.limit(0)).count() == 0
+
+
 def test_missing_days_are_filled(spark):
     daily = spark.createDataFrame([(dt.date(2024, 2, 28), 4)], "sale_date date, n bigint")
     out = dimensions.fill_missing_days(daily, "2024-02-27", "2024-03-01").orderBy("sale_date").collect()

@@ -6,6 +6,7 @@ import pytest
 
 from tallygrove.operators import order_stats
 from tallygrove.plans import api, discount, retail, summary
+from tallygrove.plans.queries import QUERIES
 from tallygrove.plans.registry import REPORTS
 from tallygrove.schema import SALES_COLUMNS
 from tallygrove.sources.star import report_table, stored_sales
@@ -44,6 +45,23 @@ def test_one_day_reads_one_month(df):
     assert "GreaterThanOrEqual(date" in text
 
 
+def test_city_lookup_shuffles_no_sales(spark, sf_dir):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        text = final(QUERIES["geo_enriched"](spark, sf_dir))
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_ranks_see_no_single_partition_of_products(spark, sf_dir):
+    text = final(QUERIES["rank_with_gaps"](spark, sf_dir))
+    below = [part.split("\n")[0:12] for part in text.split("SinglePartition")[1:]]
+    assert all(any("_range" in line for line in part) for part in below)
+
+
 def test_first_pages_read_the_newest_months(df):
     assert re.search(r"PartitionFilters: \[[^\]]*sale_month#\d+ >= \d{4}-\d\d-01", plan(api.sales_page(df)))
     assert re.search(r"PartitionFilters: \[[^\]]*sale_month#\d+ <= \d{4}-\d\d-01", plan(retail.first_rows(df)))
