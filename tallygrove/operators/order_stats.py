@@ -86,7 +86,8 @@ class _Cell:
 
 def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -> list[list[_Cell]]:
     """One scan for all ranges: the cells of each, in order. Their number is
-    bounded, so they fit the driver whatever the table's size."""
+    bounded, so they fit the driver whatever the table's size. FANOUT and FEW_ROWS
+    change the number of scans, not the result."""
     slot, inside = None, []
     for i, r in enumerate(ranges):
         key = levels[r.depth]
@@ -114,13 +115,10 @@ def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -
     return [sorted(cells, key=lambda c: c.order) for cells in out]
 
 
-def _boundaries(
-    df: DataFrame, levels: Sequence[Column], lo: int, hi: int, rows: int, ranks: Sequence[int]
-) -> list[Boundary]:
-    """Find the boundary rows behind the given ranks in the order of the keys.
-    The first key lies in lo..hi, the others are hashes."""
+def _boundaries(df: DataFrame, levels: Sequence[Column], todo: list[_Range]) -> list[Boundary]:
+    """Find the boundary rows behind the ranks of the given ranges in the order of the
+    keys. Keys behind a range's own are hashes."""
     found: list[Boundary] = []
-    todo = [_Range((), lo, hi, 0, rows, sorted(set(ranks)))] if ranks else []
     while todo:
         counts = _count_pass(df, levels, todo)
         nxt: list[_Range] = []
@@ -166,16 +164,30 @@ def tie_key(cols: Sequence[str]) -> Column:
 
 
 def median(df: DataFrame, measure: str = AMOUNT) -> float | None:
-    """Exact median: the middle value, or the mean of the middle two. Its value
-    is found by a few counting jobs."""
-    key, scale = _integer_key(df, measure)
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if n == 0:
-        return None
-    ranks = [(n + 1) // 2, n // 2 + 1]
-    found = {b.rank: b.key[0] / scale for b in _boundaries(df, [key], lo, hi, n, ranks)}
-    lower, upper = (found[k] for k in ranks)
-    return lower + (upper - lower) * 0.5
+    """Exact median: the middle value, or the mean of the middle two."""
+    return medians(df, [measure])[measure]
+
+
+def medians(df: DataFrame, measures: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of several columns. All columns share each counting job, of
+    which there are a few whatever the number of columns."""
+    keys = [_integer_key(df, m) for m in measures]
+    ends = df.agg(*[f(key) for key, _ in keys for f in (F.min, F.max, F.count)]).first()
+    values = F.array(*[F.struct(_long(i).alias("c"), key.alias("k")) for i, (key, _) in enumerate(keys)])
+    rows = df.select(F.inline(values)).filter("k IS NOT NULL")
+    todo, ranks = [], []
+    for i in range(len(keys)):
+        lo, hi, n = ends[3 * i : 3 * i + 3]
+        ranks.append(((n + 1) // 2, n // 2 + 1))
+        if n:
+            todo.append(_Range((i,), lo, hi, 0, n, sorted(set(ranks[i]))))
+    found = {(b.key[0], b.rank): b.key[1] for b in _boundaries(rows, [F.col("c"), F.col("k")], todo)}
+    out: dict[str, float | None] = dict.fromkeys(measures)
+    for i, (name, (_, scale)) in enumerate(zip(measures, keys)):
+        if (i, ranks[i][0]) in found:
+            lower, upper = (found[i, k] / scale for k in ranks[i])
+            out[name] = lower + (upper - lower) * 0.5
+    return out
 
 
 def with_tile(
@@ -208,7 +220,8 @@ def with_tile(
     ]
     q, r = divmod(rows, n)
     ends = [i * q + min(i, r) for i in (cuts or range(1, n))]
-    found = _boundaries(df, levels, lo, hi + 1, rows, [e for e in ends if 0 < e < rows])
+    ranks = sorted({e for e in ends if 0 < e < rows})
+    found = _boundaries(df, levels, [_Range((), lo, hi + 1, 0, rows, ranks)] if ranks else [])
 
     above = [_above(levels, b.key).cast("int") for b in found]
     out = df.withColumn(name, reduce(lambda a, b: a + b, above, F.lit(1)))

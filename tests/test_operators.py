@@ -96,6 +96,18 @@ def test_median(make, amounts, want):
     assert order_stats.median(df) == want
 
 
+def test_medians_share_their_jobs(spark, make):
+    df = make(*[sale(i, amt=i * 7 % 5 + 1, age=None if i % 3 else i, income=None) for i in range(30)])
+    sc = spark.sparkContext
+    sc.setJobGroup("medians", "medians")
+    try:
+        got = order_stats.medians(df, ["total_amount_per_product_sgd", "age", "income"])
+    finally:
+        sc._jsc.sc().clearJobGroup()
+    assert got == {"total_amount_per_product_sgd": 3.0, "age": 13.5, "income": None}
+    assert len(sc.statusTracker().getJobIdsForGroup("medians")) <= 6
+
+
 def test_rank_leaves_gaps(spark):
     df = spark.createDataFrame([("a", 5), ("b", 9), ("c", 5), ("d", 1)], "k string, v int")
     got = {r.k: r.place for r in ranking.with_rank(df, "v", "place").collect()}
