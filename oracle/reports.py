@@ -8,6 +8,7 @@ COLUMNS = """date, transaction_id, transaction_desc, customer_id, age, gender, r
 ROW_ID = "transaction_id, product_id, total_amount_per_product_sgd"
 MIN_YEAR = 1998
 
+# Segment names and limits that results must show.
 INCOME = """CASE WHEN income < 30000 THEN 'Low Income (< 30k)'
   WHEN income >= 30000 AND income <= 60000 THEN 'Middle Income (30k-60k)'
   WHEN income >= 60001 AND income <= 100000 THEN 'Upper Middle (60k-100k)'

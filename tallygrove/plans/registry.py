@@ -25,43 +25,43 @@ class View:
     report: Report
 
 
-# Names and descriptions under which users know the views.
+# The names under which users know the views.
 VIEWS = {
     v.name: v
     for v in [
         View(
             "Monthly Sales Trends",
-            "Shows revenue and customer trends by month with growth percentages",
+            "Revenue, customers and their growth over the months",
             api.monthly_trends,
         ),
         View(
             "Customer Demographics Analysis",
-            "Segments customers by age groups and gender with spending patterns",
+            "What customers of each age group and gender spend",
             api.customer_demographics,
         ),
         View(
             "Top Products by Revenue",
-            "Shows the best-selling products with sales metrics",
+            "Products with the largest revenue, their sales and buyers",
             api.top_products,
         ),
         View(
             "Hourly Sales Distribution",
-            "Analyzes sales patterns by hour of day",
+            "Sales, revenue and customers per hour of the day",
             api.hourly_distribution,
         ),
         View(
             "Geographic Sales Distribution",
-            "Shows sales by country and city with rankings",
+            "Countries in the order of their revenue",
             api.geographic_distribution,
         ),
         View(
             "High-Value vs Low-Value Transactions",
-            "Compares highest and lowest value transactions by various dimensions",
+            "The largest and the smallest tenth of sales beside each other",
             api.value_transactions,
         ),
         View(
             "Income Level Analysis",
-            "Segments customers by income levels with purchasing patterns",
+            "Customers and purchases per income segment",
             api.income_levels,
         ),
     ]
