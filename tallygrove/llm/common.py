@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
-import json
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +19,29 @@ from tallygrove.session import shared_dir
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, once per application: Spark's driver serves it
+    to the executors as a zip. Needed where it is not installed on them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tallygrove-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/tallygrove-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
@@ -22,6 +49,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so that other columns cannot clash with results.
     A null text is an empty one; a null id stays null."""
+    ship_package(df.sparkSession)
     return df.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -76,7 +104,3 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def to_json(value) -> str:
-    return json.dumps(value, sort_keys=True)
