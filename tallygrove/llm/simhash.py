@@ -245,6 +245,7 @@ def near_duplicates(df: DataFrame, scheme: Scheme, shingle: int = 3) -> DataFram
     labels = components(links(nodes, scheme))
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = cut(named.select("fp", "least", "component"), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written, so that a large component's join is one of two plain tables, which Spark can split.
+    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     by_fp = cut(named.join(least, "component").select("fp", "component_id"), "by-fingerprint")
     return rows.join(by_fp, "fp").select("row_key", "doc_id", "fp", "component_id")
