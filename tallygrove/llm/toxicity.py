@@ -91,13 +91,19 @@ def features(batch: Sequence[str], vocabulary: Sequence[str]) -> np.ndarray:
 def _fit(x: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
     """Logistic regression by Newton steps. The first ``n_words`` weights are shrunk; the
     few others and the intercept, which comes last, nearly free."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1))], dtype=np.float32, casting="same_kind")
     penalty = np.full(x.shape[1], FEW_RIDGE)
     penalty[:n_words] = RIDGE
+    penalty[-1] = 1e-3
     w = np.zeros(x.shape[1])
     for _ in range(25):
-        p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2000):  # in parts, to keep the driver small
+            part = x[at : at + 2000].astype(np.float64)
+            p = _sigmoid(part @ w)
+            slope += part.T @ (y[at : at + 2000] - p)
+            curve += part.T @ (part * (p * (1 - p))[:, None])
+        step = np.linalg.solve(curve, slope)
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-4:
             break
@@ -210,7 +216,7 @@ def fit(
             inside = fold != out
             if not inside.any() or inside.all():
                 continue
-            data = np.hstack([x[:, some], hints, earlier])
+            data = np.hstack([x[:, some], hints, earlier], dtype=np.float32, casting="same_kind")
             w = _fit(data[inside], y[k][inside], len(picks[k, out]))
             held_out[~inside] = data[~inside] @ w[:-1] + w[-1]
         weights = _fit(np.hstack([x[:, cols + shape], hints, earlier]), y[k], len(own))
