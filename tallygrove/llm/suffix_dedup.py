@@ -375,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         F.collect_list(F.when(F.col("n") > hot, F.col("hash"))).alias("hot"),
     )
     lists = cut(lists.join(chosen, "row_key"), "lists")
-    found = docs.join(lists, "row_key")
+    found = docs.join(lists.hint("merge"), "row_key")
     buckets = max(1, -(-total // BUCKET_PLACES))
     sorted_runs = runs(found, buckets, length, gram)
     spans = sorted_runs.groupBy("bucket").applyInArrow(
@@ -423,6 +423,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                     }
                 )
 
-    joined = docs.join(by_doc, "row_key", "left").select("doc_id", "text", "pieces")
+    # Both lists grow with the corpus, and their compressed files look far smaller than they are
+    # in memory: never broadcast them.
+    joined = docs.join(by_doc.hint("merge"), "row_key", "left").select("doc_id", "text", "pieces")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
