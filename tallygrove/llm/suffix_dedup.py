@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,14 +256,15 @@ class _Run:
             by.setdefault(_bucket_of(entry[0], buckets), []).append(entry)
         for bucket, entries in by.items():
             shared, tails = front_coded([s for s, _ in entries])
+            packed = zstandard.ZstdCompressor(level=3).compress
             places = [self.entries[e] for e in entries]
             row = {
                 "bucket": pa.array([bucket], pa.int32()),
                 "shared": pa.array([shared], pa.list_(pa.int32())),
                 "sizes": pa.array([[len(t) for t in tails]], pa.list_(pa.int32())),
-                "tails": pa.array([b"".join(tails)], pa.binary()),
+                "tails": pa.array([packed(b"".join(tails))], pa.binary()),
                 "left_sizes": pa.array([[len(x) for _, x in entries]], pa.list_(pa.int32())),
-                "lefts": pa.array([b"".join(x for _, x in entries)], pa.binary()),
+                "lefts": pa.array([packed(b"".join(x for _, x in entries))], pa.binary()),
                 "n": pa.array([[len(p) for p in places]], pa.list_(pa.int32())),
                 "rows": pa.array([[k for p in places for k, _ in p]], pa.list_(pa.int64())),
                 "starts": pa.array([[s for p in places for _, s in p]], pa.list_(pa.int64())),
@@ -300,7 +302,9 @@ def _merge_bucket(table: pa.Table, length: int) -> pa.Table:
     """Merge the runs of a bucket: (row_key, start, stop) of repeated bytes."""
     streams, lefts, counts, places = [], [], [], []
     for row in table.to_pylist():
-        streams.append(decoded(row["shared"], row["sizes"], row["tails"]))
+        unpacked = zstandard.ZstdDecompressor().decompress
+        streams.append(decoded(row["shared"], row["sizes"], unpacked(row["tails"])))
+        row["lefts"] = unpacked(row["lefts"])
         ends = np.cumsum(row["left_sizes"]).tolist()
         lefts.append([row["lefts"][e - s : e] for e, s in zip(ends, row["left_sizes"])])
         counts.append(row["n"])
