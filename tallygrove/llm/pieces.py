@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tallygrove.llm.common import cut, texts, unique_ids
 
 CHUNK = 32_768
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 BLANK = "▁"
 NONE = -(1 << 60)
 _UNKNOWN_PENALTY = 10
@@ -61,7 +61,12 @@ class Vocabulary:
         self.prefixes = {p.piece[:k] for _, p in normal for k in range(1, len(p.piece) + 1)}
         # No piece goes on into the next word, other than pieces of blanks alone.
         self.cuts = not any(BLANK in p.piece[1:] and p.piece.strip(BLANK) for _, p in normal)
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.known: dict[str, bytes] = {}  # ids only: scores follow from them
+        # An unknown character is charged once, with its first byte.
+        first = [b < 0x80 or b >= 0xC0 for b in range(256)]
+        charge = {i: self.unknown if first[b] else 0 for b, i in self.byte.items()}
+        scores = {i: s for s, i in self.score.values()} | charge
+        self.id_score = np.array([scores.get(i, 0) for i in range(len(self.text))], np.int64)
         self.raw = [p.piece.replace(BLANK, " ").encode() for p in model.pieces]
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
@@ -102,11 +107,11 @@ class Vocabulary:
             end = start[end]
         return end, out[::-1]
 
-    def word(self, s: str) -> tuple[bytes, int]:
+    def word(self, s: str) -> bytes:
         got = self.known.get(s)
         if got is None:
-            best, start = self.forward(s, len(s), (0,))
-            got = np.array(self.trace(s, start, len(s))[1], "<u2").tobytes(), best[-1]
+            _, start = self.forward(s, len(s), (0,))
+            got = np.array(self.trace(s, start, len(s))[1], "<u2").tobytes()
             if len(self.known) < REMEMBERED:
                 self.known[s] = got
         return got
@@ -124,7 +129,8 @@ class Vocabulary:
         found = list(map(self.known.get, [BLANK + p for p in parts]))
         if None in found:
             found = [f or self.word(BLANK + p) for f, p in zip(found, parts)]
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found])
+        ids = b"".join(found)
+        return ids, int(self.id_score[np.frombuffer(ids, "<u2")].sum())
 
     def encode(self, text: str) -> tuple[np.ndarray, int]:
         """Ids and score of a whole text."""
