@@ -13,7 +13,8 @@ fingerprint tell that bit, so fixing some bits fixes a cell.
   differ with share p meets with probability 1 - (1 - (1 - p)^bits)^cells.
 
 Within a bucket a search from member to member leaves one link per member found, never all
-pairs. Buckets above ``BUCKET`` distinct fingerprints are split again by further bits.
+pairs. Buckets above ``BUCKET`` distinct fingerprints are split once by further bits; those
+still larger are compared in pairs of parts.
 Fingerprints are distinct, so copies of a text, however many, are one member.
 
 Null and empty texts have fingerprint zero and are linked like others. Rows with repeated ids
@@ -24,7 +25,7 @@ empty table gives no rows. Columns other than id and text are not carried.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,7 @@ from tallygrove.llm.components import components
 SEED = 42
 N_PIVOTS = 24
 BUCKET = 8192  # distinct fingerprints compared in one go
+STARS = 16  # representatives of a larger bucket
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,7 @@ def finer_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
             cells, values, nodes = (b.column(c).to_numpy() for c in ("cell", "value", "node"))
             for k in np.unique(cells):
                 at = cells == k
-                for j, places in enumerate(scheme.finer[k % len(scheme.cells)]):
+                for j, places in enumerate(scheme.finer[k]):
                     value = _cell_values(fp[at], places)
                     mixed = (values[at] * 1_000_003 + j) * 1_000_003 + value
                     yield pa.record_batch({"cell": pa.array(cells[at]), "value": pa.array(mixed), "node": pa.array(nodes[at])})
@@ -179,23 +181,16 @@ def finer_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return rows.mapInArrow(run, "cell int, value bigint, node bigint")
 
 
-def links_in_bucket(node: np.ndarray, fp: np.ndarray, dist: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join all members within the radius of each other, over any number of
-    steps: each member found is compared with those not found yet."""
+def search(node: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all members near each other, over any number of steps: each member
+    found is compared with those not found yet. ``near(i, left)`` tells which of ``left`` are near i."""
     left = np.arange(len(node))
     out: list[tuple[int, int]] = []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = np.ones(len(left), bool)
-            for p in range(0, dist.shape[1], 8):
-                some = np.flatnonzero(near)
-                gap = np.abs(dist[left[some], p : p + 8] - dist[i, p : p + 8]).max(axis=1)
-                near[some[gap > radius]] = False
-            some = np.flatnonzero(near)
-            close = np.bitwise_count(fp[left[some]] ^ fp[i]).sum(axis=1, dtype=np.int64) <= radius
-            found = some[close]
+            found = np.flatnonzero(near(i, left))
             if len(found):
                 out += [(int(node[i]), int(node[j])) for j in left[found]]
                 queue += left[found].tolist()
@@ -203,39 +198,99 @@ def links_in_bucket(node: np.ndarray, fp: np.ndarray, dist: np.ndarray, radius:
     return out
 
 
-def _links(buckets: DataFrame, scheme: Scheme) -> DataFrame:
-    width = scheme.bits // 8
+def _within(radius: int, bits: int):
+    """Nearness of fingerprints: pivot distances discard, bits decide."""
+
+    def build(m: pa.StructArray):
+        fp = _matrix(m.field("fp"), bits // 8)
+        dist = np.frombuffer(b"".join(m.field("dist").to_pylist()), np.uint16).reshape(len(fp), -1).astype(np.int16)
+        words = np.ascontiguousarray(fp).view(np.uint64)
+
+        def near(i: int, left: np.ndarray) -> np.ndarray:
+            out = np.ones(len(left), bool)
+            for p in range(0, dist.shape[1], 8):
+                some = np.flatnonzero(out)
+                gap = np.abs(dist[left[some], p : p + 8] - dist[i, p : p + 8]).max(axis=1)
+                out[some[gap > radius]] = False
+            some = np.flatnonzero(out)
+            out[some] = np.bitwise_count(words[left[some]] ^ words[i]).sum(axis=1, dtype=np.int64) <= radius
+            return out
+
+        return near
+
+    return build
+
+
+def _group_links(groups: DataFrame, item: Sequence[str], build: Callable) -> DataFrame:
+    """Links within each group of (cell, value, a, b). A member may be listed twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
             for members in b.column("members"):
                 m = members.values
-                fp = _matrix(m.field("fp"), width)
-                dist = np.frombuffer(b"".join(m.field("dist").to_pylist()), np.uint16).reshape(len(fp), -1).astype(np.int16)
-                words = np.ascontiguousarray(fp).view(np.uint64)
-                found += links_in_bucket(m.field("node").to_numpy(), words, dist, scheme.radius)
-            a, c = zip(*found) if found else ((), ())
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
-
-    return buckets.select("members").mapInArrow(run, "a bigint, b bigint")
+                node, at = np.unique(m.field("node").to_numpy(), return_index=True)
+                if len(node) > 1:
+                    found += search(node, build(m.take(pa.array(at))))
+            x, y = zip(*found) if found else ((), ())
+            yield pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
+    members = F.collect_list(F.struct("node", *item)).alias("members")
+    return groups.groupBy("cell", "value", "a", "b").agg(members).select("members").mapInArrow(run, "a bigint, b bigint")
+
+
+def connect(rows: DataFrame, item: Sequence[str], build: Callable) -> DataFrame:
+    """Links that connect what is near within each bucket (cell, value), from (cell, value,
+    parts, node, item columns).
+
+    A bucket of several parts is first searched part by part, a few representatives of the
+    bucket being members of every part; that joins most of a family. What lies outside the
+    bucket's largest group then meets every part of the bucket, pairs of parts being
+    groups of their own. So every pair of a bucket is compared or already connected."""
+    columns = ["cell", "value", "node", *item, "a", "b"]
+    whole = rows.filter("parts = 1").withColumn("a", F.lit(0)).withColumn("b", F.lit(0)).select(columns)
+    out, large = _group_links(whole, item, build), rows.filter("parts > 1")
+    if large.isEmpty():
+        return out
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    order = F.xxhash64("node", F.lit(1))
+    stars = large.groupBy("cell", "value", "parts", F.pmod(order, F.lit(STARS)).alias("star"))
+    stars = stars.agg(F.min_by(F.struct("node", *item), order).alias("m")).select("cell", "value", "parts", "m.*")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    held = ["cell", "value", "node", *item, "parts"]
+    first = large.select(held).withColumn("a", part).unionByName(stars.select(held).withColumn("a", every))
+    first = first.withColumn("b", F.lit(-1)).select(columns)
+    out = cut(out.unionByName(_group_links(first, item, build)), "first-links")
+    known = large.select(held).join(components(out).withColumnRenamed("component", "group"), "node", "left")
+    known = cut(known.withColumn("group", F.coalesce("group", "node")), "large")
+    counts = known.groupBy("cell", "value", "group").agg(F.count("*").alias("n"))
+    main = counts.groupBy("cell", "value").agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("n"))
+    main = main.select("cell", "value", F.col("main.group").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("rest"))
+    joined = known.join(main.filter("rest > 0"), ["cell", "value"])
+    joined = joined.withColumn("outside", F.ceil(F.col("rest") * F.col("parts") / F.col("n")).cast("int"))
+    rest = joined.filter(F.col("group") != F.col("main"))
+    rest = rest.withColumn("a", F.pmod(F.xxhash64("node", F.lit(2)), F.col("outside")).cast("int")).withColumn("b", every)
+    both = joined.withColumn("b", part).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)))
+    return out.unionByName(_group_links(rest.select(columns).unionByName(both.select(columns)), item, build))
+
+
+def _shared(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows whose bucket has others, with its size ``n`` and the columns of ``table``."""
+    sizes = cut(rows.groupBy("cell", "value").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    return cut(rows.join(sizes, ["cell", "value"]).join(table, "node"), "shared")
 
 
 def links(nodes: DataFrame, scheme: Scheme, bucket: int = BUCKET) -> DataFrame:
     """(a, b) links that connect what the scheme's pairs connect, from distinct (node, fp)."""
     table = cut(pivot_table(nodes, scheme.bits), "pivots")
-    rows, out = cell_rows(table, scheme), None
-    while True:
-        sizes = cut(rows.groupBy("cell", "value").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        shared = cut(rows.join(sizes, ["cell", "value"]).join(table, "node"), "shared")
-        member = F.struct("node", "fp", "dist")
-        small = shared.filter(F.col("n") <= bucket).groupBy("cell", "value").agg(F.collect_list(member).alias("members"))
-        found = _links(small, scheme)
-        out = found if out is None else out.unionByName(found)
-        large = shared.filter(F.col("n") > bucket)
-        if large.isEmpty():
-            return out
-        rows = cut(finer_rows(large.select("cell", "value", "node", "fp"), scheme).distinct(), "finer")
+    shared = _shared(cell_rows(table, scheme), table)
+    large = shared.filter(F.col("n") > bucket)
+    if any(scheme.finer) and not large.isEmpty():
+        finer = finer_rows(large.select("cell", "value", "node", "fp"), scheme).distinct()
+        finer = _shared(cut(finer.withColumn("cell", F.col("cell") + len(scheme.cells)), "finer"), table)
+        shared = shared.filter(F.col("n") <= bucket).unionByName(finer)
+    parts = F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(2 * F.col("n") / bucket)).cast("int")
+    return connect(shared.withColumn("parts", parts), ["fp", "dist"], _within(scheme.radius, scheme.bits))
 
 
 def near_duplicates(df: DataFrame, scheme: Scheme, shingle: int = 3) -> DataFrame:

@@ -111,3 +111,16 @@ def test_wide_fingerprints_estimate_similarity():
         near[i] = "edited"
     a, b, c = (np.frombuffer(sh.fingerprint(sh.hashes(" ".join(w), 5), 256), np.uint8) for w in (words, near, words[::-1]))
     assert np.bitwise_count(a ^ b).sum() < 39 < 90 < np.bitwise_count(a ^ c).sum()
+
+
+def test_sampled_cells_end_on_a_family_no_split_shrinks(spark):
+    """Near copies that agree in most places stay together however often a bucket is split."""
+    rng = random.Random(5)
+    scheme = sh.sampled_scheme(256, 39, 6, 8)
+    centre = rng.getrandbits(256)
+    fps = {centre}
+    while len(fps) < 150:
+        fps.add(centre ^ (1 << rng.randrange(256)) ^ (1 << rng.randrange(256)))
+    nodes = spark.createDataFrame([(i, x.to_bytes(32, "big")) for i, x in enumerate(sorted(fps))], "node bigint, fp binary")
+    got = {r["node"]: r["component"] for r in components(sh.links(nodes, scheme, 20)).collect()}
+    assert got == {i: 0 for i in range(150)}
