@@ -13,8 +13,9 @@ fingerprint tell that bit, so fixing some bits fixes a cell.
   differ with share p meets with probability 1 - (1 - (1 - p)^bits)^cells.
 
 Within a bucket a search from member to member leaves one link per member found, never all
-pairs. Buckets above ``BUCKET`` distinct fingerprints are split once by further bits; those
-still larger are compared in pairs of parts.
+pairs. Buckets above ``BUCKET`` distinct fingerprints are split once by further bits under the
+exact scheme, which loses no pair; those still larger, and all large ones of the sampled
+scheme, are compared in pairs of parts, so size never changes which pairs are found.
 Fingerprints are distinct, so copies of a text, however many, are one member.
 
 Null and empty texts have fingerprint zero and are linked like others. Rows with repeated ids
@@ -46,7 +47,7 @@ STARS = 16  # representatives of a larger bucket
 @dataclass(frozen=True)
 class Scheme:
     """``cells``: bit places of each cell. ``finer``: per cell, the places that split a
-    large bucket further."""
+    large bucket further; none where a split would part pairs within the radius."""
 
     bits: int
     radius: int
@@ -71,13 +72,8 @@ def exact_scheme(bits: int = 64, radius: int = 3, blocks: int = 6, finer_blocks:
 
 def sampled_scheme(bits: int, radius: int, n_cells: int, cell_bits: int, seed: int = 7) -> Scheme:
     rng = np.random.default_rng(seed)
-    cells, finer = [], []
-    for _ in range(n_cells):
-        order = [int(x) for x in rng.permutation(bits)]
-        cells.append(tuple(order[:cell_bits]))
-        rest = order[cell_bits:]
-        finer.append(tuple(tuple(rest[k : k + 12]) for k in range(0, min(len(rest), 96), 12)))
-    return Scheme(bits, radius, tuple(cells), tuple(finer))
+    cells = tuple(tuple(int(x) for x in rng.permutation(bits)[:cell_bits]) for _ in range(n_cells))
+    return Scheme(bits, radius, cells, ((),) * n_cells)
 
 
 def _pivots(bits: int) -> np.ndarray:

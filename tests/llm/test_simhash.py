@@ -124,3 +124,15 @@ def test_sampled_cells_end_on_a_family_no_split_shrinks(spark):
     nodes = spark.createDataFrame([(i, x.to_bytes(32, "big")) for i, x in enumerate(sorted(fps))], "node bigint, fp binary")
     got = {r["node"]: r["component"] for r in components(sh.links(nodes, scheme, 20)).collect()}
     assert got == {i: 0 for i in range(150)}
+
+
+def test_bucket_size_changes_no_result_of_sampled_cells(spark):
+    rng = random.Random(6)
+    scheme = sh.sampled_scheme(256, 39, 3, 2)
+    fps = set()
+    for _ in range(60):
+        centre = rng.getrandbits(256)
+        fps |= {centre, centre ^ sum(1 << b for b in rng.sample(range(256), 37))}
+    nodes = spark.createDataFrame([(i, x.to_bytes(32, "big")) for i, x in enumerate(sorted(fps))], "node bigint, fp binary")
+    one, many = ({r["node"]: r["component"] for r in components(sh.links(nodes, scheme, b)).collect()} for b in (8192, 8))
+    assert one and one == many
