@@ -25,6 +25,7 @@ empty table gives no rows. Columns other than id and text are not carried.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ SEED = 42
 N_PIVOTS = 24
 BUCKET = 8192  # distinct fingerprints compared in one go
 STARS = 16  # representatives of a larger bucket
+SMALL = 16  # shingles under which a fingerprint tells little of a set
 
 
 @dataclass(frozen=True)
@@ -289,14 +291,125 @@ def links(nodes: DataFrame, scheme: Scheme, bucket: int = BUCKET) -> DataFrame:
     return connect(shared.withColumn("parts", parts), ["fp", "dist"], _within(scheme.radius, scheme.bits))
 
 
+def _labelled(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` with component_id, the smallest id reachable; ``key`` joins them to ``nodes``."""
+    named = nodes.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = cut(named.select(key, "least", "component"), "named")
+    # Written, so that a large component's join is one of two plain tables, which Spark can split.
+    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    by_key = cut(named.join(least, "component").select(key, "component_id"), "by-key")
+    return rows.join(by_key, key)
+
+
 def near_duplicates(df: DataFrame, scheme: Scheme, shingle: int = 3) -> DataFrame:
     """doc_id, row_key, fp and component_id (smallest id reachable) of every row."""
     rows = cut(fingerprints(df, shingle, scheme.bits), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("row_key").alias("node"), F.min("doc_id").alias("least")), "nodes")
-    labels = components(links(nodes, scheme))
-    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = cut(named.select("fp", "least", "component"), "named")
-    # Written, so that a large component's join is one of two plain tables, which Spark can split.
-    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    by_fp = cut(named.join(least, "component").select("fp", "component_id"), "by-fingerprint")
-    return rows.join(by_fp, "fp").select("row_key", "doc_id", "fp", "component_id")
+    return _labelled(rows, nodes, links(nodes, scheme), "fp").select("row_key", "doc_id", "fp", "component_id")
+
+
+def band_values(h: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
+    """One value per band of min-hashes of a set of hashes; two sets share one with
+    probability similarity ** band_rows."""
+    rng = np.random.default_rng(13)
+    mul, add, mix = (rng.integers(0, 1 << 64, bands * band_rows, np.uint64) | np.uint64(1) for _ in range(3))
+    least = np.full(bands * band_rows, ~np.uint64(0))
+    for at in range(0, len(h), 256):
+        least = np.minimum(least, (h[at : at + 256, None] * mul + add).min(axis=0))
+    return ((least ^ (least >> np.uint64(31))) * mix).reshape(bands, band_rows).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sketches(rows: DataFrame, shingle: int, bits: int, bands: int, band_rows: int) -> DataFrame:
+    """Of each row's set of shingles: a 128-bit hash, whether it is small, fingerprint, bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [np.unique(hashes(t, shingle)) for t in part.column("text").to_pylist()]
+                yield pa.record_batch({
+                    "row_key": part.column("row_key"),
+                    "doc_id": part.column("doc_id"),
+                    "same": pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary()),
+                    "small": pa.array([len(h) < SMALL for h in sets], pa.bool_()),
+                    "fp": pa.array([fingerprint(h, bits) for h in sets], pa.binary()),
+                    "bands": pa.array([band_values(h, bands, band_rows) for h in sets], pa.list_(pa.int64())),
+                })
+
+    return rows.mapInArrow(run, "row_key bigint, doc_id bigint, same binary, small boolean, fp binary, bands array<bigint>")
+
+
+def _within_or_small(radius: int, bits: int):
+    def build(m: pa.StructArray):
+        within, small = _within(radius, bits)(m), m.field("small").to_numpy(zero_copy_only=False)
+        return lambda i, left: np.ones(len(left), bool) if small[i] else within(i, left) | small[left]
+
+    return build
+
+
+def _similar(percent: int):
+    """Nearness of sets of hashes: exact Jaccard similarity of at least ``percent``."""
+
+    def build(m: pa.StructArray):
+        sets = [np.frombuffer(x, np.uint64) for x in m.field("set").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]
+        ends = np.cumsum(np.bincount(ids))
+        at = np.concatenate([[0], np.cumsum(size)])
+
+        def near(i: int, left: np.ndarray) -> np.ndarray:
+            shared = np.zeros(len(sets), np.int64)
+            own = ids[at[i] : at[i + 1]]
+            for k in range(0, len(own), 1024):
+                lists = [owner[ends[x - 1] if x else 0 : ends[x]] for x in own[k : k + 1024]]
+                shared += np.bincount(np.concatenate(lists), minlength=len(sets))
+            shared = shared[left]
+            return 100 * shared >= percent * (size[i] + size[left] - shared)
+
+        return near
+
+    return build
+
+
+def near_copies(
+    df: DataFrame, shingle: int, percent: int, bits: int, radius: int, bands: int, band_rows: int,
+    bucket: int = BUCKET, group: int = 2048, group_hashes: int = 1 << 21,
+) -> DataFrame:
+    """doc_id, row_key and component_id (smallest id reachable) of every row, by texts whose
+    sets of shingles have a Jaccard similarity of at least ``percent``.
+
+    Texts that share a band of min-hashes are candidates if their fingerprints (of the set) are
+    within ``radius``, or one has few shingles, for which fingerprints tell little. Candidates only
+    make groups; within these every pair is compared by its sets, or already connected by such pairs."""
+    keyed = unique_ids(texts(df)).select("row_key", "doc_id", "text")
+    rows = cut(_sketches(keyed, shingle, bits, bands, band_rows), "sketches")
+    one = rows.groupBy("same").agg(F.min_by(F.struct("fp", "small", "bands"), "row_key").alias("s"), F.min("row_key").alias("node"), F.min("doc_id").alias("least"))
+    nodes = cut(one.select("same", "node", "least", "s.*"), "nodes")
+    table = pivot_table(nodes, bits).join(nodes.select("node", "small"), "node")
+    shared = _shared(nodes.select("node", F.posexplode("bands").alias("cell", "value")), cut(table, "pivots"))
+    parts = F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(2 * F.col("n") / bucket)).cast("int")
+    found = connect(shared.withColumn("parts", parts), ["fp", "dist", "small"], _within_or_small(radius, bits))
+    groups = cut(components(found), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                held = [np.unique(hashes(t, shingle)) for t in part.column("text").to_pylist()]
+                yield pa.record_batch({
+                    "value": part.column("component"),
+                    "node": part.column("node"),
+                    "size": pa.array([len(h) for h in held], pa.int64()),
+                    "set": pa.array([h.tobytes() for h in held], pa.binary()),
+                })
+
+    chosen = keyed.withColumnRenamed("row_key", "node").join(groups, "node").select("component", "node", "text")
+    members = cut(chosen.mapInArrow(sets, "value bigint, node bigint, size bigint, set binary"), "sets")
+    sizes = members.groupBy("value").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    load = F.greatest(F.col("n") / group, F.col("total") / group_hashes)
+    parts = F.when((load <= 1) | (F.col("n") == 2), 1).otherwise(F.least(F.ceil(2 * load), F.col("n"))).cast("int")
+    sizes = cut(sizes.select("value", parts.alias("parts")), "sizes")
+    buckets = members.join(sizes, "value").withColumn("cell", F.lit(0))
+    exact = connect(buckets.select("cell", "value", "parts", "node", "set"), ["set"], _similar(percent))
+    return _labelled(rows, nodes, exact, "same").select("row_key", "doc_id", "component_id")

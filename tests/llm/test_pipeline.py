@@ -1,5 +1,6 @@
 """Each stage against a plain version on its own input."""
 
+import random
 import re
 from collections import Counter
 
@@ -139,3 +140,32 @@ def test_wide_radius_leaves_other_texts_alone(spark):
             if jaccard < 0.3:
                 assert (fps[i] ^ fps[j]).bit_count() > corpus_pipeline.NEAR["radius"]
     assert toxicity.THRESHOLD == 0.5
+
+
+def test_near_copies_match_true_jaccard(spark):
+    """Families on either side of 0.8, a small one too, against all pairs of shingle sets."""
+    rng = random.Random(8)
+    texts = []
+    for n, changes in [(300, k) for k in (2, 5, 6, 7, 8, 9, 10, 12)] * 12 + [(12, 0), (9, 0), (6, 0), (3, 0)] * 3:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for i in rng.sample(range(0, n, 6), changes):
+            words[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words if changes else [*words, "end"]))
+    template = [f"t{i}" for i in range(200)]
+    for k in range(60):
+        for i in rng.sample(range(0, 200, 5), 2):
+            template[i] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(template))
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((want[i], want[j]))
+                want = [a if g == b else g for g in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for sizes in ({}, {"bucket": 10, "group": 10}):
+        out = simhash.near_copies(docs, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILAR, **corpus_pipeline.NEAR, **sizes)
+        assert [r["component_id"] for r in out.orderBy("doc_id").collect()] == want
