@@ -38,6 +38,16 @@ class Rule:
     least: int = 0
 
 
+# A key with its body: up to the END line where no other line of five dashes comes first, else over
+# the base64 lines that follow, the last of which may be short. Line ends may be written as escapes.
+_GAP = r"(?:[\x09-\x0D\x20]|\\[rnt])+"
+_KEY = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+)*-{5,}END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type: ?4,ENCRYPTED|DEK-Info: ?[A-Z0-9-]+,[0-9A-Fa-f]+))*"
+    rf"(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{_GAP}[A-Za-z0-9+/]+={{0,2}})?)?"
+)
+
 # In this order kinds are listed where spans start together. The first three are the base.
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
@@ -50,11 +60,11 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16}", 0, 20),
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24),
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY, r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
     Rule("bearer", r"\bBearer ([A-Za-z0-9._~+/-]{20,}=*)", r"Bearer [A-Za-z0-9._~+/-]{20}"),
     Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\x09-\x0D\x20/:@]{1,100}:[^\x09-\x0D\x20/:@]{3,100}@", r"://[^\x09-\x0D\x20/:@]{1,100}:[^\x09-\x0D\x20/:@]{3,100}@"),
 )
-VERSION = "1"
+VERSION = "1.1"
 
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
 

@@ -59,3 +59,22 @@ def test_only_unseen_pairs_are_scanned(docs, spark, monkeypatch):
 def test_redact(docs):
     df = ss.find_secrets(docs((1, CASES[5][0]), (2, "clean"))).join(docs((1, CASES[5][0]), (2, "clean")).select("doc_id", "text"), "doc_id")
     assert {r[0] for r in df.select(ss.redact(F.col("text"), F.col("spans"))).collect()} == {"[assign]", "clean"}
+
+
+def pem(kind, lines, end=True, gap="\n"):
+    body = gap.join([("Mq7/+z" + "abcXYZ012" * 7)[:64]] * lines + ["Tail9Q=="])
+    return f"-----BEGIN {kind}PRIVATE KEY-----{gap}{body}" + (f"{gap}-----END {kind}PRIVATE KEY-----" if end else "")
+
+
+def test_the_body_of_a_private_key_goes(docs):
+    keys = [pem(k, n, e, g) for k in ("", "RSA ", "ENCRYPTED ") for n in (1, 20) for e in (True, False) for g in ("\n", "\\n", " ", "\r\n")]
+    keys.append("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + "Qz9/" * 16 + "\nTail9Q==")
+    df = docs(*[(i, f"before {k}\n\n- after, all the same") for i, k in enumerate(keys)])
+    rows = ss.find_secrets(df).join(df.select("doc_id", "text"), "doc_id")
+    out = {r["doc_id"]: r["x"] for r in rows.select("doc_id", ss.redact(F.col("text"), F.col("spans")).alias("x")).collect()}
+    assert out == {i: "before [private_key]\n\n- after, all the same" for i in range(len(keys))}
+
+
+def test_a_header_alone_takes_no_prose():
+    for text in ("-----BEGIN RSA PRIVATE KEY----- is the first line of a key", "-----BEGIN PRIVATE KEY----- x -----BEGIN PRIVATE KEY-----"):
+        assert all(text[a:b].endswith("-----") and text[a:b].count("BEGIN") == 1 for _, a, b in ss.scan(text))
