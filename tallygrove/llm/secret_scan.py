@@ -62,9 +62,9 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24),
     Rule("private_key", _KEY, r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
     Rule("bearer", r"\bBearer ([A-Za-z0-9._~+/-]{20,}=*)", r"Bearer [A-Za-z0-9._~+/-]{20}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\x09-\x0D\x20/:@]{1,100}:[^\x09-\x0D\x20/:@]{3,100}@", r"://[^\x09-\x0D\x20/:@]{1,100}:[^\x09-\x0D\x20/:@]{3,100}@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\x09-\x0D\x20/:@]*:[^\x09-\x0D\x20/:@]{3,}@", r"://[^\x09-\x0D\x20/:@]*:[^\x09-\x0D\x20/:@]{3,}@"),
 )
-VERSION = "1.1"
+VERSION = "1.2"
 
 SPANS = "array<struct<kind:string,start:int,stop:int>>"
 

@@ -78,3 +78,8 @@ def test_the_body_of_a_private_key_goes(docs):
 def test_a_header_alone_takes_no_prose():
     for text in ("-----BEGIN RSA PRIVATE KEY----- is the first line of a key", "-----BEGIN PRIVATE KEY----- x -----BEGIN PRIVATE KEY-----"):
         assert all(text[a:b].endswith("-----") and text[a:b].count("BEGIN") == 1 for _, a, b in ss.scan(text))
+
+
+def test_logins_without_user_or_with_long_parts(docs):
+    urls = ["redis://:passw0rd@", f"https://u:{'x' * 3000}@", f"https://{'u' * 300}:pass@"]
+    assert found(docs(*enumerate(urls))) == {(i, (("url_login", 0, len(u)),)) for i, u in enumerate(urls)}
