@@ -8,7 +8,8 @@ of the earlier links (words are chosen without the held-out fold as well), so
 what a link sees in training is as good as what it sees later.
 
 Fitting takes at most ``max_rows`` labelled documents, the ones whose ids have the smallest
-hashes; near copies of one text among them count once. All else covers every
+hashes; near copies of one text among them that share all of several min-hashes
+count once, by the smallest id. All else covers every
 document and every word of it.
 
 Null texts count as empty; their probabilities come from the intercepts. Labels
@@ -34,6 +35,7 @@ from tallygrove.llm.common import SPACE, cut, let, texts
 CATEGORIES = ("quality", "toxic")
 MAX_ROWS = 10_000
 FOLDS = 4
+SKETCH = 8  # min-hashes that near copies in the training sample share
 TOP_WORDS = 150  # per category and sign of association
 MIN_DOCS = 4
 RIDGE = 1.0
@@ -145,12 +147,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, categories: Sequence[
     rows = texts(documents).join(F.broadcast(known), "doc_id")  # at most max_rows small rows
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys])
 
-
     def sketch(w: Column) -> Column:
-        return F.array_min(F.transform(w, lambda x, i: F.xxhash64(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))))
+        shingles = F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
+        return let(shingles, lambda s: F.array(*[F.array_min(F.transform(s, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(SKETCH)]))
 
     rows = rows.withColumn("sketch", let(F.split(F.lower("text"), SPACE), sketch))
-    rows = rows.orderBy("doc_id").dropDuplicates(["sketch"]).drop("sketch")
+    rows = rows.groupBy("sketch").agg(F.min_by(F.struct("doc_id", "text", *ys), "doc_id").alias("first")).select("first.*")
     return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
 
 

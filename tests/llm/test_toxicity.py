@@ -77,3 +77,14 @@ def test_later_links_use_earlier_ones(spark):
     assert len(second.weights) == len(second.words) + tx.N_SHAPE + 2 + 1 + 1
     assert len(first.weights) == len(first.words) + tx.N_SHAPE + 2 + 1
     assert np.isfinite(second.weights).all()
+
+
+def test_a_shared_passage_keeps_training_rows(spark):
+    """Half of each text is one passage; copies count once, by the smallest id."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"d{k}x{i}" for i in range(40)) for k in range(60)]
+    texts += [texts[0], texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i == 61)) for i in range(62)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"] for r in tx.training_rows(docs, labels, tx.CATEGORIES, 1000).collect()}
+    assert got == {*range(60)}
