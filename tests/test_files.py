@@ -6,7 +6,7 @@ import json
 import zlib
 
 import pytest
-from conftest import sale
+from sales_rows import sale
 from pyspark.errors import StreamingQueryException
 
 from tallygrove.operators import enrich

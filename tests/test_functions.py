@@ -4,7 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from conftest import sale
+from sales_rows import sale
 from pyspark.sql import functions as F
 
 from tallygrove.functions import bands, calendar

@@ -5,7 +5,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
-from conftest import sale
+from sales_rows import sale
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
