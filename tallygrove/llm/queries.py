@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import (
-    chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity,
+    chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity, vector_codes,
 )
 from tallygrove.llm.common import load, tokenizer_file
 
@@ -240,3 +240,54 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("ids") / 2).cast("bigint").alias("n_tokens"), pieces.crc32_of_ids().alias("ids_crc32"),
         "score", "n_chunks", sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors and their errors."""
+    rows, books = vector_codes.compress(load(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(rows).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"),
+    )
+
+
+def _assigned_sql(k: int) -> str:
+    """Nearest entry of round k for each part of each vector."""
+    return f"""a{k} AS (
+  SELECT r, part, arg_min(e, [d, e]) AS e, min(d) AS d FROM (
+    SELECT p.r, p.part, b.e, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(p.v, b.v)]) AS d
+    FROM p JOIN b{k} b USING (part)
+  ) GROUP BY r, part
+)"""
+
+
+def _moved_sql(k: int) -> str:
+    """Codebooks after round k; unused entries stay."""
+    return f"""m{k} AS (
+  SELECT part, e, list(f ORDER BY i) AS v FROM (
+    SELECT part, a.e, i, CAST(floor(sum(CAST(p.v[i] AS DOUBLE)) / count(*)) AS BIGINT) AS f
+    FROM a{k} a JOIN p USING (r, part), range(1, w + 1) AS t(i) GROUP BY part, a.e, i
+  ) GROUP BY part, e
+), b{k + 1} AS (
+  SELECT b.part, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m ON b.part = m.part AND b.e = m.e
+)"""
+
+
+SQL["op11_vector_codes"] = f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), p AS (
+  SELECT r, part, v[part * w + 1:part * w + w] AS v, w FROM (SELECT r, v, len(v) // 16 AS w FROM k), range(16) AS t(part)
+), b0 AS (SELECT part, r - 1 AS e, v FROM p WHERE r <= 64),
+{_assigned_sql(0)}, {_moved_sql(0)}, {_assigned_sql(1)}, {_moved_sql(1)}, {_assigned_sql(2)},
+c AS (
+  SELECT r, lower(string_agg(printf('%02x', e), '' ORDER BY part)) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256
+FROM k JOIN c USING (r)
+"""
