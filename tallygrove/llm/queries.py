@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import (
-    chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity, vector_codes,
+    chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity, turn_repair,
+    vector_codes,
 )
 from tallygrove.llm.common import load, tokenizer_file
 
@@ -291,3 +292,74 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
   (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256
 FROM k JOIN c USING (r)
 """
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged in a known way and repaired."""
+    rows = load(spark, sf_dir, "conversations")
+    return turn_repair.repair(rows, turn_repair.damage(rows))
+
+
+SQL["op12_turn_repair"] = r"""
+WITH RECURSIVE k AS (
+  SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST((ord(x) >> b) & 1 AS BIGINT) FOR b IN range(8)] FOR x IN string_split(name, '')])),
+    lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)
+  ), CAST(4294967295 AS BIGINT)) % 20 AS kind
+  FROM k
+), d AS (
+  SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(2) AS t(i) WHERE kind <> 0 AND (i = 0 OR kind = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || ':' || text)) AS p FROM d
+), f AS (
+  SELECT c, turn, role, text, p, left(role, 1) AS ini, lead(left(role, 1)) OVER (PARTITION BY c ORDER BY p) AS next_ini,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM o
+), ins AS (
+  SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+    (0, 2, 3, 'I', 'u'), (1, 2, 3, 'I', 'u'), (3, 2, 3, 'I', 'u'), (2, 3, 3, 'I', 'a'),
+    (0, 3, 6, 'II', 'ua'), (1, 3, 6, 'II', 'ua')) AS t(a, b, cost, audit, roles)
+), edit AS (
+  SELECT * FROM (VALUES (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (3, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0),
+    (0, 2, 'R', 'user', 3), (1, 2, 'R', 'user', 3), (3, 2, 'R', 'user', 3), (2, 3, 'R', 'assistant', 3),
+    (0, 0, 'D', '', 4), (1, 1, 'D', '', 4), (2, 2, 'D', '', 4), (3, 3, 'D', '', 4)) AS t(b, z, op, role, cost)
+), move AS (
+  SELECT a, z, op, edit.role AS e_role, ins.cost + edit.cost AS cost, ins.audit || op AS audit,
+    CASE roles WHEN '' THEN [] WHEN 'u' THEN ['user:'] WHEN 'a' THEN ['assistant:'] ELSE ['user:', 'assistant:'] END AS made
+  FROM ins JOIN edit ON ins.b = edit.b
+), s(c, p, z, best) AS (
+  SELECT c, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'rows': CAST([] AS VARCHAR[])} FROM (SELECT DISTINCT c FROM f)
+  UNION ALL
+  SELECT s.c, s.p + 1, m.z, min({
+    'cost': CAST(s.best.cost + m.cost + CASE WHEN f.fault = 'truncated' AND m.op <> 'D' THEN 3 ELSE 0 END AS BIGINT),
+    'audit': s.best.audit || m.audit,
+    'rows': list_concat(s.best.rows, m.made, CASE m.op WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [m.e_role || ':' || f.text] ELSE [] END)
+  })
+  FROM s JOIN f ON f.c = s.c AND f.p = s.p + 1 JOIN move m ON m.a = s.z
+  WHERE m.op = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (m.op = 'R' OR m.e_role = f.ini))
+  GROUP BY s.c, s.p, m.z
+), g AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (next_ini IS NOT NULL AND ini || next_ini NOT IN ('su', 'ua', 'au')) AS illegal, max(p) AS n
+  FROM f GROUP BY c
+), e AS (
+  SELECT g.c, min({'cost': s.best.cost + ins.cost, 'audit': s.best.audit || ins.audit,
+    'rows': list_concat(s.best.rows, CASE roles WHEN '' THEN [] WHEN 'u' THEN ['user:'] WHEN 'a' THEN ['assistant:'] ELSE ['user:', 'assistant:'] END)}) AS best
+  FROM g JOIN s ON s.c = g.c AND s.p = g.n JOIN ins ON ins.a = s.z WHERE ins.b IN (0, 3) GROUP BY g.c
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.rows, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM k) LEFT JOIN g USING (c) LEFT JOIN e USING (c)
+"""
