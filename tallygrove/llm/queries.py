@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import (
-    chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity, turn_repair,
-    vector_codes,
+    chat, decontaminate, exact_dedup, packing, pieces, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity,
+    turn_repair, vector_codes,
 )
 from tallygrove.llm.common import load, tokenizer_file
 
@@ -321,9 +321,11 @@ WITH RECURSIVE k AS (
   SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || ':' || text)) AS p FROM d
 ), f AS (
   SELECT c, turn, role, text, p, left(role, 1) AS ini, lead(left(role, 1)) OVER (PARTITION BY c ORDER BY p) AS next_ini,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
       WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault
   FROM o
 ), ins AS (
   SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
@@ -363,3 +365,40 @@ SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS
   coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.rows, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT c, conv_id FROM k) LEFT JOIN g USING (c) LEFT JOIN e USING (c)
 """
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in ten-word windows of the benchmark."""
+    rows = decontaminate.find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["word_end"] - s["word"])
+    return rows.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
+        sha256(F.array_join("item_ids", ",")).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+SQL["op13_decontamination"] = r"""
+WITH s AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), t AS (
+  SELECT row_number() OVER () AS r, side, id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'
+  ), lambda x: x <> '') AS w FROM s
+), p AS (
+  SELECT DISTINCT coalesce(CAST(id AS VARCHAR), '') AS item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM t WHERE side = 'b' AND len(w) > 0)
+), d AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, (SELECT DISTINCT n FROM p) WHERE side = 'd' AND len(w) >= n)
+), h AS (
+  SELECT r, d.n, i, item FROM d JOIN p ON d.n = p.n AND d.phrase = p.phrase
+), c AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM h) GROUP BY r
+), g AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r
+)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM t LEFT JOIN c USING (r) LEFT JOIN g USING (r) WHERE side = 'd'
+"""
