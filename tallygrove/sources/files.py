@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallygrove.schema import SALES_SCHEMA
+from tallygrove.sources.versions import VersionedTable, is_versioned
 
 BAD_ROW = "_bad_row"
 
@@ -21,10 +23,10 @@ CSV_OPTIONS = {
 
 
 def read_sales(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """The stored fact table; partition columns the sinks added come last. A
-    path that does not exist yet is an empty table."""
+    """The stored fact table, the latest version of it if it is kept in versions; partition
+    columns the sinks added come last. A path that does not exist yet is an empty table."""
     try:
-        df = spark.read.parquet(path)
+        df = VersionedTable(spark, path).read() if is_versioned(spark, path) else spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -81,5 +83,8 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def read_parts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Many Parquet files or folders as one table."""
-    return spark.read.parquet(*paths)
+    """Many Parquet files, folders or tables kept in versions as one table."""
+    kept = [p for p in paths if is_versioned(spark, p)]
+    plain = [p for p in paths if p not in kept]
+    parts = [VersionedTable(spark, p).read() for p in kept] + ([spark.read.parquet(*plain)] if plain else [])
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,6 @@ single output file is made only when asked for.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +14,9 @@ from pyspark.sql import functions as F
 from tallygrove.functions.calendar import month_start
 from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION, SALES_COLUMNS
 from tallygrove.sources.files import CSV_OPTIONS, read_csv, read_parts
+from tallygrove.sources.versions import CHUNK, VersionedTable
 
 ROWS_PER_PART = 10_000
-CHUNK_PARTITION = "sale_chunk"
 
 # Columns by which single sales are looked up.
 LOOKUP_COLUMNS = ["customer_id", "receipt_number", "product_id"]
@@ -142,7 +141,7 @@ def _arranged(df: DataFrame, by: str) -> DataFrame:
     it together and sorted by date, so that row-group statistics prune well. The
     rebalance lets Spark size the files: small values share a task, a value with
     very many rows is split over several."""
-    rows = df.select(SALES_COLUMNS).withColumn(by, partition_value(by))
+    rows = df.select(*SALES_COLUMNS, *[c for c in [CHUNK] if c in df.columns]).withColumn(by, partition_value(by))
     # Without adaptive execution the hint does nothing.
     adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
     rows = rows.hint("rebalance", F.col(by)) if adaptive else rows.repartition(by)
@@ -171,19 +170,23 @@ def write_partitioned(df: DataFrame, path: str, by: str = MONTH_PARTITION, bloom
     return path
 
 
+def sales_table(spark: SparkSession, path: str, by: str = MONTH_PARTITION, bloom: Sequence[str] = ()) -> VersionedTable:
+    """The fact table kept in versions, with one folder per month (or day) and stored counts per day."""
+    return VersionedTable(spark, path, by, _arranged, "date", bloom)
+
+
 def append_sales(df: DataFrame, path: str, chunk: str, by: str = DAY_PARTITION, bloom: Sequence[str] = ()) -> str:
-    """Add a chunk to a fact table made of chunks. Each has a folder of its own, named by
-    its id, so loading it again replaces its own rows and no others, whatever
-    days it holds, undated rows included."""
-    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_.-]*", chunk):
-        raise ValueError("a chunk id starts with a letter and holds letters, digits, _ . and -")
-    _fact_writer(df, by, bloom).parquet(f"{path}/{CHUNK_PARTITION}={chunk}")
+    """Add a chunk to a fact table made of chunks, as its next version. Loading a chunk again
+    replaces its own rows and no others, whatever days it holds, undated rows
+    included. Readers see the version before until the chunk is there as a whole."""
+    sales_table(df.sparkSession, path, by, bloom).append(df.select(SALES_COLUMNS), chunk)
     return path
 
 
 def replace_table(df: DataFrame, path: str) -> str:
-    """Replace the stored table by these rows."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the stored table by these rows, as its next version: readers go on with the version
+    they opened, and a write that is broken off changes nothing."""
+    VersionedTable(df.sparkSession, path).replace(df)
     return path
 
 
