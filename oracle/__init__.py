@@ -10,7 +10,8 @@ from __future__ import annotations
 from oracle.base import with_sales
 from oracle.reports import REPORT_SQL
 from oracle.steps import STEP_SQL
+from oracle.tables import TABLE_SQL
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_sales(body) for name, body in {**REPORT_SQL, **STEP_SQL}.items()}
+    return {name: with_sales(body) for name, body in {**REPORT_SQL, **STEP_SQL, **TABLE_SQL}.items()}

@@ -84,11 +84,12 @@ def sample(df: DataFrame, n: int) -> DataFrame:
     return earliest(df, n).select(SALES_COLUMNS)
 
 
-def page(df: DataFrame, number: int, size: int) -> DataFrame:
-    """One page of the rows, newest first. Pages count from 1."""
+def page(df: DataFrame, number: int, size: int, days: DataFrame | None = None) -> DataFrame:
+    """One page of the rows, newest first. Pages count from 1. With ``days``, the number of rows
+    (n) per day as stored beside a table, no rows are counted to find the page."""
     if number < 1 or not 1 <= size <= 1000:
         raise ValueError("page starts at 1 and page_size lies between 1 and 1000")
-    df, skip = _around(df, (number - 1) * size, size)
+    df, skip = _around(df, (number - 1) * size, size, days)
     return df.orderBy(*_order(["-date", *_tiebreak(df)])).offset(skip).limit(size)
 
 
@@ -97,33 +98,52 @@ def _tiebreak(df: DataFrame) -> list[str]:
     return [*ROW_ID, *[c for c in SALES_COLUMNS if c in df.columns and c not in ("date", *ROW_ID)]]
 
 
-def _around(df: DataFrame, skip: int, n: int) -> tuple[DataFrame, int]:
+def _around(df: DataFrame, skip: int, n: int, days: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Of the rows, newest first, those of the months and days that rows skip+1 to
     skip+n can lie in, and how many of them are still to be skipped.
 
-    Rows are counted per month, then per day of the months that are left, so a deep page
-    sorts a few days and not all rows before it. Without the partition column
-    all rows stay.
+    Stored counts per day tell the days at once. Without them rows are counted per month, then per
+    day of the months that are left; without the partition column all rows stay. Either way a deep page
+    sorts a few days and not all rows before it.
     """
+    if days is not None:
+        keep, skip = _holding([(r["day"], r["n"]) for r in days.select("day", "n").collect()], skip, n)
+        if not keep:
+            return df.limit(0), 0
+        months = sorted({d and d.replace(day=1) for d in keep}, key=lambda d: (d is not None, d or dt.date.min))
+        if MONTH_PARTITION in df.columns:
+            df = df.filter(_among(F.col(MONTH_PARTITION), months))
+        return df.filter(_among(F.to_date("date"), keep)), skip
     if MONTH_PARTITION not in df.columns:
         return df, skip
     for part in (F.col(MONTH_PARTITION), F.to_date("date")):
         counts = df.groupBy(part.alias("d")).agg(F.count("*").alias("n")).collect()
-        order = sorted(counts, key=lambda r: (r["d"] is not None, r["d"] or dt.date.min), reverse=True)
-        before, keep, first = 0, [], None
-        for r in order:
-            if before < skip + n and before + r["n"] > skip:
-                first = before if first is None else first
-                keep.append(r["d"])
-            before += r["n"]
+        keep, skip = _holding([(r["d"], r["n"]) for r in counts], skip, n)
         if not keep:
             return df.limit(0), 0
-        dated = [d for d in keep if d is not None]
-        inside = part.between(F.lit(min(dated)), F.lit(max(dated))) if dated else F.lit(False)
-        df, skip = df.filter(inside | part.isNull() if None in keep else inside), skip - first
+        df = df.filter(_among(part, keep))
     return df, skip
 
 
+def _holding(counts: Sequence[tuple[dt.date | None, int]], skip: int, n: int) -> tuple[list, int]:
+    """The dates that rows skip+1 to skip+n lie in, newest first and no date last, and how many rows
+    of them come before."""
+    before, keep, first = 0, [], 0
+    for d, rows in sorted(counts, key=lambda c: (c[0] is not None, c[0] or dt.date.min), reverse=True):
+        if before < skip + n and before + rows > skip:
+            first = first if keep else before
+            keep.append(d)
+        before += rows
+    return keep, skip - first
+
+
+def _among(part: Column, dates: Sequence[dt.date | None]) -> Column:
+    """The date is one of a run of dates."""
+    dated = [d for d in dates if d is not None]
+    inside = part.between(F.lit(min(dated)), F.lit(max(dated))) if dated else F.lit(False)
+    return inside | part.isNull() if None in dates else inside
+
+
 def _behind(key: str, value: Column | None, descending: bool = False) -> Column:
     """The row sorts behind the value of this key, nulls being last."""
     c = F.col(key)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallygrove.plans.registry import REPORTS
 from tallygrove.plans.steps import STEPS
+from tallygrove.plans.tables import TABLES
 from tallygrove.sources.star import report_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,4 +38,4 @@ def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return REPORTS[name](report_table(spark, sf_dir), **PARAMETERS.get(name, {}))
 
 
-QUERIES: dict[str, Query] = {name: partial(_run, name) for name in REPORTS} | STEPS
+QUERIES: dict[str, Query] = {name: partial(_run, name) for name in REPORTS} | STEPS | TABLES

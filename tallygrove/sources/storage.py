@@ -57,5 +57,12 @@ class Folder:
             self.delete(hidden)
         return done
 
+    def move(self, name: str, path: str) -> None:
+        """Move a file of this folder to a path of the same file system."""
+        target = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(name), target):
+            raise OSError(f"{self.path}/{name} was not moved to {path}")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

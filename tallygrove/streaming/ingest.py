@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallygrove.schema import MONTH_PARTITION, SALES_SCHEMA
 from tallygrove.sources.files import CSV_OPTIONS, read_csv, strict_options
-from tallygrove.sources.sinks import partition_value, write_partitioned
+from tallygrove.sources.sinks import partition_value, sales_table, write_partitioned
+from tallygrove.sources.storage import Folder
+from tallygrove.sources.versions import CHUNK, CHUNK_ID
 
 
 def ingest_chunks(
@@ -63,3 +71,86 @@ def ingest_new_chunks(
 def ingested(spark: SparkSession, dst: str, schema: StructType = SALES_SCHEMA) -> DataFrame:
     """The rows ingested so far, in the order of the schema's columns."""
     return spark.read.parquet(dst).select(schema.fieldNames())
+
+
+# A file's chunk: its name without the ending and without a revision such as _v2 or -rev3.
+_REVISION = r"(?:[_.-](?:v|rev|r)\d+)?(?:\.[A-Za-z0-9]+)*$"
+_FILE, _TIME = "_source_file", "_source_time"
+
+
+def chunk_of(path: str) -> str:
+    """``.../sales_0007_v2.csv`` -> ``sales_0007``."""
+    name = unquote(path.rstrip("/").rsplit("/", 1)[-1])
+    chunk = re.sub(_REVISION, "", name, count=1)
+    return chunk if re.fullmatch(CHUNK_ID, chunk) else "c" + re.sub(r"[^A-Za-z0-9_.-]", "_", chunk)
+
+
+def ingest_deliveries(
+    spark: SparkSession,
+    folder: str,
+    dst: str,
+    checkpoint: str,
+    schema: StructType | str = SALES_SCHEMA,
+    chunk_id: Callable[[str], str] = chunk_of,
+    max_files: int = 1000,
+    multi_line: bool = True,
+) -> str:
+    """Add or correct the chunks delivered since the last run, then stop. A file is one delivery
+    of a chunk; its name tells which (``chunk_id``).
+
+    The table (kept in versions, see :mod:`tallygrove.sources.versions`) has a ledger of its
+    chunks: the file each came from, and a digest of its rows. A delivery that repeats what the ledger
+    has, under whatever name, adds nothing; one with other rows replaces the chunk's rows, wherever
+    they lie. Of several deliveries of a chunk in one batch the newest file counts, then the
+    last name. Rows, ledger and the number of the stream's batch are published together: a
+    batch that crashed is either all there, and not done again, or not there at all.
+
+    A file without rows delivers nothing. A row that does not fit the schema fails the run.
+    """
+    files = (
+        spark.readStream.options(**CSV_OPTIONS).options(**strict_options()).option("maxFilesPerTrigger", max_files)
+        .option("multiLine", multi_line).schema(schema).csv(folder)
+        .withColumns({_FILE: F.col("_metadata.file_path"), _TIME: F.col("_metadata.file_modification_time")})
+    )
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        stream = json.loads(Folder(spark, checkpoint).read("metadata"))["id"]
+        put_batch(batch, dst, chunk_id, (stream, number))
+
+    query = files.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return dst
+
+
+def row_digest(columns: list[str]):
+    """A digest of a set of rows, whatever their order: their number, and sum and exclusive or of
+    two hashes of each."""
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
+    parts = [F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.bit_xor(two)]
+    return F.concat_ws(":", *[p.cast("string") for p in parts])
+
+
+def put_batch(batch: DataFrame, dst: str, chunk_id: Callable[[str], str], stream: tuple[str, int]) -> list[str]:
+    """Publish one batch of deliveries: the chunks that were added or replaced. The driver holds one
+    line per file, of which a batch has a bounded number."""
+    spark = batch.sparkSession
+    table = sales_table(spark, dst)
+    head = table.head()
+    if head.streams.get(stream[0], -1) >= stream[1]:
+        return []
+    own = [c for c in batch.columns if c not in (_FILE, _TIME)]
+    seen = batch.groupBy(_FILE, _TIME).agg(row_digest(own).alias("digest")).collect()
+    known = {entry["digest"]: chunk for chunk, entry in head.ledger.items() if entry}
+    last = {}
+    for r in sorted(seen, key=lambda r: (r[_TIME], r[_FILE])):
+        last[chunk_id(r[_FILE])] = r
+    taken, ledger = [], {}
+    for chunk, r in last.items():
+        if known.setdefault(r["digest"], chunk) == chunk and head.ledger.get(chunk, {}).get("digest") != r["digest"]:
+            ledger[chunk] = {"digest": r["digest"], "file": r[_FILE]}
+            taken.append((r[_FILE], chunk))
+    if taken:
+        named = F.broadcast(spark.createDataFrame(taken, f"{_FILE} string, {CHUNK} string"))
+        rows = batch.join(named, _FILE).select(*own, CHUNK)
+        table.put_chunks(rows, ledger, f"deliver {len(taken)} chunks", stream)
+    return sorted(ledger)
