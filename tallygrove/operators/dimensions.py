@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.calendar import DISCOUNT_PERIODS, november_friday
+from tallygrove.operators.lookup import lookup_join
 
 PARAMETER_COLUMNS = ["key", "value", "alternative_key", "alternative_value"]
 
 # A dimension is only forced to be broadcast when it has at most this many rows.
 BROADCAST_ROWS = 100_000
-SALTS = 32  # tasks over which a key of a larger dimension is dealt
 
 
 def upsert_by_key(
@@ -82,9 +82,9 @@ def enrich_geo(df: DataFrame, cities: DataFrame) -> DataFrame:
     listed get nulls. A name listed twice keeps its first entry by country id,
     so no sale is doubled.
 
-    Cities are reduced to their distinct entries by a hash aggregate first. Up to BROADCAST_ROWS
-    of them are fetched and broadcast, so that no sale is shuffled by its city; a larger list is
-    joined with each city dealt over several tasks, as a few cities hold most sales.
+    Cities are reduced to their distinct entries by a hash aggregate first, then joined by
+    :func:`lookup_join`: broadcast if counted to be few, else with the hot cities kept out of
+    the shuffle, as a few cities hold most sales.
     """
     entry = [F.col("name").alias("city"), F.col("country_id").cast("string").alias("country_id"), "country"]
     distinct = cities.select(*entry).groupBy("city", "country_id", "country").agg(F.count("*").alias("_n"))
@@ -93,19 +93,7 @@ def enrich_geo(df: DataFrame, cities: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("country_id", "country")).alias("c"))
         .select("city", "c.country", "c.country_id")
     )
-    rows = df.drop("country", "country_id")
-    few = lookup.limit(BROADCAST_ROWS + 1).collect()
-    if len(few) <= BROADCAST_ROWS:
-        small = df.sparkSession.createDataFrame(few, lookup.schema)
-        return rows.join(F.broadcast(small), "city", "left")
-    return _salted_lookup(rows, lookup, "city")
-
-
-def _salted_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Left join with each key dealt over SALTS tasks."""
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+    return lookup_join(df.drop("country", "country_id"), lookup, "city", BROADCAST_ROWS)
 
 
 def date_spine(spark: SparkSession, start: str, end: str, name: str = "sale_date") -> DataFrame:

@@ -1,18 +1,29 @@
 """Exact order statistics of a table of any size: deciles and the median.
 
 ``ntile`` over all rows would sort the whole table in one task. But a tile is
-decided by at most n-1 boundary rows, so it is enough to find those. They are
-found by counting: a pass counts the rows per slice of the value range, the
-next one looks only into the slices that hold a boundary, until a slice is a single
-value or holds few rows. Every pass is a scan of the ordering columns with
-map-side counts, and no rows are shuffled. Rows are then compared with the
-boundaries.
+decided by at most n-1 boundary rows, so it is enough to find those, with two scans
+of the ordering columns:
+
+1. A mergeable quantile sketch gives values on either side of each boundary and at it.
+2. Rows are counted: those between two boundaries' brackets together, those
+   inside a bracket by their key. A value that the sketch itself returned may be very common;
+   its rows are counted by 4096 slices of their tie key. All other values of a
+   bracket together are less than 8 in SKETCH of the rows.
+
+The counts are a small stored table, in which the boundaries are found by counting again (the
+rows per slice of a range, then only in the slices with a boundary). A boundary inside a slice
+of a very common value takes a third scan, of that value's rows alone. A table of
+few rows is listed, and a boundary that the sketch failed to bracket is
+looked for in the table itself, so the result never depends on the sketch.
+
+No rows are shuffled but those counts. Rows are then compared with the boundaries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrove.schema import AMOUNT
+from tallygrove.sources.stored import stored
 
+SKETCH = 10_000  # the sketch's rank error is one in so many rows
 FANOUT = 4096  # slices per open range and pass
 FEW_ROWS = 5_000  # a range with so few rows is listed instead of sliced
 _COPIES_PER_STEP = 100_000
 _HASH_BITS = 60
+_SLICE_BITS = 12
 
 
 @dataclass
@@ -84,10 +98,13 @@ class _Cell:
     hi: int | None
 
 
-def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -> list[list[_Cell]]:
+def _count_pass(
+    df: DataFrame, levels: Sequence[Column], ranges: list[_Range], weight: str | None = None
+) -> list[list[_Cell]]:
     """One scan for all ranges: the cells of each, in order. Their number is
     bounded, so they fit the driver whatever the table's size. FANOUT and FEW_ROWS
-    change the number of scans, not the result."""
+    change the number of scans, not the result. ``weight`` is a column that tells how many rows
+    a row stands for."""
     slot, inside = None, []
     for i, r in enumerate(ranges):
         key = levels[r.depth]
@@ -104,9 +121,9 @@ def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -
         inside.append(held)
     counted = (
         df.filter(reduce(lambda a, b: a | b, inside))
-        .select(slot.alias("p"))
+        .select(slot.alias("p"), (F.col(weight) if weight else F.lit(1)).alias("w"))
         .groupBy("p.r", "p.c")
-        .agg(F.count(F.lit(1)), F.min("p.k"), F.max("p.k"))
+        .agg(F.sum("w"), F.min("p.k"), F.max("p.k"))
         .collect()
     )
     out: list[list[_Cell]] = [[] for _ in ranges]
@@ -115,12 +132,14 @@ def _count_pass(df: DataFrame, levels: Sequence[Column], ranges: list[_Range]) -
     return [sorted(cells, key=lambda c: c.order) for cells in out]
 
 
-def _boundaries(df: DataFrame, levels: Sequence[Column], todo: list[_Range]) -> list[Boundary]:
+def _boundaries(
+    df: DataFrame, levels: Sequence[Column], todo: list[_Range], weight: str | None = None
+) -> list[Boundary]:
     """Find the boundary rows behind the ranks of the given ranges in the order of the
     keys. Keys behind a range's own are hashes."""
     found: list[Boundary] = []
     while todo:
-        counts = _count_pass(df, levels, todo)
+        counts = _count_pass(df, levels, todo, weight)
         nxt: list[_Range] = []
         for r, cells in zip(todo, counts):
             below = r.below
@@ -146,6 +165,60 @@ def _boundaries(df: DataFrame, levels: Sequence[Column], todo: list[_Range]) ->
     return sorted(found, key=lambda f: f.rank)
 
 
+@dataclass(frozen=True)
+class _Bracket:
+    """Values lo..hi, which should hold a boundary, and those the sketch returned."""
+
+    lo: int
+    hi: int
+    returned: frozenset[int]
+
+
+def _sketch(key: Column, fractions: Sequence[float]) -> Column:
+    """For each fraction of the rows three values: two errors of the sketch before it, at it, two after."""
+    step = 2 / SKETCH
+    points = [min(max(f + d, 0.0), 1.0) for f in fractions for d in (-step, 0.0, step)]
+    return F.percentile_approx(key, points, SKETCH)
+
+
+def _brackets(values: Sequence[int] | None, lo: int, hi: int) -> list[_Bracket]:
+    """The sketch's values, three by three, as ranges that do not overlap."""
+    out: list[_Bracket] = []
+    for i in range(0, len(values or []), 3):
+        a, _, b = three = sorted(min(max(v, lo), hi) for v in values[i : i + 3])
+        if out and a <= out[-1].hi:
+            last = out.pop()
+            a, b, three = min(a, last.lo), max(b, last.hi), [*three, *last.returned]
+        out.append(_Bracket(a, b, frozenset(three)))
+    return out
+
+
+def _slot(key: Column, brackets: Sequence[_Bracket]) -> Column:
+    """2i + 1 inside bracket i, 2i before it."""
+    out = None
+    for i, b in enumerate(brackets):
+        for held, slot in ((key < _long(b.lo), 2 * i), (key <= _long(b.hi), 2 * i + 1)):
+            out = F.when(held, _long(slot)) if out is None else out.when(held, _long(slot))
+    return _long(0) if out is None else out.otherwise(_long(2 * len(brackets)))
+
+
+def _ranges(counted: DataFrame, group: Sequence[str], ranks: dict[tuple, list[int]]) -> tuple[list[_Range], dict[tuple, list[int]]]:
+    """Per group of slots: the brackets with the ranks they hold, and the ranks no bracket holds."""
+    sums = counted.groupBy(*group, "s").agg(F.sum("n").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect()
+    todo, missed = [], {}
+    for g, wanted in ranks.items():
+        below, left = 0, set(wanted)
+        for r in sorted((r for r in sums if tuple(r[c] for c in group) == g), key=lambda r: r["s"]):
+            here = [k for k in wanted if below < k <= below + r["n"]]
+            if r["s"] % 2 and here:
+                todo.append(_Range((*g, r["s"]), r["lo"], r["hi"], below, r["n"], here))
+                left -= set(here)
+            below += r["n"]
+        if left:
+            missed[g] = sorted(left)
+    return todo, missed
+
+
 def _integer_key(df: DataFrame, measure: str) -> tuple[Column, int]:
     """The measure as a bigint of the same order, and its scale factor."""
     kind = df.schema[measure].dataType
@@ -172,20 +245,39 @@ def medians(df: DataFrame, measures: Sequence[str]) -> dict[str, float | None]:
     """Exact medians of several columns. All columns share each counting job, of
     which there are a few whatever the number of columns."""
     keys = [_integer_key(df, m) for m in measures]
-    ends = df.agg(*[f(key) for key, _ in keys for f in (F.min, F.max, F.count)]).first()
+    figures = [f(key) for key, _ in keys for f in (F.min, F.max, F.count)]
+    ends = df.agg(*figures, *[_sketch(key, [0.5]) for key, _ in keys]).first()
+    sketches = ends[3 * len(keys) :]
     values = F.array(*[F.struct(_long(i).alias("c"), key.alias("k")) for i, (key, _) in enumerate(keys)])
     rows = df.select(F.inline(values)).filter("k IS NOT NULL")
-    todo, ranks = [], []
+    whole, bracketed, ranks, slot = {}, {}, [], _long(0)
     for i in range(len(keys)):
         lo, hi, n = ends[3 * i : 3 * i + 3]
         ranks.append(((n + 1) // 2, n // 2 + 1))
         if n:
-            todo.append(_Range((i,), lo, hi, 0, n, sorted(set(ranks[i]))))
-    found = {(b.key[0], b.rank): b.key[1] for b in _boundaries(rows, [F.col("c"), F.col("k")], todo)}
+            whole[i,] = _Range((i,), lo, hi, 0, n, sorted(set(ranks[i])))
+        if n > FEW_ROWS:
+            bracketed[i,] = whole[i,].ranks
+            slot = F.when(F.col("c") == _long(i), _slot(F.col("k"), _brackets(sketches[i], lo, hi))).otherwise(slot)
+    found = []
+    if bracketed:
+        large = F.col("c").isin([g[0] for g in bracketed])
+        slotted = rows.filter(large).withColumn("s", slot).withColumn("k", F.when(F.col("s") % 2 == 1, F.col("k")).otherwise(_long(0)))
+        counted = stored(slotted.groupBy("c", "s", "k").agg(F.count(F.lit(1)).alias("n")), "median-counts")
+        todo, missed = _ranges(counted, ["c"], bracketed)
+        inside = _boundaries(counted, [F.col("c"), F.col("s"), F.col("k")], todo, "n")
+        found += [Boundary(b.rank, (b.key[0], b.key[2]), b.inside, b.equal) for b in inside]
+        for g in bracketed:
+            if g in missed:
+                whole[g].ranks = missed[g]
+            else:
+                del whole[g]
+    found += _boundaries(rows, [F.col("c"), F.col("k")], list(whole.values()))
+    at = {(b.key[0], b.rank): b.key[1] for b in found}
     out: dict[str, float | None] = dict.fromkeys(measures)
     for i, (name, (_, scale)) in enumerate(zip(measures, keys)):
-        if (i, ranks[i][0]) in found:
-            lower, upper = (found[i, k] / scale for k in ranks[i])
+        if (i, ranks[i][0]) in at:
+            lower, upper = (at[i, k] / scale for k in ranks[i])
             out[name] = lower + (upper - lower) * 0.5
     return out
 
@@ -210,18 +302,20 @@ def with_tile(
     rows are numbered by the groups between them: for 10 tiles, cuts 1 and 9
     give 1 (first tile), 2 (all between) and 3 (last tile).
     """
-    key, _ = _integer_key(df, measure)
-    lo, hi, rows = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    key, scale = _integer_key(df, measure)
+    wanted = list(cuts or range(1, n))
+    last = F.coalesce(key, _long(2**63 - 1))
+    lo, hi, rows, values = df.agg(F.min(key), F.max(key), F.count(F.lit(1)), _sketch(last, [i / n for i in wanted])).first()
     lo, hi = (0, -1) if lo is None else (lo, hi)
-    levels = [
-        F.coalesce(key, _long(hi + 1)),
-        tie_key(tiebreak),
-        F.shiftrightunsigned(F.xxhash64(*df.columns), 64 - _HASH_BITS),
-    ]
+    levels = [F.coalesce(key, _long(hi + 1)), tie_key(tiebreak), F.shiftrightunsigned(F.xxhash64(*df.columns), 64 - _HASH_BITS)]
     q, r = divmod(rows, n)
-    ends = [i * q + min(i, r) for i in (cuts or range(1, n))]
+    ends = [i * q + min(i, r) for i in wanted]
     ranks = sorted({e for e in ends if 0 < e < rows})
-    found = _boundaries(df, levels, [_Range((), lo, hi + 1, 0, rows, ranks)] if ranks else [])
+    found: list[Boundary] = []
+    if ranks and rows > FEW_ROWS:
+        found, ranks = _tile_boundaries(df, measure, scale, levels, _brackets(values, lo, hi + 1), ranks, hi + 1)
+    if ranks:
+        found += _boundaries(df, levels, [_Range((), lo, hi + 1, 0, rows, ranks)])
 
     above = [_above(levels, b.key).cast("int") for b in found]
     out = df.withColumn(name, reduce(lambda a, b: a + b, above, F.lit(1)))
@@ -240,6 +334,67 @@ def with_tile(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _tile_boundaries(
+    df: DataFrame, measure: str, scale: int, levels: Sequence[Column], brackets: list[_Bracket], ranks: list[int], null: int
+) -> tuple[list[Boundary], list[int]]:
+    """Boundaries found in the counts of the second scan, and the ranks that no bracket holds. ``null``
+    is the key of rows without the measure."""
+    key, tie, copy = levels
+    returned = sorted({v for b in brackets for v in b.returned})
+    slot = _slot(key, brackets)
+    width = _HASH_BITS - _SLICE_BITS
+    row = df.select(slot.alias("s"), key.alias("k"), tie.alias("t"), copy.alias("h"))
+    inside, common = F.col("s") % 2 == 1, F.col("k").isin(returned)
+    zero = _long(0)
+    cells = row.select(
+        "s", F.when(inside, F.col("k")).otherwise(zero).alias("k"),
+        # slices are numbered from 1; 0 is a row with its own key
+        F.when(inside & common, F.shiftright("t", width) + 1).otherwise(zero).alias("slice"),
+        F.when(inside & ~common, F.col("t")).otherwise(zero).alias("t"), F.when(inside & ~common, F.col("h")).otherwise(zero).alias("h"),
+    )
+    counted = stored(cells.groupBy("s", "k", "slice", "t", "h").agg(F.count(F.lit(1)).alias("n")), "tile-counts")
+    todo, missed = _ranges(counted, [], {(): ranks})
+    found, open_slices = [], {}
+    for b in _boundaries(counted, [F.col(c) for c in ("s", "k", "slice", "t", "h")], todo, "n"):
+        value, rest = b.key[1], b.key[2:]
+        if not rest:
+            found.append(Boundary(b.rank, (value,), b.inside, b.equal))
+        elif rest[0] == 0:
+            found.append(Boundary(b.rank, (value, *rest[1:]), b.inside, b.equal))
+        elif b.inside == b.equal:  # between two slices
+            found.append(Boundary(b.rank, (value, (rest[0] << width) - 1), b.inside, b.equal))
+        else:
+            open_slices.setdefault((value, rest[0] - 1, b.equal), {})[b.inside] = b.rank
+    if open_slices:
+        found += _slice_boundaries(df, measure, scale, levels, open_slices, null)
+    return sorted(found, key=lambda f: f.rank), missed.get((), [])
+
+
+def _slice_boundaries(
+    df: DataFrame, measure: str, scale: int, levels: Sequence[Column], slices: dict[tuple[int, int, int], dict[int, int]], null: int
+) -> list[Boundary]:
+    """Boundaries inside slices (value, number, rows) of very common values: {rank inside: rank}. The
+    scan's filter compares the column itself, so files without the values are skipped."""
+    key, tie, copy = levels
+    width, which, held = _HASH_BITS - _SLICE_BITS, None, []
+    for i, (value, number, _) in enumerate(slices):
+        same = F.col(measure).isNull() if value == null else F.col(measure) == F.lit(Decimal(value) / scale).cast(df.schema[measure].dataType)
+        held.append(same)
+        here = (key == _long(value)) & tie.between(_long(number << width), _long(((number + 1) << width) - 1))
+        which = F.when(here, _long(i)) if which is None else which.when(here, _long(i))
+    rows = df.filter(reduce(lambda a, b: a | b, held)).select(which.alias("i"), tie.alias("t"), copy.alias("h"))
+    counted = stored(rows.filter("i IS NOT NULL").groupBy("i", "t", "h").agg(F.count(F.lit(1)).alias("n")), "slice-counts")
+    todo = [
+        _Range((i,), number << width, ((number + 1) << width) - 1, 0, n, sorted(ranks))
+        for i, ((_, number, n), ranks) in enumerate(slices.items())
+    ]
+    values, ranks = [k[0] for k in slices], list(slices.values())
+    return [
+        Boundary(ranks[b.key[0]][b.rank], (values[b.key[0]], *b.key[1:]), b.inside, b.equal)
+        for b in _boundaries(counted, [F.col("i"), F.col("t"), F.col("h")], todo, "n")
+    ]
+
+
 def _deal_copies(rows: DataFrame, cols: list[str], ranks: list[int], name: str) -> DataFrame:
     """Rows that are copies of one another, dealt out to tiles: up to each rank
     they stay in the tile, behind it they move to the next. The copies meet as a

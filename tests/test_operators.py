@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tallygrove.operators import clean, dimensions, enrich, filters, groups, order_stats, ranking
+from tallygrove.operators import clean, dimensions, enrich, filters, groups, lookup, order_stats, ranking
 from tallygrove.plans import api, exports, retail, summary
 from tallygrove.plans.registry import REPORTS
 from tallygrove.schema import AMOUNT, MONTH_PARTITION, SALES_COLUMNS
@@ -399,3 +399,80 @@ def test_top3_per_age_group(make):
         ("1. Under 25", "n4"), ("1. Under 25", "n3"), ("1. Under 25", "n2"),
         ("2. 25 to 40", "n4"), ("2. 25 to 40", "n3"), ("2. 25 to 40", "n2"),
     ]
+
+
+def hot_items(n):
+    """Half of the rows share two amounts, a tenth has none, some are copies of one another."""
+    amounts = [5000 if i % 4 == 0 else 7000 if i % 4 == 1 else None if i % 10 == 2 else i * 7919 % 10007 for i in range(n)]
+    return [(a, i % (n // 2) if i % 5 == 0 else i) for i, a in enumerate(amounts)]
+
+
+@pytest.mark.parametrize("sketch, fanout", [(10_000, 4096), (200, 50), (7, 4096)])
+def test_tiles_by_the_sketch(spark, monkeypatch, sketch, fanout):
+    """Very common values are counted by slices; a coarse sketch costs scans and changes nothing."""
+    monkeypatch.setattr(order_stats, "SKETCH", sketch)
+    monkeypatch.setattr(order_stats, "FANOUT", fanout)
+    monkeypatch.setattr(order_stats, "FEW_ROWS", 40)
+    check_tiles(spark, hot_items(12_000))
+    check_tiles(spark, [(i * 7919 % 10007, i) for i in range(9_000)], 7)
+    check_tiles(spark, [(None if i % 3 else -i, i) for i in range(6_000)], 4)
+    check_tiles(spark, [(5, 1)] * 3000 + [(9, i) for i in range(3000)])
+
+
+def test_a_missed_boundary_is_found_in_the_table(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "FEW_ROWS", 40)
+    monkeypatch.setattr(order_stats, "_brackets", lambda values, lo, hi: [order_stats._Bracket(10, 20, frozenset([10]))])
+    check_tiles(spark, hot_items(2_000))
+    df = spark.createDataFrame([(i * 7 % 1001,) for i in range(2_000)], "n int")
+    assert order_stats.median(df, "n") == sorted(i * 7 % 1001 for i in range(2_000))[999]
+
+
+def test_medians_by_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "FEW_ROWS", 40)
+    rows = [(i * 7919 % 10007 if i % 3 else None, 5 if i % 2 else i, -i) for i in range(9_001)]
+    got = order_stats.medians(spark.createDataFrame(rows, "a int, b bigint, c int"), ["a", "b", "c"])
+    for name, column in zip("abc", zip(*rows)):
+        v = sorted(x for x in column if x is not None)
+        assert got[name] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+
+def test_tiles_scan_the_table_twice(spark, monkeypatch):
+    """Beside the counts, which are small: a sketch and one count."""
+    monkeypatch.setattr(order_stats, "FEW_ROWS", 40)
+    seen = []
+    real = order_stats.stored
+    monkeypatch.setattr(order_stats, "stored", lambda df, name: seen.append(name) or real(df, name))
+    tables = []
+    real_pass = order_stats._count_pass
+    monkeypatch.setattr(order_stats, "_count_pass", lambda df, *a: tables.append(df.columns) or real_pass(df, *a))
+    df = spark.createDataFrame([(i, i) for i in range(20_000)], "amt int, id int")
+    order_stats.with_tile(df, "amt", ["id"], 10, "t")
+    assert seen == ["tile-counts"] and all("n" in columns for columns in tables)
+    seen.clear()
+    order_stats.with_tile(spark.createDataFrame([(i % 3, i) for i in range(20_000)], "amt int, id int"), "amt", ["id"], 10, "t")
+    assert seen == ["tile-counts", "slice-counts"]
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_lookup_with_a_hot_key(spark, limit):
+    """A third of the rows share a key and some have none; with and without a broadcast."""
+    rows = [("hot" if i % 3 == 0 else None if i % 11 == 1 else f"k{i % 1500}", i) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "key string, i int")
+    entries = [(f"k{i}", i, "x") for i in range(0, 3000, 2)] + [("hot", -1, None)]
+    table = spark.createDataFrame(entries, "key string, v int, t string")
+    got = lookup.lookup_join(df, table, "key", limit * 100)
+    known = {k: (v, t) for k, v, t in entries}
+    assert Counter(map(tuple, got.select("key", "i", "v", "t").collect())) == Counter((k, i, *known.get(k, (None, None))) for k, i in rows)
+    assert [r["key"] for r in lookup.heavy_keys(df, "key").collect()] == ["hot"]
+    if not limit:
+        text = got._jdf.queryExecution().executedPlan().toString()
+        anti = text.index("LeftAnti")
+        assert "Exchange hashpartitioning(key" in text[:anti] and "LeftSemi" in text
+
+
+def test_lookup_in_an_empty_table(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "key string, i int")
+    for limit in (10, -1):
+        got = lookup.lookup_join(df, spark.createDataFrame([], "key string, v int"), "key", limit)
+        assert Counter(map(tuple, got.select("key", "i", "v").collect())) == Counter([("a", 1, None), (None, 2, None)])
+        assert lookup.lookup_join(df.limit(0), spark.createDataFrame([("a", 1)], "key string, v int"), "key", limit).count() == 0
