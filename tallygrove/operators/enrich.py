@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions import calendar as cal
+from tallygrove.operators import intervals
 from tallygrove.operators.dimensions import BROADCAST_ROWS, calendar_days
 from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION
 
@@ -52,6 +53,15 @@ def enrich_discount(df: DataFrame, calendar: DataFrame | None = None) -> DataFra
     return tagged.withColumn("discount_applied", F.col("discount_period").isNotNull())
 
 
+def enrich_periods(df: DataFrame, periods: DataFrame) -> DataFrame:
+    """Tag each sale with the period (discount_period) of lowest ``prio`` that holds its time. Periods run from
+    ``start_t`` to before ``end_t``, to any second of a day, and may overlap; see
+    :mod:`tallygrove.operators.intervals`."""
+    named = periods.select("prio", "discount_period", "start_t", "end_t")
+    tagged = intervals.tag_first(df.drop("discount_period", "prio"), named, "prio", closed=False).drop("prio")
+    return tagged.withColumn("discount_applied", F.col("discount_period").isNotNull())
+
+
 def enrich_sales(df: DataFrame) -> DataFrame:
     """The table the reports read: calendar and discount columns, and the
     customer id under its second name. Only expressions: what a report does not

@@ -1,4 +1,5 @@
-"""Queries that show how the stored table is kept: versions, corrections, deliveries, pages."""
+"""Queries that show how the stored table is kept (versions, corrections, deliveries, pages) and
+how it is joined: with time intervals, and with a long list whose keys are skewed."""
 
 from __future__ import annotations
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.measures import n_rows, total
-from tallygrove.operators import ranking
-from tallygrove.plans.steps import _new_dir, _sales
+from tallygrove.operators import enrich, intervals, lookup, ranking
+from tallygrove.plans.steps import _calendar_of, _new_dir, _sales
 from tallygrove.schema import AMOUNT, ROW_ID, SALES_COLUMNS
 from tallygrove.sources import files, sinks
 from tallygrove.sources.storage import Folder
@@ -100,3 +101,50 @@ def chunk_deliveries(spark, sf_dir):
     send(sales.filter(part == 3), "chunk_3_v2.csv")
     ingest.ingest_deliveries(spark, inbox, dst, state)
     return files.read_sales(spark, dst, SALES_COLUMNS)
+
+
+def _hours(spark: SparkSession, sales: DataFrame) -> DataFrame:
+    """Happy hours of each discount period, which overlap: its first day until noon (1), each of its
+    days from 10 to 15 o'clock (2), and the whole of it (3)."""
+    days = _calendar_of(sales)
+    begin, stop = F.col("start_d").cast("timestamp_ntz"), F.date_add("end_d", 1).cast("timestamp_ntz")
+    name = F.col("discount_period")
+
+    def span(prio: int, suffix: str, start, end):
+        return days.select(
+            (F.col("prio") + 10 * prio).alias("prio"), F.concat(name, F.lit(suffix)).alias("discount_period"), start.alias("start_t"), end.alias("end_t")
+        )
+
+    daily = days.withColumn("start_d", F.explode(F.sequence("start_d", "end_d")))
+    rush = daily.select(
+        (F.col("prio") + 20).alias("prio"), F.concat(name, F.lit(" rush")).alias("discount_period"),
+        (begin + F.expr("INTERVAL 10 HOURS")).alias("start_t"), (begin + F.expr("INTERVAL 15 HOURS")).alias("end_t"),
+    )
+    early = span(1, " early", begin, begin + F.expr("INTERVAL 12 HOURS"))
+    return early.unionByName(rush).unionByName(span(3, "", begin, stop))
+
+
+@_table
+def interval_tagged(spark, sf_dir):
+    """Each sale with the first of the overlapping hour-wise periods that holds it."""
+    sales = _sales(spark, sf_dir)
+    tagged = enrich.enrich_periods(sales, _hours(spark, sales))
+    return tagged.select("date", *ROW_ID, "discount_period", "discount_applied")
+
+
+@_table
+def interval_totals(spark, sf_dir):
+    """Sales per period, a sale counted in each period that holds it; by the join for many intervals."""
+    sales = _sales(spark, sf_dir)
+    rows = intervals.tag_all(sales, _hours(spark, sales), closed=False, broadcast_rows=0)
+    return rows.groupBy("discount_period").agg(n_rows().alias("n"), total().alias("total"))
+
+
+@_table
+def lookup_hot_city(spark, sf_dir):
+    """The city lookup by the join for long lists; a third of the sales is in one city, some in none."""
+    sales = _sales(spark, sf_dir)
+    city = F.when(_key() % 3 == 0, "NATION_1-0").when(_key() % 53 != 1, F.col("city"))
+    cities = sales.filter(~F.col("country").isin("NATION_6", "NATION_18")).groupBy("city").agg(F.min("country_id").alias("listed_id"))
+    rows = sales.select(*ROW_ID, city.alias("city"))
+    return lookup.lookup_join(rows, cities, "city", broadcast_rows=0).select(*ROW_ID, "city", "listed_id")
