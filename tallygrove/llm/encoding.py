@@ -21,7 +21,7 @@ from tallygrove.llm.common import tokenizer
 
 # Chunks remembered per worker, about 200 bytes each. Later ones are encoded
 # whenever they come.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 ROWS_AT_ONCE = 256
 
 _AFTER_BLANK = re.compile(r" (?:\s|\Z)")
@@ -142,18 +142,22 @@ class ChunkEncoder:
         return out
 
     def encode(self, batch: Sequence[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of ``dtype``."""
-        known = self.known
+        """Ids of each text as little-endian bytes of ``dtype``. Each distinct chunk of the batch is
+        looked up once among the many remembered ones, the texts then among the few of the batch."""
         parts = [self._chunks(t) for t in batch]
-        found = [list(map(known.get, p)) for p in parts]
-        gaps = [(p, f, [i for i, v in enumerate(f) if v is None]) for p, f in zip(parts, found) if None in f]
-        new = self._encode_new({p[i] for p, _, at in gaps for i in at})
-        for p, f, at in gaps:
-            for i in at:
-                f[i] = new[p[i]]
-        if len(known) + len(new) <= self.limit:
-            known.update(new)
-        return [b"".join(f) for f in found]
+        here, missing, get = {}, [], self.known.get
+        for k in set().union(*parts):
+            ids = get(k)
+            if ids is None:
+                missing.append(k)
+            else:
+                here[k] = ids
+        if missing:
+            new = self._encode_new(missing)
+            here.update(new)
+            if len(self.known) + len(new) <= self.limit:
+                self.known.update(new)
+        return [b"".join(map(here.__getitem__, p)) for p in parts]
 
 
 @functools.lru_cache(maxsize=2)
@@ -162,11 +166,22 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def encoded_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_ids, ids) of a few rows at a time, from batches of (doc_id, text)."""
+def forget() -> None:
+    """Free what this worker remembers, in tasks that encode nothing."""
+    encoder.cache_clear()
+
+
+def encoded_bytes(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[bytes]]]:
+    """(doc_ids, ids as bytes) of a few rows at a time, from batches of (doc_id, text)."""
     enc = encoder(path)
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             rows = batch.slice(at, ROWS_AT_ONCE)
-            ids = [np.frombuffer(b, enc.dtype) for b in enc.encode(rows.column("text").to_pylist())]
-            yield rows.column("doc_id").to_pylist(), ids
+            yield rows.column("doc_id").to_pylist(), enc.encode(rows.column("text").to_pylist())
+
+
+def encoded_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(doc_ids, ids) of a few rows at a time, from batches of (doc_id, text)."""
+    dtype = encoder(path).dtype
+    for doc_ids, ids in encoded_bytes(batches, path):
+        yield doc_ids, [np.frombuffer(b, dtype) for b in ids]

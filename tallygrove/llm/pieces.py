@@ -24,6 +24,7 @@ U+2581 in a text is a blank to this format and comes back as one.
 from __future__ import annotations
 
 import functools
+import hashlib
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -36,11 +37,62 @@ from tallygrove.llm.common import cut, texts, unique_ids
 
 CHUNK = 32_768
 REMEMBERED = 500_000
+PLACES = 64  # longer words are traced one by one
 BLANK = "▁"
 NONE = -(1 << 60)
 _UNKNOWN_PENALTY = 10
 
 
+class Trie:
+    """The pieces by their characters, as arrays: many places are followed at once."""
+
+    def __init__(self, score: dict[str, tuple[int, int]]):
+        self.letter = {c: i for i, c in enumerate(sorted({c for p in score for c in p}), 1)}
+        self.top = max(map(ord, self.letter), default=0) + 1
+        self.code = np.zeros(self.top + 1, np.int64)  # 0: in no piece
+        for c, i in self.letter.items():
+            self.code[ord(c)] = i
+        nodes, edges = {"": 0}, []
+        for p in sorted(score):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    edges.append((nodes[p[: k - 1]] * (len(self.letter) + 1) + self.letter[p[k - 1]], len(nodes)))
+                    nodes[p[:k]] = len(nodes)
+        self.piece = np.full(len(nodes), -1, np.int64)
+        self.score = np.zeros(len(nodes), np.int64)
+        for p, (value, i) in score.items():
+            self.piece[nodes[p]], self.score[nodes[p]] = i, value
+        self.bits = max(10, (4 * len(edges)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.next = np.zeros(1 << self.bits, np.int32)
+        keys, children = (np.array(x, np.int64) for x in (zip(*edges) if edges else ([], [])))
+        at = self._home(keys)
+        while len(keys):  # each takes its place or, where that is taken, the one behind it
+            free = self.keys[at] < 0
+            _, first = np.unique(np.where(free, at, -1), return_index=True)
+            placed = np.zeros(len(keys), bool)
+            placed[first] = True
+            placed &= free
+            self.keys[at[placed]], self.next[at[placed]] = keys[placed], children[placed]
+            keys, children, at = keys[~placed], children[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node behind each node by a character; 0 where there is none."""
+        keys = node * (len(self.letter) + 1) + code
+        at, out, todo = self._home(keys), np.zeros(len(keys), np.int64), np.flatnonzero(code)
+        while len(todo):
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.next[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
 class Vocabulary:
     """Pieces, scores and the words seen so far."""
 
@@ -62,6 +114,7 @@ class Vocabulary:
         # No piece goes on into the next word, other than pieces of blanks alone.
         self.cuts = not any(BLANK in p.piece[1:] and p.piece.strip(BLANK) for _, p in normal)
         self.known: dict[str, bytes] = {}  # ids only: scores follow from them
+        self.trie = Trie(self.score)
         # An unknown character is charged once, with its first byte.
         first = [b < 0x80 or b >= 0xC0 for b in range(256)]
         charge = {i: self.unknown if first[b] else 0 for b, i in self.byte.items()}
@@ -116,22 +169,116 @@ class Vocabulary:
                 self.known[s] = got
         return got
 
-    def words(self, s: str) -> tuple[bytes, int]:
-        """Ids and score of a stretch that starts with a blank and ends where a word does."""
+    def new_words(self, words: Sequence[str]) -> list[bytes]:
+        """Ids of words, the best paths of all of them found together: arrays over the places of all
+        words, a step per place and length of a piece."""
+        plain = [w for w in words if 0 < len(w) <= PLACES]
+        sizes = np.fromiter(map(len, plain), np.int64, len(plain))
+        begin = np.cumsum(sizes + 1) - sizes - 1  # each word has a place more than characters
+        letters = np.frombuffer("\0".join([*plain, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code = self.trie.code[np.minimum(letters, self.trie.top)]
+        code[begin + sizes] = 0
+        inside = np.arange(len(code)) - np.repeat(begin, sizes + 1)
+        # Pieces that start at each place: by their length, places and nodes.
+        arcs, at, node = [], np.flatnonzero(code), None
+        node = np.zeros(len(at), np.int64)
+        for k in range(self.states):
+            node = self.trie.step(node, code[at + k])
+            at, node = at[node > 0], node[node > 0]
+            if not len(at):
+                break
+            hit = self.trie.piece[node] >= 0
+            by = np.argsort(inside[at[hit]], kind="stable")
+            places, ends = at[hit][by], node[hit][by]
+            arcs.append((places, ends, np.searchsorted(inside[places], np.arange(int(sizes.max(initial=0)) + 1))))
+        single = np.zeros(len(code), bool)
+        if arcs:
+            single[arcs[0][0]] = True
+        best, start = np.full(len(code), NONE), np.full(len(code), -1, np.int64)
+        taken = np.full(len(code), -1, np.int64)  # the piece that ends at a place
+        best[begin] = 0
+        lengths = np.sort(sizes)
+        by_size = begin[np.argsort(sizes, kind="stable")]
+        for i in range(int(sizes.max(initial=0))):
+            for k, (places, ends, cuts) in enumerate(arcs, 1):
+                p, e = places[cuts[i] : cuts[i + 1]], ends[cuts[i] : cuts[i + 1]]
+                if len(p):
+                    value = best[p] + self.trie.score[e]
+                    better = value > best[p + k]
+                    p, to = p[better], p[better] + k
+                    best[to], start[to], taken[to] = value[better], p, self.trie.piece[e[better]]
+            here = by_size[np.searchsorted(lengths, i, "right") :] + i
+            here = here[~single[here]]
+            if len(here):
+                value = best[here] + self.unknown
+                better = value > best[here + 1]
+                to = here[better] + 1
+                best[to], start[to], taken[to] = value[better], here[better], -1
+        # Back from the ends of all words together.
+        at, word, ids, owners, odd = begin + sizes, np.arange(len(plain)), [], [], np.zeros(len(plain), bool)
+        while len(at):
+            piece = taken[at]
+            ids.append(piece)
+            owners.append(word)
+            odd[word[piece < 0]] = True
+            at = start[at]
+            live = at > begin[word]
+            at, word = at[live], word[live]
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        step = np.concatenate([np.full(len(o), -k) for k, o in enumerate(owners)]) if owners else owner
+        order = np.lexsort((step, owner))
+        flat = np.concatenate(ids)[order].astype("<u2").tobytes() if ids else b""
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(plain))))) * 2
+        found = dict(zip(plain, [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
+        for w in [plain[i] for i in np.flatnonzero(odd)]:  # unknown characters are bytes
+            found.pop(w)
+        return [found[w] if w in found else self.word(w) for w in words]
+
+    def learn(self, words: Sequence[str]) -> dict[str, bytes]:
+        """Ids of the distinct words among these, remembered ones and new ones."""
+        here, missing, get = {}, [], self.known.get
+        for w in set(words):
+            ids = get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                here[w] = ids
+        if missing:
+            new = dict(zip(missing, self.new_words(missing)))
+            here.update(new)
+            if len(self.known) + len(new) <= REMEMBERED:
+                self.known.update(new)
+        return here
+
+    @staticmethod
+    def split(s: str) -> list[str]:
+        """Words of a stretch that starts with a blank; each has its blank, and blanks in a row go with
+        the word behind them."""
         parts = s[1:].split(BLANK)
-        if "" in parts:  # blanks in a row go with the word behind them
+        if "" in parts:
             merged, lead = [], ""
             for p in parts[:-1]:
                 if p:
                     merged.append(lead + p)
                 lead = "" if p else lead + BLANK
             parts = [*merged, lead + parts[-1]]
-        found = list(map(self.known.get, [BLANK + p for p in parts]))
-        if None in found:
-            found = [f or self.word(BLANK + p) for f, p in zip(found, parts)]
-        ids = b"".join(found)
+        return [BLANK + p for p in parts]
+
+    def words(self, s: str) -> tuple[bytes, int]:
+        """Ids and score of a stretch that starts with a blank and ends where a word does."""
+        parts = self.split(s)
+        ids = b"".join(map(self.learn(parts).__getitem__, parts))
         return ids, int(self.id_score[np.frombuffer(ids, "<u2")].sum())
 
+    def encode_all(self, texts: Sequence[str]) -> list[tuple[np.ndarray, int]]:
+        """Ids and score of several texts, whose new words are looked for together."""
+        if not self.cuts:
+            return [self.encode(t) for t in texts]
+        split = [self.split(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        get = self.learn([w for parts in split for w in parts]).__getitem__
+        found = [np.frombuffer(b"".join(map(get, parts)), "<u2") for parts in split]
+        return [(ids, int(self.id_score[ids].sum())) for ids in found]
+
     def encode(self, text: str) -> tuple[np.ndarray, int]:
         """Ids and score of a whole text."""
         if not text:
@@ -212,12 +359,23 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 ENCODED = "row_key bigint, doc_id bigint, ids binary, score bigint, n_chunks int, decoded string"
+DIGESTS = "row_key bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint, score bigint, n_chunks int, decoded_sha256 string"
 
 
 def _row(voc: Vocabulary, key: int, doc_id: int | None, ids: bytes, score: int, chunks: int) -> tuple:
     return key, doc_id, ids, score, chunks, voc.decode(np.frombuffer(ids, "<u2"))
 
 
+def _digest(voc: Vocabulary, key: int, doc_id: int | None, ids: bytes, score: int, chunks: int) -> tuple:
+    """What :func:`_row` gives, as number of ids, checksum of them and digest of the decoded text."""
+    numbers = np.frombuffer(ids, "<u2")
+    decoded = hashlib.sha256(voc.decode(numbers).encode()).hexdigest()
+    return key, doc_id, len(numbers), zlib.crc32(numbers.astype("<u4").tobytes()), score, chunks, decoded
+
+
+ROWS = {ENCODED: _row, DIGESTS: _digest}
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
     fields = [f.split() for f in schema.split(", ")]
@@ -225,18 +383,17 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _small(docs: DataFrame, path: str) -> DataFrame:
+def _small(docs: DataFrame, path: str, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for key, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("row_key", "doc_id", "text"))):
-                    ids, score = voc.encode(text)
-                    out.append(_row(voc, key, doc_id, ids.tobytes(), score, 1))
-                yield _batch(out, ENCODED)
+                part = b.slice(at, 256)
+                keys, doc_ids, found = (part.column(c).to_pylist() for c in ("row_key", "doc_id", "text"))
+                rows = zip(keys, doc_ids, voc.encode_all(found))
+                yield _batch([ROWS[schema](voc, key, doc_id, ids.tobytes(), score, 1) for key, doc_id, (ids, score) in rows], schema)
 
-    return docs.mapInArrow(run, ENCODED)
+    return docs.mapInArrow(run, schema)
 
 
 def _chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
@@ -254,7 +411,7 @@ def _chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _large(docs: DataFrame, path: str, size: int) -> DataFrame:
+def _large(docs: DataFrame, path: str, size: int, schema: str) -> DataFrame:
     """Documents of several chunks. Groups hold one document's matrices or ids."""
     chunks = cut(_chunks(docs, path, size).repartition("row_key", "k"), "chunks")
 
@@ -291,28 +448,28 @@ def _large(docs: DataFrame, path: str, size: int) -> DataFrame:
         for r in rows:
             parts.append(r["head"] + r["tails"][state])
             state = r["origins"][state]
-        row = _row(voc, rows[0]["row_key"], rows[0]["doc_id"], b"".join(reversed(parts)), rows[0]["score"], len(rows))
-        return pa.Table.from_batches([_batch([row], ENCODED)])
+        row = ROWS[schema](voc, rows[0]["row_key"], rows[0]["doc_id"], b"".join(reversed(parts)), rows[0]["score"], len(rows))
+        return pa.Table.from_batches([_batch([row], schema)])
 
     ends = entries.filter("k < 0").select("row_key", F.col("v")[0].alias("score"))
     known = chunks.join(entries, ["row_key", "k"]).join(ends, "row_key")
-    return known.mapInArrow(trace, traced).groupBy("row_key").applyInArrow(chain, ENCODED)
+    return known.mapInArrow(trace, traced).groupBy("row_key").applyInArrow(chain, schema)
 
 
-def encode(df: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids (little-endian 16 bit), score, n_chunks and the text decoded from the ids, of every row."""
+def _encoded(df: DataFrame, model_path: str, chunk: int, schema: str) -> DataFrame:
     docs = unique_ids(texts(df)).select("row_key", "doc_id", "text")
     size = F.length("text") + 1
-    small = _small(docs.filter(size <= chunk), model_path)
-    large = _large(docs.filter(size > chunk), model_path, chunk)
+    small = _small(docs.filter(size <= chunk), model_path, schema)
+    large = _large(docs.filter(size > chunk), model_path, chunk, schema)
     return small.unionByName(large).drop("row_key")
 
 
-def crc32_of_ids(column: str = "ids") -> F.Column:
-    """Unsigned CRC-32 of the ids as little-endian 32-bit integers."""
+def encode(df: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, ids (little-endian 16 bit), score, n_chunks and the text decoded from the ids, of every row."""
+    return _encoded(df, model_path, chunk, ENCODED)
 
-    @F.pandas_udf("bigint")
-    def crc(ids):
-        return ids.map(lambda b: zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()))
 
-    return crc(F.col(column))
+def digests(df: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers), score, n_chunks and
+    decoded_sha256 of every row: what :func:`encode` gives, of which only the digests leave a task."""
+    return _encoded(df, model_path, chunk, DIGESTS)

@@ -236,10 +236,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of the 32k vocabulary, and back."""
     docs = load(spark, sf_dir, "documents")
-    rows = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
-    return rows.select(
-        "doc_id", (F.octet_length("ids") / 2).cast("bigint").alias("n_tokens"), pieces.crc32_of_ids().alias("ids_crc32"),
-        "score", "n_chunks", sha256(F.col("decoded")).alias("decoded_sha256"),
+    return pieces.digests(docs, tokenizer_file("piece_bpe_32k.model")).select(
+        "doc_id", "n_tokens", "ids_crc32", "score", "n_chunks", "decoded_sha256"
     )
 
 

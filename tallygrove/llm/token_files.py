@@ -6,7 +6,7 @@ of whole documents in ascending doc_id order. A block holds its bits and the bit
 every ``STRIDE``-th id. ``read`` decodes each block on its own: all stretches
 between two offsets advance together, one table look-up per id.
 
-Layout below the folder: ``ids`` (as encoded), ``codebook`` (id, bits),
+Layout below the folder: ``ids`` (as encoded, and what each task counted), ``codebook`` (id, bits),
 ``blocks`` (the files), ``parts`` (ids before each part). All but the
 blocks are small; a part is what one task wrote.
 
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import scratch, texts
-from tallygrove.llm.encoding import encoded_rows
+from tallygrove.llm.encoding import encoded_bytes, encoder, forget
 
 MAX_BITS = 18
 STRIDE = 64
@@ -115,30 +116,39 @@ class Codebook:
         return (out.T & np.uint32(0xFFFFFF)).reshape(-1)[:n]
 
 
-def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, rows in encoded_rows(batches, tokenizer_path):
-            data = [np.append(x, x.dtype.type(end_id)).tobytes() for x in rows]
-            yield pa.record_batch({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(data, pa.binary())})
-
-    return texts(df).mapInArrow(run, "doc_id bigint, ids binary")
+_IDS_SCHEMA = "doc_id bigint, ids binary, key bigint, counted array<int>, n array<bigint>"
 
 
-def _counts(ids: DataFrame, dtype: np.dtype, n: int) -> np.ndarray:
-    """How often each id occurs; one row per id and task is shuffled."""
+def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int, n: int) -> DataFrame:
+    """Rows of ids with a hash of them, and behind the rows of each task one row that tells how often
+    it wrote each id (``counted``, ``n``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                data = b"".join(b.column("ids").slice(at, 1000).to_pylist())
-                total += np.bincount(np.frombuffer(data, dtype), minlength=n)
+        dtype = encoder(tokenizer_path).dtype
+        end, total = np.array([end_id], dtype).tobytes(), np.zeros(n, np.int64)
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["doc_id", "ids", "key", "counted", "n"]
+
+        def batch(doc_ids: list, data: list, counted: list, numbers: list) -> pa.RecordBatch:
+            keys = np.array([xxhash.xxh3_64_intdigest(d or b"") for d in data], np.uint64).view(np.int64)
+            columns = [doc_ids, data, keys, counted, numbers]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for doc_ids, rows in encoded_bytes(batches, tokenizer_path):
+            data = [x + end for x in rows]
+            total += np.bincount(np.frombuffer(b"".join(data), dtype), minlength=n)
+            yield batch(doc_ids, data, [None] * len(data), [None] * len(data))
         used = np.flatnonzero(total)
-        yield pa.record_batch({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
+        yield batch([None], [None], [used], [total[used]])
 
-    rows = ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return texts(df).mapInArrow(run, _IDS_SCHEMA)
+
+
+def _counts(ids: DataFrame, n: int) -> np.ndarray:
+    """How often each id occurs; one row per id and task is shuffled."""
+    each = ids.filter("counted IS NOT NULL").select(F.inline(F.arrays_zip(F.col("counted").alias("id"), F.col("n"))))
     out = np.zeros(n, np.int64)
-    for r in rows.collect():  # at most one row per id of the vocabulary
+    for r in each.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row per id of the vocabulary
         out[r["id"]] = r["n"]
     return out
 
@@ -150,6 +160,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], book: Codebook, dtype: np.dtype)
          ("n_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("bits", pa.binary())]
     )
     docs, held, count, block, start, part = [], [], 0, 0, 0, 0
+    forget()
 
     def close() -> pa.RecordBatch:
         bits, offsets = book.encode(np.concatenate(held))
@@ -171,17 +182,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], book: Codebook, dtype: np.dtype)
 
 def write(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, max_bits: int = MAX_BITS) -> str:
     """Encode all texts into files below ``folder`` (which every executor must reach)."""
-    from tallygrove.llm.encoding import encoder
-
     spark = df.sparkSession
     dtype, vocabulary = encoder(tokenizer_path).dtype, encoder(tokenizer_path).tok.get_vocab_size()
-    _ids_table(df, tokenizer_path, end_id).write.option("compression", "zstd").parquet(f"{folder}/ids")
-    ids = spark.read.schema("doc_id bigint, ids binary").parquet(f"{folder}/ids")
-    lengths = code_lengths(_counts(ids, dtype, max(vocabulary, end_id + 1)), max_bits)
+    size = max(vocabulary, end_id + 1)
+    _ids_table(df, tokenizer_path, end_id, size).write.option("compression", "lz4_raw").parquet(f"{folder}/ids")
+    ids = spark.read.schema(_IDS_SCHEMA).parquet(f"{folder}/ids")
+    lengths = code_lengths(_counts(ids, size), max_bits)
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(book, "id bigint, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
-    placed = ids.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    # The ranges are drawn from two narrow columns; the ids themselves are read once, to be moved.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc(), F.col("ids").asc()]
+    rows = ids.filter("counted IS NULL").select("doc_id", "key", "ids")
+    placed = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     placed = placed.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
     blocks = placed.mapInArrow(lambda it: _blocks(it, Codebook(lengths), dtype), BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
