@@ -215,25 +215,39 @@ class Vocabulary:
                 to = here[better] + 1
                 best[to], start[to], taken[to] = value[better], here[better], -1
         # Back from the ends of all words together.
-        at, word, ids, owners, odd = begin + sizes, np.arange(len(plain)), [], [], np.zeros(len(plain), bool)
+        at, word, ids, owners, places = begin + sizes, np.arange(len(plain)), [], [], []
         while len(at):
-            piece = taken[at]
-            ids.append(piece)
+            ids.append(taken[at])
             owners.append(word)
-            odd[word[piece < 0]] = True
             at = start[at]
+            places.append(at)
             live = at > begin[word]
             at, word = at[live], word[live]
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        step = np.concatenate([np.full(len(o), -k) for k, o in enumerate(owners)]) if owners else owner
+        if not ids:
+            return [self.word(w) for w in words]
+        owner, step = np.concatenate(owners), np.concatenate([np.full(len(o), -k) for k, o in enumerate(owners)])
         order = np.lexsort((step, owner))
-        flat = np.concatenate(ids)[order].astype("<u2").tobytes() if ids else b""
-        cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(plain))))) * 2
-        found = dict(zip(plain, [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
-        for w in [plain[i] for i in np.flatnonzero(odd)]:  # unknown characters are bytes
-            found.pop(w)
+        piece, place = np.concatenate(ids)[order], np.concatenate(places)[order]
+        flat = piece.astype("<u2").tobytes()
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(plain)))))
+        found = dict(zip(plain, [flat[2 * a : 2 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
+        unknown = np.flatnonzero(piece < 0)
+        spelled: dict[int, list[bytes]] = {}  # words with unknown characters, which are bytes
+        for k, i, c in zip(unknown.tolist(), owner[order][unknown].tolist(), letters[place[unknown]].tolist()):
+            parts = spelled.get(i)
+            if parts is None:
+                first, last = int(cuts[i]), int(cuts[i + 1])
+                parts = spelled[i] = [flat[2 * j : 2 * j + 2] for j in range(first, last)]
+            parts[k - int(cuts[i])] = self._bytes_of(c)
+        for i, parts in spelled.items():
+            found[plain[i]] = b"".join(parts)
         return [found[w] if w in found else self.word(w) for w in words]
 
+    @functools.lru_cache(maxsize=10_000)  # noqa: B019 (one vocabulary lives as long as its worker)
+    def _bytes_of(self, letter: int) -> bytes:
+        """Ids of the bytes of an unknown character."""
+        return np.array([self.byte[b] for b in chr(letter).encode()], "<u2").tobytes()
+
     def learn(self, words: Sequence[str]) -> dict[str, bytes]:
         """Ids of the distinct words among these, remembered ones and new ones."""
         here, missing, get = {}, [], self.known.get
@@ -411,8 +425,66 @@ def _chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+MATRIX = "row_key bigint, k int, m array<bigint>"
+VECTOR = "row_key bigint, k int, v array<bigint>"
+FAN = 64  # matrices that one group combines
+
+
+def _square(values: list[int]) -> np.ndarray:
+    w = int(len(values) ** 0.5)
+    return np.array(values, np.int64).reshape(w, w)
+
+
+def _product(fan: int, table: pa.Table) -> pa.Table:
+    """The product of a group's matrices, as the matrix of the group."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+    m = functools.reduce(combine, [_square(r["m"]) for r in rows])
+    return pa.Table.from_batches([_batch([(rows[0]["row_key"], rows[0]["k"] // fan, m.ravel().tolist())], MATRIX)])
+
+
+def _entered(rows: list[dict], v: np.ndarray, end: bool) -> pa.Table:
+    """Scores of the entry states of each chunk or group, from those of the first; behind the last
+    one as number -1."""
+    out = []
+    for r in sorted(rows, key=lambda r: r["k"]):
+        out.append((r["row_key"], r["k"], v.tolist()))
+        v = combine(v, _square(r["m"]))
+    if end:
+        out.append((rows[0]["row_key"], -1, v.tolist()))
+    return pa.Table.from_batches([_batch(out, VECTOR)])
+
+
+def _scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """Entry scores (row_key, k, v) of every chunk, and the document's final scores (k = -1): matrices
+    are combined by ``fan``, level by level, until a document has ``fan`` at most; from there the scores
+    go down again. No group holds more than ``fan`` matrices."""
+    levels = [matrices]
+    most = matrices.agg(F.max("k")).first()[0] or 0
+    while most >= fan:
+        up = levels[-1].groupBy("row_key", F.floor(F.col("k") / fan).alias("p")).applyInArrow(lambda table: _product(fan, table), MATRIX)
+        levels.append(cut(up, "matrices"))
+        most //= fan
+
+    def top(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        first = np.full(int(len(rows[0]["m"]) ** 0.5), NONE)
+        first[0] = 0
+        return _entered(rows, first, True)
+
+    def down(group: pa.Table, parent: pa.Table) -> pa.Table:
+        return _entered(group.to_pylist(), np.array(parent.column("v")[0].as_py(), np.int64), False)
+
+    entries = cut(levels[-1].groupBy("row_key").applyInArrow(top, VECTOR), "entries")
+    ends = entries.filter("k < 0")
+    for level in reversed(levels[:-1]):
+        children = level.withColumn("p", F.floor(F.col("k") / fan)).groupBy("row_key", "p")
+        parents = entries.filter("k >= 0").withColumn("p", F.col("k").cast("bigint")).groupBy("row_key", "p")
+        entries = cut(children.cogroup(parents).applyInArrow(down, VECTOR), "entries")
+    return entries if len(levels) == 1 else entries.unionByName(ends)
+
+
 def _large(docs: DataFrame, path: str, size: int, schema: str) -> DataFrame:
-    """Documents of several chunks. Groups hold one document's matrices or ids."""
+    """Documents of several chunks. Groups hold FAN matrices, or the ids of one document, which are one value."""
     chunks = cut(_chunks(docs, path, size).repartition("row_key", "k"), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,19 +493,8 @@ def _large(docs: DataFrame, path: str, size: int, schema: str) -> DataFrame:
             for key, k, n, s in zip(*(b.column(c).to_pylist() for c in ("row_key", "k", "n", "s"))):
                 yield _batch([(key, k, voc.matrix(s, n))], "row_key bigint, k int, m array<bigint>")
 
-    def scan(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        w = int(len(rows[0]["m"]) ** 0.5)
-        v, out = np.full(w, NONE), []
-        v[0] = 0
-        for r in rows:
-            out.append((r["row_key"], r["k"], v.tolist()))
-            v = combine(v, np.array(r["m"], np.int64).reshape(w, w))
-        out.append((rows[0]["row_key"], -1, v.tolist()))  # the end: exit state 0 has the score
-        return pa.Table.from_batches([_batch(out, "row_key bigint, k int, v array<bigint>")])
-
-    entries = chunks.select("row_key", "k", "n", "s").mapInArrow(matrices, "row_key bigint, k int, m array<bigint>")
-    entries = cut(entries.groupBy("row_key").applyInArrow(scan, "row_key bigint, k int, v array<bigint>"), "entries")
+    own = chunks.select("row_key", "k", "n", "s").mapInArrow(matrices, MATRIX)
+    entries = _scan(cut(own, "matrices"))
     traced = "row_key bigint, doc_id bigint, k int, origins array<bigint>, head binary, tails array<binary>, score bigint"
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

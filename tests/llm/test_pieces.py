@@ -112,3 +112,34 @@ def test_large_documents_and_odd_rows(docs, voc):
         want.add((i, tuple(ids), score, (t or "").replace(pieces.BLANK, " ")))
     assert got == want
     assert pieces.encode(docs().filter("false"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_matrices_are_combined_as_a_tree(spark, voc, fan):
+    """Any number of levels gives what one fold over all chunks gives."""
+    rng = random.Random(fan)
+    rows, want = [], {}
+    for key, n in enumerate([1, 2, 3, 4, 9, 23]):
+        text = random_text(rng, 30 * n)
+        s = pieces.BLANK + text.replace(" ", pieces.BLANK)
+        size, v = -(-len(s) // n), np.full(voc.states, pieces.NONE)
+        v[0] = 0
+        for k, at in enumerate(range(0, len(s), size)):
+            m = voc.matrix(s[at : at + size + voc.states - 1], min(size, len(s) - at))
+            rows.append((key, k, m))
+            want[key, k] = v.tolist()
+            v = pieces.combine(v, np.array(m).reshape(voc.states, voc.states))
+        want[key, -1] = v.tolist()
+    got = pieces._scan(spark.createDataFrame(rows, pieces.MATRIX).repartition(3), fan).collect()
+    assert {(r["row_key"], r["k"]): r["v"] for r in got} == want
+
+
+def test_new_words_are_traced_as_one_by_one(voc):
+    rng = random.Random(11)
+    words = {pieces.BLANK + random_text(rng, rng.randrange(1, 9)).replace(" ", pieces.BLANK) for _ in range(2000)}
+    words |= {pieces.BLANK, pieces.BLANK * 5, pieces.BLANK + "x" * 63, pieces.BLANK + "ab" * 64, "🙂", pieces.BLANK + "日\x00é́本"}
+    words = sorted(words)
+    for w, got in zip(words, voc.new_words(words)):
+        _, start = voc.forward(w, len(w), (0,))
+        assert np.frombuffer(got, "<u2").tolist() == voc.trace(w, start, len(w))[1], repr(w)
+    assert voc.new_words([]) == [] and voc.learn(["", words[0]])[""] == b""
