@@ -80,13 +80,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unique_ids(df: DataFrame) -> DataFrame:
-    """``df`` with a column ``row_key``: the doc_id where all ids are present and
-    differ, else a number per row, fixed by writing the rows once."""
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def unique_ids(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """``df`` with a column ``row_key`` (or of another name, which must be free): the doc_id where all ids
+    are present and differ, else a number per row, fixed by writing the rows once."""
     twice = df.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1")
     if twice.isEmpty():
-        return df.withColumn("row_key", F.col("doc_id"))
-    return cut(df.withColumn("row_key", F.monotonically_increasing_id()), "rows")
+        return df.withColumn(name, F.col("doc_id"))
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 @functools.lru_cache(maxsize=4)
