@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences, in stages.
 
 Each stage takes what the one before kept, written as Parquet, and works on all of
-it. Ids may repeat or be missing: rows are told apart by a key of their own.
+it.
+
+* Ids may repeat or be missing: rows are told apart by a key of their own, in a column whose
+  name the documents do not use. All columns come out as they went in, whatever their names.
+* A null text is read as an empty one and stays null: it is not toxic, it is a copy of other texts
+  without visible characters, holds no secret, and is packed as its end id.
+* Texts of any length are worked on whole. Repeated rows are exact copies, one of which stays. An
+  empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import exact_dedup, packing, secret_scan, simhash, toxicity
-from tallygrove.llm.common import load, scratch, tokenizer_file, unique_ids
+from tallygrove.llm.common import free_name, load, scratch, tokenizer_file, unique_ids
 
 # Near copies: sets of shingles of five words, Jaccard similarity of 80 % or more, checked on the
 # sets. There the cosine is 8/9, and 15.1 % of the bits differ on average: 39 of 256, with a
@@ -21,14 +28,21 @@ SIMILAR = 80
 NEAR = {"bits": 256, "radius": 57, "bands": 40, "band_rows": 7}
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a key per row, and the name of its column."""
+    key = free_name(docs, "row_key")
+    return unique_ids(docs, key), key
+
+
+def _texts(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text) with the row's key as the id."""
-    return docs.select(F.col("row_key").alias("doc_id"), "text")
+    return docs.select(F.col(key).alias("doc_id"), "text")
 
 
-def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _keep(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     """The documents whose keys are listed (as ``doc_id``), all columns as they are."""
-    return docs.join(rows.select(F.col("doc_id").alias("row_key")), "row_key", "left_semi").drop("row_key")
+    columns = [c for c in docs.columns if c != key]
+    return docs.join(rows.select(F.col("doc_id").alias(key)), key, "left_semi").select(columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,27 +52,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts. Half is taken as the snapshot, half as the batch."""
-    docs = unique_ids(docs)
-    rows = exact_dedup.deduplicate(_keyed(docs), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
-    return _keep(docs, rows.filter("kept"))
+    docs, key = _keyed(docs)
+    rows = exact_dedup.deduplicate(_texts(docs, key), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+    return _keep(docs, key, rows.filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
-    docs = unique_ids(docs)
-    rows = simhash.near_copies(_keyed(docs), SHINGLE, SIMILAR, **NEAR)
-    return _keep(docs, rows.filter("doc_id = component_id"))
+    docs, key = _keyed(docs)
+    rows = simhash.near_copies(_texts(docs, key), SHINGLE, SIMILAR, **NEAR)
+    return _keep(docs, key, rows.filter("doc_id = component_id"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret replaced by its kind; other documents unchanged."""
     columns = docs.columns
-    docs = unique_ids(docs)
-    found = secret_scan.find_secrets(_keyed(docs)).filter(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("row_key"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, "row_key", "left")
-    clean = F.col("__spans").isNull()
-    text = F.when(clean, F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("__spans")))
+    docs, key = _keyed(docs)
+    spans = free_name(docs, "spans")
+    found = secret_scan.find_secrets(_texts(docs, key)).filter(F.size("spans") > 0)
+    joined = docs.join(found.select(F.col("doc_id").alias(key), F.col("spans").alias(spans)), key, "left")
+    clean = F.col(spans).isNull()
+    text = F.when(clean, F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col(spans)))
     joined = joined.withColumn("text", text)
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
