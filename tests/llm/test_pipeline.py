@@ -170,3 +170,19 @@ def test_near_copies_match_true_jaccard(spark):
     for sizes in ({}, {"bucket": 10, "group": 10}):
         out = simhash.near_copies(docs, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILAR, **corpus_pipeline.NEAR, **sizes)
         assert [r["component_id"] for r in out.orderBy("doc_id").collect()] == want
+
+
+def test_clashing_column_names(spark):
+    """Columns that a stage might use for itself come out as they went in."""
+    long = " ".join(f"w{i}" for i in range(60)) + " password = hunter2secret!"
+    rows = [(i % 3, t, i, f"k{i}", "b", 1.5, ["s"], "x") for i, t in enumerate([long, long, "other words", None, "", "x " * 300])]
+    schema = "doc_id bigint, text string, row_key int, ROW_KEY_ string, blob string, kept double, spans array<string>, component_id string"
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.redact_secrets):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        given = {r["row_key"]: tuple(r) for r in docs.collect()}
+        for r in out.collect():
+            assert [v for c, v in zip(docs.columns, r) if c != "text"] == [v for c, v in zip(docs.columns, given[r["row_key"]]) if c != "text"]
+    assert {r["row_key"] for r in corpus_pipeline.drop_exact_copies(spark, docs, "").collect()} in ({0, 2, 3, 5}, {1, 2, 3, 5}, {0, 2, 4, 5}, {1, 2, 4, 5})
+    assert corpus_pipeline.pack(spark, docs, "").count() == 6
