@@ -6,9 +6,12 @@ of whole documents in ascending doc_id order. A block holds its bits and the bit
 every ``STRIDE``-th id. ``read`` decodes each block on its own: all stretches
 between two offsets advance together, one table look-up per id.
 
+Texts are dealt by ranges of doc_id and sorted once, before they are encoded; from there on every step
+reads files in their order and moves nothing.
+
 Layout below the folder: ``ids`` (as encoded, and what each task counted), ``codebook`` (id, bits),
-``blocks`` (the files), ``parts`` (ids before each part). All but the
-blocks are small; a part is what one task wrote.
+``blocks`` (the files; their order is that of part and start), ``parts`` (ids before each part). A part is
+what one task encoded.
 
 Null texts count as empty and give the end id alone. Null ids sort first;
 repeated ids are kept, ordered by content. An empty table gives empty
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ BLOCK_IDS = 1 << 16
 END_ID = 2
 
 BLOCK_SCHEMA = (
-    "part int, block long, start long, doc_ids array<bigint>, n_ids array<bigint>, offsets array<int>, bits binary"
+    "part int, start long, doc_ids array<bigint>, n_ids array<bigint>, offsets array<int>, bits binary"
 )
 
 
@@ -116,32 +119,38 @@ class Codebook:
         return (out.T & np.uint32(0xFFFFFF)).reshape(-1)[:n]
 
 
-_IDS_SCHEMA = "doc_id bigint, ids binary, key bigint, counted array<int>, n array<bigint>"
+_IDS_SCHEMA = "part int, doc_id bigint, start bigint, ids binary, counted array<int>, n array<bigint>"
 
 
-def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int, n: int) -> DataFrame:
-    """Rows of ids with a hash of them, and behind the rows of each task one row that tells how often
-    it wrote each id (``counted``, ``n``)."""
+def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int, size: int) -> DataFrame:
+    """Ids in ascending order of doc_id, dealt into parts by ranges; ``start`` counts the ids before a
+    document in its part. Behind the rows of each part one row tells how often each id was written
+    (``counted``, ``n``) and, as its start, how many ids there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(tokenizer_path).dtype
-        end, total = np.array([end_id], dtype).tobytes(), np.zeros(n, np.int64)
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        names = ["doc_id", "ids", "key", "counted", "n"]
-
-        def batch(doc_ids: list, data: list, counted: list, numbers: list) -> pa.RecordBatch:
-            keys = np.array([xxhash.xxh3_64_intdigest(d or b"") for d in data], np.uint64).view(np.int64)
-            columns = [doc_ids, data, keys, counted, numbers]
+        part, dtype = TaskContext.get().partitionId(), encoder(tokenizer_path).dtype
+        end, total, at = np.array([end_id], dtype).tobytes(), np.zeros(size, np.int64), 0
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["part", "doc_id", "start", "ids", "counted", "n"]
+
+        def batch(*columns) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         for doc_ids, rows in encoded_bytes(batches, tokenizer_path):
-            data = [x + end for x in rows]
-            total += np.bincount(np.frombuffer(b"".join(data), dtype), minlength=n)
-            yield batch(doc_ids, data, [None] * len(data), [None] * len(data))
-        used = np.flatnonzero(total)
-        yield batch([None], [None], [used], [total[used]])
-
-    return texts(df).mapInArrow(run, _IDS_SCHEMA)
+            data, none = [x + end for x in rows], [None] * len(rows)
+            lengths = np.fromiter(map(len, data), np.int64, len(data)) // dtype.itemsize
+            total += np.bincount(np.frombuffer(b"".join(data), dtype), minlength=size)
+            ends = at + np.cumsum(lengths)
+            yield batch([part] * len(data), doc_ids, ends - lengths, data, none, none)
+            at = int(ends[-1]) if len(ends) else at
+        if at:
+            used = np.flatnonzero(total)
+            yield batch([part], [None], [at], [None], [used], [total[used]])
+
+    # Texts are moved, not ids: they are as long, and pack better.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc(), F.col("text").asc()]
+    rows = texts(df).withColumn("key", F.xxhash64("text"))
+    return rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, _IDS_SCHEMA)
 
 
 def _counts(ids: DataFrame, n: int) -> np.ndarray:
@@ -154,28 +163,29 @@ def _counts(ids: DataFrame, n: int) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], book: Codebook, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
-    """Blocks of consecutive documents. ``start`` counts ids within the part."""
+    """Blocks of consecutive documents of a part. ``start`` counts ids within the part."""
     schema = pa.schema(
-        [("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+        [("part", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
          ("n_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("bits", pa.binary())]
     )
-    docs, held, count, block, start, part = [], [], 0, 0, 0, 0
+    docs, held, count, start, part = [], [], 0, 0, None
     forget()
 
     def close() -> pa.RecordBatch:
         bits, offsets = book.encode(np.concatenate(held))
-        row = [[part], [block], [start], [docs], [[len(x) for x in held]], [offsets], [bits]]
+        row = [[part], [start], [docs], [[len(x) for x in held]], [offsets], [bits]]
         return pa.record_batch([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
     for b in batches:
-        for p, doc_id, x in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids")):
-            part = p
+        for p, doc_id, at, x in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "start")), b.column("ids")):
+            if docs and (p != part or count >= BLOCK_IDS):
+                yield close()
+                docs, held, count = [], [], 0
+            if not docs:
+                part, start = p, at
             docs.append(doc_id)
             held.append(np.frombuffer(x.as_buffer(), dtype))
             count += len(held[-1])
-            if count >= BLOCK_IDS:
-                yield close()
-                docs, held, count, block, start = [], [], 0, block + 1, start + count
     if docs:
         yield close()
 
@@ -185,20 +195,15 @@ def write(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID,
     spark = df.sparkSession
     dtype, vocabulary = encoder(tokenizer_path).dtype, encoder(tokenizer_path).tok.get_vocab_size()
     size = max(vocabulary, end_id + 1)
-    _ids_table(df, tokenizer_path, end_id, size).write.option("compression", "lz4_raw").parquet(f"{folder}/ids")
+    _ids_table(df, tokenizer_path, end_id, size).write.option("compression", "zstd").parquet(f"{folder}/ids")
     ids = spark.read.schema(_IDS_SCHEMA).parquet(f"{folder}/ids")
     lengths = code_lengths(_counts(ids, size), max_bits)
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(book, "id bigint, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
-    # The ranges are drawn from two narrow columns; the ids themselves are read once, to be moved.
-    order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc(), F.col("ids").asc()]
-    rows = ids.filter("counted IS NULL").select("doc_id", "key", "ids")
-    placed = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    placed = placed.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    blocks = placed.mapInArrow(lambda it: _blocks(it, Codebook(lengths), dtype), BLOCK_SCHEMA)
+    rows = ids.filter("counted IS NULL").select("part", "doc_id", "start", "ids")
+    blocks = rows.mapInArrow(lambda it: _blocks(it, Codebook(lengths), dtype), BLOCK_SCHEMA)
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
-    stored = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks")
-    sizes = stored.groupBy("part").agg(F.sum(F.expr("aggregate(n_ids, 0L, (a, x) -> a + x)")).alias("n"))
+    sizes = ids.filter("counted IS NOT NULL").select("part", F.col("start").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     parts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ids_before"))
     parts.write.parquet(f"{folder}/parts")
