@@ -12,21 +12,25 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallygrove.llm.common import tokenizer
 
 # Chunks remembered per worker, about 200 bytes each. Later ones are encoded
 # whenever they come.
-REMEMBERED = 600_000
-ROWS_AT_ONCE = 256
+REMEMBERED = 900_000
+BYTES_AT_ONCE = 8 << 20
+SEGMENT = 8 << 20  # characters of a longer text that are split together
 
 _AFTER_BLANK = re.compile(r" (?:\s|\Z)")
 _SEPARATOR = "\x00"
 _PARTS = re.compile(r"([.,;:!?]+|\n)")
+_LATIN_END = "\u0250"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,6 +55,11 @@ class ChunkEncoder:
         self.words = len(self.tok.encode("a b", add_special_tokens=False).ids) == 2 and self.ids("a ") == self.ids("a")
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.model, self.code = self.tok.model, {2: "H", 4: "I"}[self.dtype.itemsize]
+        # Letters of Latin script keep their accents, or this is not used for them.
+        letters = [c for c in map(chr, range(0xAA, ord(_LATIN_END))) if c.isalpha() and c != "\u0130"]
+        self.latin = all(self._word(c, False) == np.array(self.ids(c), self.dtype).tobytes() for c in letters)
         sep = self.ids(_SEPARATOR)
         mark = self.tok.id_to_token(sep[0]) if len(sep) == 1 else None
         mixed = mark is None or not self.words and any(mark in t and t.strip(mark) for t in self.tok.get_vocab())
@@ -79,22 +88,37 @@ class ChunkEncoder:
     def _text(self, key: str) -> str:
         return key if self.words else key[1:] if key[:1] == " " else " " + key
 
+    def _plain(self, word: str) -> bool:
+        """Letters that the tokenizer takes as they are, but for their case."""
+        return word.isalpha() and (word.isascii() or not self.words or self.latin and max(word) < _LATIN_END and "\u0130" not in word)
+
     def _word(self, letters: str, blank: bool) -> bytes:
         """Ids of one pre-token of letters or of punctuation."""
-        if self.words:
-            piece = letters.lower()
-        else:
-            piece = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            piece = _BLANK + piece if blank else piece
-        return np.array([t.id for t in self.tok.model.tokenize(piece)], self.dtype).tobytes()
+        piece = letters.lower() if self.words else letters
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if blank and not self.words:
+            piece = _BLANK + piece
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        """Ids of punctuation behind a word."""
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self._word(marks, False)
+            if len(self.tails) < 10_000:
+                self.tails[marks] = ids
+        return ids
 
     def _simple(self, key: str, new: dict[str, bytes]) -> bytes | None:
         """Ids of words with punctuation and line breaks between them, where the
         pre-tokens are plain to see; else None."""
-        if key.isalpha():
-            return self._word(key, True) if key.isascii() or not self.words else None
+        stem = key.rstrip(".,;:!?")
+        if self._plain(stem):
+            ids = self.known.get(stem) or self._word(stem, True)
+            return ids + self._tail(key[len(stem) :]) if len(stem) < len(key) else ids
         parts = [p for p in _PARTS.split(key) if p]
-        plain = [p for p in parts if p.isalpha() and (p.isascii() or not self.words)]
+        plain = [p for p in parts if self._plain(p)]
         if not parts or parts[0] is not (plain or [None])[0] or parts[-1] == "\n":
             return None
         if len(plain) + sum(_PARTS.fullmatch(p) is not None for p in parts) != len(parts) or "\n\n" in key:
@@ -141,23 +165,79 @@ class ChunkEncoder:
                 start = end + 1
         return out
 
-    def encode(self, batch: Sequence[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of ``dtype``. Each distinct chunk of the batch is
-        looked up once among the many remembered ones, the texts then among the few of the batch."""
-        parts = [self._chunks(t) for t in batch]
-        here, missing, get = {}, [], self.known.get
-        for k in set().union(*parts):
-            ids = get(k)
-            if ids is None:
-                missing.append(k)
-            else:
-                here[k] = ids
+    def _ids_of(self, keys: Sequence[str]) -> list[bytes]:
+        """Ids of distinct chunks, remembered ones and new ones."""
+        out = list(map(self.known.get, keys))
+        missing = [k for k, ids in zip(keys, out) if ids is None]
         if missing:
             new = self._encode_new(missing)
-            here.update(new)
             if len(self.known) + len(new) <= self.limit:
                 self.known.update(new)
-        return [b"".join(map(here.__getitem__, p)) for p in parts]
+            out = [new[k] if ids is None else ids for k, ids in zip(keys, out)]
+        return out
+
+    def _segments(self, text: str) -> list[str] | None:
+        """A long text in pieces, cut at single blanks; None where a text has blanks that go with the
+        white space behind them."""
+        if not self.words and _AFTER_BLANK.search(text):
+            return None
+        out, at = [], 0
+        while len(text) - at > SEGMENT and (end := text.find(" ", at + SEGMENT)) >= 0:
+            out.append(text[at:end])
+            at = end + 1
+        return [*out, text[at:]]
+
+    def encode_flat(self, batch: Sequence[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, each text's followed by ``end`` if that is given, and the
+        number of ids of each. Chunks are split and numbered by Arrow; only the distinct ones of the
+        batch are looked up."""
+        rows, firsts, texts, odd = [], [], [], {}
+        for i, t in enumerate(batch):
+            parts = self._segments(t)
+            if parts is None:
+                odd[i] = self._chunks(t)
+            else:
+                rows += [i] * len(parts)
+                firsts += [True, *[False] * (len(parts) - 1)]
+                texts += parts
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, keys = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        row = np.repeat(np.array(rows, np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        number = {}  # chunks that are not among the dictionary's: first ones, those of odd texts, the end
+        if not self.words:
+            at = lists.offsets.to_numpy()[:-1][np.array(firsts, bool)] - lists.offsets[0].as_py() if texts else []
+            for p in at:
+                codes[p] = number.setdefault(" " + keys[codes[p]], len(keys) + len(number))
+        more = [np.array([number.setdefault(k, len(keys) + len(number)) for k in parts], np.int64) for parts in odd.values()]
+        keys += number
+        codes = np.concatenate([codes, *more])
+        row = np.concatenate([row, *[np.full(len(m), i) for i, m in zip(odd, more)]])
+        if end is not None:
+            codes, row = np.append(codes, np.full(len(batch), len(keys))), np.append(row, np.arange(len(batch)))
+        if odd or end is not None:
+            order = np.argsort(row, kind="stable")
+            codes, row = codes[order], row[order]
+        used = np.flatnonzero(np.bincount(codes[codes < len(keys)], minlength=len(keys)))
+        ids = [b""] * (len(keys) + 1)
+        for k, found in zip(used.tolist(), self._ids_of([keys[k] for k in used.tolist()])):
+            ids[k] = found
+        if end is not None:
+            ids[-1] = np.array([end], self.dtype).tobytes()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        before = np.cumsum(n) - n
+        place = np.repeat(begins[codes] - before, n)
+        place += np.arange(len(place))
+        lengths = np.bincount(row, n, minlength=len(batch)).astype(np.int64)
+        return np.frombuffer(b"".join(ids), self.dtype)[place], lengths
+
+    def encode(self, batch: Sequence[str]) -> list[bytes]:
+        """Ids of each text as little-endian bytes of ``dtype``."""
+        flat, lengths = self.encode_flat(batch)
+        data, ends = flat.tobytes(), (np.cumsum(lengths) * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -171,17 +251,16 @@ def forget() -> None:
     encoder.cache_clear()
 
 
-def encoded_bytes(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[bytes]]]:
-    """(doc_ids, ids as bytes) of a few rows at a time, from batches of (doc_id, text)."""
+def encoded_flat(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids of all texts in a row, each with the end id; how many each has), some rows at a
+    time, from batches of (doc_id, text)."""
     enc = encoder(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            rows = batch.slice(at, ROWS_AT_ONCE)
-            yield rows.column("doc_id").to_pylist(), enc.encode(rows.column("text").to_pylist())
-
-
-def encoded_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(doc_ids, ids) of a few rows at a time, from batches of (doc_id, text)."""
-    dtype = encoder(path).dtype
-    for doc_ids, ids in encoded_bytes(batches, path):
-        yield doc_ids, [np.frombuffer(b, dtype) for b in ids]
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(sizes, before + BYTES_AT_ONCE, "right")))
+            rows = batch.slice(at, stop - at)
+            yield rows.column("doc_id"), *enc.encode_flat(rows.column("text").to_pylist(), end)
+            at = stop

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import cut, texts
-from tallygrove.llm.encoding import encoded_rows
+from tallygrove.llm.encoding import encoded_flat
 
 SEQUENCE = 2048
 END_ID = 0
@@ -36,13 +36,14 @@ def pieces(df: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
     """doc_id, piece, start, length, ids_crc32 (and the ids) of every piece of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, rows in encoded_rows(batches, tokenizer_path):
+        for doc_ids, flat, lengths in encoded_flat(batches, tokenizer_path, end_id):
+            flat, stop = flat.astype("<u4"), 0
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, x in zip(doc_ids, rows):
-                x = np.append(x, x.dtype.type(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(x), size)):
-                    part = x[at : at + size]
-                    row = (doc_id, k, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int64) if with_ids else None)
+            for doc_id, n in zip(doc_ids.to_pylist(), lengths.tolist()):
+                first, stop = stop, stop + n
+                for k, at in enumerate(range(first, stop, size)):
+                    part = flat[at : min(at + size, stop)]
+                    row = (doc_id, k, at - first, len(part), zlib.crc32(part), part.astype(np.int64) if with_ids else None)
                     for name, value in zip(out, row):
                         out[name].append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrove.llm.common import scratch, texts
-from tallygrove.llm.encoding import encoded_bytes, encoder, forget
+from tallygrove.llm.encoding import encoded_flat, encoder, forget
 
 MAX_BITS = 18
 STRIDE = 64
@@ -129,23 +129,23 @@ def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int, size: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, dtype = TaskContext.get().partitionId(), encoder(tokenizer_path).dtype
-        end, total, at = np.array([end_id], dtype).tobytes(), np.zeros(size, np.int64), 0
+        total, at = np.zeros(size, np.int64), 0
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["part", "doc_id", "start", "ids", "counted", "n"]
 
-        def batch(*columns) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-        for doc_ids, rows in encoded_bytes(batches, tokenizer_path):
-            data, none = [x + end for x in rows], [None] * len(rows)
-            lengths = np.fromiter(map(len, data), np.int64, len(data)) // dtype.itemsize
-            total += np.bincount(np.frombuffer(b"".join(data), dtype), minlength=size)
-            ends = at + np.cumsum(lengths)
-            yield batch([part] * len(data), doc_ids, ends - lengths, data, none, none)
-            at = int(ends[-1]) if len(ends) else at
+        for doc_ids, flat, lengths in encoded_flat(batches, tokenizer_path, end_id):
+            total += np.bincount(flat, minlength=size)
+            ends, n = np.cumsum(lengths), len(lengths)
+            places = np.concatenate(([0], ends * dtype.itemsize)).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(places), pa.py_buffer(flat)])
+            nulls = [pa.nulls(n, t) for t in types[4:]]
+            columns = [np.full(n, part, np.int32), doc_ids, at + ends - lengths, data, *nulls]
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            at += int(ends[-1])
         if at:
             used = np.flatnonzero(total)
-            yield batch([part], [None], [at], [None], [used], [total[used]])
+            row = [[part], [None], [at], [None], [used], [total[used]]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(row, types)], names=names)
 
     # Texts are moved, not ids: they are as long, and pack better.
     order = [F.col("doc_id").asc_nulls_first(), F.col("key").asc(), F.col("text").asc()]
