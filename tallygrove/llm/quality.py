@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per document. The ledger keeps the measurements and
 one bit per failed rule, so a policy (a version and the rules it enforces) is a
-mask over stored bits: a new policy needs no look at the texts. Ablations,
+mask over stored bits: a new policy needs no look at the texts. The ledger is a written table, and
+policies and ablations read it alone. Ablations,
 that is what each rule removes alone or together with others, are counted from
 the bit patterns, of which there are at most 2 to the number of rules.
 
@@ -19,11 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import let, texts, words
+from tallygrove.llm.common import cut, let, texts, words
 
 WINDOW = 3
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+MORE_MEASURES = ["n_distinct_words", "n_digits", "n_bullet_lines", "n_open_lines"]
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,15 @@ RULES = (
     Rule(4, "long_words", "word_chars > 20 * n_words"),
     Rule(5, "repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
 )
+EXTENDED = (
+    *RULES,
+    Rule(6, "few_distinct_words", "100 * n_distinct_words < 15 * n_words"),
+    Rule(7, "digits", "100 * n_digits > 25 * word_chars"),
+    Rule(8, "bullets", "100 * n_bullet_lines > 80 * n_lines"),
+    Rule(9, "open_lines", "100 * n_open_lines > 30 * n_lines"),
+    Rule(10, "long_lines", "word_chars > 8000 * n_lines"),
+    Rule(11, "very_long", "n_words > 100000"),
+)
 
 
 @dataclass(frozen=True)
@@ -52,12 +63,14 @@ class Policy:
     rules: Sequence[str]
 
     def mask(self, rules: Sequence[Rule] = RULES) -> int:
-        by_name = {r.name: r.bit for r in rules}
+        by_name = {r.name: r.bit for r in (*rules, *EXTENDED)}
         return sum(1 << by_name[name] for name in self.rules)
 
 
 BASE = Policy("base", ("few_words", "repeated_windows"))
 V1 = Policy("v1", tuple(r.name for r in RULES))
+V2 = Policy("v2", ("few_words", "repeated_windows", "symbols", "few_distinct_words", "digits", "bullets", "open_lines", "long_lines"))
+POLICIES = (BASE, V1, V2)
 
 
 def _repeat_words(word_list: Column) -> Column:
@@ -95,8 +108,14 @@ def measure(df: DataFrame) -> DataFrame:
     base = texts(df).select("doc_id", "text", words(F.col("text")).alias("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     repeated = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    bullets = F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))
+    open_lines = F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))
     return base.select(
         "doc_id",
+        F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct_words"),
+        F.regexp_count("text", F.lit("[0-9]")).cast("bigint").alias("n_digits"),
+        F.size(bullets).cast("bigint").alias("n_bullet_lines"),
+        F.size(open_lines).cast("bigint").alias("n_open_lines"),
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
@@ -107,13 +126,22 @@ def measure(df: DataFrame) -> DataFrame:
 
 
 def ledger(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Measurements and ``fail_bits`` of every document."""
+    """Measurements and ``fail_bits`` of every document, to be stored by :func:`store`."""
     bits = F.lit(0).cast("bigint")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("bigint"))
     return measure(df).withColumn("fail_bits", bits)
 
 
+def store(df: DataFrame, rules: Sequence[Rule] = RULES, path: str | None = None) -> DataFrame:
+    """The ledger of ``df``, written once (below ``path`` or the shared folder) and read back."""
+    rows = ledger(df, rules)
+    if path is None:
+        return cut(rows, "quality-ledger")
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def failed(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
     """True where a stored row fails the policy."""
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask(rules)).cast("bigint")) != 0

@@ -28,12 +28,13 @@ def sha256(text) -> F.Column:
 
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements, failure bits and the verdict of policy v1."""
-    stored = quality.ledger(load(spark, sf_dir, "documents"))
+    """Measurements and failure bits, stored; the verdicts of policy v1 and of its successor from the bits."""
+    stored = quality.store(load(spark, sf_dir, "documents"), quality.EXTENDED)
     judged = quality.apply_policy(stored, quality.V1)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality.failed(quality.BASE).alias("base_failed"), "kept", "n_lines", "fail_bits", "policy",
+        (~quality.failed(quality.V2)).alias("kept_v2"), *quality.MORE_MEASURES,
     )
 
 
@@ -57,22 +58,61 @@ WITH d AS (
     CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(l) AS BIGINT) AS n_lines
+    CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct_words,
+    CAST(len(regexp_replace(text, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits,
+    CAST(len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS BIGINT) AS n_bullet_lines,
+    CAST(len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_open_lines
   FROM w LEFT JOIN c USING (r)
 ), b AS (
   SELECT *,
     CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
     + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END
-    + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END AS bits
+    + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_distinct_words < 15 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN 100 * n_digits > 25 * word_chars THEN 128 ELSE 0 END
+    + CASE WHEN 100 * n_bullet_lines > 80 * n_lines THEN 256 ELSE 0 END
+    + CASE WHEN 100 * n_open_lines > 30 * n_lines THEN 512 ELSE 0 END
+    + CASE WHEN word_chars > 8000 * n_lines THEN 1024 ELSE 0 END
+    + CASE WHEN n_words > 100000 THEN 2048 ELSE 0 END AS bits
   FROM m
 )
+"""
+_LEDGER_SQL = SQL["op1_quality_rules"]
+SQL["op1_quality_rules"] = _LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, n_lines, CAST(bits AS BIGINT) AS fail_bits, 'v1' AS policy
+  (bits & 3) <> 0 AS base_failed, (bits & 63) = 0 AS kept, n_lines, CAST(bits AS BIGINT) AS fail_bits, 'v1' AS policy,
+  (bits & 1991) = 0 AS kept_v2, n_distinct_words, n_digits, n_bullet_lines, n_open_lines
 FROM b
 """
 
 
+@query
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, alone or with others, from one stored ledger."""
+    stored = quality.store(load(spark, sf_dir, "documents"), quality.EXTENDED)
+    parts = [quality.ablation(stored, p, quality.EXTENDED).withColumn("policy", F.lit(p.version)) for p in quality.POLICIES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _ablation_sql() -> str:
+    bits = {r.name: 1 << r.bit for r in quality.EXTENDED}
+    parts = []
+    for p in quality.POLICIES:
+        mask = sum(bits[r] for r in p.rules)
+        parts += [
+            f"SELECT '{p.version}' AS policy, '{r}' AS rule, count(*) FILTER (bits & {bits[r]} <> 0) AS n_failed, "
+            f"count(*) FILTER (bits & {mask} = {bits[r]}) AS n_failed_alone, count(*) FILTER (bits & {mask} = 0) AS n_kept, "
+            f"count(*) FILTER (bits & {mask - bits[r]} = 0) AS n_kept_without FROM b"
+            for r in p.rules
+        ]
+    return _LEDGER_SQL + " UNION ALL ".join(parts)
+
+
+SQL["quality_ablation"] = _ablation_sql()
+
+
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose turns hold control strings."""

@@ -49,3 +49,24 @@ def test_empty_table(docs, spark):
 def test_main_path_is_native(documents):
     plan = quality.ledger(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_more_measures(docs):
+    text = "- a 1\n  * b 22...\n• c …\nplain -\n\n" + "w " * 3
+    (r,) = quality.measure(docs((1, text))).collect()
+    assert [r[c] for c in quality.MORE_MEASURES] == [11, 3, 3, 2]
+    (r,) = quality.measure(docs((1, None))).collect()
+    assert [r[c] for c in quality.MORE_MEASURES] == [0, 0, 0, 0]
+
+
+def test_policies_read_the_stored_ledger_alone(docs, spark):
+    """A policy of a later version and its ablation need no look at the texts."""
+    rows = docs((1, "w " * 100), (2, " ".join(f"ab{chr(97 + i % 26)}c{chr(97 + i // 26)}" for i in range(60))), (3, None), (4, "9 " * 70))
+    stored = quality.store(rows, quality.EXTENDED)
+    assert all("quality-ledger" in f for f in stored.inputFiles())
+    assert {r["doc_id"]: r["fail_bits"] for r in stored.collect()} == {1: 0b1001010, 2: 0, 3: 1, 4: 0b11001010}
+    judged = quality.apply_policy(stored, quality.V2, quality.EXTENDED)
+    assert judged.inputFiles() == stored.inputFiles()
+    assert {r["doc_id"] for r in judged.collect() if r["kept"]} == {2}
+    table = {r["rule"]: tuple(r)[1:] for r in quality.ablation(stored, quality.V2, quality.EXTENDED).collect()}
+    assert len(table) == 8 and table["few_words"] == (1, 1, 1, 2) and table["digits"] == (1, 0, 1, 1)
