@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,14 +121,14 @@ class Ledger:
         """Scan what is new and return the paths (doc_id, blob) of ``df``.
         Findings are written before the note that their blobs are scanned, so a run
         that breaks off scans them again and loses none."""
-        text = texts(df)
-        blob = F.sha2(F.encode("text", "UTF-8"), 256)
-        paths = cut(text.select("doc_id", blob.alias("blob"), may_hold(F.col("text"), rules).alias("maybe")), "paths")
-        blobs = paths.groupBy("blob").agg(F.first("maybe").alias("maybe"))
+        maybe = may_hold(F.col("text"), rules)
+        blob = F.sha2(F.encode("text", "UTF-8"), 256).alias("blob")
+        # One pass over the texts: those that may hold something, which are few, are kept beside their hash.
+        paths = cut(texts(df).select("doc_id", blob, F.when(maybe, F.col("text")).alias("text")), "paths")
+        blobs = paths.groupBy("blob").agg(F.max(F.col("text").isNotNull()).alias("maybe"))
         new = cut(blobs.join(self.scanned(version), "blob", "left_anti"), "new-blobs")
-        held = text.filter(may_hold(F.col("text"), rules)).withColumn("blob", blob)
-        one = held.groupBy("blob").agg(F.first("text").alias("text"))  # copies meet in each task first
-        todo = one.join(new.filter("maybe"), "blob", "left_semi")
+        held = paths.filter("text IS NOT NULL").groupBy("blob").agg(F.first("text").alias("text"))  # copies meet in each task first
+        todo = held.join(new.filter("maybe"), "blob", "left_semi")
         found = _scan_rows(todo, rules).filter(F.size("spans") > 0).withColumn("version", F.lit(version))
         found.select("blob", "version", "spans").write.mode("append").parquet(f"{self.folder}/findings")
         new.select("blob", F.lit(version).alias("version")).write.mode("append").parquet(f"{self.folder}/scanned")
@@ -149,18 +150,25 @@ def listed(spans: Column, kinds: Sequence[str] | None = None) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by ``[kind]``; overlapping spans become
-    one, named by the first."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(text: str, spans: Sequence[tuple[str, int, int]]) -> str:
+    """The text with every span (kind, start, stop) replaced by ``[kind]``, in one pass; overlapping
+    spans become one, named by the first."""
+    out, at = [], 0
+    for kind, start, stop in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], before, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+def redact(text: Column, spans: Column) -> Column:
+    """:func:`redacted` for a column, spans in order. Texts without spans do not pass through Python if
+    the caller asks for this only where there are some."""
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    @F.pandas_udf("string")
+    def run(texts_: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if t is None else redacted(t, [(s["kind"], s["start"], s["stop"]) for s in (() if f is None else f)]) for t, f in zip(texts_, found)
+        ], dtype=object)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
+    return run(text, spans)
