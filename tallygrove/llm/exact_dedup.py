@@ -22,14 +22,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import SPACE, cut, texts
+from tallygrove.llm.common import SPACE, cut, scratch, texts
 
 FILTER_KEYS = 200_000  # digests per filter
 SALTS = 32
 FILTER_SCHEMA = "bucket int, seed bigint, segment int, segments int, cells binary"
+CLASSES_SCHEMA = "digest string, best struct<n_chars:bigint,no_id:boolean,minus_id:bigint>, group_size bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -185,21 +187,79 @@ def collided(df: DataFrame, suspects: DataFrame, digest: Callable[[Column], Colu
     return ends.filter("least <> greatest").select("digest")
 
 
-def deduplicate(df: DataFrame, is_new: Column, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+class Snapshots:
+    """Immutable snapshots below a folder, numbered from 1: the ``classes`` of all rows so far (digest,
+    the row that stays, how many there are) and, per bucket of digests, a ``filters`` row. A snapshot is
+    complete once its ``done`` note is there; a number without it is left over from a crash, and not used."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def latest(self) -> int:
+        """The number of the last complete snapshot, 0 before the first."""
+        try:
+            return self._read("done", "number int").agg(F.max("number")).first()[0] or 0
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+
+    def classes(self, number: int) -> DataFrame:
+        if not number:
+            return self.spark.createDataFrame([], CLASSES_SCHEMA)
+        return self._read(f"classes-{number}", CLASSES_SCHEMA)
+
+    def write(self, classes: DataFrame) -> int:
+        """The next snapshot, with filters over its digests."""
+        number = self.latest() + 1
+        classes.write.mode("overwrite").parquet(f"{self.folder}/classes-{number}")
+        stored = self.classes(number)
+        n_buckets = max(1, -(-stored.count() // FILTER_KEYS))
+        built = build_filters(stored, n_buckets).withColumn("n_buckets", F.lit(n_buckets))
+        built.write.mode("overwrite").parquet(f"{self.folder}/filters-{number}")
+        self.spark.createDataFrame([(number,)], "number int").coalesce(1).write.mode("append").parquet(f"{self.folder}/done")
+        return number
+
+    def known(self, batch: DataFrame) -> DataFrame:
+        """(digest) of those classes of a batch that the latest snapshot has: screened by its filters, then
+        looked up in its exact buckets."""
+        number = self.latest()
+        if not number:
+            return batch.select("digest").limit(0)
+        filters = self._read(f"filters-{number}", FILTER_SCHEMA + ", n_buckets int")
+        first = filters.first()
+        n_buckets = first["n_buckets"] if first else 1
+        screened = cut(screen(batch, filters.drop("n_buckets"), n_buckets), "screened")
+        positive = batch.select("digest").join(screened.filter("maybe").select("digest"), "digest", "left_semi")
+        return positive.join(self.classes(number).select("digest"), "digest", "left_semi")
+
+    def add(self, batch: DataFrame) -> int:
+        """The next snapshot: the classes of a batch joined to those of the latest one."""
+        again = cut(self.known(batch), "known")
+        old = self.classes(self.latest())
+        merged = old.unionByName(batch.join(again, "digest", "left_semi")).groupBy("digest").agg(*_merge())
+        return self.write(merged.unionByName(batch.join(again, "digest", "left_anti")))
+
+
+def classes_of(keys: DataFrame) -> DataFrame:
+    """(digest, best, group_size) of what :func:`digests` gives."""
+    return keys.groupBy("digest").agg(*_best())
+
+
+def deduplicate(
+    df: DataFrame, is_new: Column, digest: Callable[[Column], Column] = sha256, folder: str | None = None
+) -> DataFrame:
     """Every row with keep_id, group_size, kept and digest. ``is_new`` (over
-    doc_id) tells the rows of the batch from those of the snapshot."""
+    doc_id) tells the rows of the batch from those of the snapshot. Both snapshots, the one before and
+    the one with the batch, stay below ``folder`` for batches to come (:class:`Snapshots`)."""
+    spark = df.sparkSession
     keys = cut(digests(df, digest).withColumn("is_new", F.coalesce(is_new, F.lit(True))), "digests")
-    snapshot = cut(keys.filter("NOT is_new").groupBy("digest").agg(*_best()), "snapshot")
-    batch = cut(keys.filter("is_new").groupBy("digest").agg(*_best()), "batch")
-    n_buckets = max(1, -(-snapshot.count() // FILTER_KEYS))
-    filters = cut(build_filters(snapshot, n_buckets), "filters")
-    screened = cut(screen(batch, filters, n_buckets), "screened")
-
-    positive = batch.join(screened.filter("maybe").select("digest"), "digest", "left_semi")
-    again = positive.join(snapshot.select("digest"), "digest", "left_semi")
-    merged = snapshot.unionByName(again).groupBy("digest").agg(*_merge())
-    new = batch.join(again.select("digest"), "digest", "left_anti")
-    classes = cut(merged.unionByName(new), "classes")
+    snapshots = Snapshots(spark, folder or scratch(spark, "snapshots"))
+    snapshots.write(classes_of(keys.filter("NOT is_new")))
+    classes = snapshots.classes(snapshots.add(cut(classes_of(keys.filter("is_new")), "batch")))
 
     wrong = cut(collided(df, classes.filter("group_size > 1"), digest), "collided")
     if wrong.isEmpty():

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.llm import exact_dedup as ed
+from tallygrove.llm.common import scratch
+
 
 def half():
     return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
@@ -62,3 +64,21 @@ def test_filter_has_no_false_negatives(n):
     other = rng.integers(0, 1 << 60, 100_000, dtype=np.uint64)
     assert f.contains(other).mean() < 0.01
     assert len(f.cells) < 1.2 * n + 4096
+
+
+def test_snapshots_take_one_batch_after_another(docs, spark):
+    """Each batch is screened by the stored filters of the snapshot before it."""
+    store = ed.Snapshots(spark, scratch(spark, "snapshots"))
+    rows = [(i, f"text {i * 7 % 50}" + " " * (i % 3)) for i in range(200)] + [(None, "text 1"), (900, None)]
+    assert store.latest() == 0
+    for k in range(3):
+        batch = ed.classes_of(ed.digests(docs(*rows[k::3])))
+        known = {r["digest"] for r in store.known(batch).collect()}
+        before = {r["digest"] for r in store.classes(store.latest()).collect()}
+        assert known == before & {r["digest"] for r in batch.collect()}
+        assert store.add(batch) == k + 1
+    want = {tuple(r) for r in ed.classes_of(ed.digests(docs(*rows))).collect()}
+    assert {tuple(r) for r in store.classes(3).collect()} == want and store.classes(1).count() < len(want)
+    store.classes(3).limit(1).write.parquet(f"{store.folder}/classes-4")  # a crash before the note
+    assert store.latest() == 3 and store.add(ed.classes_of(ed.digests(docs((5000, "quite new"))))) == 4
+    assert store.classes(4).count() == len(want) + 1
