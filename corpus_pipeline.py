@@ -72,7 +72,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = secret_scan.find_secrets(_texts(docs, key)).filter(F.size("spans") > 0)
     joined = docs.join(found.select(F.col("doc_id").alias(key), F.col("spans").alias(spans)), key, "left")
     clean = F.col(spans).isNull()
-    text = F.when(clean, F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col(spans)))
+    # Only texts with a secret are handed to Python.
+    text = F.when(clean, F.col("text")).otherwise(secret_scan.redact(F.when(~clean, F.col("text")), F.col(spans)))
     joined = joined.withColumn("text", text)
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
