@@ -17,9 +17,18 @@ anchors that occur twice are sorted, with the bytes that their windows reach.
    the anchor at offset i are equal if ``length - i`` bytes to the right and i bytes to
    the left agree, which the shared prefixes of both sides tell for all i.
 
-Equal documents are recognised first: they are repeats of each other as a whole, and one
-of them stands for all in the sort. Anchors with more than ``HOT`` places are not gathered in one bucket;
-their windows are counted one by one, by a 128-bit hash.
+Equal documents are recognised first, by SHA-256: they are repeats of each other as a whole, and one
+of them stands for all in the sort. Anchors are found by a hash, which only chooses what is compared:
+whether two strings are equal is decided by their bytes.
+
+A bucket gets a task's equal suffixes as one entry with their number; the places stay with the task that
+found them, and take the result back from there. So a passage that is in every document is one entry
+per task. An anchor with more than ``HOT`` places, which may stand in as many different surroundings, is
+dealt over many buckets: windows whose part behind the anchor's start is ``a`` to ``a + STEP - 1`` bytes
+long share the first ``a`` of them and, before the anchor, all but the last ``STEP - 1`` bytes that they can reach.
+These bytes make their key, for each ``a``, and windows of one key are merged like any others.
+
+The texts are moved once, into a table dealt by document; lists of anchors and spans come to them.
 
 Null texts count as empty. Repeated rows are documents of their own (and
 repeats of each other), rows may lack an id. Texts shorter than ``length`` lose nothing.
@@ -28,31 +37,37 @@ An empty table gives no rows. Columns other than id and text are not carried.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import cut, texts, unique_ids
+from tallygrove.llm.common import bucketed, cut, texts, unique_ids
 
 LENGTH = 200
 GRAM = 32
 BUCKET_PLACES = 40_000  # anchor places merged in one task, about
-HOT = 50_000  # places of one anchor
+HOT = 50_000  # places of an anchor that are merged in one bucket
+STEP = 16
 RUN_BYTES = 48 << 20  # a task starts a new run beyond this
 SMALL_GROUP = 10  # suffixes of one anchor compared in pairs
 
 _SEGMENT = 1 << 22  # window starts looked at in one go
 _PLACE = np.uint64((1 << 24) - 1)
 
+# Entries of a run for one bucket, and in rows of their own (without a bucket) the places of a run's entries.
 RUN_SCHEMA = (
-    "bucket int, shared array<int>, sizes array<int>, tails binary, left_sizes array<int>, lefts binary, "
-    "n array<int>, rows array<bigint>, starts array<bigint>"
+    "run bigint, bucket int, entry array<int>, shared array<int>, sizes array<int>, tails binary, left_sizes array<int>, "
+    "lefts binary, n array<int>, rows array<bigint>, starts array<bigint>"
 )
+FOUND_SCHEMA = "run bigint, entry int, low int, high int"
+SPAN_SCHEMA = "row_key bigint, start bigint, stop bigint"
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,33 +230,48 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(hash, row_key, whole, n): distinct anchors of each document; ``whole`` is a hash of the text."""
+    """(hash, row_key, whole, rest, n): distinct anchors of each document; ``whole`` and ``rest`` are 128 bits of
+    the SHA-256 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                got: list[list[np.ndarray]] = [[], [], [], []]
+                got: list[list[np.ndarray]] = [[], [], [], [], []]
                 for key, text in zip(part.column("row_key").to_pylist(), part.column("text").to_pylist()):
                     data = text.encode()
                     h, n = np.unique(anchors(data, length, gram)[3], return_counts=True)
-                    whole = np.full(len(h), xxhash.xxh64_intdigest(data) >> 1, np.int64)
-                    for to, x in zip(got, (h, np.full(len(h), key, np.int64), whole, n)):
+                    sha = np.frombuffer(hashlib.sha256(data).digest(), "<i8") if len(h) else (0, 0)
+                    same = [np.full(len(h), x, np.int64) for x in (key, sha[0], sha[1])]
+                    for to, x in zip(got, (h, *same, n)):
                         to.append(x)
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in got], names=["hash", "row_key", "whole", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in got], names=["hash", "row_key", "whole", "rest", "n"])
+
+    schema = "hash bigint, row_key bigint, whole bigint, rest bigint, n bigint"
+    return docs.select("row_key", "text").mapInArrow(run, schema)
+
 
-    return docs.select("row_key", "text").mapInArrow(run, "hash bigint, row_key bigint, whole bigint, n bigint")
+def _dealt(data: bytes, h: int, place: int, first: int, last: int, length: int, gram: int) -> Iterator[tuple[bytes, int, int]]:
+    """(key, first window, last window) of a common anchor's windows, by the length of their part behind
+    the anchor's start."""
+    for a in range(gram, length + 1, STEP):
+        before = max(length - a - STEP + 1, 0)  # bytes before the anchor that all of these windows reach
+        low, high = max(first, place - (length - a)), min(last, place - before)
+        if low <= high:
+            surroundings = data[place - before : place + a]
+            yield xxhash.xxh64_digest(surroundings, h % 2**32 + a), low, high
 
 
 class _Run:
     """Entries of one task: suffix and left side -> places."""
 
-    def __init__(self):
+    def __init__(self, number: int):
+        self.number = number
         self.entries: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
         self.bytes = 0
 
-    def add(self, h: int, data: bytes, place: int, first: int, last: int, key: int, length: int) -> None:
-        entry = (h.to_bytes(8, signed=True) + data[place : last + length], data[first:place][::-1])
+    def add(self, group: bytes, data: bytes, place: int, first: int, last: int, key: int, length: int) -> None:
+        entry = (group + data[place : last + length], data[first:place][::-1])
         places = self.entries.get(entry)
         if places is None:
             self.entries[entry] = [(key, place)]
@@ -251,25 +281,30 @@ class _Run:
             self.bytes += 100
 
     def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[bytes, bytes]]] = {}
-        for entry in sorted(self.entries):
-            by.setdefault(_bucket_of(entry[0], buckets), []).append(entry)
+        by: dict[int, list[tuple[int, tuple[bytes, bytes]]]] = {}
+        ordered = sorted(self.entries)
+        for number, entry in enumerate(ordered):
+            by.setdefault(_bucket_of(entry[0], buckets), []).append((number, entry))
+        packed = zstandard.ZstdCompressor(level=3).compress
         for bucket, entries in by.items():
-            shared, tails = front_coded([s for s, _ in entries])
-            packed = zstandard.ZstdCompressor(level=3).compress
-            places = [self.entries[e] for e in entries]
-            row = {
-                "bucket": pa.array([bucket], pa.int32()),
-                "shared": pa.array([shared], pa.list_(pa.int32())),
-                "sizes": pa.array([[len(t) for t in tails]], pa.list_(pa.int32())),
-                "tails": pa.array([packed(b"".join(tails))], pa.binary()),
-                "left_sizes": pa.array([[len(x) for _, x in entries]], pa.list_(pa.int32())),
-                "lefts": pa.array([packed(b"".join(x for _, x in entries))], pa.binary()),
-                "n": pa.array([[len(p) for p in places]], pa.list_(pa.int32())),
-                "rows": pa.array([[k for p in places for k, _ in p]], pa.list_(pa.int64())),
-                "starts": pa.array([[s for p in places for _, s in p]], pa.list_(pa.int64())),
-            }
-            yield pa.record_batch(row)
+            shared, tails = front_coded([s for _, (s, _) in entries])
+            lefts = [x for _, (_, x) in entries]
+            yield _run_row(
+                run=self.number, bucket=bucket, entry=[k for k, _ in entries], shared=shared, sizes=[len(t) for t in tails],
+                tails=packed(b"".join(tails)), left_sizes=[len(x) for x in lefts], lefts=packed(b"".join(lefts)),
+                n=[min(len(self.entries[e]), 2) for _, e in entries],
+            )
+        if ordered:
+            places = [self.entries[e] for e in ordered]
+            yield _run_row(
+                run=self.number, n=[len(p) for p in places], rows=[k for p in places for k, _ in p], starts=[s for p in places for _, s in p]
+            )
+
+
+def _run_row(**values) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.split() for f in RUN_SCHEMA.split(", ")]
+    return pa.record_batch([pa.array([values.get(name)], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
 def _bucket_of(suffix: bytes, buckets: int) -> int:
@@ -277,53 +312,55 @@ def _bucket_of(suffix: bytes, buckets: int) -> int:
 
 
 def runs(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Front-coded sorted runs of (row_key, text, hashes), per task and bucket."""
+    """Front-coded sorted runs of (row_key, text, hashes, hot), per task and bucket, and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Run()
+        part_id, made = TaskContext.get().partitionId() << 24, 0
+        held = _Run(part_id)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for key, text, hashes in zip(part.column("row_key").to_pylist(), part.column("text").to_pylist(), part.column("hashes")):
+                columns = part.column("row_key").to_pylist(), part.column("text").to_pylist(), part.column("hashes"), part.column("hot")
+                for key, text, hashes, hot in zip(*columns):
                     data = text.encode()
                     place, first, last, h = anchors(data, length, gram)
                     some = np.flatnonzero(np.isin(h, hashes.values.to_numpy()))
                     for p, a, z, x in zip(*(v[some].tolist() for v in (place, first, last, h))):
-                        held.add(x, data, p, a, z, key, length)
+                        held.add(x.to_bytes(8, signed=True), data, p, a, z, key, length)
+                    some = np.flatnonzero(np.isin(h, hot.values.to_numpy())) if len(hot.values) else ()
+                    for p, a, z, x in zip(*(v[some].tolist() for v in (place, first, last, h))) if len(some) else ():
+                        for group, low, high in _dealt(data, x, p, a, z, length, gram):
+                            held.add(group, data, p, low, high, key, length)
                 if held.bytes > RUN_BYTES:
                     yield from held.rows(buckets)
-                    held = _Run()
+                    made += 1
+                    held = _Run(part_id + made)
         yield from held.rows(buckets)
 
-    return docs.select("row_key", "text", "hashes").mapInArrow(run, RUN_SCHEMA)
+    return docs.select("row_key", "text", "hashes", "hot").mapInArrow(run, RUN_SCHEMA)
 
 
 def _merge_bucket(table: pa.Table, length: int) -> pa.Table:
-    """Merge the runs of a bucket: (row_key, start, stop) of repeated bytes."""
-    streams, lefts, counts, places = [], [], [], []
+    """Merge the runs of a bucket: (run, entry, low, high), the offsets of an entry's repeated windows."""
+    streams, lefts, counts, names = [], [], [], []
+    unpacked = zstandard.ZstdDecompressor().decompress
     for row in table.to_pylist():
-        unpacked = zstandard.ZstdDecompressor().decompress
         streams.append(decoded(row["shared"], row["sizes"], unpacked(row["tails"])))
         row["lefts"] = unpacked(row["lefts"])
         ends = np.cumsum(row["left_sizes"]).tolist()
         lefts.append([row["lefts"][e - s : e] for e, s in zip(ends, row["left_sizes"])])
         counts.append(row["n"])
-        ends = np.cumsum(row["n"]).tolist()
-        places.append([list(zip(row["rows"][e - k : e], row["starts"][e - k : e])) for e, k in zip(ends, row["n"])])
+        names.append([(row["run"], k) for k in row["entry"]])
     at = [0] * len(streams)
-    keys, starts, stops = [], [], []
-    group: list[tuple[bytes, bytes, int, int, list]] = []
+    out: list[tuple[int, int, int, int]] = []
+    group: list[tuple[bytes, bytes, int, int, tuple[int, int]]] = []
 
     def close() -> None:
         if len(group) == 1 and group[0][2] < 2:
             return
-        rights, left, n, shared, where = (list(x) for x in zip(*group))
-        for spans, occurrences in zip(repeated_offsets(rights, left, n, shared, length), where):
-            for low, high in spans:
-                for key, place in occurrences:
-                    keys.append(key)
-                    starts.append(place - high)
-                    stops.append(place - low + length)
+        rights, left, n, shared, whose = (list(x) for x in zip(*group))
+        for spans, name in zip(repeated_offsets(rights, left, n, shared, length), whose):
+            out.extend((*name, low, high) for low, high in spans)
 
     for string, shared, k in merge(streams):
         j = at[k]
@@ -331,74 +368,61 @@ def _merge_bucket(table: pa.Table, length: int) -> pa.Table:
         if shared < 8 and group:
             close()
             group.clear()
-        group.append((string[8:], lefts[k][j], counts[k][j], max(shared - 8, 0), places[k][j]))
+        group.append((string[8:], lefts[k][j], counts[k][j], max(shared - 8, 0), names[k][j]))
     if group:
         close()
-    return pa.table({"row_key": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "stop": pa.array(stops, pa.int64())})
+    columns = list(zip(*out)) or [()] * 4
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["run", "entry", "low", "high"])
 
 
-def _hot_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans at very common anchors: windows are counted by a 128-bit hash; tasks count
-    their own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, text, hashes in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), b.column("hot")):
-                data = text.encode()
-                _, first, last, h = anchors(data, length, gram)
-                some = np.flatnonzero(np.isin(h, hashes.values.to_numpy()))
-                at = [p for a, z in zip(first[some].tolist(), last[some].tolist()) for p in range(a, z + 1)]
-                yield pa.record_batch(
-                    {
-                        "window": pa.array([xxhash.xxh3_128_digest(data[p : p + length]) for p in at], pa.binary()),
-                        "row_key": pa.array([key] * len(at), pa.int64()),
-                        "start": pa.array(at, pa.int64()),
-                    }
-                )
-
-    rows = cut(docs.select("row_key", "text", "hot").mapInArrow(run, "window binary, row_key bigint, start bigint"), "hot-windows")
-    twice = cut(rows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "hot-repeats")
-    return rows.join(twice, "window").select("row_key", "start", (F.col("start") + length).alias("stop"))
+def _placed(places: pa.Table, found: pa.Table, length: int) -> pa.Table:
+    """(row_key, start, stop) of the repeated windows of one run's entries."""
+    out = [np.zeros(0, np.int64)] * 3
+    if places.num_rows and found.num_rows:
+        (row,) = places.to_pylist()
+        n, keys, starts = (np.array(row[c], np.int64) for c in ("n", "rows", "starts"))
+        entry, low, high = (found.column(c).to_numpy().astype(np.int64) for c in ("entry", "low", "high"))
+        count, first = n[entry], (np.cumsum(n) - n)[entry]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        out = [keys[at], starts[at] - np.repeat(high, count), starts[at] - np.repeat(low, count) + length]
+    return pa.table(dict(zip(("row_key", "start", "stop"), map(pa.array, out))))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, keys: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(row_key, start, stop) of repeated bytes of (row_key, text), in pieces that may
-    overlap. Of equal texts only the one with the smallest key is looked at, beside other texts."""
+    overlap. Of equal texts (by ``keys``: row_key, sha) only the one with the smallest key is looked at, beside
+    other texts. Lists that grow with the corpus are never broadcast, whatever their size."""
     rows = cut(_anchor_rows(docs, length, gram), "anchors")
-    counts = rows.groupBy("hash").agg(
-        F.min("whole").alias("least"), F.max("whole").alias("most"), F.max("n").alias("inside"), F.sum("n").alias("n")
-    )
-    repeated = cut(counts.filter("least <> most OR inside > 1").select("hash", "n"), "repeated")
-    total = repeated.filter(F.col("n") <= hot).agg(F.sum("n")).first()[0] or 0
+    sides = [f(c).alias(f"{f.__name__}_{c}") for c in ("whole", "rest") for f in (F.min, F.max)]
+    counts = rows.groupBy("hash").agg(*sides, F.max("n").alias("inside"), F.sum("n").alias("n"))
+    twice = "min_whole <> max_whole OR min_rest <> max_rest OR inside > 1"
+    repeated = cut(counts.filter(twice).select("hash", "n"), "repeated")
+    roles = -(-(length - gram + 1) // STEP)
+    total = repeated.agg(F.sum(F.when(F.col("n") > hot, F.col("n") * roles).otherwise(F.col("n")))).first()[0] or 0
     # Reduced by document in each task first, so that no common anchor is one group.
-    first = F.min("row_key").alias("row_key")
-    chosen = cut(docs.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")).agg(first).select("row_key"), "first-copies")
-    mine = rows.select("hash", "row_key").join(repeated, "hash")
+    chosen = cut(keys.groupBy("sha").agg(F.min("row_key").alias("row_key")).select("row_key"), "first-copies")
+    mine = rows.select("hash", "row_key").join(repeated.hint("merge"), "hash")
     lists = mine.groupBy("row_key").agg(
         F.collect_list(F.when(F.col("n") <= hot, F.col("hash"))).alias("hashes"),
         F.collect_list(F.when(F.col("n") > hot, F.col("hash"))).alias("hot"),
     )
-    lists = cut(lists.join(chosen, "row_key"), "lists")
-    found = docs.join(lists.hint("merge"), "row_key")
+    lists = cut(lists.join(chosen.hint("merge"), "row_key"), "lists")
     buckets = max(1, -(-total // BUCKET_PLACES))
-    sorted_runs = runs(found, buckets, length, gram)
-    spans = sorted_runs.groupBy("bucket").applyInArrow(
-        lambda table: _merge_bucket(table, length), "row_key bigint, start bigint, stop bigint"
-    )
-    often = lists.filter(F.size("hot") > 0)
-    if often.isEmpty():
-        return spans
-    return spans.unionByName(_hot_spans(docs.join(often, "row_key"), length, gram))
+    sorted_runs = cut(runs(docs.join(lists.hint("merge"), "row_key"), buckets, length, gram), "runs")
+    found = sorted_runs.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda table: _merge_bucket(table, length), FOUND_SCHEMA)
+    places = sorted_runs.filter("bucket IS NULL").select("run", "n", "rows", "starts")
+    return places.groupBy("run").cogroup(found.groupBy("run")).applyInArrow(lambda a, b: _placed(a, b, length), SPAN_SCHEMA)
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, ``spans`` (maximal removed runs) and ``kept`` (the remaining bytes) of every row."""
-    docs = unique_ids(texts(df)).select("row_key", "doc_id", "text")
+    docs = bucketed(unique_ids(texts(df)).select("row_key", "doc_id", "text"), "row_key", "texts")
     sha = F.sha2(F.encode("text", "UTF-8"), 256)
     keys = cut(docs.select("row_key", sha.alias("sha"), F.octet_length("text").alias("n_bytes")), "keys")
     copies = cut(keys.groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1").select("sha"), "copied")
-    whole = keys.filter(F.col("n_bytes") >= length).join(copies, "sha").select("row_key", F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").cast("bigint").alias("stop"))
-    spans = repeated_spans(docs.select("row_key", "text"), length, gram, hot).unionByName(whole)
+    whole = keys.filter(F.col("n_bytes") >= length).join(copies.hint("merge"), "sha").select("row_key", F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").cast("bigint").alias("stop"))
+    spans = repeated_spans(docs.select("row_key", "text"), keys.select("row_key", "sha"), length, gram, hot).unionByName(whole)
     by_doc = cut(spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("pieces")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,8 +451,6 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                     }
                 )
 
-    # Both lists grow with the corpus, and their compressed files look far smaller than they are
-    # in memory: never broadcast them.
     joined = docs.join(by_doc.hint("merge"), "row_key", "left").select("doc_id", "text", "pieces")
     return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 

@@ -97,3 +97,42 @@ def test_large_groups_equal_pairs():
             assert [sd._joined(x) for x in sd.repeated_offsets(rights, lefts, n, shared, 10)] == few
         finally:
             sd.SMALL_GROUP = small
+
+
+@pytest.mark.parametrize("hot", [0, 5, 100, 10**6])
+def test_common_anchors_are_dealt_by_their_surroundings(docs, monkeypatch, hot):
+    """One passage in many documents, repeated as a whole in some, by half in others, with other
+    surroundings in the rest: dealing its anchors over buckets changes nothing."""
+    monkeypatch.setattr(sd, "BUCKET_PLACES", 300)
+    rng = random.Random(7)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz é", k=n))
+
+    short, long, around = noise(90), noise(260), [noise(130) for _ in range(4)]
+    rows = []
+    for i in range(150):
+        middle = short if i % 3 else long
+        left = rng.choice(around)[rng.randrange(130) :] if i % 2 else noise(80)
+        right = rng.choice(around)[: rng.randrange(130)] if i % 5 else noise(80)
+        rows.append((i, noise(20) + left + middle + right + noise(20)))
+    rows += [(500, rows[3][1]), (501, rows[4][1] + "x"), (502, long * 3)]
+    assert digest(sd.remove_repeats(docs(*rows).repartition(6), hot=hot)) == brute(rows)
+
+
+def test_places_stay_with_the_task_that_found_them(docs, monkeypatch):
+    """A bucket holds one entry per task for a passage, however many documents have it."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=400))
+    rows = [(i, passage + f" number {i} " + "".join(rng.choices("abcdefgh ", k=50))) for i in range(300)]
+    seen = []
+    real = sd.cut
+    monkeypatch.setattr(sd, "cut", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    assert digest(sd.remove_repeats(docs(*rows).repartition(4))) == brute(rows)
+    runs = dict(seen)["runs"].collect()
+    counted = [n for r in runs if r["bucket"] is not None for n in r["n"]]
+    held = [n for r in runs if r["bucket"] is None for n in r["n"]]
+    tasks = sum(r["bucket"] is None for r in runs)
+    assert len(counted) == len(held) and max(counted) == 2  # a bucket knows that there are several, the task where
+    common = [n for n in held if n > 2]
+    assert sum(common) >= 600 and len(common) <= 6 * tasks
