@@ -23,12 +23,13 @@ from tallygrove.llm.common import tokenizer
 
 # Chunks remembered per worker, about 200 bytes each. Later ones are encoded
 # whenever they come.
-REMEMBERED = 900_000
+REMEMBERED = 750_000
 BYTES_AT_ONCE = 8 << 20
 SEGMENT = 8 << 20  # characters of a longer text that are split together
 
 _AFTER_BLANK = re.compile(r" (?:\s|\Z)")
 _SEPARATOR = "\x00"
+_MARKS = ".,;:!?"
 _PARTS = re.compile(r"([.,;:!?]+|\n)")
 _LATIN_END = "\u0250"
 
@@ -90,7 +91,9 @@ class ChunkEncoder:
 
     def _plain(self, word: str) -> bool:
         """Letters that the tokenizer takes as they are, but for their case."""
-        return word.isalpha() and (word.isascii() or not self.words or self.latin and max(word) < _LATIN_END and "\u0130" not in word)
+        if not word.isalpha():
+            return False
+        return not self.words or word.isascii() or self.latin and max(word) < _LATIN_END and "\u0130" not in word
 
     def _word(self, letters: str, blank: bool) -> bytes:
         """Ids of one pre-token of letters or of punctuation."""
@@ -113,10 +116,6 @@ class ChunkEncoder:
     def _simple(self, key: str, new: dict[str, bytes]) -> bytes | None:
         """Ids of words with punctuation and line breaks between them, where the
         pre-tokens are plain to see; else None."""
-        stem = key.rstrip(".,;:!?")
-        if self._plain(stem):
-            ids = self.known.get(stem) or self._word(stem, True)
-            return ids + self._tail(key[len(stem) :]) if len(stem) < len(key) else ids
         parts = [p for p in _PARTS.split(key) if p]
         plain = [p for p in parts if self._plain(p)]
         if not parts or parts[0] is not (plain or [None])[0] or parts[-1] == "\n":
@@ -140,9 +139,19 @@ class ChunkEncoder:
     def _encode_new(self, keys: Iterable[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         together = []
+        plain, known, word, tails = self._plain, self.known.get, self._word, self.tails
         for k in keys:
-            t = self._text(k)
-            ids = self._simple(k, out)
+            # Nearly all are a word, with punctuation behind it or not.
+            stem = k.rstrip(_MARKS)
+            if plain(stem):
+                size = len(stem)
+                if size == len(k):
+                    out[k] = word(k, True)
+                else:
+                    marks = k[size:]
+                    out[k] = (known(stem) or word(stem, True)) + (tails.get(marks) or self._tail(marks))
+                continue
+            ids, t = self._simple(k, out), self._text(k)
             if ids is not None:
                 out[k] = ids
             elif not t:

@@ -84,21 +84,23 @@ class Codebook:
         first = np.cumsum(width) - width
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[order] = (first >> (self.max_bits - self.lengths[order])).astype(np.uint64)
+        self.both = self.codes << np.uint64(8) | lengths.astype(np.uint64)  # code and, below it, its bits
         # Per window of max_bits: the symbol, and above it the bits it takes.
         self.table = np.full(1 << self.max_bits, 1 << 24, np.uint32)
         self.table[: width.sum()] = np.repeat(order | self.lengths[order] << 24, width)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits, and the bit offset of every STRIDE-th id."""
-        n = self.lengths[ids]
+        both = self.both[ids]
+        n = (both & np.uint64(255)).view(np.int64)
         end = np.cumsum(n)
         begin = end - n
-        shift = (64 - (begin & 31) - n).astype(np.uint64)
-        value = self.codes[ids] << shift
+        both >>= np.uint64(8)
+        both <<= (64 - (begin & 31) - n).view(np.uint64)
         word = begin >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        high = np.add.reduceat(value >> np.uint64(32), first)
-        low = np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
+        first = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1))
+        high = np.add.reduceat(both >> np.uint64(32), first)
+        low = np.add.reduceat(both & np.uint64(0xFFFFFFFF), first)
         out = np.zeros(len(first) + 1, np.uint64)
         out[:-1] += high
         out[1:] += low
