@@ -1,7 +1,7 @@
 """SQL of the queries on stored tables."""
 
-from oracle.base import money
-from oracle.reports import COLUMNS, ROW_ID
+from oracle.base import avg, money, pct
+from oracle.reports import API, COLUMNS, ROW_ID
 
 KEY = "CAST(transaction_id AS BIGINT)"
 MONTH = "strftime(date, '%Y-%m')"
@@ -41,4 +41,20 @@ TABLE_SQL = {
         WHERE country NOT IN ('NATION_6', 'NATION_18') GROUP BY 1)
       SELECT {ROW_ID}, s.city, listed_id FROM (SELECT * REPLACE (CASE WHEN {KEY} % 3 = 0 THEN 'NATION_1-0'
         WHEN {KEY} % 53 <> 1 THEN city END AS city) FROM sales) s LEFT JOIN c ON s.city = c.city""",
+    "distinct_from_cells": f"""SELECT 'hour' AS grain, hour AS value, {money()} AS total_revenue, TRUE AS close FROM e GROUP BY 2
+      UNION ALL SELECT 'year', year, {money()}, TRUE FROM sold GROUP BY 2""",
+    "bundle_from_cells": " UNION ALL ".join(
+        f"SELECT '{name}' AS report, {key} AS key, {n} AS n, {money()} AS revenue, {average} AS average, TRUE AS close FROM {source} GROUP BY 2"
+        for name, key, n, average, source in [
+            ("sales_summary_by_country", "country", "COUNT(*)", avg(), "sold"),
+            ("hourly_sales_analysis", "CAST(hour AS VARCHAR)", "COUNT(*)", avg(), "sold"),
+            ("discount_periods_analysis", "discount_period", "COUNT(*)", avg(), "sold WHERE discount_applied"),
+            ("regular_vs_discount_comparison", "CASE WHEN discount_applied THEN 'Discounted' ELSE 'Regular Price' END", "COUNT(*)",
+             f"ROUND({pct('COUNT(*)', '(SELECT COUNT(*) FROM sold)')}, 2)", "sold"),
+            ("age_group_analysis", "country || '/' || band3", "COUNT(*)", avg("age"), "sold WHERE age IS NOT NULL"),
+            ("product_performance_analysis", "product_name", "COUNT(*) FILTER (discount_applied)", avg("CASE WHEN discount_applied THEN amt END"), "sold"),
+        ]
+    ),
+    "customer_from_copy": API["customer_totals"],
+    "receipt_from_copy": API["receipt_items"],
 }

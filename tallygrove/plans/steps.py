@@ -20,7 +20,7 @@ from tallygrove.plans import registry
 from tallygrove.schema import AMOUNT, MONTH_PARTITION, ROW_ID, SALES_COLUMNS, SALES_SCHEMA
 from tallygrove.session import shared_dir
 from tallygrove.sources import files, sinks
-from tallygrove.sources.star import report_table, sales_from_star, stored_sales
+from tallygrove.sources.star import report_table, sales_from_star, source_name, stored_sales
 from tallygrove.streaming import ingest
 
 Step = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,9 @@ _written: dict[tuple, str] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], object]) -> str:
-    """A folder that several queries of one application read, written once."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    """A folder that several queries of one application read, written once for the source files as
+    they are: new files, new copy."""
+    key = (spark.sparkContext.applicationId, source_name(spark, sf_dir, kind))
     if key not in _written:
         path = _new_dir(spark, kind)
         write(path)

@@ -1,5 +1,6 @@
 """Queries that show how the stored table is kept (versions, corrections, deliveries, pages) and
-how it is joined: with time intervals, and with a long list whose keys are skewed."""
+how it is joined: with time intervals, and with a long list whose keys are skewed; and reports from
+aggregates kept beside it."""
 
 from __future__ import annotations
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.measures import n_rows, total
 from tallygrove.operators import enrich, intervals, lookup, ranking
+from tallygrove.plans import api, cells, exports, summary
 from tallygrove.plans.steps import _calendar_of, _new_dir, _sales
 from tallygrove.schema import AMOUNT, ROW_ID, SALES_COLUMNS
-from tallygrove.sources import files, sinks
+from tallygrove.sources import copies, files, sinks
+from tallygrove.sources.star import report_table
 from tallygrove.sources.storage import Folder
 from tallygrove.streaming import ingest
 
@@ -148,3 +151,73 @@ def lookup_hot_city(spark, sf_dir):
     cities = sales.filter(~F.col("country").isin("NATION_6", "NATION_18")).groupBy("city").agg(F.min("country_id").alias("listed_id"))
     rows = sales.select(*ROW_ID, city.alias("city"))
     return lookup.lookup_join(rows, cities, "city", broadcast_rows=0).select(*ROW_ID, "city", "listed_id")
+
+
+def _kept_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily cells of the sales, appended in three chunks of which one is delivered twice."""
+    sales, table = _sales(spark, sf_dir), sinks.sales_table(spark, _new_dir(spark, "cells"))
+    kept = cells.daily_cells(table)
+    for chunk in (0, 1, 2, 1):
+        table.append(sales.filter(F.pmod(_key(), F.lit(3)) == chunk), f"part{chunk}")
+        kept.refresh()
+    return kept.read()
+
+
+def _beside(estimated: DataFrame, exact: DataFrame, keys: list[str], distinct: list[str]) -> DataFrame:
+    """Rows of a report from cells, and whether each distinct count is within 2 % of the exact one."""
+    right = exact.select(*[F.col(c).alias(f"_{c}") for c in keys + distinct])
+    same, close = F.lit(True), F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    for c in distinct:
+        close = close & (F.abs(F.col(c) - F.col(f"_{c}")) * 50 <= F.col(f"_{c}"))
+    return estimated.join(right, same).withColumn("close", close)
+
+
+@_table
+def distinct_from_cells(spark, sf_dir):
+    """Customers per hour and per year from stored sketches, against exact counts."""
+    kept, df = _kept_cells(spark, sf_dir), report_table(spark, sf_dir)
+    hours = _beside(cells.hourly_distribution(kept), api.hourly_distribution(df), ["hour_of_day"], ["unique_customers"])
+    years = _beside(cells.yearly_customers(kept), summary.yearly_customers(df), ["year"], ["unique_customers"])
+    hours = hours.select(F.lit("hour").alias("grain"), F.col("hour_of_day").alias("value"), "total_revenue", "close")
+    return hours.unionByName(years.select(F.lit("year").alias("grain"), F.col("year").cast("bigint").alias("value"), "total_revenue", "close"))
+
+
+# Of each report of the bundle: its exact form, keys, count, revenue, average and distinct counts.
+_BUNDLE = {
+    "sales_summary_by_country": (exports.sales_by_country, ["country"], "total_transactions", "total_revenue", "avg_transaction_value", ["unique_customers", "unique_products"]),
+    "hourly_sales_analysis": (exports.hourly_sales, ["hour"], "total_transactions", "total_revenue", "avg_transaction_value", ["unique_customers", "unique_receipts"]),
+    "discount_periods_analysis": (exports.discount_periods, ["discount_period"], "transactions", "revenue", "avg_transaction", ["customers"]),
+    "regular_vs_discount_comparison": (exports.regular_vs_discount, ["price_type"], "transactions", "revenue", "transaction_percentage", ["customers"]),
+    "age_group_analysis": (exports.age_by_country, ["country", "age_group"], "total_transactions", "total_revenue", "avg_age_in_group", ["unique_customers"]),
+    "product_performance_analysis": (exports.product_performance, ["product_name"], "discounted_sales", "total_revenue", "avg_discounted_price", ["unique_customers", "countries_sold_in"]),
+}
+
+
+@_table
+def bundle_from_cells(spark, sf_dir):
+    """All six analyses of the export bundle from daily cells, against the exact ones."""
+    kept, df, out = _kept_cells(spark, sf_dir), report_table(spark, sf_dir), None
+    for name, (exact, keys, n, revenue, average, distinct) in _BUNDLE.items():
+        rows = _beside(cells.BUNDLE[name](kept), exact(df), keys, distinct).select(
+            F.lit(name).alias("report"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("key"),
+            F.col(n).alias("n"), F.col(revenue).alias("revenue"), F.col(average).alias("average"), "close",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_table
+def customer_from_copy(spark, sf_dir):
+    """A customer's totals from the copy for look-ups by customer."""
+    copy = copies.write_copy(_sales(spark, sf_dir), _new_dir(spark, "by-customer"), "customer_id")
+    return api.customer_totals(copy, "7")
+
+
+@_table
+def receipt_from_copy(spark, sf_dir):
+    """The items of a receipt from the copy for look-ups by receipt, opened anew."""
+    path = _new_dir(spark, "by-receipt")
+    copies.write_copy(_sales(spark, sf_dir), path, "receipt_number")
+    return api.receipt_items(copies.open_copy(spark, path), "20")

@@ -83,7 +83,7 @@ def sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _view(spark: SparkSession, sf_dir: str, kind: str) -> str:
+def source_name(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """Named by the folder and by size and time of its files: new files, new copy."""
     seen = [sf_dir]
     for name in ("orders", "customer", "nation", "part", "lineitem"):
@@ -101,7 +101,7 @@ def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     report reads only its columns and months. A temp view remembers it, which
     also keeps the file listing.
     """
-    view = _view(spark, sf_dir, "sales")
+    view = source_name(spark, sf_dir, "sales")
     if not spark.catalog.tableExists(view):
         path = f"{shared_dir(spark)}/sales-{uuid.uuid4().hex[:12]}"
         write_partitioned(sales_from_star(spark, sf_dir), path, MONTH_PARTITION)
@@ -116,7 +116,7 @@ def _stored_schema() -> str:
 
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched sales table of the given folder, as a temp view as well."""
-    view = _view(spark, sf_dir, "enriched")
+    view = source_name(spark, sf_dir, "enriched")
     if not spark.catalog.tableExists(view):
         enrich_sales(stored_sales(spark, sf_dir)).createOrReplaceTempView(view)
     return spark.table(view)
