@@ -48,7 +48,7 @@ from tallygrove.llm.common import cut, ship_package
 PARTS = 16
 ENTRIES = 64
 ROUNDS = 2
-LEAF = 32  # points in a ball that is not refined
+LEAF = 64  # points in a ball that is not refined
 BLOCK = 2**18  # components in a block, about
 BROADCAST_ROWS = 100_000
 
@@ -136,14 +136,25 @@ def _shape(points: np.ndarray, weights: np.ndarray, members: np.ndarray) -> tupl
     return members, centre, n, _distances(points[members], centre).max()
 
 
+def _distinct(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and which of them each row is."""
+    if whole.dtype == object or not whole.shape[1]:
+        rows = [tuple(r) for r in whole.tolist()]
+        number = {r: i for i, r in enumerate(sorted(set(rows)))}
+        points = np.array(list(number), dtype=whole.dtype).reshape(len(number), whole.shape[1])
+        return points, np.fromiter((number[r] for r in rows), np.int64, len(rows))
+    order = np.lexsort(whole.T)
+    ordered = whole[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)])
+    which = np.empty(len(whole), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], which
+
+
 def build_tree(whole: np.ndarray) -> dict:
     """The tree over the rows of one part: distinct points in the order of its leaves, and its
     balls, parents first, each with the range of its points and its cached sum and count."""
-    rows = [tuple(r) for r in whole.tolist()]
-    distinct = sorted(set(rows))
-    number = {r: i for i, r in enumerate(distinct)}
-    row_point = np.fromiter((number[r] for r in rows), np.int64, len(rows))
-    points = np.array(distinct, dtype=whole.dtype).reshape(len(distinct), whole.shape[1])
+    points, row_point = _distinct(whole)
     weights = np.bincount(row_point)
     everything = np.arange(len(points))
     plain = not whole.size or abs(whole).max() < _FLOATS
@@ -166,9 +177,11 @@ def build_tree(whole: np.ndarray) -> dict:
     points, weights = points[order], weights[order]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    weighted = points * weights[:, None]
-    sums = [weighted[lo:hi].sum(axis=0) for lo, hi, _, _ in balls]
-    counts = [int(weights[lo:hi].sum()) for lo, hi, _, _ in balls]
+    first, end = np.array(balls)[:, :2].T
+    none = np.zeros((1, points.shape[1]), points.dtype)
+    upto = np.concatenate([none, np.cumsum(points * weights[:, None], axis=0)])
+    sums = list(upto[end] - upto[first])
+    counts = np.diff(np.concatenate([[0], np.cumsum(weights)])[np.stack([first, end])], axis=0)[0].tolist()
     centres = [s.astype(float) / n if plain else None for s, n in zip(sums, counts)]
     radii = [float(_distances(points[b[0] : b[1]].astype(float), c).max()) if plain else math.inf for b, c in zip(balls, centres)]
     return {
