@@ -22,7 +22,10 @@ from tallygrove.session import get_spark  # noqa: E402
 from tallygrove.sources.star import stored_sales  # noqa: E402
 
 # Operator queries timed beside the reports.
-OPERATORS = ["deciles", "medians", "discount_tagged", "geo_enriched", "clean_sanitize", "top_per_country"]
+OPERATORS = [
+    "deciles", "medians", "discount_tagged", "geo_enriched", "clean_sanitize", "top_per_country",
+    "interval_tagged", "interval_totals", "lookup_hot_city", "upsert_months", "page_indexed",
+]
 
 
 def timed(action) -> float:
