@@ -102,14 +102,27 @@ def plan(counts: dict[int, int], size: int = SEQUENCE) -> dict[int, list[tuple[i
     return out
 
 
+def _sums_before(sizes: DataFrame) -> DataFrame:
+    """(length, bucket, before): the rows of a length in the buckets before. Running sums are taken in
+    groups of BUCKET_ROWS buckets and over the groups, so that no task has all buckets of a common length."""
+    group = F.floor(F.col("bucket") / BUCKET_ROWS)
+    sizes = sizes.withColumn("group", group)
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("length", "group").agg(F.sum("n").alias("n"))
+    over = upto.partitionBy("length").orderBy("group")
+    groups = groups.select("length", "group", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("first"))
+    within = F.coalesce(F.sum("n").over(upto.partitionBy("length", "group").orderBy("bucket")), F.lit(0))
+    inside = sizes.select("length", "group", "bucket", within.alias("within"))
+    return inside.join(groups, ["length", "group"]).select("length", "bucket", (F.col("first") + F.col("within")).alias("before"))
+
+
 def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Add ``rank``, from 0 within each length, without one task per length."""
     buckets = max(1, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
     rows = rows.withColumn("bucket", bucket)
     sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sizes = _sums_before(cut(sizes, "bucket-sizes"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     inside = rows.withColumn("inside", F.row_number().over(order))
     joined = inside.join(sizes, ["length", "bucket"])
