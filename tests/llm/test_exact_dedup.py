@@ -69,10 +69,10 @@ def test_filter_has_no_false_negatives(n):
 def test_snapshots_take_one_batch_after_another(docs, spark):
     """Each batch is screened by the stored filters of the snapshot before it."""
     store = ed.Snapshots(spark, scratch(spark, "snapshots"))
-    rows = [(i, f"text {i * 7 % 50}" + " " * (i % 3)) for i in range(200)] + [(None, "text 1"), (900, None)]
+    rows = [(i, f"text {i * 7 % 120}" + " " * (i % 3)) for i in range(200)] + [(None, "text 1"), (900, None)]
     assert store.latest() == 0
     for k in range(3):
-        batch = ed.classes_of(ed.digests(docs(*rows[k::3])))
+        batch = ed.classes_of(ed.digests(docs(*rows[k * 70 : (k + 1) * 70])))
         known = {r["digest"] for r in store.known(batch).collect()}
         before = {r["digest"] for r in store.classes(store.latest()).collect()}
         assert known == before & {r["digest"] for r in batch.collect()}
