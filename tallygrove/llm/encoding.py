@@ -23,7 +23,7 @@ from tallygrove.llm.common import tokenizer
 
 # Chunks remembered per worker, about 200 bytes each. Later ones are encoded
 # whenever they come.
-REMEMBERED = 1_200_000
+REMEMBERED = 750_000
 BYTES_AT_ONCE = 8 << 20
 SEGMENT = 8 << 20  # characters of a longer text that are split together
 
@@ -250,9 +250,9 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One per Python worker and file, kept between tasks."""
-    return ChunkEncoder(path)
+def encoder(path: str, limit: int = REMEMBERED) -> ChunkEncoder:
+    """One per Python worker, file and number of remembered chunks, kept between tasks."""
+    return ChunkEncoder(path, limit)
 
 
 def forget() -> None:
@@ -260,10 +260,12 @@ def forget() -> None:
     encoder.cache_clear()
 
 
-def encoded_flat(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def encoded_flat(
+    batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int = REMEMBERED
+) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc_ids, ids of all texts in a row, each with the end id; how many each has), some rows at a
     time, from batches of (doc_id, text)."""
-    enc = encoder(path)
+    enc = encoder(path, limit)
     for batch in batches:
         sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0

@@ -36,6 +36,7 @@ MAX_BITS = 18
 STRIDE = 64
 BLOCK_IDS = 1 << 16
 END_ID = 2
+REMEMBERED = 1_200_000  # chunks: some 240 MB a worker, while it encodes
 
 BLOCK_SCHEMA = (
     "part int, start long, doc_ids array<bigint>, n_ids array<bigint>, offsets array<int>, bits binary"
@@ -130,12 +131,12 @@ def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int, size: int) -> Da
     (``counted``, ``n``) and, as its start, how many ids there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, dtype = TaskContext.get().partitionId(), encoder(tokenizer_path).dtype
+        part, dtype = TaskContext.get().partitionId(), encoder(tokenizer_path, REMEMBERED).dtype
         total, at = np.zeros(size, np.int64), 0
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["part", "doc_id", "start", "ids", "counted", "n"]
 
-        for doc_ids, flat, lengths in encoded_flat(batches, tokenizer_path, end_id):
+        for doc_ids, flat, lengths in encoded_flat(batches, tokenizer_path, end_id, REMEMBERED):
             total += np.bincount(flat, minlength=size)
             ends, n = np.cumsum(lengths), len(lengths)
             places = np.concatenate(([0], ends * dtype.itemsize)).astype(np.int32)
