@@ -23,8 +23,8 @@ from tallygrove.llm.common import tokenizer
 
 # Chunks remembered per worker, about 200 bytes each. Later ones are encoded
 # whenever they come.
-REMEMBERED = 750_000
-BYTES_AT_ONCE = 8 << 20
+REMEMBERED = 400_000
+BYTES_AT_ONCE = 4 << 20
 SEGMENT = 8 << 20  # characters of a longer text that are split together
 
 _AFTER_BLANK = re.compile(r" (?:\s|\Z)")
@@ -261,17 +261,17 @@ def forget() -> None:
 
 
 def encoded_flat(
-    batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int = REMEMBERED
+    batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int = REMEMBERED, at_once: int = BYTES_AT_ONCE
 ) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc_ids, ids of all texts in a row, each with the end id; how many each has), some rows at a
-    time, from batches of (doc_id, text)."""
+    time, from batches of (doc_id, text). More remembered chunks and larger batches take memory for time."""
     enc = encoder(path, limit)
     for batch in batches:
         sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(sizes, before + BYTES_AT_ONCE, "right")))
+            stop = max(at + 1, int(np.searchsorted(sizes, before + at_once, "right")))
             rows = batch.slice(at, stop - at)
             yield rows.column("doc_id"), *enc.encode_flat(rows.column("text").to_pylist(), end)
             at = stop

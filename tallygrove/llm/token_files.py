@@ -37,6 +37,7 @@ STRIDE = 64
 BLOCK_IDS = 1 << 16
 END_ID = 2
 REMEMBERED = 1_200_000  # chunks: some 240 MB a worker, while it encodes
+BYTES_AT_ONCE = 8 << 20
 
 BLOCK_SCHEMA = (
     "part int, start long, doc_ids array<bigint>, n_ids array<bigint>, offsets array<int>, bits binary"
@@ -136,7 +137,7 @@ def _ids_table(df: DataFrame, tokenizer_path: str, end_id: int, size: int) -> Da
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         names = ["part", "doc_id", "start", "ids", "counted", "n"]
 
-        for doc_ids, flat, lengths in encoded_flat(batches, tokenizer_path, end_id, REMEMBERED):
+        for doc_ids, flat, lengths in encoded_flat(batches, tokenizer_path, end_id, REMEMBERED, BYTES_AT_ONCE):
             total += np.bincount(flat, minlength=size)
             ends, n = np.cumsum(lengths), len(lengths)
             places = np.concatenate(([0], ends * dtype.itemsize)).astype(np.int32)
