@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +29,23 @@ def get_spark(master: str | None = None, app: str = "tallygrove", **conf: str) -
     return builder.getOrCreate()
 
 
+SORTED_BYTES = 32 * 2**20  # of a shuffle, compressed: what a task that sorts for a writer should read
+
+
+@contextmanager
+def sized_tasks(spark: SparkSession) -> Iterator[None]:
+    """Tasks of a write that sorts its rows read ``SORTED_BYTES`` at most, about an eighth of a GB in memory, so that
+    no task has to spill its sort. A smaller target of the session stays as it is."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    wanted = min(SORTED_BYTES, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    spark.conf.set(key, f"{wanted}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for tables that cut a lineage: the one the cluster names in
     ``spark.checkpoint.dir``, under the application's id.

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallygrove.session import sized_tasks
 from tallygrove.sources.storage import Folder
 
 DESCRIPTION = "_copy.json"
@@ -28,7 +29,8 @@ def write_copy(df: DataFrame, path: str, key: str, buckets: int | None = None) -
     adaptive = spark.conf.get("spark.sql.adaptive.enabled") == "true"
     dealt = df.hint("rebalance", n, key) if adaptive else df.repartition(n, key)
     name = f"writing_{uuid.uuid4().hex}"
-    dealt.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    with sized_tasks(spark):
+        dealt.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
     folder.create(DESCRIPTION, json.dumps({"key": key, "buckets": n, "schema": df.schema.simpleString()}))
     return open_copy(spark, path)

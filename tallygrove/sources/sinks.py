@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.calendar import month_start
 from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION, SALES_COLUMNS
+from tallygrove.session import sized_tasks
 from tallygrove.sources.files import CSV_OPTIONS, read_csv, read_parts
 from tallygrove.sources.versions import CHUNK, VersionedTable
 
@@ -137,11 +138,16 @@ def unpack_csv(spark: SparkSession, src: str, schema=None) -> DataFrame:
 
 
 def _arranged(df: DataFrame, by: str) -> DataFrame:
+    """Sales rows, and their chunk if they have one, laid out for writing."""
+    return arranged_by(df.select(*SALES_COLUMNS, *[c for c in [CHUNK] if c in df.columns]), by)
+
+
+def arranged_by(df: DataFrame, by: str) -> DataFrame:
     """Add the partition column and lay the rows out for writing: each value of
     it together and sorted by date, so that row-group statistics prune well. The
     rebalance lets Spark size the files: small values share a task, a value with
     very many rows is split over several."""
-    rows = df.select(*SALES_COLUMNS, *[c for c in [CHUNK] if c in df.columns]).withColumn(by, partition_value(by))
+    rows = df.withColumn(by, partition_value(by))
     # Without adaptive execution the hint does nothing.
     adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
     rows = rows.hint("rebalance", F.col(by)) if adaptive else rows.repartition(by)
@@ -166,7 +172,8 @@ def _fact_writer(df: DataFrame, by: str, bloom: Sequence[str] = ()):
 
 def write_partitioned(df: DataFrame, path: str, by: str = MONTH_PARTITION, bloom: Sequence[str] = ()) -> str:
     """Replace the fact table, with one folder per month (or day)."""
-    _fact_writer(df, by, bloom).parquet(path)
+    with sized_tasks(df.sparkSession):
+        _fact_writer(df, by, bloom).parquet(path)
     return path
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrove.session import sized_tasks
 from tallygrove.sources.storage import Folder
 
 RUN = "table_run"
@@ -195,7 +196,8 @@ class VersionedTable:
         for name in self.bloom:
             writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
             writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
-        writer.parquet(path)
+        with sized_tasks(rows.sparkSession):
+            writer.parquet(path)
         base = f"{DATA}/{RUN}={run}"
         chunks = self.folder.folders(base)
         folders = [f"{c}/{p}" for c in chunks for p in self.folder.folders(f"{base}/{c}")] if self.by else chunks
