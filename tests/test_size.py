@@ -1,5 +1,9 @@
 """What keeps tasks, shuffles and files in proportion when the tables grow."""
 
+from pyspark.sql import functions as F
+
+from tallygrove.plans import cells
+from tallygrove.schema import SALES_SCHEMA
 from tallygrove.session import sized_tasks
 from tallygrove.sources import sinks, star
 
@@ -23,3 +27,21 @@ def test_tasks_of_a_sorted_write_are_bounded(spark):
             assert spark.conf.get(name) == wanted
         assert spark.conf.get(name) == given
     spark.conf.set(name, usual)
+
+
+def test_merged_sketches_stay_close(spark):
+    """24 hours of 40,000 customers each, spread over days, whose sketches are merged."""
+    ids = spark.range(24 * 40_000).withColumn("hour", (F.col("id") % 24).cast("int"))
+    day = F.expr("make_timestamp_ntz(2024, 1, 1 + CAST(id DIV 24 % 9 AS INT), hour, 0, 0)")
+    text, money = F.col("id").cast("string"), F.lit("1.00").cast("decimal(10,2)")
+    values = {"date": day, "transaction_desc": F.lit("Product Sale")}
+    rows = ids.select(
+        *[
+            values.get(f.name, money if f.name.endswith("_sgd") else text if f.name.endswith(("_id", "_number")) else F.lit(None))
+            .cast(f.dataType).alias(f.name)
+            for f in SALES_SCHEMA
+        ]
+    )
+    found = cells.hourly_distribution(cells.build(rows, [])).collect()
+    assert len(found) == 24 and all(r.transaction_count == 40_000 for r in found)
+    assert max(abs(r.unique_customers / 40_000 - 1) for r in found) < 0.0135
