@@ -19,17 +19,22 @@ from tallygrove.sources.versions import CHUNK, VersionedTable
 
 ROWS_PER_PART = 10_000
 
+# Of a CSV file, unless a single file is asked for: some 75 MB of sales. A file with line breaks inside fields
+# cannot be split by who reads it, so its size bounds a task.
+ROWS_PER_FILE = 500_000
+
 # Columns by which single sales are looked up.
 LOOKUP_COLUMNS = ["customer_id", "receipt_number", "product_id"]
 
 
-def _csv_writer(df: DataFrame, sep: str = ",", encoding: str = "UTF-8"):
-    return df.write.mode("overwrite").options(**CSV_OPTIONS, sep=sep, encoding=encoding)
+def _csv_writer(df: DataFrame, sep: str = ",", encoding: str = "UTF-8", single_file: bool = False):
+    writer = (df.coalesce(1) if single_file else df).write.mode("overwrite")
+    return writer.options(**CSV_OPTIONS, sep=sep, encoding=encoding, maxRecordsPerFile=0 if single_file else ROWS_PER_FILE)
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Write as CSV with a header in each part."""
-    _csv_writer(df.coalesce(1) if single_file else df).csv(path)
+    _csv_writer(df, single_file=single_file).csv(path)
     return path
 
 
@@ -117,11 +122,11 @@ def rebuild_from_manifest(
     ).first()
     folder = manifest.rsplit("/", 1)[0] if "/" in manifest else "."
     df = read_parts(spark, [f"{folder}/{f}" for f in row["files"]])
-    df = df.coalesce(1) if single_file else df
     if fmt == "parquet":
+        df = df.coalesce(1) if single_file else df
         df.write.mode("overwrite").option("compression", codec or row["codec"] or "zstd").parquet(dst)
     else:
-        _csv_writer(df, sep, encoding).csv(dst)
+        _csv_writer(df, sep, encoding, single_file).csv(dst)
     return dst
 
 

@@ -1,11 +1,18 @@
 """What keeps tasks, shuffles and files in proportion when the tables grow."""
 
+import datetime as dt
+import glob
+import os
+from collections import Counter
+
 from pyspark.sql import functions as F
+from sales_rows import sale
 
-from tallygrove.plans import cells
-from tallygrove.schema import SALES_SCHEMA
+from tallygrove.plans import cells, steps, tables
+from tallygrove.schema import SALES_COLUMNS, SALES_SCHEMA
 from tallygrove.session import sized_tasks
-from tallygrove.sources import sinks, star
+from tallygrove.sources import files, sinks, star
+from tallygrove.streaming import ingest
 
 
 def plan(df):
@@ -45,3 +52,51 @@ def test_merged_sketches_stay_close(spark):
     found = cells.hourly_distribution(cells.build(rows, [])).collect()
     assert len(found) == 24 and all(r.transaction_count == 40_000 for r in found)
     assert max(abs(r.unique_customers / 40_000 - 1) for r in found) < 0.0135
+
+
+def test_csv_files_are_bounded(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 100, raising=False)
+    rows = spark.range(1050).coalesce(1)
+
+    def counts(path):
+        return sorted(sum(1 for _ in open(f)) - 1 for f in glob.glob(f"{path}/*.csv"))
+
+    assert counts(sinks.export_csv(rows, str(tmp_path / "many"))) == [50] + [100] * 10
+    assert counts(sinks.export_csv(rows, str(tmp_path / "one"), single_file=True)) == [1050]
+    assert files.read_csv(spark, str(tmp_path / "many"), "id bigint", multi_line=True).count() == 1050
+
+
+def test_folders_are_deliveries(spark, make, tmp_path):
+    """Also if a batch of the stream holds a part of a folder's files only."""
+    inbox, dst, state = (str(tmp_path / n) for n in ("in box", "fact", "state"))
+    first = [sale(i, date=dt.datetime(2024, 1 + i % 3, 2)) for i in range(10)]
+    fixed = [sale(i, date=dt.datetime(2024, 5, 2), amt=9) for i in range(8)]
+    other = [sale(100 + i, date=dt.datetime(2024, 2, 2)) for i in range(6)]
+    os.makedirs(inbox)
+
+    def send(rows, name, n=4):
+        sinks.export_csv(make(*rows).repartition(n), str(tmp_path / "made" / name))
+        os.rename(tmp_path / "made" / name, f"{inbox}/{name}")
+
+    def run():
+        ingest.ingest_deliveries(spark, inbox, dst, state, max_files=2)
+        return Counter(map(tuple, files.read_sales(spark, dst, SALES_COLUMNS).collect()))
+
+    send(first, "part_0.csv")
+    send(other, "part_1.csv")
+    assert run() == Counter(first + other)
+    versions = sinks.sales_table(spark, dst).versions()
+    send(other, "again.csv", 3)  # the same rows in other files
+    assert run() == Counter(first + other) and sinks.sales_table(spark, dst).versions() == versions
+    send(fixed, "part_0_v2.csv")
+    assert run() == Counter(fixed + other)
+    assert sorted(sinks.sales_table(spark, dst).head().ledger) == ["part_0", "part_1"]
+
+
+def test_chunks_are_sent_in_several_files(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 500, raising=False)
+    made = []
+    monkeypatch.setattr(tables, "_new_dir", lambda s, name: made.append(steps._new_dir(s, name)) or made[-1])
+    tables.TABLES["chunk_deliveries"](spark, sf_dir)
+    sent = glob.glob(f"{made[0].removeprefix('file://')}/*/*.csv")
+    assert len(sent) >= 14 and max(sum(1 for _ in open(f)) for f in sent) <= 501
