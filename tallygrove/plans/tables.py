@@ -84,16 +84,16 @@ def page_indexed(spark, sf_dir):
 
 @_table
 def chunk_deliveries(spark, sf_dir):
-    """Four chunks, one with wrong amounts; then that one corrected, one sent again under a new
+    """Four chunks, each a folder of files, one with wrong amounts; then that one corrected, one sent again under a new
     name and one sent again unchanged. The amounts come out right and no row twice."""
     sales = _sales(spark, sf_dir)
     inbox, dst, state = (_new_dir(spark, n) for n in ("inbox", "fact", "state"))
     part = F.pmod(_key(), F.lit(4))
 
     def send(rows: DataFrame, name: str) -> None:
-        made = sinks.export_csv(rows, f"{inbox}-{uuid.uuid4().hex}", single_file=True)
-        (csv,) = [n for n in Folder(spark, made).names() if n.endswith(".csv")]
-        Folder(spark, made).move(csv, f"{inbox}/{name}")
+        home, made = f"{inbox}-sent", uuid.uuid4().hex
+        sinks.export_csv(rows, f"{home}/{made}")
+        Folder(spark, home).move(made, f"{inbox}/{name}")
 
     for k in range(4):
         rows = sales.filter(part == k)

@@ -18,6 +18,10 @@ class Folder:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def local_path(self) -> str:
+        """The path alone, without the file system's name."""
+        return self._fs.makeQualified(self._path("")).toUri().getPath()
+
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._path(name))
 
