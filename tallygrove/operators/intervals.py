@@ -6,8 +6,10 @@ that occurs; the equality of bins finds the candidates and the times decide. Lev
 a second on, so there are 64 at most and a few in practice.
 
 Few intervals: per level one list per bin, broadcast; a row looks up one list per level and is neither
-copied nor shuffled. Many: rows are given a number and their bins, and meet the intervals in a shuffle,
-in which adaptive execution splits a bin that holds very many rows.
+copied nor shuffled. Many: the distinct times are given their bins and meet the intervals in a shuffle, in which
+adaptive execution splits a bin that holds very many of them; rows then meet the intervals of their time. The rows are
+not written, and join with the columns that are used later and no others. They are read twice, so their times must come out
+the same both times.
 
 An interval without a start or an end, or that ends before it starts, holds nothing. A
 row without a time lies in none.
@@ -67,9 +69,9 @@ def tag_first(
         rows, held = _with_lists(df, binned, levels, time, start, end, closed)
         least = rows.withColumn("_held", F.array_min(held))
         return least.select(*df.columns, *[F.col("_held")[c].alias(c) for c in values])
-    numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "interval-rows")
-    found = _matched(numbered, binned, levels, time, start, end, closed).groupBy("_row").agg(F.min("_i").alias("_held"))
-    return numbered.join(found, "_row", "left").select(*df.columns, *[F.col("_held")[c].alias(c) for c in values])
+    found = _matched(df, binned, levels, time, start, end, closed).groupBy("_time").agg(F.min("_i").alias("_held"))
+    rows = df.join(stored(found, "interval-times"), F.col(time) == F.col("_time"), "left")
+    return rows.select(*df.columns, *[F.col("_held")[c].alias(c) for c in values])
 
 
 def tag_all(
@@ -89,8 +91,8 @@ def tag_all(
         rows, held = _with_lists(df, binned, levels, time, start, end, closed)
         rows = rows.select(*df.columns, F.explode(held).alias("_i"))
     else:
-        numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "interval-rows")
-        rows = numbered.join(_matched(numbered, binned, levels, time, start, end, closed), "_row")
+        found = stored(_matched(df, binned, levels, time, start, end, closed), "interval-times")
+        rows = df.join(found, F.col(time) == F.col("_time"))
     return rows.select(*df.columns, *[F.col("_i")[c].alias(c) for c in values])
 
 
@@ -113,10 +115,11 @@ def _with_lists(
 
 
 def _matched(
-    numbered: DataFrame, binned: DataFrame, levels: list[int], time: str, start: str, end: str, closed: bool
+    df: DataFrame, binned: DataFrame, levels: list[int], time: str, start: str, end: str, closed: bool
 ) -> DataFrame:
-    """(_row, _i) of rows and intervals that share a bin and hold."""
-    bins = F.array(*[F.struct(F.lit(k).alias("_level"), _bin(F.col(time), k).alias("_bin")) for k in levels])
-    dealt = numbered.filter(F.col(time).isNotNull()).select("_row", F.col(time).alias("_time"), F.inline(bins))
+    """(_time, _i) of the times that occur and the intervals that share a bin with them and hold them."""
+    bins = F.array(*[F.struct(F.lit(k).alias("_level"), _bin(F.col("_time"), k).alias("_bin")) for k in levels])
+    times = df.select(F.col(time).alias("_time")).filter(F.col("_time").isNotNull()).distinct()
+    dealt = times.select("_time", F.inline(bins))
     held = _inside(F.col("_time"), F.col("_i")[start], F.col("_i")[end], closed)
-    return dealt.join(binned, ["_level", "_bin"]).filter(held).select("_row", "_i")
+    return dealt.join(binned, ["_level", "_bin"]).filter(held).select("_time", "_i")

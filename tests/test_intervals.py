@@ -72,6 +72,21 @@ def test_rows_are_not_shuffled_nor_copied(tables):
     assert "BroadcastHashJoin" in text and "Generate" not in text and "SortMergeJoin" not in text and "NestedLoop" not in text
 
 
+def test_many_intervals_meet_times_not_rows(spark, tables, monkeypatch):
+    """What is written for the join does not grow with the rows, but with their times."""
+    _, spans, *_ = tables
+    written, plain = [], intervals.stored
+    monkeypatch.setattr(intervals, "stored", lambda df, name: written.append(plain(df, name)) or written[-1])
+    counts = []
+    for n in (100, 5000):
+        rows = spark.range(n).selectExpr("id", "'wide' AS note", "timestamp_ntz'2024-02-29' + make_dt_interval(0, CAST(id % 24 AS INT)) AS date")
+        written.clear()
+        assert intervals.tag_first(rows, spans, "prio", broadcast_rows=0).count() == n
+        assert intervals.tag_all(rows, spans, broadcast_rows=0).count() >= n
+        counts.append([w.count() for w in written])
+    assert counts[0] == counts[1] and all("note" not in w.columns for w in written)
+
+
 def test_an_interval_touches_two_bins_at_most(tables):
     _, spans, *_ = tables
     binned = intervals._binned(spans, "start_t", "end_t", True)
