@@ -147,7 +147,7 @@ def manifest_rebuild_parquet(spark, sf_dir):
 @_step
 def csv_line_breaks(spark, sf_dir):
     """Names with line breaks, quotes and commas, split, rebuilt and packed."""
-    sales = _sales(spark, sf_dir)
+    sales = _once_over(spark, sf_dir)
     odd = F.concat(F.lit('"a,\n'), F.col("product_name"), F.lit('\n"'))
     rows = sales.select("transaction_id", "product_id", F.concat(odd, F.col("city")).alias("label"))
     src = sinks.export_csv(rows, _new_dir(spark, "odd"))
@@ -178,7 +178,7 @@ def type_map_json(spark, sf_dir):
 
 @_step
 def csv_pack_unpack(spark, sf_dir):
-    packed = sinks.pack_csv(_sales(spark, sf_dir), _new_dir(spark, "packed"))
+    packed = sinks.pack_csv(_once_over(spark, sf_dir), _new_dir(spark, "packed"))
     return sinks.unpack_csv(spark, packed, SALES_SCHEMA)
 
 
