@@ -63,8 +63,7 @@ def _once(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], ob
 
 def _source_csv(spark: SparkSession, sf_dir: str) -> str:
     """The sales table as CSV files."""
-    sales = report_table(spark, sf_dir)
-    return _once(spark, sf_dir, "csv", lambda path: sinks.export_complete(sales, path))
+    return _once(spark, sf_dir, "csv", lambda path: sinks.export_complete(_once_over(spark, sf_dir), path))
 
 
 def _figures(df: DataFrame) -> DataFrame:
