@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tallygrove.functions.measures import n_rows, total
 from tallygrove.operators import enrich, intervals, lookup, ranking
 from tallygrove.plans import api, cells, exports, summary
-from tallygrove.plans.steps import _calendar_of, _new_dir, _sales
-from tallygrove.schema import AMOUNT, ROW_ID, SALES_COLUMNS
+from tallygrove.plans.steps import _calendar_of, _new_dir, _once_over, _sales
+from tallygrove.schema import AMOUNT, MONTH_PARTITION, ROW_ID, SALES_COLUMNS
 from tallygrove.sources import copies, files, sinks
 from tallygrove.sources.star import report_table
 from tallygrove.sources.storage import Folder
@@ -211,7 +211,7 @@ def bundle_from_cells(spark, sf_dir):
 @_table
 def customer_from_copy(spark, sf_dir):
     """A customer's totals from the copy for look-ups by customer."""
-    copy = copies.write_copy(_sales(spark, sf_dir), _new_dir(spark, "by-customer"), "customer_id")
+    copy = copies.write_copy(_once_over(spark, sf_dir), _new_dir(spark, "by-customer"), "customer_id")
     return api.customer_totals(copy, "7")
 
 
@@ -219,5 +219,5 @@ def customer_from_copy(spark, sf_dir):
 def receipt_from_copy(spark, sf_dir):
     """The items of a receipt from the copy for look-ups by receipt, opened anew."""
     path = _new_dir(spark, "by-receipt")
-    copies.write_copy(_sales(spark, sf_dir), path, "receipt_number")
+    copies.write_copy(_once_over(spark, sf_dir), path, "receipt_number")
     return api.receipt_items(copies.open_copy(spark, path), "20")
