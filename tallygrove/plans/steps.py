@@ -110,7 +110,7 @@ def csv_to_parquet_parts(spark, sf_dir):
 
 @_step
 def parquet_rebuild_csv(spark, sf_dir):
-    parts = sinks.replace_table(_sales(spark, sf_dir), _new_dir(spark, "parts"))
+    parts = sinks.replace_table(_once_over(spark, sf_dir), _new_dir(spark, "parts"))
     return files.read_csv(spark, sinks.rebuild_parquet(spark, parts, _new_dir(spark, "csv")), SALES_SCHEMA)
 
 
