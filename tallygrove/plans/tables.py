@@ -63,7 +63,7 @@ def upsert_months(spark, sf_dir):
     the months concerned are written."""
     sales = _sales(spark, sf_dir)
     table = sinks.sales_table(spark, _new_dir(spark, "upsert"))
-    table.replace(sales)
+    table.replace(sales, laid_out=True)
     month = F.date_format("date", "yyyy-MM")
     fixed = sales.filter(month.isin("1996-02", "1997-07") & (_key() % 10 == 0))
     fixed = fixed.withColumn("units_sold", F.col("units_sold") + 100).withColumn(
@@ -78,7 +78,7 @@ def upsert_months(spark, sf_dir):
 def page_indexed(spark, sf_dir):
     """A deep page found by the counts stored with the table."""
     table = sinks.sales_table(spark, _new_dir(spark, "pages"))
-    table.replace(_sales(spark, sf_dir))
+    table.replace(_sales(spark, sf_dir), laid_out=True)
     return ranking.page(table.read(), 41, 25, table.rows_per_day()).select(SALES_COLUMNS)
 
 

@@ -30,13 +30,34 @@ def get_spark(master: str | None = None, app: str = "tallygrove", **conf: str) -
 
 
 SORTED_BYTES = 32 * 2**20  # of a shuffle, compressed: what a task that sorts for a writer should read
+SCANNED_BYTES = 16 * 2**20  # of Parquet files, which hold about twice as many rows in a byte
 
 
 @contextmanager
 def sized_tasks(spark: SparkSession) -> Iterator[None]:
-    """Tasks of a write that sorts its rows read ``SORTED_BYTES`` at most, about an eighth of a GB in memory, so that
-    no task has to spill its sort. A smaller target of the session stays as it is."""
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    """Tasks of a write that sorts its rows read ``SORTED_BYTES`` of a shuffle at most, about an eighth of a GB in
+    memory, or ``SCANNED_BYTES`` of files, so that no task has to spill its sort. A smaller target of the session
+    stays as it is."""
+    limits = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": SORTED_BYTES, "spark.sql.files.maxPartitionBytes": SCANNED_BYTES}
+    before = {key: spark.conf.get(key) for key in limits}
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, limit in limits.items():
+        spark.conf.set(key, f"{min(limit, size(before[key]))}b")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+HASHED_GROUPS = 20_000
+
+
+@contextmanager
+def hashed_groups(spark: SparkSession) -> Iterator[None]:
+    """Aggregates of sketches keep ``HASHED_GROUPS`` groups a task before they sort their input, instead of 128. For
+    the small tasks of :func:`sized_tasks`: a sketch holds a few bytes per row, so its task's rows bound their memory."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key)
     wanted = min(SORTED_BYTES, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
     spark.conf.set(key, f"{wanted}b")

@@ -142,17 +142,20 @@ def unpack_csv(spark: SparkSession, src: str, schema=None) -> DataFrame:
     return read_csv(spark, src, schema, multi_line=True)
 
 
-def _arranged(df: DataFrame, by: str) -> DataFrame:
+def _arranged(df: DataFrame, by: str, laid_out: bool = False) -> DataFrame:
     """Sales rows, and their chunk if they have one, laid out for writing."""
-    return arranged_by(df.select(*SALES_COLUMNS, *[c for c in [CHUNK] if c in df.columns]), by)
+    return arranged_by(df.select(*SALES_COLUMNS, *[c for c in [CHUNK] if c in df.columns]), by, laid_out)
 
 
-def arranged_by(df: DataFrame, by: str) -> DataFrame:
+def arranged_by(df: DataFrame, by: str, laid_out: bool = False) -> DataFrame:
     """Add the partition column and lay the rows out for writing: each value of
     it together and sorted by date, so that row-group statistics prune well. The
     rebalance lets Spark size the files: small values share a task, a value with
-    very many rows is split over several."""
+    very many rows is split over several. Rows that come from files ``laid_out`` so are not shuffled again: a task
+    takes whole files, so it makes no more of them than it reads."""
     rows = df.withColumn(by, partition_value(by))
+    if laid_out:
+        return rows.sortWithinPartitions(by, "date")
     # Without adaptive execution the hint does nothing.
     adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
     rows = rows.hint("rebalance", F.col(by)) if adaptive else rows.repartition(by)

@@ -89,12 +89,12 @@ def is_versioned(spark: SparkSession, path: str) -> bool:
 
 
 class VersionedTable:
-    """A table at a path. ``by`` names the partition column, derived by ``layout(rows, by)``, of rows
+    """A table at a path. ``by`` names the partition column, derived by ``layout(rows, by, laid_out)``, of rows
     written from now on; ``days`` the column whose days are counted for paging."""
 
     def __init__(
         self, spark: SparkSession, path: str, by: str | None = None,
-        layout: Callable[[DataFrame, str], DataFrame] | None = None, days: str | None = None, bloom: Sequence[str] = (),
+        layout: Callable[[DataFrame, str, bool], DataFrame] | None = None, days: str | None = None, bloom: Sequence[str] = (),
     ):
         self.spark, self.path, self.folder = spark, path.rstrip("/"), Folder(spark, path)
         self.by, self.layout, self.day, self.bloom = by, layout, days, bloom
@@ -188,11 +188,12 @@ class VersionedTable:
 
     # --- writing ---
 
-    def write_run(self, rows: DataFrame) -> tuple[str, list[str]]:
-        """Write rows with a chunk column into a new run, not yet part of any version: (run, folders)."""
+    def write_run(self, rows: DataFrame, laid_out: bool = False) -> tuple[str, list[str]]:
+        """Write rows with a chunk column into a new run, not yet part of any version: (run, folders).
+        Rows read from files that are ``laid_out`` by the partition column already are not shuffled for it."""
         run = uuid.uuid4().hex
         path = f"{self.path}/{DATA}/{RUN}={run}"
-        writer = (self.layout(rows, self.by) if self.by else rows).write.partitionBy(CHUNK, *([self.by] if self.by else []))
+        writer = (self.layout(rows, self.by, laid_out) if self.by else rows).write.partitionBy(CHUNK, *([self.by] if self.by else []))
         for name in self.bloom:
             writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
             writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
@@ -212,25 +213,27 @@ class VersionedTable:
         own = [f for f in rows.schema.fields if f.name not in (CHUNK, self.by)]
         return json.loads(T.StructType([T.StructField(f.name, f.dataType) for f in own]).json())
 
-    def replace(self, rows: DataFrame) -> int:
-        """All rows anew, as the next version: its number."""
+    def replace(self, rows: DataFrame, laid_out: bool = False) -> int:
+        """All rows anew, as the next version: its number. ``laid_out`` as for :meth:`write_run`."""
         old = self.head()
         tagged = rows.withColumn(CHUNK, F.lit(BASE))
-        run, folders = self.write_run(tagged)
+        run, folders = self.write_run(tagged, laid_out)
         new = Version(0, "", self._schema(tagged), self.by).with_run(run, folders)
         new.streams = dict(old.streams)
         return self._publish(old, new, "replace")
 
-    def append(self, rows: DataFrame, chunk: str) -> int:
+    def append(self, rows: DataFrame, chunk: str, laid_out: bool = False) -> int:
         """Add a chunk. Rows of an earlier chunk of that id, whatever partitions they lie in, are replaced."""
         if not re.fullmatch(CHUNK_ID, chunk):
             raise ValueError("a chunk id starts with a letter and holds letters, digits, _ . and -")
-        return self.put_chunks(rows.withColumn(CHUNK, F.lit(chunk)), {chunk: {}}, f"append {chunk}")
+        return self.put_chunks(rows.withColumn(CHUNK, F.lit(chunk)), {chunk: {}}, f"append {chunk}", laid_out=laid_out)
 
-    def put_chunks(self, rows: DataFrame, ledger: dict[str, dict], action: str, stream: tuple[str, int] | None = None) -> int:
+    def put_chunks(
+        self, rows: DataFrame, ledger: dict[str, dict], action: str, stream: tuple[str, int] | None = None, laid_out: bool = False
+    ) -> int:
         """Add or replace the chunks named in ``ledger``; rows tell theirs in the chunk column. With
         ``stream`` (id, batch), a batch that was published before is not published again."""
-        run, folders = self.write_run(rows)
+        run, folders = self.write_run(rows, laid_out)
         schema, by = self._schema(rows), self.by
 
         def edit(old: Version) -> Version:
