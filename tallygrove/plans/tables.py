@@ -42,14 +42,14 @@ def _state(rows: DataFrame, label: str) -> DataFrame:
 def versioned_publish(spark, sf_dir):
     """What readers see: the first version, the same while the next one is being written and when that
     is broken off, the next one once it is published, and the first one again by its number."""
-    sales = _sales(spark, sf_dir)
+    sales = _sales(spark, sf_dir)  # stored by month, so not laid out again
     early = sales.filter(F.year("date") < 1998)
     table = sinks.sales_table(spark, _new_dir(spark, "versions"))
-    first = table.replace(early)
+    first = table.replace(early, laid_out=True)
     opened = table.read()
-    table.write_run(sales.withColumn("sale_chunk", F.lit("base")))  # written, never published
+    table.write_run(sales.withColumn("sale_chunk", F.lit("base")), laid_out=True)  # written, never published
     broken_off = table.read()
-    table.replace(sales)
+    table.replace(sales, laid_out=True)
     states = [(opened, "opened before"), (broken_off, "broken off"), (table.read(), "published"), (table.read(first), "by number")]
     out = _state(*states[0])
     for rows, label in states[1:]:
