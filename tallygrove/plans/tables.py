@@ -16,7 +16,7 @@ from tallygrove.plans import api, cells, exports, summary
 from tallygrove.plans.steps import _calendar_of, _new_dir, _once_over, _sales
 from tallygrove.schema import AMOUNT, MONTH_PARTITION, ROW_ID, SALES_COLUMNS
 from tallygrove.sources import copies, files, sinks
-from tallygrove.sources.star import report_table
+from tallygrove.sources.star import report_table, stored_sales
 from tallygrove.sources.storage import Folder
 from tallygrove.streaming import ingest
 
@@ -154,11 +154,13 @@ def lookup_hot_city(spark, sf_dir):
 
 
 def _kept_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily cells of the sales, appended in three chunks of which one is delivered twice."""
-    sales, table = _sales(spark, sf_dir), sinks.sales_table(spark, _new_dir(spark, "cells"))
+    """Daily cells of the sales, appended in three chunks of which one is delivered twice. A chunk is a third of the
+    months, so it is read without a look at the others, and laid out already."""
+    sales, table = stored_sales(spark, sf_dir), sinks.sales_table(spark, _new_dir(spark, "cells"))
     kept = cells.daily_cells(table)
+    third = F.coalesce(F.month(MONTH_PARTITION), F.lit(0)) % 3
     for chunk in (0, 1, 2, 1):
-        table.append(sales.filter(F.pmod(_key(), F.lit(3)) == chunk), f"part{chunk}")
+        table.append(sales.filter(third == chunk).select(SALES_COLUMNS), f"part{chunk}", laid_out=True)
         kept.refresh()
     return kept.read()
 

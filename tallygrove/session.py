@@ -59,8 +59,7 @@ def hashed_groups(spark: SparkSession) -> Iterator[None]:
     the small tasks of :func:`sized_tasks`: a sketch holds a few bytes per row, so its task's rows bound their memory."""
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key)
-    wanted = min(SORTED_BYTES, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
-    spark.conf.set(key, f"{wanted}b")
+    spark.conf.set(key, HASHED_GROUPS)
     try:
         yield
     finally:

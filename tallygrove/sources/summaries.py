@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.session import hashed_groups, sized_tasks
 from tallygrove.sources.versions import CHUNK, RUN, Version, VersionedTable
 
 _PART = "part"
@@ -38,7 +39,8 @@ class Summary:
             rows = self.table._rows(Version(0, "", v.schema, v.by, {run: folders}, [run] if run in v.whole else []))
             part = F.col(v.by) if v.by else F.lit(None).cast("date")
             out = self.build(rows.withColumn(_PART, part), [CHUNK, _PART])
-            out.write.mode("overwrite").parquet(self._path(run))
+            with sized_tasks(self.table.spark), hashed_groups(self.table.spark):
+                out.write.mode("overwrite").parquet(self._path(run))
             made.append(run)
         return made
 

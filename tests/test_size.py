@@ -5,12 +5,13 @@ import glob
 import os
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 from sales_rows import sale
 
 from tallygrove.plans import cells, steps, tables
 from tallygrove.schema import SALES_COLUMNS, SALES_SCHEMA
-from tallygrove.session import sized_tasks
+from tallygrove.session import HASHED_GROUPS, hashed_groups, sized_tasks
 from tallygrove.sources import files, sinks, star
 from tallygrove.streaming import ingest
 
@@ -36,6 +37,52 @@ def test_tasks_of_a_sorted_write_are_bounded(spark):
     spark.conf.set(name, usual)
 
 
+@pytest.mark.parametrize("name, shuffled", [("versioned_publish", 0), ("upsert_months", 1), ("distinct_from_cells", 0)])
+def test_stored_rows_are_not_laid_out_again(spark, sf_dir, monkeypatch, name, shuffled):
+    """But for the rows that an upsert writes anew."""
+    made, plain = [], sinks.arranged_by
+    monkeypatch.setattr(sinks, "arranged_by", lambda df, *more: made.append((df, plain(df, *more))) or made[-1][1])
+    star.stored_sales(spark, sf_dir)
+    tables.TABLES[name](spark, sf_dir)
+    assert len(made) > 1 and sum("Exchange" in plan(after) and "Exchange" not in plan(before) for before, after in made) == 0
+    assert sum("Exchange" in plan(after) for _, after in made) == shuffled
+
+
+def test_laid_out_rows_keep_their_files(spark, sf_dir, tmp_path):
+    rows = star.stored_sales(spark, sf_dir)
+    table = sinks.sales_table(spark, str(tmp_path / "t"))
+    table.replace(rows.select(SALES_COLUMNS), laid_out=True)
+    assert len(table.read().inputFiles()) <= len(rows.inputFiles())
+    assert table.read().select(SALES_COLUMNS).exceptAll(rows.select(SALES_COLUMNS)).count() == 0
+    assert table.rows_per_day().agg(F.sum("n")).first()[0] == rows.count()
+
+
+@pytest.mark.parametrize("name", [
+    "stage_strings", "staged_to_typed", "csv_line_breaks", "csv_pack_unpack", "csv_to_parquet_parts", "chunk_ingest_incremental",
+    "parquet_rebuild_csv", "manifest_rebuild_parquet",
+])
+def test_one_pass_does_not_store_the_sales_first(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(steps, "_written", {})
+    for module in (steps, star):
+        monkeypatch.setattr(module, "stored_sales", lambda *_: pytest.fail("stored first"))
+    assert steps.STEPS[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["customer_from_copy", "receipt_from_copy"])
+def test_copies_are_made_in_one_pass(spark, sf_dir, monkeypatch, name):
+    for module in (steps, star):
+        monkeypatch.setattr(module, "stored_sales", lambda *_: pytest.fail("stored first"))
+    assert tables.TABLES[name](spark, sf_dir).count() > 0
+
+
+def test_small_tasks_hash_many_sketches(spark):
+    name, seen = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", []
+    before = spark.conf.get(name)
+    with hashed_groups(spark):
+        seen.append(int(spark.conf.get(name)))
+    assert seen == [HASHED_GROUPS] and spark.conf.get(name) == before
+
+
 def test_merged_sketches_stay_close(spark):
     """24 hours of 40,000 customers each, spread over days, whose sketches are merged."""
     ids = spark.range(24 * 40_000).withColumn("hour", (F.col("id") % 24).cast("int"))
