@@ -33,18 +33,33 @@ SORTED_BYTES = 32 * 2**20  # of a shuffle, compressed: what a task that sorts fo
 SCANNED_BYTES = 16 * 2**20  # of Parquet files, which hold about twice as many rows in a byte
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written or collected here removes its shuffle files when it ends. Else they stay until the driver's
+    garbage collection finds them unused, and those of one write lie beside the next. For DataFrames that are run once: one
+    that is collected again shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def sized_tasks(spark: SparkSession) -> Iterator[None]:
     """Tasks of a write that sorts its rows read ``SORTED_BYTES`` of a shuffle at most, about an eighth of a GB in
     memory, or ``SCANNED_BYTES`` of files, so that no task has to spill its sort. A smaller target of the session
-    stays as it is."""
+    stays as it is. The write's shuffles are brief."""
     limits = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": SORTED_BYTES, "spark.sql.files.maxPartitionBytes": SCANNED_BYTES}
     before = {key: spark.conf.get(key) for key in limits}
     size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     for key, limit in limits.items():
         spark.conf.set(key, f"{min(limit, size(before[key]))}b")
     try:
-        yield
+        with brief_shuffles(spark):
+            yield
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.calendar import month_start
 from tallygrove.schema import DAY_PARTITION, MONTH_PARTITION, SALES_COLUMNS
-from tallygrove.session import sized_tasks
+from tallygrove.session import brief_shuffles, sized_tasks
 from tallygrove.sources.files import CSV_OPTIONS, read_csv, read_parts
 from tallygrove.sources.versions import CHUNK, VersionedTable
 
@@ -32,15 +32,16 @@ def _csv_writer(df: DataFrame, sep: str = ",", encoding: str = "UTF-8", single_f
     return writer.options(**CSV_OPTIONS, sep=sep, encoding=encoding, maxRecordsPerFile=0 if single_file else ROWS_PER_FILE)
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
+def export_csv(df: DataFrame, path: str, single_file: bool = False, compression: str = "none") -> str:
     """Write as CSV with a header in each part."""
-    _csv_writer(df, single_file=single_file).csv(path)
+    with brief_shuffles(df.sparkSession):
+        _csv_writer(df, single_file=single_file).option("compression", compression).csv(path)
     return path
 
 
-def export_complete(df: DataFrame, path: str) -> str:
+def export_complete(df: DataFrame, path: str, compression: str = "none") -> str:
     """The whole sales table, its own columns only."""
-    return export_csv(df.select(SALES_COLUMNS), path)
+    return export_csv(df.select(SALES_COLUMNS), path, compression=compression)
 
 
 def split_csv(

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.session import sized_tasks
+from tallygrove.session import brief_shuffles, sized_tasks
 from tallygrove.sources.storage import Folder
 
 RUN = "table_run"
@@ -206,7 +206,8 @@ class VersionedTable:
             written = self._rows(Version(0, "", self._schema(rows), self.by, {run: folders}, [run]))
             part = F.col(self.by) if self.by else F.lit(None).cast("date")
             counts = written.groupBy(CHUNK, part.alias("part"), F.to_date(self.day).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-            counts.coalesce(1).write.parquet(f"{self.path}/{DAYS}/{RUN}={run}")
+            with brief_shuffles(rows.sparkSession):
+                counts.coalesce(1).write.parquet(f"{self.path}/{DAYS}/{RUN}={run}")
         return run, folders
 
     def _schema(self, rows: DataFrame) -> dict:

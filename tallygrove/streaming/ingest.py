@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallygrove.schema import MONTH_PARTITION, SALES_SCHEMA
+from tallygrove.session import brief_shuffles
 from tallygrove.sources.files import CSV_OPTIONS, read_csv, strict_options
 from tallygrove.sources.sinks import partition_value, sales_table, write_partitioned
 from tallygrove.sources.storage import Folder
@@ -167,7 +168,8 @@ def put_batch(
     inbox = Folder(spark, folder).local_path() if folder else ""
 
     def digests(rows: DataFrame) -> list:
-        return rows.groupBy(_FILE, _TIME).agg(*row_digest(own)).collect()
+        with brief_shuffles(spark):
+            return rows.groupBy(_FILE, _TIME).agg(*row_digest(own)).collect()
 
     seen = digests(batch)
     folders = {place for place, is_folder in (_delivery(r[_FILE], inbox) for r in seen) if is_folder}

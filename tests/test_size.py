@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import time
 from collections import Counter
 
 import pytest
@@ -12,7 +13,7 @@ from sales_rows import sale
 from tallygrove.plans import cells, steps, tables
 from tallygrove.schema import SALES_COLUMNS, SALES_SCHEMA
 from tallygrove.session import HASHED_GROUPS, hashed_groups, sized_tasks
-from tallygrove.sources import files, sinks, star
+from tallygrove.sources import copies, files, sinks, star
 from tallygrove.streaming import ingest
 
 
@@ -147,3 +148,62 @@ def test_chunks_are_sent_in_several_files(spark, sf_dir, monkeypatch):
     tables.TABLES["chunk_deliveries"](spark, sf_dir)
     sent = glob.glob(f"{made[0].removeprefix('file://')}/*/*.csv")
     assert len(sent) >= 14 and max(sum(1 for _ in open(f)) for f in sent) <= 501
+
+
+def shuffle_files(spark):
+    names = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {n for n in names if "/shuffle_" in n and n.endswith(".data")}
+
+
+def test_shuffle_files_go_with_their_write(spark, sf_dir, make, tmp_path):
+    rows = make(*[sale(i, date=dt.datetime(2024, 1 + i % 3, 2)) for i in range(60)])
+    table = sinks.sales_table(spark, str(tmp_path / "t"))
+    writes = {
+        "csv": lambda path: sinks.export_csv(rows.repartition(4, "transaction_id"), path),
+        "month folders": lambda path: sinks.write_partitioned(rows, path),
+        "version": lambda path: table.replace(rows),
+        "copy": lambda path: copies.write_copy(rows, path, "customer_id", 4),
+    }
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = spark.conf.get(setting)
+    for name, write in writes.items():
+        before = shuffle_files(spark)
+        write(str(tmp_path / name.replace(" ", "_")))
+        wait_for(lambda: not shuffle_files(spark) - before, name)
+        assert spark.conf.get(setting) == usual
+    assert sorted(table.read().select(SALES_COLUMNS).collect()) == sorted(rows.collect())
+
+
+def wait_for(done, what):
+    """Executors remove files a moment later."""
+    until = time.time() + 10
+    while not done():
+        assert time.time() < until, what
+        time.sleep(0.1)
+
+
+def test_a_batch_of_deliveries_leaves_no_shuffle_files(spark, make, tmp_path):
+    inbox, dst, state = (str(tmp_path / n) for n in ("inbox", "fact", "state"))
+    rows = [sale(i, date=dt.datetime(2024, 1 + i % 3, 2)) for i in range(10)]
+    sinks.export_csv(make(*rows[:6]), f"{inbox}/chunk_0.csv")
+    sinks.export_csv(make(*rows[6:]), f"{inbox}/chunk_1.csv", compression="gzip")
+    assert glob.glob(f"{inbox}/chunk_0.csv/*.csv") and glob.glob(f"{inbox}/chunk_1.csv/*.csv.gz")
+    before = shuffle_files(spark)
+    ingest.ingest_deliveries(spark, inbox, dst, state)
+    wait_for(lambda: not shuffle_files(spark) - before, "batch")
+    sinks.export_csv(make(*rows[:6]), f"{inbox}/again.csv", compression="gzip")
+    version = sinks.sales_table(spark, dst).head().number
+    ingest.ingest_deliveries(spark, inbox, dst, state)
+    assert sinks.sales_table(spark, dst).head().number == version
+    assert Counter(map(tuple, files.read_sales(spark, dst, SALES_COLUMNS).collect())) == Counter(rows)
+
+
+def test_chunks_that_are_not_corrected_are_packed(spark, sf_dir, monkeypatch):
+    made = []
+    monkeypatch.setattr(tables, "_new_dir", lambda s, name: made.append(steps._new_dir(s, name)) or made[-1])
+    rows = tables.TABLES["chunk_deliveries"](spark, sf_dir)
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    inbox = made[0].removeprefix("file://")
+    packed = {name for name in os.listdir(inbox) if glob.glob(f"{inbox}/{name}/*.csv.gz")}
+    plain = {name for name in os.listdir(inbox) if glob.glob(f"{inbox}/{name}/*.csv")}
+    assert plain == {"chunk_1.csv", "chunk_1_v2.csv"} and packed == set(os.listdir(inbox)) - plain
