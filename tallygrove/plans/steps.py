@@ -66,6 +66,12 @@ def _source_csv(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "csv", lambda path: sinks.export_complete(_once_over(spark, sf_dir), path))
 
 
+def _source_chunks(spark: SparkSession, sf_dir: str) -> str:
+    """The same as packed CSV files, for queries that make a table of them: a fifth of the size lies beside the table. A
+    file is read by one task either way, as fields may have line breaks."""
+    return _once(spark, sf_dir, "chunks", lambda path: sinks.export_complete(_once_over(spark, sf_dir), path, "gzip"))
+
+
 def _figures(df: DataFrame) -> DataFrame:
     """What a filter keeps, per country."""
     return df.groupBy("country").agg(n_rows().alias("n"), total().alias("total"))
@@ -202,7 +208,7 @@ def chunk_ingest(spark, sf_dir):
 @_step
 def chunk_ingest_incremental(spark, sf_dir):
     """The stream form, run twice: the second run finds nothing new."""
-    chunks = _source_csv(spark, sf_dir)
+    chunks = _source_chunks(spark, sf_dir)
     dst, state = _new_dir(spark, "fact"), _new_dir(spark, "state")
     for _ in range(2):
         ingest.ingest_new_chunks(spark, chunks, dst, state)

@@ -207,3 +207,14 @@ def test_chunks_that_are_not_corrected_are_packed(spark, sf_dir, monkeypatch):
     packed = {name for name in os.listdir(inbox) if glob.glob(f"{inbox}/{name}/*.csv.gz")}
     plain = {name for name in os.listdir(inbox) if glob.glob(f"{inbox}/{name}/*.csv")}
     assert plain == {"chunk_1.csv", "chunk_1_v2.csv"} and packed == set(os.listdir(inbox)) - plain
+
+
+@pytest.mark.parametrize("name", ["chunk_ingest_incremental"])
+def test_chunks_to_ingest_are_packed(spark, sf_dir, monkeypatch, name):
+    made = []
+    monkeypatch.setattr(steps, "_written", {})
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 500)
+    monkeypatch.setattr(steps, "_new_dir", lambda s, kind, plain=steps._new_dir: made.append(plain(s, kind)) or made[-1])
+    assert steps.STEPS[name](spark, sf_dir).exceptAll(star.sales_from_star(spark, sf_dir).select(SALES_COLUMNS)).count() == 0
+    source = made[0].removeprefix("file://")
+    assert len(glob.glob(f"{source}/*.csv.gz")) >= 12 and not glob.glob(f"{source}/*.csv")
