@@ -35,7 +35,7 @@ SCANNED_BYTES = 16 * 2**20  # of Parquet files, which hold about twice as many r
 
 @contextmanager
 def brief_shuffles(spark: SparkSession) -> Iterator[None]:
-    """What is written or collected here removes its shuffle files when it ends. Else they stay until the driver's
+    """What is written, or made and collected, here removes its shuffle files when it ends. Else they stay until the driver's
     garbage collection finds them unused, and those of one write lie beside the next. For DataFrames that are run once: one
     that is collected again shuffles again."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

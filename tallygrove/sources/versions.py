@@ -264,7 +264,8 @@ class VersionedTable:
         latest = new.groupBy(*place).agg(F.max(F.struct(*columns)).alias("_row"))
         present = self._rows(old)
         by = [old.by] if old.by else []
-        touched = present.join(latest, self._same(present, latest, keys), "left_semi").select(RUN, CHUNK, *by).distinct().collect()
+        with brief_shuffles(self.spark):
+            touched = present.join(latest, self._same(present, latest, keys), "left_semi").select(RUN, CHUNK, *by).distinct().collect()
         dead = {(r[RUN], self._folder(r[CHUNK], r[by[0]] if by else None, old.by)) for r in touched}
         table = self._at(old.by)
         before = self._rows(old, sorted(dead)) if dead else present.limit(0)

@@ -218,3 +218,20 @@ def test_chunks_to_ingest_are_packed(spark, sf_dir, monkeypatch, name):
     assert steps.STEPS[name](spark, sf_dir).exceptAll(star.sales_from_star(spark, sf_dir).select(SALES_COLUMNS)).count() == 0
     source = made[0].removeprefix("file://")
     assert len(glob.glob(f"{source}/*.csv.gz")) >= 12 and not glob.glob(f"{source}/*.csv")
+
+
+def test_an_upsert_leaves_no_shuffle_files(spark, make, tmp_path):
+    """Neither those of the keys, which are more than those of the rows it writes."""
+    table = sinks.sales_table(spark, str(tmp_path / "t"))
+    rows = [sale(i, date=dt.datetime(2024, 1 + i % 3, 2)) for i in range(30)]
+    key, usual = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        table.replace(make(*rows))
+        before = shuffle_files(spark)
+        table.upsert(make(sale(3, date=dt.datetime(2024, 5, 2)), sale(99)), ["transaction_id"])
+        wait_for(lambda: not shuffle_files(spark) - before, "upsert")
+    finally:
+        spark.conf.set(key, usual)
+    found = Counter(map(tuple, table.read().select(SALES_COLUMNS).collect()))
+    assert found == Counter([r for r in rows if r[1] != "3"] + [sale(3, date=dt.datetime(2024, 5, 2)), sale(99)])
