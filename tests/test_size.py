@@ -209,7 +209,7 @@ def test_chunks_that_are_not_corrected_are_packed(spark, sf_dir, monkeypatch):
     assert plain == {"chunk_1.csv", "chunk_1_v2.csv"} and packed == set(os.listdir(inbox)) - plain
 
 
-@pytest.mark.parametrize("name", ["chunk_ingest_incremental"])
+@pytest.mark.parametrize("name", ["chunk_ingest_incremental", "chunk_ingest"])
 def test_chunks_to_ingest_are_packed(spark, sf_dir, monkeypatch, name):
     made = []
     monkeypatch.setattr(steps, "_written", {})
