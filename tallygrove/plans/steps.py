@@ -69,7 +69,7 @@ def _source_csv(spark: SparkSession, sf_dir: str) -> str:
 def _source_chunks(spark: SparkSession, sf_dir: str) -> str:
     """The same as packed CSV files, for queries that make a table of them: a fifth of the size lies beside the table. A
     file is read by one task either way, as fields may have line breaks."""
-    return _once(spark, sf_dir, "chunks", lambda path: sinks.export_complete(_once_over(spark, sf_dir), path, "gzip"))
+    return _once(spark, sf_dir, "packed_csv", lambda path: sinks.export_complete(_once_over(spark, sf_dir), path, "gzip"))
 
 
 def _figures(df: DataFrame) -> DataFrame:

@@ -235,3 +235,9 @@ def test_an_upsert_leaves_no_shuffle_files(spark, make, tmp_path):
         spark.conf.set(key, usual)
     found = Counter(map(tuple, table.read().select(SALES_COLUMNS).collect()))
     assert found == Counter([r for r in rows if r[1] != "3"] + [sale(3, date=dt.datetime(2024, 5, 2)), sale(99)])
+
+
+def test_sources_kept_for_several_queries_are_apart(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(steps, "_written", {})
+    sources = [source(spark, sf_dir) for source in (steps._source_csv, steps._source_chunks, steps._manifest)]
+    assert len({s.removesuffix("/manifest.json") for s in sources}) == 3
